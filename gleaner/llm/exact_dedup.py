@@ -16,34 +16,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.llm import bloom
 from gleaner.llm.common import text_or_empty
 
-WORD = 64
-
-
-def _slots(bits: int) -> list:
-    text = F.col("__text")
-    return [F.pmod(F.xxhash64(text, F.lit(seed)), F.lit(bits)) for seed in (1, 2)]
-
-
 def flag_possible_repeats(docs: DataFrame, text_col: str = "text", bits_per_row: int = 16, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """docs and a boolean column ``__repeat``: false only if no other row has an equal text."""
-    bits = WORD * max(16, -(-docs.count() * bits_per_row // WORD))
-    keyed = docs.withColumn("__text", text_or_empty(text_col))
-    word = F.expr(f"__slot div {WORD}")
-    bit = F.expr(f"shiftleft(1L, cast(__slot % {WORD} as int))")
-    hit_twice = keyed.select(F.explode(F.array(*_slots(bits))).alias("__slot")).groupBy("__slot").agg(F.count("*").alias("n")).filter("n > 1")
-    filter_words = hit_twice.groupBy(word.alias("__word")).agg(F.bit_or(bit).alias("__bits"))
-    if bits // WORD * 16 <= broadcast_bytes:
-        filter_words = F.broadcast(filter_words)
-    first, second = _slots(bits)
-    tested = keyed.withColumns({"__slot1": first, "__slot2": second}).drop("__text")
-    for i in (1, 2):
-        one = filter_words.select(F.col("__word").alias(f"__word{i}"), F.col("__bits").alias(f"__bits{i}"))
-        tested = tested.withColumn(f"__at{i}", F.expr(f"__slot{i} div {WORD}"))
-        tested = tested.join(one, F.col(f"__at{i}") == F.col(f"__word{i}"), "left")
-    hits = [F.coalesce(F.expr(f"(__bits{i} & shiftleft(1L, cast(__slot{i} % {WORD} as int))) != 0"), F.lit(False)) for i in (1, 2)]
-    return tested.withColumn("__repeat", hits[0] & hits[1]).select(*docs.columns, "__repeat")
+    bits = bloom.filter_bits(docs.count(), bits_per_row)
+    text = text_or_empty(text_col)
+    slots = docs.select(F.explode(F.array(*bloom.slots(text, bits))).alias("slot"))
+    hit_twice = slots.groupBy("slot").agg(F.count("*").alias("n")).filter("n > 1")
+    return bloom.tested(docs, text, bits, bloom.words_of(hit_twice, bits, broadcast_bytes), "__repeat")
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **filter_options) -> DataFrame:

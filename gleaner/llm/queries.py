@@ -25,6 +25,12 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(documents(spark, sf_dir, "doc_id", "text"), tokenizer("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleaner.llm.near_dedup import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir, "doc_id", "text"), shingle_words=3, percent=85)
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gleaner.llm.media import media_columns
 
@@ -61,7 +67,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(documents(spark, sf_dir, "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op4_media_columns, op5_exact_dedup, op7_language_id, op8_chat_formatting, op9_bpe, op10_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_minhash_near_dedup, op4_media_columns, op5_exact_dedup, op7_language_id, op8_chat_formatting, op9_bpe, op10_lm_scoring)}
 
 ORACLE_SQL = {
     "op5_exact_dedup": """
