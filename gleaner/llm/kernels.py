@@ -140,31 +140,35 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.n
     return value, np.concatenate(([0], np.cumsum(np.bincount(of, minlength=rows)))).astype(np.int64)
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, span: int, inner: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, position in the row and hash of the anchors: of every ``span`` bytes within a row, the
-    ``inner``-byte string of the smallest hash, the leftmost of equals. Equal strings of ``span``
-    bytes have equal anchors at the same place inside them."""
+def anchors(data: np.ndarray, offsets: np.ndarray, span: int, inner: int) -> tuple[np.ndarray, ...]:
+    """The anchors of all strings of ``span`` bytes within rows: of each such string, its ``inner``-byte
+    substring of the smallest hash, the leftmost of equals. Neighbouring starts of one anchor make a
+    run: first start, number of starts, anchor (places in data), hash of the anchor, and fingerprint
+    of all bytes that the run's strings cover. Equal strings have equal anchors at the same place."""
     width, n = span - inner + 1, len(data)
+    none = np.zeros(0, np.int64)
     if n < span:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64)
-    sums = prefix_sums(data)
-    hashes = mix((sums[inner:] - sums[:-inner]) * powers(n + 1)[1][: n + 1 - inner])
-    rank_bits = U64(64 - int(n).bit_length())
-    low = (hashes >> (U64(64) - rank_bits) << (U64(64) - rank_bits)) | np.arange(len(hashes), dtype=U64)
+        return none, none, none, none.view(U64), none.view(U64)
+    sums, inverse = prefix_sums(data), powers(n + 1)[1]
+    hashes = mix((sums[inner:] - sums[:-inner]) * inverse[: n + 1 - inner])
+    places = U64(int(n).bit_length())
+    low = (hashes >> places << places) | np.arange(len(hashes), dtype=U64)
     reach = 1
     while reach * 2 <= width:
         low = np.minimum(low[:-reach], low[reach:])
         reach *= 2
     if reach < width:
         low = np.minimum(low[: len(low) - (width - reach)], low[width - reach :])
-    at = (low & ((U64(1) << (U64(64) - rank_bits)) - U64(1))).astype(np.int64)
-    # windows that would cross the end of a row are no windows
-    inside = np.ones(len(at), np.int8)
-    ends = offsets[1:-1]
-    ok = np.zeros(len(at) + 1, np.int32)
-    np.add.at(ok, np.clip(ends - span + 1, 0, len(at)), 1)
-    np.add.at(ok, np.clip(ends, 0, len(at)), -1)
-    inside = np.cumsum(ok[:-1]) == 0
-    at = np.unique(at[inside])
-    row = np.searchsorted(offsets, at, side="right") - 1
-    return row, at - offsets[row], hashes[at]
+    at = (low & ((U64(1) << places) - U64(1))).astype(np.int64)
+    inside = np.zeros(len(at) + 1, np.int32)  # strings that would cross the end of a row are none
+    np.add.at(inside, np.clip(offsets[1:-1] - span + 1, 0, len(at)), 1)
+    np.add.at(inside, np.clip(offsets[1:-1], 0, len(at)), -1)
+    starts = np.flatnonzero(np.cumsum(inside[:-1]) == 0)
+    if not len(starts):
+        return none, none, none, none.view(U64), none.view(U64)
+    at = at[starts]
+    new = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1)])
+    first, anchor, count = starts[new], at[new], np.diff(np.r_[new, len(at)])
+    covered = (sums[first + count + span - 1] - sums[first]) * inverse[first]
+    print_ = mix(covered ^ mix((anchor - first).astype(U64) * U64(4096) + count.astype(U64)))
+    return first, count, anchor, hashes[anchor], print_

@@ -43,6 +43,12 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleaner.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(documents(spark, sf_dir, "doc_id", "text"), least=100)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gleaner.llm.langid import identify
 
@@ -67,7 +73,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(documents(spark, sf_dir, "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_minhash_near_dedup, op4_media_columns, op5_exact_dedup, op7_language_id, op8_chat_formatting, op9_bpe, op10_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_minhash_near_dedup, op4_media_columns, op5_exact_dedup, op6_suffix_dedup, op7_language_id, op8_chat_formatting, op9_bpe, op10_lm_scoring)}
 
 ORACLE_SQL = {
     "op5_exact_dedup": """
