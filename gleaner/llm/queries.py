@@ -31,6 +31,16 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir, "doc_id", "text"), shingle_words=3, percent=85)
 
 
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from gleaner.llm.secrets import scan
+
+    found = scan(documents(spark, sf_dir, "doc_id", "text"))
+    digest = F.sha2(F.coalesce("redacted", F.lit("")), 256).alias("redacted_sha256")
+    return found.select("doc_id", "n_candidates", F.size("secrets").cast("long").alias("n_secrets"), "secrets", digest)
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gleaner.llm.media import media_columns
 
@@ -73,7 +83,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(documents(spark, sf_dir, "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_minhash_near_dedup, op4_media_columns, op5_exact_dedup, op6_suffix_dedup, op7_language_id, op8_chat_formatting, op9_bpe, op10_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_minhash_near_dedup, op3_secret_scans, op4_media_columns, op5_exact_dedup, op6_suffix_dedup, op7_language_id, op8_chat_formatting, op9_bpe, op10_lm_scoring)}
 
 ORACLE_SQL = {
     "op5_exact_dedup": """
