@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.llm.common import checkpointed, most_frequent
+
 #: The words of byte-level BPE, and the white space that its pattern means.
 SPACE = r"[\p{White_Space}]"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^\p{{White_Space}}\p{{L}}\p{{N}}]+|{SPACE}+(?!\P{{White_Space}})|{SPACE}+"
@@ -346,9 +348,9 @@ def word_counts(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
 
 def build_lexicon(docs: DataFrame, tokenizer_path: str, lexicon_size: int = 50_000) -> bytes:
-    """The compiled automaton of the most frequent words (ties: the smaller word). Counts cover all
-    rows; only the ``lexicon_size`` words themselves come to the driver."""
-    top = word_counts(docs, tokenizer_path).orderBy(F.desc("n"), "word").limit(lexicon_size).select("word").collect()
+    """The compiled automaton of the most frequent words (up to lexicon_size of them).
+    Counts cover all rows; only those words themselves come to the driver."""
+    top = most_frequent(checkpointed(word_counts(docs, tokenizer_path)), lexicon_size).select("word").collect()
     words, known = [bytes(r["word"]) for r in top], vocabulary(tokenizer_path)
     words = [w for w in words if w.decode("utf-8", "replace") not in known.special]
     return Automaton.compile(dict(zip(words, known.merge(words))))

@@ -46,3 +46,17 @@ def per_batch(function: Callable[[pa.RecordBatch], pa.RecordBatch | None]):
 def held_out_remainder(id_column: str, divisor: int):
     """crc32 of the id as text, modulo the divisor."""
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % divisor
+
+
+def most_frequent(counts: DataFrame, size: int) -> DataFrame:
+    """The rows of counts (with a column n of positive counts) that are the ``size`` most frequent, or
+    somewhat fewer: all rows above the smallest bound that leaves no more than that. The bound comes
+    from a histogram of at most 64 * 32 cells, so no task sorts all rows."""
+    cell = F.floor(F.log2(F.col("n").cast("double")) * 32)
+    cells = sorted(((r["cell"], r["rows"]) for r in counts.groupBy(cell.alias("cell")).agg(F.count("*").alias("rows")).collect()), reverse=True)
+    total, bound = 0, None
+    for at, rows in cells:
+        if total + rows > size:
+            break
+        total, bound = total + rows, at
+    return counts.filter(F.lit(False) if bound is None else cell >= bound)

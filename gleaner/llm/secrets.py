@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from gleaner.llm import kernels as K
+from gleaner.llm.common import checkpointed, most_frequent
 
 BLOCK = 4 << 20
 MASK = "[SECRET]"
@@ -205,7 +206,7 @@ def synthetic_findings(words: list[str], n: int = 4000, seed: int = 5) -> list[t
 
 def background(docs: DataFrame, text_col: str = "text", dictionary_size: int = 20_000) -> tuple[Background, list[str]]:
     """Byte pairs and word counts over all rows; only the pair table and the ``dictionary_size`` most
-    frequent words of letters (ties: the smaller) come to the driver."""
+    frequent words of letters come to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = np.zeros(65536, np.int64)
@@ -245,8 +246,9 @@ def background(docs: DataFrame, text_col: str = "text", dictionary_size: int = 2
         yield pa.RecordBatch.from_arrays([pa.array([b"\xff" + int(i).to_bytes(2, "big") for i in some], pa.binary()), pa.array(pairs[some])], ["key", "n"])
 
     counts = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    counts = checkpointed(counts)
     is_pair = F.substring("key", 1, 1) == F.lit(b"\xff")
-    table = counts.filter(is_pair).unionByName(counts.filter(~is_pair).orderBy(F.desc("n"), "key").limit(dictionary_size)).collect()
+    table = counts.filter(is_pair).unionByName(most_frequent(counts.filter(~is_pair), dictionary_size)).collect()
     pairs, words = np.zeros(65536), []
     for key, n in table:
         key = bytes(key)
