@@ -89,7 +89,7 @@ def list_markdown(html: Column) -> Column:
 
     Tags are folded in order; the state is the stack of open lists (the items so far, -1 for unordered)
     and the lines."""
-    tokens = F.regexp_extract_all(html, F.lit("(?is)</?(?:ul|ol|li)\\b[^>]*>|[^<]+"), F.lit(0))
+    tokens = F.regexp_extract_all(html, F.lit("(?s)<[^>]*>|[^<]+"), F.lit(0))
     start = F.struct(F.array().cast("array<int>").alias("open"), F.array().cast("array<string>").alias("lines"))
 
     def step(s: Column, t: Column) -> Column:

@@ -100,7 +100,7 @@ def rough_tokens(text: Column) -> Column:
 def fenced_json(text: Column) -> Column:
     """The contents of the first fenced code block, else the text."""
     inner = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    return F.trim(F.when(inner == "", text).otherwise(inner))
+    return F.regexp_replace(F.when(inner == "", text).otherwise(inner), r"^\s+|\s+$", "")
 
 
 def unit_vector(v: Column) -> Column:

@@ -1,8 +1,9 @@
 """URL functions as column expressions. They stay inside Catalyst; only internationalised host names
-need a (vectorised) Python step, ``ascii_host``."""
+need a (vectorised) Python step, ``ascii_url``."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 import pandas as pd
@@ -43,18 +44,21 @@ def percent_decode(text: Column) -> Column:
 
 
 @F.pandas_udf(StringType())
-def ascii_host(hosts: pd.Series) -> pd.Series:
-    """Host names in their ASCII form; names that have none stay as they are."""
-
-    def convert(host: str | None) -> str | None:
-        if host is None or host.isascii():
-            return host
+def ascii_url(urls: pd.Series) -> pd.Series:
+    """URLs with an internationalised host in their ASCII form; others, and hosts without such a form, stay
+    as they are. A step of its own: put it in a column before normalising that."""
+
+    def convert(url: str | None) -> str | None:
+        if url is None or url.isascii():
+            return url
+        scheme, mark, rest = url.partition("://")
+        name = re.match(r"[^/?#:]*", rest).group()
         try:
-            return host.encode("idna").decode()
+            return scheme + mark + name.encode("idna").decode() + rest[len(name) :]
         except UnicodeError:
-            return host
+            return url
 
-    return hosts.map(convert)
+    return urls.map(convert)
 
 
 def host(url: Column, on_failure: str = "url") -> Column:
@@ -88,20 +92,14 @@ def normal_query(query: Column) -> Column:
     return F.array_join(F.transform(ordered, lambda p: F.when(p["v"] == "", p["k"]).otherwise(F.concat(p["k"], F.lit("="), p["v"]))), "&")
 
 
-def normalize_url(url: Column, strip_locale: bool = False, strip_www: bool = False, locales: Sequence[str] = (), idn: bool = False) -> Column:
+def normalize_url(url: Column, strip_locale: bool = False, strip_www: bool = False, locales: Sequence[str] = ()) -> Column:
     """The canonical form of an http(s) URL, null for anything else.
 
     Lower-case scheme and host, no default port and no fragment; the path is decoded twice (as a parsed
     path is decoded already, and so may change again when normalised again), dots resolved, no trailing
-    slash; the query as in normal_query. With idn, host names go through ``ascii_host``, a Python step.
+    slash; the query as in normal_query. Hosts outside ASCII need ``ascii_url`` first.
     """
-    text = F.trim(url)
-    if not idn:
-        encoded = text
-    else:
-        pattern = r"^((?i)https?://)([^/?#:]+)(.*)$"
-        name = F.regexp_extract(text, pattern, 2)
-        encoded = F.when(text.rlike(pattern), F.concat(F.regexp_extract(text, pattern, 1), ascii_host(name), F.regexp_extract(text, pattern, 3))).otherwise(text)
+    encoded = F.trim(url)
     scheme = F.lower(part(encoded, "PROTOCOL"))
     name = F.lower(part(encoded, "HOST"))
     if strip_www:
