@@ -19,6 +19,7 @@ import bisect
 import os
 import zlib
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import pandas as pd
@@ -32,27 +33,50 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class WordEncoder:
-    """Ids of a text as little-endian unsigned 32-bit integers, by a tokenizer that drops white space
-    and never merges across it: each stretch between blanks is encoded on its own, once."""
+    """Ids of texts as little-endian unsigned 32-bit integers, by a tokenizer that lower-cases, drops white
+    space and merges neither across it nor between letters and a comma or full stop. So each stretch
+    between blanks is encoded on its own, without such a sign at its end, and remembered: up to ``kept``
+    stretches as they stand and ``kept_cores`` without the sign."""
 
-    def __init__(self, path: str, kept: int = 400_000):
+    def __init__(self, path: str, kept: int = 600_000, kept_cores: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kept, self.known = Tokenizer.from_file(path), kept, {}
-
-    def encode(self, text: str) -> bytes:
-        parts, known = text.replace("\n", " ").split(" "), self.known
-        try:
-            return b"".join([known[x] for x in parts])
-        except KeyError:
-            pass
+        self.tokenizer, self.kept, self.kept_cores = Tokenizer.from_file(path), kept, kept_cores
+        self.known: dict[str, bytes] = {}
+        self.cores: dict[str, bytes] = {}
+        self.signs = dict(zip(",.", self._encode([",", "."])))
+
+    def _encode(self, parts: list[str]) -> list[bytes]:
+        return [pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        known, cores, signs = self.known, self.cores, self.signs
+        if len(cores) > self.kept_cores:
+            cores.clear()
+        split = []
+        for x in new:
+            core, sign = x, ""
+            if x.isascii():  # elsewhere lower-casing is the tokenizer's own
+                core = x.lower()
+                if core[-1:] in signs and core[-2:-1].isalnum():
+                    core, sign = core[:-1], core[-1]
+            split.append((x, core, sign))
+        missing = list({c for _, c, _ in split if c not in cores})
+        cores.update(zip(missing, self._encode(missing)))
+        for x, core, sign in split:
+            known[x] = cores[core] + signs[sign] if sign else cores[core]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        known = self.known
         if len(known) > self.kept:
             known.clear()
-        new = [x for x in dict.fromkeys(parts) if x not in known]
-        for x, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            known[x] = np.asarray(e.ids, "<u4").tobytes()
-        return b"".join([known[x] for x in parts])
+        stretches = [x.replace("\n", " ").split(" ") for x in texts]
+        new = set().union(*stretches).difference(known)
+        if new:
+            self._learn(list(new))
+        look = known.__getitem__
+        return [b"".join(map(look, parts)) for parts in stretches]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -70,10 +94,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path).encode
-        for batch in batches:
+        parts = (batch.slice(at, 128) for batch in batches for at in range(0, batch.num_rows, 128))
+        for batch in parts:
             out = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(text.as_py() or "") + end
+            for doc, ids in zip(batch.column(0).to_pylist(), encode([t or "" for t in batch.column(1).to_pylist()])):
+                ids += end
                 for i, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     out.append((doc, i, at // 4, len(part) // 4, zlib.crc32(part)))
