@@ -70,10 +70,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """node and component (the smallest node reachable) of every node of the edges u, v (long, not null)
     that isn't its own component; the other nodes are left out."""
     now = checkpointed(edges.filter("u != v").mapInArrow(_local_stars, "u long, v long"))
-    state = None
     while True:
-        new = now.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
-        if new == state or not new[0]:
+        # done when every node has one edge, to a node that has none
+        again = now.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").select("u")
+        inner = now.select(F.col("v").alias("u")).join(now.select("u"), "u", "left_semi")
+        if again.unionByName(inner).isEmpty():
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        state = new
         now = checkpointed(_small_star(_large_star(now)))

@@ -24,7 +24,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm import kernels as K
@@ -120,27 +120,11 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return common.filter(100 * F.col("n") >= percent * (F.col("total") - F.col("n"))).select("a", "b").distinct()
 
 
-class _Groups:
-    """Components of representatives, as they grow."""
-
-    def __init__(self, spark):
-        self.table = spark.createDataFrame([], "node long, component long")
-
-    def of(self, df: DataFrame, column: str, name: str) -> DataFrame:
-        table = self.table.select(F.col("node").alias("__node"), F.col("component").alias("__component"))
-        joined = df.join(table, F.col(column) == F.col("__node"), "left")
-        return joined.withColumn(name, F.coalesce("__component", column)).drop("__node", "__component")
-
-    def between(self, pairs: DataFrame) -> DataFrame:
-        """The pairs a, b of different components."""
-        return self.of(self.of(pairs, "a", "ca"), "b", "cb").filter("ca != cb").select("a", "b")
-
-    def join(self, links: DataFrame) -> None:
-        named = self.of(self.of(links, "a", "u"), "b", "v").select("u", "v").filter("u != v")
-        merged = connected_components(named)
-        renamed = merged.select(F.col("node").alias("old"), F.col("component").alias("new"))
-        moved = self.table.join(renamed, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component"))
-        self.table = checkpointed(moved.unionByName(merged).distinct())
+def _component(df: DataFrame, table: DataFrame, column: str, name: str) -> DataFrame:
+    """df with the component of a node; a node that the table (node, component) lacks is its own."""
+    table = table.select(F.col("node").alias("__node"), F.col("component").alias("__component"))
+    joined = df.join(table, F.col(column) == F.col("__node"), "left")
+    return joined.withColumn(name, F.coalesce("__component", column)).drop("__node", "__component")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
@@ -157,53 +141,61 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = checkpointed(_sketches(narrow, shingle_words, bands, rows))
     full = base.filter("n_shingles > 0 and doc_id is not null")
     classes = checkpointed(full.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "bands")).alias("m")).select("k1", "k2", F.col("m.doc_id").alias("rep"), F.col("m.bands").alias("bands")))
-    groups = _Groups(docs.sparkSession)
-    _link(groups, narrow, classes, shingle_words, percent)
+    table = _linked(narrow, classes, shingle_words, percent)
     keyed = classes.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "rep")
     # dealt by another key first, so that the join shuffles both sides for itself and splits hot classes
-    keyed = groups.of(keyed, "rep", "component").drop("rep").repartition("component")
+    keyed = _component(keyed, table, "rep", "component").drop("rep").repartition("component")
     linked = base.drop("bands").join(keyed, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), "left")
     component = F.coalesce("component", "doc_id")
     return linked.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _link(groups: _Groups, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> None:
+def _linked(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """node and component of the representatives, without those that are their own component."""
     placed = classes.select("rep", F.explode("bands").alias("bucket"))
     sizes = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("hub")).filter("n > 1")
     sizes = sizes.withColumnRenamed("bucket", "of").repartition("hub")
     members = checkpointed(placed.join(sizes, F.col("bucket") == F.col("of")).select("bucket", "n", "hub", "rep"))
-    pairs = members.filter("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     candidates = members.select("rep").distinct()
     wanted = possible_members(docs.filter("doc_id is not null"), "doc_id", candidates)
     sets = _sets(wanted, size).join(candidates.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r"), "left_semi")
     sets = checkpointed(sets.repartition("rep"))
-
-    def compare(pairs: DataFrame) -> None:
-        groups.join(checkpointed(_similar(pairs, sets, percent)))
-
-    # each member with its smallest hub; then with its other hubs, where they are still apart
-    compare(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    compare(groups.between(pairs))
-    # buckets that are in several components
+    # each member with its smallest hub; then with its other hubs (no more than bands), where these have
+    # another smallest hub
+    pairs = members.filter("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    pairs = pairs.withColumn("first", F.col("a") == F.min("a").over(Window.partitionBy("b")))
+    links = checkpointed(_similar(pairs.filter("first").select("a", "b"), sets, percent))
+    parents = links.select(F.col("b").alias("node"), F.col("a").alias("component"))
+    others = _component(_component(pairs.filter("not first"), parents, "a", "ca"), parents, "b", "cb").filter("ca != cb")
+    links = links.unionByName(_similar(others.select("a", "b"), sets, percent))
+    table = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    # buckets that are still in several components
+    members = members.filter("n > 2").select("bucket", "n", "rep")
     while True:
-        named = groups.of(members, "rep", "component")
+        named = _component(members, table, "rep", "component")
         spans = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
         spans = spans.select(F.col("bucket").alias("of")).repartition("of")
-        members = checkpointed(named.filter("n > 2").join(spans, F.col("bucket") == F.col("of"), "left_semi").select("bucket", "n", "rep", "component"))
+        members = checkpointed(named.join(spans, F.col("bucket") == F.col("of"), "left_semi").select("bucket", "n", "rep", "component"))
         if members.isEmpty():
-            return
+            return table
         small = members.filter(F.col("n") <= SMALL_BUCKET)
         lists = small.groupBy("bucket").agg(F.collect_list(F.struct("rep", "component")).alias("all"))  # at most SMALL_BUCKET
         one = lists.select("all", F.explode("all").alias("x")).select("x", F.explode("all").alias("y"))
         pairs = one.filter("x.rep < y.rep and x.component != y.component").select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
         large = members.filter(F.col("n") > SMALL_BUCKET)
         salt = F.pmod(F.xxhash64("rep"), F.lit(HUBS))
-        hubs = checkpointed(large.groupBy("bucket", salt.alias("salt")).agg(F.min(F.struct("rep", "component")).alias("h")).select(F.col("bucket").alias("of"), F.col("h.rep").alias("hub"), F.col("h.component").alias("hc")))
+        hubs = large.groupBy("bucket", salt.alias("salt")).agg(F.min(F.struct("rep", "component")).alias("h"))
+        hubs = hubs.select(F.col("bucket").alias("of"), F.col("h.rep").alias("hub"), F.col("h.component").alias("hc")).repartition("hub")
         of_hubs = large.join(hubs, F.col("bucket") == F.col("of")).filter("rep != hub and component != hc")
         pairs = pairs.unionByName(of_hubs.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))).distinct()
-        compare(pairs)
-        used = hubs.select(F.col("of").alias("ub"), F.col("hub").alias("ur")).repartition("ur")
-        members = large.join(used, (F.col("bucket") == F.col("ub")) & (F.col("rep") == F.col("ur")), "left_anti").select("bucket", F.col("n"), "rep")
+        links = _similar(pairs, sets, percent)
+        named = _component(_component(links, table, "a", "u"), table, "b", "v").select("u", "v")
+        merged = connected_components(named)
+        renamed = merged.select(F.col("node").alias("old"), F.col("component").alias("new"))
+        moved = table.join(renamed, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component"))
+        table = checkpointed(moved.unionByName(merged).distinct())
+        used = hubs.select(F.col("of").alias("ub"), F.col("hub").alias("ur"))
+        members = large.join(used, (F.col("bucket") == F.col("ub")) & (F.col("rep") == F.col("ur")), "left_anti").select("bucket", "n", "rep")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
