@@ -132,64 +132,6 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), part.column(1)], ["x", "lang"])
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = 300) -> Hierarchy:
-    """Machines fitted on about per_language rows of each language (never over twice as many), those of
-    the smallest text hashes. Rows of null text or language are left out."""
-    rows = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).dropna()
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    place = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 40)) / float(1 << 40)
-    chosen = None
-    for lang, n in sorted(sizes.items()):
-        of = rows.filter((F.col("lang") == lang) & (place < min(1.0, per_language / n))).limit(2 * per_language)
-        chosen = of if chosen is None else chosen.unionByName(of)
-    if chosen is None:
-        return Hierarchy(np.zeros((0, DIMENSIONS), np.float32), np.array([], object))
-    table = chosen.mapInArrow(_feature_rows, "x binary, lang string").toArrow()
-    labels = table.column("lang").to_pylist()
-    x = np.empty((len(labels), DIMENSIONS), np.float32)
-    for i, row in zip(np.argsort(np.argsort(labels, kind="stable"), kind="stable").tolist(), table.column("x")):
-        x[i] = np.frombuffer(row.as_buffer(), "<f4")
-    return Hierarchy(x, np.array(sorted(labels), object))
-
-
-def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
-        """Language and score (the smaller of two logistic margins) of each row."""
-        rows = len(x)
-        if len(self.families) > 1:
-            margin = x @ self.family_weights[:, :-1].T + self.family_weights[:, -1]
-            chosen = margin.argmax(1)
-            score = margin[np.arange(rows), chosen]
-        else:
-            chosen, score = np.zeros(rows, np.int64), np.full(rows, 4.0)
-        out = np.empty(rows, object)
-        for f, members in enumerate(self.members):
-            at = np.flatnonzero(chosen == f)
-            if not len(at):
-                continue
-            votes = np.zeros((len(at), len(members)))
-            sums = np.zeros((len(at), len(members)))
-            margins = x[at] @ self.pair_weights[f][:, :-1].T + self.pair_weights[f][:, -1] if len(members) > 1 else None
-            for k, (a, b) in enumerate(self.pairs[f]):
-                m = margins[:, k]
-                votes[:, a] += m >= 0
-                votes[:, b] += m < 0
-                sums[:, a] += m
-                sums[:, b] -= m
-            best = np.lexsort((sums, votes), axis=1)[:, -1] if len(members) > 1 else np.zeros(len(at), np.int64)
-            out[at] = np.array(members, object)[best]
-            if len(members) > 1:
-                score[at] = np.minimum(score[at], sums[np.arange(len(at)), best] / (len(members) - 1))
-        return out.tolist(), 1 / (1 + np.exp(-3.0 * score.astype(np.float64)))
-
-
-def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            x = features(*K.flat(part.column(0))).astype("<f4")
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), part.column(1)], ["x", "lang"])
-
-
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = 300) -> Hierarchy:
     """Machines fitted on about per_language rows of each language (never over twice as many), those of
     the smallest text hashes. Rows of null text or language are left out."""

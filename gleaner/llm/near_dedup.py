@@ -12,10 +12,12 @@ Then:
 1. Documents of equal sets form a class with one representative.
 2. Signatures are cut into bands; equal bands make buckets of representatives.
 3. In each bucket the first representative, the hub, is compared with all others on full sets, and
-   union-find joins what is similar. Buckets that are still in several components go on: small ones
-   with the remaining pairs between different components, larger ones with further hubs, a few at a
-   time, until every pair of them is compared or in one component. No round has more pairs than a
-   fixed number for each member of a bucket.
+   union-find joins what is similar.
+4. Buckets that are still in several components are cut into tiles of a bounded number of shingles
+   (the same bucket under several bands counts once). A task gets two tiles and compares, on full
+   sets, every member outside their largest component with the members of a fitting size; it
+   returns at most one link for each component, so pairs are never rows. Union-find over the
+   components ends the search: the number of rounds doesn't depend on the size of a bucket.
 """
 
 from __future__ import annotations
@@ -30,13 +32,13 @@ from pyspark.sql import functions as F
 from gleaner.llm import kernels as K
 from gleaner.llm.bloom import possible_members
 from gleaner.llm.common import checkpointed, per_batch
-from gleaner.llm.components import connected_components
+from gleaner.llm.components import UnionFind, connected_components
 
 SLOTS = 127
 BLOCK = 1 << 20
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
-#: Buckets up to this size are settled by their remaining pairs at once; larger ones by HUBS hubs a round.
-SMALL_BUCKET, HUBS = 32, 16
+#: Shingles in a tile of a bucket, on average; a task holds two tiles.
+TILE = 1 << 18
 
 
 def super_minhash(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -120,6 +122,39 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return common.filter(100 * F.col("n") >= percent * (F.col("total") - F.col("n"))).select("a", "b").distinct()
 
 
+def tile_links(component: np.ndarray, values: np.ndarray, offsets: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between the components of some sets (of at least one value each): for two sets with
+    100 * intersection >= percent * union, a path of links joins their components."""
+    size = np.diff(offsets)
+    order = np.argsort(size, kind="stable")
+    component, size, begin = component[order], size[order], offsets[:-1][order]
+    at = np.concatenate(([0], np.cumsum(size)))
+    codes = np.unique(values, return_inverse=True)[1][np.arange(at[-1]) + np.repeat(begin - at[:-1], size)]
+    mark = np.zeros(int(codes.max(initial=0)) + 1, bool)
+    names, members = np.unique(component, return_counts=True)
+    found = UnionFind()
+    for i in np.flatnonzero(component != names[members.argmax()]).tolist():
+        a = int(np.searchsorted(size, -(-int(size[i]) * percent // 100)))
+        b = int(np.searchsorted(size, int(size[i]) * 100 // percent, side="right"))
+        mine = codes[at[i] : at[i + 1]]
+        mark[mine] = True
+        common = np.add.reduceat(mark[codes[at[a] : at[b]]], at[a:b] - at[a], dtype=np.int64)
+        mark[mine] = False
+        for c in np.unique(component[a:b][100 * common >= percent * (size[i] + size[a:b] - common)]).tolist():
+            found.union(c, int(component[i]))
+    return [(x, root) for x in list(found.parent) if (root := found.find(x)) != x]
+
+
+def _tile_links(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        lists = table.column("shingles").combine_chunks()
+        values, offsets = lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy()))).astype(np.int64)
+        links = np.array(tile_links(table.column("component").to_numpy(), values, offsets, percent), np.int64).reshape(-1, 2)
+        return pa.table([pa.array(links[:, 0]), pa.array(links[:, 1])], ["u", "v"])
+
+    return run
+
+
 def _component(df: DataFrame, table: DataFrame, column: str, name: str) -> DataFrame:
     """df with the component of a node; a node that the table (node, component) lacks is its own."""
     table = table.select(F.col("node").alias("__node"), F.col("component").alias("__component"))
@@ -140,7 +175,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     base = checkpointed(_sketches(narrow, shingle_words, bands, rows))
     full = base.filter("n_shingles > 0 and doc_id is not null")
-    classes = checkpointed(full.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "bands")).alias("m")).select("k1", "k2", F.col("m.doc_id").alias("rep"), F.col("m.bands").alias("bands")))
+    classes = checkpointed(full.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "bands", "n_shingles")).alias("m")).select("k1", "k2", F.col("m.doc_id").alias("rep"), "m.bands", "m.n_shingles"))
     table = _linked(narrow, classes, shingle_words, percent)
     keyed = classes.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "rep")
     # dealt by another key first, so that the join shuffles both sides for itself and splits hot classes
@@ -152,10 +187,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _linked(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """node and component of the representatives, without those that are their own component."""
-    placed = classes.select("rep", F.explode("bands").alias("bucket"))
+    placed = classes.select("rep", "n_shingles", F.explode("bands").alias("bucket"))
     sizes = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("hub")).filter("n > 1")
     sizes = sizes.withColumnRenamed("bucket", "of").repartition("hub")
-    members = checkpointed(placed.join(sizes, F.col("bucket") == F.col("of")).select("bucket", "n", "hub", "rep"))
+    members = checkpointed(placed.join(sizes, F.col("bucket") == F.col("of")).select("bucket", "n", "hub", "rep", "n_shingles"))
     candidates = members.select("rep").distinct()
     wanted = possible_members(docs.filter("doc_id is not null"), "doc_id", candidates)
     sets = _sets(wanted, size).join(candidates.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r"), "left_semi")
@@ -170,32 +205,19 @@ def _linked(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> Dat
     links = links.unionByName(_similar(others.select("a", "b"), sets, percent))
     table = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     # buckets that are still in several components
-    members = members.filter("n > 2").select("bucket", "n", "rep")
-    while True:
-        named = _component(members, table, "rep", "component")
-        spans = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-        spans = spans.select(F.col("bucket").alias("of")).repartition("of")
-        members = checkpointed(named.join(spans, F.col("bucket") == F.col("of"), "left_semi").select("bucket", "n", "rep", "component"))
-        if members.isEmpty():
-            return table
-        small = members.filter(F.col("n") <= SMALL_BUCKET)
-        lists = small.groupBy("bucket").agg(F.collect_list(F.struct("rep", "component")).alias("all"))  # at most SMALL_BUCKET
-        one = lists.select("all", F.explode("all").alias("x")).select("x", F.explode("all").alias("y"))
-        pairs = one.filter("x.rep < y.rep and x.component != y.component").select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-        large = members.filter(F.col("n") > SMALL_BUCKET)
-        salt = F.pmod(F.xxhash64("rep"), F.lit(HUBS))
-        hubs = large.groupBy("bucket", salt.alias("salt")).agg(F.min(F.struct("rep", "component")).alias("h"))
-        hubs = hubs.select(F.col("bucket").alias("of"), F.col("h.rep").alias("hub"), F.col("h.component").alias("hc")).repartition("hub")
-        of_hubs = large.join(hubs, F.col("bucket") == F.col("of")).filter("rep != hub and component != hc")
-        pairs = pairs.unionByName(of_hubs.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))).distinct()
-        links = _similar(pairs, sets, percent)
-        named = _component(_component(links, table, "a", "u"), table, "b", "v").select("u", "v")
-        merged = connected_components(named)
-        renamed = merged.select(F.col("node").alias("old"), F.col("component").alias("new"))
-        moved = table.join(renamed, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component"))
-        table = checkpointed(moved.unionByName(merged).distinct())
-        used = hubs.select(F.col("of").alias("ub"), F.col("hub").alias("ur"))
-        members = large.join(used, (F.col("bucket") == F.col("ub")) & (F.col("rep") == F.col("ur")), "left_anti").select("bucket", "n", "rep")
+    named = _component(members.filter("n > 2").select("bucket", "rep", "n_shingles"), table, "rep", "component")
+    found = F.struct(F.count("*").alias("n"), *(F.bit_xor(F.xxhash64("rep", F.lit(i))).alias(f"x{i}") for i in (1, 2)))
+    spans = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum("n_shingles").alias("total"), found.alias("found"))
+    spans = spans.filter("lo < hi").groupBy("found").agg(F.min("bucket").alias("of"), F.max("total").alias("total"))
+    spans = spans.select("of", F.ceil(F.col("total") / TILE).alias("tiles")).repartition("tiles", "of")
+    open_ = named.join(spans, F.col("bucket") == F.col("of")).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("tiles")))
+    open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    open_ = open_.select("bucket", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"), "rep", "component")
+    tiled = open_.join(sets.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r")).drop("rep", "r")
+    merged = connected_components(tiled.groupBy("bucket", "one", "two").applyInArrow(_tile_links(percent), "u long, v long"))
+    renamed = merged.select(F.col("node").alias("old"), F.col("component").alias("new"))
+    moved = table.join(renamed, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component"))
+    return checkpointed(moved.unionByName(merged).distinct())
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:

@@ -83,8 +83,7 @@ def variants(spark, n=60):
 
 @pytest.mark.parametrize(("k", "percent"), [(3, 85), (5, 80)])
 def test_near(spark, odd, small, k, percent, monkeypatch):
-    monkeypatch.setattr(near_dedup, "SMALL_BUCKET", 6)  # so that the rounds of hubs run too
-    monkeypatch.setattr(near_dedup, "HUBS", 2)
+    monkeypatch.setattr(near_dedup, "TILE", 500)  # so that buckets are cut into several tiles
     for df in (odd, variants(spark)) if k == 3 else (small,):
         want = near_components(texts(df), k, percent)
         got = near_dedup.near_duplicates(df, shingle_words=k, percent=percent).collect()
@@ -95,6 +94,23 @@ def test_near(spark, odd, small, k, percent, monkeypatch):
         assert sorted(r.n_shingles for r in got) == sorted(len(shingles(t, k)) for _, t in texts(df))
 
 
+@pytest.mark.parametrize("percent", [50, 85, 100])
+def test_links_of_a_tile(percent):
+    rnd = random.Random(percent)
+    sets = [sorted(rnd.sample(range(12), rnd.randint(1, 12))) for _ in range(40)]
+    component = [rnd.randrange(12) for _ in sets]
+    offsets = np.cumsum([0, *map(len, sets)])
+    links = near_dedup.tile_links(np.array(component), np.array(sum(sets, [])), offsets, percent)
+    got, want = components.UnionFind(), components.UnionFind()
+    for a, b in links:
+        got.union(a, b)
+    for i, s in enumerate(sets):
+        for j, t in enumerate(sets[:i]):
+            if 100 * len({*s} & {*t}) >= percent * len({*s} | {*t}):
+                want.union(component[i], component[j])
+    assert [got.find(c) for c in range(12)] == [want.find(c) for c in range(12)]
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(1)
     errors = []
