@@ -179,7 +179,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     table = _linked(narrow, classes, shingle_words, percent)
     keyed = classes.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "rep")
     # dealt by another key first, so that the join shuffles both sides for itself and splits hot classes
-    keyed = _component(keyed, table, "rep", "component").drop("rep").repartition("component")
+    keyed = _component(keyed, table, "rep", "component").drop("rep").repartition("component", "c1", "c2")
     linked = base.drop("bands").join(keyed, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), "left")
     component = F.coalesce("component", "doc_id")
     return linked.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
