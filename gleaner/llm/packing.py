@@ -38,7 +38,7 @@ class WordEncoder:
     between blanks is encoded on its own, without such a sign at its end, and remembered: up to ``kept``
     stretches as they stand and ``kept_cores`` without the sign."""
 
-    def __init__(self, path: str, kept: int = 600_000, kept_cores: int = 800_000):
+    def __init__(self, path: str, kept: int = 150_000, kept_cores: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -24,7 +24,7 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, Stru
 from gleaner.llm import kernels as K
 from gleaner.llm.common import checkpointed, most_frequent
 
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 MASK = "[SECRET]"
 #: Classes of bytes: 0 other, 1 lower case, 2 upper case, 3 digit, 4 sign; candidates consist of 1 to 4.
 CLASS = np.zeros(256, np.uint8)
