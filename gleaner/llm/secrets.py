@@ -233,8 +233,7 @@ def background(docs: DataFrame, text_col: str = "text", dictionary_size: int = 2
                 hashes = K.mix((sums[end] - sums[first]) * inverse[first])
                 unique, where, n = np.unique(hashes, return_index=True, return_counts=True)
                 raw = low.tobytes()
-                often = n > 1  # words seen once in megabytes of text aren't the frequent ones
-                for h, i, k in zip(unique[often].tolist(), where[often].tolist(), n[often].tolist()):
+                for h, i, k in zip(unique.tolist(), where.tolist(), n.tolist()):
                     if h in kept:
                         kept[h][0] += k
                     else:
