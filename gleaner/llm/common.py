@@ -32,10 +32,27 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+#: What operators remember in a Python worker between their tasks.
+_caches: list[dict] = []
+
+
+def worker_cache() -> dict:
+    """A dict that lasts until a task of an operator that calls empty_caches runs in the same worker."""
+    _caches.append({})
+    return _caches[-1]
+
+
+def empty_caches() -> None:
+    """Free what tasks of other operators have left in this worker."""
+    for cache in _caches:
+        cache.clear()
+
+
 def per_batch(function: Callable[[pa.RecordBatch], pa.RecordBatch | None]):
     """A mapInArrow function from one of a single batch; batches without rows are passed over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        empty_caches()
         for batch in batches:
             if batch.num_rows and (out := function(batch)) is not None:
                 yield out

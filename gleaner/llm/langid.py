@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm import kernels as K
-from gleaner.llm.common import held_out_remainder
+from gleaner.llm.common import empty_caches, held_out_remainder
 
 #: Families of ISO 639-1 codes. A language that isn't here is a family of its own.
 FAMILIES = {
@@ -125,6 +125,7 @@ class Hierarchy:
 
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    empty_caches()
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
@@ -158,6 +159,7 @@ def predict(docs: DataFrame, model: Hierarchy, text_col: str = "text") -> DataFr
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        empty_caches()
         model = shipped.value
         for batch in batches:
             for at in range(0, batch.num_rows, 256):

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import checkpointed
+from gleaner.llm.common import checkpointed, worker_cache
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -38,13 +38,13 @@ class WordEncoder:
     between blanks is encoded on its own, without such a sign at its end, and remembered: up to ``kept``
     stretches as they stand and ``kept_cores`` without the sign."""
 
-    def __init__(self, path: str, kept: int = 150_000, kept_cores: int = 200_000):
+    def __init__(self, path: str, kept: int = 150_000, kept_cores: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kept, self.kept_cores = Tokenizer.from_file(path), kept, kept_cores
-        self.known: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = worker_cache()
+        self.cores: dict[str, bytes] = worker_cache()
         self.signs = dict(zip(",.", self._encode([",", "."])))
 
     def _encode(self, parts: list[str]) -> list[bytes]:

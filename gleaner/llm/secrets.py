@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from gleaner.llm import kernels as K
-from gleaner.llm.common import checkpointed, most_frequent
+from gleaner.llm.common import checkpointed, empty_caches, most_frequent
 
 BLOCK = 1 << 20
 MASK = "[SECRET]"
@@ -209,6 +209,7 @@ def background(docs: DataFrame, text_col: str = "text", dictionary_size: int = 2
     frequent words of letters come to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        empty_caches()
         pairs = np.zeros(65536, np.int64)
         kept: dict[int, list] = {}
 
@@ -238,7 +239,7 @@ def background(docs: DataFrame, text_col: str = "text", dictionary_size: int = 2
                         kept[h][0] += k
                     else:
                         kept[h] = [k, raw[first[i] : end[i]]]
-            if len(kept) > 200_000:
+            if len(kept) > 100_000:
                 yield words()
         yield words()
         some = np.flatnonzero(pairs)
@@ -291,6 +292,7 @@ def scan(docs: DataFrame, text_col: str = "text", least: int = 16, threshold: fl
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        empty_caches()
         known, forest = shipped.value
         for batch in batches:
             texts = batch.column(names.index(text_col))
