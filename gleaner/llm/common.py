@@ -48,13 +48,20 @@ def empty_caches() -> None:
         cache.clear()
 
 
+def in_parts(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of no more than ``rows``, so that what is made of a batch stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def per_batch(function: Callable[[pa.RecordBatch], pa.RecordBatch | None]):
     """A mapInArrow function from one of a single batch; batches without rows are passed over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         empty_caches()
-        for batch in batches:
-            if batch.num_rows and (out := function(batch)) is not None:
+        for batch in in_parts(batches):
+            if (out := function(batch)) is not None:
                 yield out
 
     return run

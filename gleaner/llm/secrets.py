@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from gleaner.llm import kernels as K
-from gleaner.llm.common import checkpointed, empty_caches, most_frequent
+from gleaner.llm.common import checkpointed, empty_caches, in_parts, most_frequent
 
 BLOCK = 1 << 20
 MASK = "[SECRET]"
@@ -218,7 +218,7 @@ def background(docs: DataFrame, text_col: str = "text", dictionary_size: int = 2
             kept.clear()
             return out
 
-        for batch in batches:
+        for batch in in_parts(batches):
             data, offsets = K.flat(batch.column(0))
             for a, b in K.blocks(offsets, BLOCK):
                 part = data[offsets[a] : offsets[b]]
@@ -294,7 +294,7 @@ def scan(docs: DataFrame, text_col: str = "text", least: int = 16, threshold: fl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         empty_caches()
         known, forest = shipped.value
-        for batch in batches:
+        for batch in in_parts(batches):
             texts = batch.column(names.index(text_col))
             data, offsets = K.flat(texts)
             for a, b in K.blocks(offsets, BLOCK):
