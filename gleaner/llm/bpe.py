@@ -16,7 +16,6 @@ import json
 import mmap
 import os
 import tempfile
-from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
@@ -27,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import checkpointed, most_frequent
+from gleaner.llm.kernels import blocks, flat
 
 #: The words of byte-level BPE, and the white space that its pattern means.
 SPACE = r"[\p{White_Space}]"
@@ -57,6 +57,8 @@ class Vocabulary:
             self.bytes[i] = token.encode() if token in self.special else bytes(letters[c] for c in token)
         for token, i in self.special.items():
             self.bytes[i] = token.encode()
+        self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
+        self.flat_starts = np.cumsum([0, *map(len, self.bytes)])
         self.first = np.full(256, -1, np.int64)
         for c, b in letters.items():
             self.first[b] = ids[c]
@@ -128,8 +130,11 @@ class Vocabulary:
             ranks[inner] = self.rank(symbols[inner], symbols[inner + 1])
         return done
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+        """The texts of the ids between offsets."""
+        data, at = gathered(self.flat, self.flat_starts, ids)
+        cuts = at[offsets].tolist()
+        return [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:])]
 
 
 class Automaton:
@@ -229,9 +234,6 @@ class Automaton:
         good[good] = self.final[state[good]] != 0
         return np.where(good, index, -1)
 
-    def output(self, index: int) -> bytes:
-        return self.ids[self.starts[index] : self.starts[index + 1]].tobytes()
-
 
 def memory_mapped(data: bytes) -> mmap.mmap:
     """The bytes in a nameless file of this machine, mapped read-only; each worker maps its own."""
@@ -241,73 +243,46 @@ def memory_mapped(data: bytes) -> mmap.mmap:
         return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
 
 
+def gathered(values: np.ndarray, starts: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """values[starts[i]:starts[i + 1]] for each i of index, one after another, and their offsets."""
+    sizes = np.diff(starts)[index]
+    offsets = np.concatenate(([0], np.cumsum(sizes)))
+    return values[np.arange(offsets[-1]) + np.repeat(starts[:-1][index] - offsets[:-1], sizes)], offsets
+
+
+def words_of(vocabulary: Vocabulary, texts: list[str]) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The words of all texts, in order, and how many each text has."""
+    words, counts = [], []
+    for text in texts:
+        found = vocabulary.split(text)
+        words += found
+        counts.append(len(found))
+    return pa.array(words, pa.large_string()).dictionary_encode(), np.array(counts, np.int64)
+
+
 class Encoder:
-    """Encodes texts. Text between single blanks is always a sequence of whole words, so ids of such
-    stretches are remembered, up to ``kept`` of them."""
-
-    def __init__(self, vocabulary: Vocabulary, lexicon: bytes | None, kept: int = 300_000):
-        self.vocabulary, self.kept = vocabulary, kept
-        self.automaton = Automaton(memory_mapped(lexicon)) if lexicon else None
-        self.known: dict[str, bytes | None] = {}
-
-    def ids_of_words(self, words: list[str]) -> dict[str, bytes]:
-        special = self.vocabulary.special
-        out = {w: np.asarray([special[w]], "<u4").tobytes() for w in words if w in special}
-        rest = [w for w in words if w not in out]
-        raw = [w.encode() for w in rest]
-        if self.automaton is not None:
-            index = self.automaton.find(raw)
-            for i in np.flatnonzero(index >= 0).tolist():
-                out[rest[i]] = self.automaton.output(index[i])
-            unseen = np.flatnonzero(index < 0).tolist()
-        else:
-            unseen = list(range(len(rest)))
-        for i, ids in zip(unseen, self.vocabulary.merge([raw[i] for i in unseen])):
-            out[rest[i]] = ids
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        stretches = [x.split(" ") for x in texts]
-        for parts in stretches:
-            parts[1:] = [" " + p for p in parts[1:]]
-        if len(self.known) > self.kept:
-            self.known.clear()
-        known, split = self.known, self.vocabulary.split
-        new: dict[str, list[str] | None] = {}
-        for first, parts in ((True, [p[0] for p in stretches]), (False, chain.from_iterable(p[1:] for p in stretches))):
-            for x in set(parts).difference(known):
-                inner = x if first else x[1:]
-                whole = inner and not inner[0].isspace() and not inner[-1].isspace()
-                new[x] = split(x) if whole else None
-        ids = self.ids_of_words(list(set(chain.from_iterable(w for w in new.values() if w))))
-        for x, words in new.items():
-            known[x] = None if words is None else b"".join([ids[w] for w in words])
-        out = []
-        for text, parts in zip(texts, stretches):
-            pieces = [known[x] for x in parts]
-            if None in pieces:  # other white space than single blanks: by words
-                pieces = self._around(parts, pieces)
-            out.append(b"".join(pieces))
-        return out
-
-    def _around(self, parts: list[str], pieces: list) -> list[bytes]:
-        """The same where some stretches touch other white space: these are joined with their neighbours
-        up to the nearest stretches that don't, and cut into words together."""
-        out, i, n = [], 0, len(parts)
-        while i < n:
-            if pieces[i] is not None and (i + 1 >= n or pieces[i + 1] is not None):
-                out.append(pieces[i])
-                i += 1
-                continue
-            end = i + 1
-            while end < n and (pieces[end] is None or pieces[end - 1] is None):
-                end += 1
-            words = self.vocabulary.split("".join(parts[i:end]))
-            ids = self.ids_of_words(list(set(words)))
-            out.extend(ids[w] for w in words)
-            i = end
-        return out
+    """Encodes a block of texts at a time: each distinct word of the block is looked up in the automaton,
+    or merged if that doesn't hold it, and the ids of all words are gathered from theirs."""
+
+    def __init__(self, vocabulary: Vocabulary, lexicon: bytes):
+        self.vocabulary = vocabulary
+        self.automaton = Automaton(memory_mapped(lexicon))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and the offsets of the texts."""
+        coded, counts = words_of(self.vocabulary, texts)
+        words = coded.dictionary.to_pylist()
+        raw, special = [w.encode() for w in words], self.vocabulary.special
+        index = self.automaton.find(raw)
+        unseen = np.flatnonzero(index < 0)
+        ids = self.vocabulary.merge([raw[i] for i in unseen.tolist()])
+        ids = [np.asarray([special[words[i]]], "<u4").tobytes() if words[i] in special else x for i, x in zip(unseen.tolist(), ids)]
+        starts, n = self.automaton.starts, len(self.automaton.starts) - 1
+        starts = np.concatenate((starts, starts[-1] + np.cumsum([len(x) // 4 for x in ids], dtype=np.int64)))
+        index[unseen] = n + np.arange(len(unseen))
+        values = np.concatenate((self.automaton.ids, np.frombuffer(b"".join(ids), "<u4")))
+        out, offsets = gathered(values, starts, index[coded.indices.to_numpy(zero_copy_only=False)])
+        return out, offsets[np.concatenate(([0], np.cumsum(counts)))]
 
 
 _vocabularies: dict[str, Vocabulary] = {}
@@ -320,29 +295,31 @@ def vocabulary(path: str) -> Vocabulary:
     return _vocabularies[path]
 
 
+def text_blocks(batches: Iterator[pa.RecordBatch], column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows in blocks of about ``limit`` bytes of text at most; a longer text is a block of its own."""
+    for batch in batches:
+        for row, end in blocks(flat(batch.column(column))[1], limit):
+            yield batch.slice(row, end - row)
+
+
 def word_counts(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """word (bytes) and how often it occurs in the column ``text``, over all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, counts = vocabulary(tokenizer_path).split, Counter()
+        known, counts = vocabulary(tokenizer_path), []
 
-        def flush() -> pa.RecordBatch:
-            words: Counter = Counter()
-            for stretch, n in counts.items():
-                for w in split(stretch):
-                    words[w] += n
+        def flush() -> list[pa.RecordBatch]:
+            total = pa.concat_tables(counts).group_by("word").aggregate([("n", "sum")])
             counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array([w.encode() for w in words], pa.binary()), pa.array(words.values(), pa.int64())], ["word", "n"])
-
-        for batch in batches:
-            for text in batch.column(0):
-                if text := text.as_py():
-                    parts = text.split(" ")
-                    counts.update([parts[0], *(" " + p for p in parts[1:])])
-            if len(counts) > 500_000:
-                yield flush()
+            return total.rename_columns(["word", "n"]).combine_chunks().to_batches()
+
+        for block in text_blocks(batches, 0):
+            found = words_of(known, [t or "" for t in block.column(0).to_pylist()])[0].value_counts()
+            counts.append(pa.table([found.field(0).dictionary_decode().cast(pa.binary()), found.field(1)], ["word", "n"]))
+            if sum(c.num_rows for c in counts) > 1_000_000:
+                yield from flush()
         if counts:
-            yield flush()
+            yield from flush()
 
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -370,6 +347,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, lexicon_size: int = 50_0
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     lexicon = docs.sparkSession.sparkContext.broadcast(build_lexicon(narrow, tokenizer_path, lexicon_size))
     token = hashlib.sha256(lexicon.value).hexdigest()
+    schema = RESULT + (", ids array<int>, decoded string" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary(tokenizer_path)
@@ -377,17 +355,16 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, lexicon_size: int = 50_0
             _encoders.clear()
             _encoders[tokenizer_path, token] = Encoder(known, lexicon.value)
         encoder = _encoders[tokenizer_path, token]
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                rows = []
-                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode([t or "" for t in part.column(1).to_pylist()])):
-                    numbers = np.frombuffer(ids, "<u4").tolist()
-                    decoded = known.decode(numbers)
-                    rows.append((doc, len(numbers), hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), *((numbers, decoded) if with_ids else ())))
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string())
-                names = ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")
-                columns = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], list(names[: len(columns)]))
-
-    return narrow.mapInArrow(run, RESULT + (", ids array<int>, decoded string" if with_ids else ""))
+        for block in text_blocks(batches, 1):
+            ids, offsets = encoder.encode([t or "" for t in block.column(1).to_pylist()])
+            cuts = offsets.tolist()
+            decoded = known.decode(ids, offsets)
+            columns = [
+                block.column(0), pa.array(np.diff(offsets), pa.int64()), pa.array([hashlib.sha256(ids[a:b]).hexdigest() for a, b in zip(cuts, cuts[1:])]),
+                pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decoded]),
+            ]
+            if with_ids:
+                columns += [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.astype(np.int32))), pa.array(decoded, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in schema.split(", ")])
+
+    return narrow.mapInArrow(run, schema)
