@@ -295,7 +295,7 @@ def vocabulary(path: str) -> Vocabulary:
     return _vocabularies[path]
 
 
-def text_blocks(batches: Iterator[pa.RecordBatch], column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def text_blocks(batches: Iterator[pa.RecordBatch], column: int, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The rows in blocks of about ``limit`` bytes of text at most; a longer text is a block of its own."""
     for batch in batches:
         for row, end in blocks(flat(batch.column(column))[1], limit):
