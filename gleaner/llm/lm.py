@@ -3,17 +3,23 @@
 Words are bytes outside white space, A-Z lower-cased, and one end token a text. All counts come from
 every training text:
 
-1. Spark counts all words (by 64-bit hash). The ``clustered`` most frequent ones are the closed
-   vocabulary; every other word belongs to an open class by its last two bytes.
-2. Spark counts bigrams of items (closed words, open classes, the end token): a matrix whose size
-   depends on these parameters alone. Exchange clustering assigns the closed words to classes: each
-   word in turn moves to the class that raises the likelihood of the class bigrams most.
-3. A word costs p(class | class before) * p(word | class), mixed with its unigram probability, by
+1. Spark counts all words (by 64-bit hash). The ``clustered`` most frequent ones start the classes;
+   every other word starts in an open class by its last two bytes.
+2. Spark counts bigrams of these items, a matrix of fixed size. Exchange clustering assigns the
+   ``clustered`` words to classes: each word in turn moves to the class that raises the likelihood of
+   the class bigrams most.
+3. Every word of the training texts joins in: Spark counts, for each word, the classes of the words
+   before and after it, and each word moves to the class that raises the likelihood most, all words of
+   a round at once. Only the matrix of class bigrams and the classes of the ``frequent`` most frequent
+   words are shipped; the classes of all other words reach their neighbours by a join. A round that
+   lowers the likelihood is taken back. A word that training hasn't seen counts to the class that most
+   kinds of words with its last two bytes (hashed to an open class) are in.
+4. A word costs p(class | class before) * p(word | class), mixed with its unigram probability, by
    weights that depend on how often the class before was seen (Witten-Bell):
    (count + 0.5) * [w * p(c | c') / emissions(c) + (1 - w) / total].
 
-The factor in brackets needs classes only. The counts of the ``frequent`` most frequent words are
-shipped to all tasks; those of all other words reach their documents by a join.
+Counts and classes of the ``frequent`` most frequent words are shipped to all tasks; those of all other
+words reach their documents by a join.
 """
 
 from __future__ import annotations
@@ -26,10 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm import kernels as K
-from gleaner.llm.common import checkpointed, held_out_remainder, most_frequent
+from gleaner.llm.common import checkpointed, held_out_remainder, most_frequent, shuffle_partitions
 
 BLOCK = 4 << 20
 PSEUDO = 0.5
+#: Stands for the end token among word hashes.
+END = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def _word_batches(batches: Iterator[pa.RecordBatch], column: str = "text"):
@@ -42,30 +50,50 @@ def _word_batches(batches: Iterator[pa.RecordBatch], column: str = "text"):
             yield batch, start, end, hashes, row, tails, counts
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """word (64-bit hash) and n over the column ``text``."""
+def _bucket(tails: np.ndarray, open_classes: int) -> np.ndarray:
+    return (K.mix(tails.astype(np.uint64)) % np.uint64(open_classes)).astype(np.int64)
+
+
+def word_counts(texts: DataFrame, open_classes: int) -> DataFrame:
+    """word (64-bit hash), bucket (open class by the last two bytes) and n over the column ``text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, size = [], 0
 
-        def merged():
-            words, where = np.unique(np.concatenate([w for w, _ in kept]), return_inverse=True)
-            return words, np.bincount(where, np.concatenate([n for _, n in kept]), len(words)).astype(np.int64)
-
-        def out(words, n):
-            return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["word", "n"])
+        def out():
+            words, buckets, n = (np.concatenate(x) for x in zip(*kept))
+            words, first, where = np.unique(words, return_index=True, return_inverse=True)
+            n = np.bincount(where, n, len(words)).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(buckets[first]), pa.array(n)], ["word", "bucket", "n"])
 
-        for _, _, _, hashes, _, _, _ in _word_batches(batches):
-            words, n = np.unique(hashes, return_counts=True)
-            kept.append((words, n))
+        for _, _, _, hashes, _, tails, _ in _word_batches(batches):
+            words, first, n = np.unique(hashes, return_index=True, return_counts=True)
+            kept.append((words, _bucket(tails[first], open_classes), n))
             size += len(words)
             if size > 4_000_000:
-                yield out(*merged())
+                yield out()
                 kept, size = [], 0
         if kept:
-            yield out(*merged())
+            yield out()
+
+    table = texts.mapInArrow(run, "word long, bucket long, n long")
+    return table.groupBy("word").agg(F.min("bucket").alias("bucket"), F.sum("n").alias("n"))
+
 
-    return texts.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def _stream(values: np.ndarray, counts: np.ndarray, end) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Left and right value of every bigram of some rows, and its row: ``end`` stands before the first
+    word of a row and after its last."""
+    rows = len(counts)
+    n = len(values) + rows
+    ends = np.cumsum(counts + 1) - 1
+    right = np.empty(n, values.dtype)
+    inner = np.ones(n, bool)
+    inner[ends] = False
+    right[ends], right[inner] = end, values
+    left = np.empty(n, values.dtype)
+    left[1:] = right[:-1]
+    left[ends - counts] = end
+    return left, right, np.repeat(np.arange(rows), counts + 1)
 
 
 class Items:
@@ -78,27 +106,12 @@ class Items:
         self.size = self.end + 1
 
     def of(self, hashes: np.ndarray, tails: np.ndarray) -> np.ndarray:
-        item = self.closed + (K.mix(tails.astype(np.uint64)) % np.uint64(self.open)).astype(np.int64)
+        item = self.closed + _bucket(tails, self.open)
         if self.closed:
             at = np.minimum(np.searchsorted(self.sorted, hashes), self.closed - 1)
             item = np.where(self.sorted[at] == hashes, self.order[at], item)
         return item
 
-    def stream(self, item: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Left and right item of every bigram of some rows, and its row: the end token stands before the
-        first word of a row and after its last."""
-        rows = len(counts)
-        n = len(item) + rows
-        ends = np.cumsum(counts + 1) - 1
-        right = np.empty(n, np.int64)
-        inner = np.ones(n, bool)
-        inner[ends] = False
-        right[ends], right[inner] = self.end, item
-        left = np.empty(n, np.int64)
-        left[1:] = right[:-1]
-        left[ends - counts] = self.end
-        return left, right, np.repeat(np.arange(rows), counts + 1)
-
 
 def item_bigrams(texts: DataFrame, items: Items) -> np.ndarray:
     """Bigram counts of items over the column ``text``, at most size * size numbers."""
@@ -107,7 +120,7 @@ def item_bigrams(texts: DataFrame, items: Items) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size * size, np.int64)
         for _, _, _, hashes, _, tails, counts in _word_batches(batches):
-            left, right, _ = items.stream(items.of(hashes, tails), counts)
+            left, right, _ = _stream(items.of(hashes, tails), counts, items.end)
             keys, n = np.unique(left * size + right, return_counts=True)
             total[keys] += n
         keys = np.flatnonzero(total)
@@ -169,17 +182,186 @@ def exchange_clusters(bigrams: np.ndarray, closed: int, classes: int, sweeps: in
     return of
 
 
+class Lookup:
+    """Counts and classes of some words; -1 is the class of any other."""
+
+    def __init__(self, words: np.ndarray, n: np.ndarray, classes: np.ndarray):
+        order = np.argsort(words)
+        self.words, self.n, self.classes = words[order], n[order], classes[order]
+
+    def of(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether each word is here, its count (0 if not) and its class."""
+        if not len(self.words):
+            return np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int64), np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        hit = self.words[at] == hashes
+        return hit, np.where(hit, self.n[at], 0), np.where(hit, self.classes[at], -1)
+
+    @classmethod
+    def shipped(cls, assigned: DataFrame, frequent: int) -> Lookup:
+        top = most_frequent(assigned, frequent).select("word", "n", "class").toArrow()
+        return cls(top.column("word").to_numpy().view(np.uint64), top.column("n").to_numpy(), top.column("class").to_numpy())
+
+
+def contexts(texts: DataFrame, assigned: DataFrame, lookup: Lookup, whole: bool, size: int, open_classes: int, n_texts: int) -> DataFrame:
+    """Blocks of words: their class, bucket and count, and how often which class stands after (slots below
+    ``size``) and before each of them (slots from ``size`` on). All rows of a word are in one block.
+    whole: lookup has all words."""
+    sent = texts.sparkSession.sparkContext.broadcast(lookup)
+    end = size - 1
+
+    def pairs(met: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            lookup = sent.value
+            for _, _, _, hashes, _, _, counts in _word_batches(batches):
+                classes = lookup.of(hashes)[2]
+                left, right, _ = _stream(hashes, counts, END)
+                class_left, class_right, _ = _stream(classes, counts, end)
+                for side, word, near, c in ((0, left, right, class_right), (1, right, left, class_left)):
+                    take = (c >= 0) == met
+                    word, near, slot = word[take], near[take], side * size + np.maximum(c[take], 0)
+                    other = slot.astype(np.uint64) if met else near
+                    _, first, n = np.unique(K.mix(word) + K.mix(other * np.uint64(2) + np.uint64(1)), return_index=True, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(word[first].view(np.int64)), pa.array(near[first].view(np.int64)), pa.array(slot[first]), pa.array(n)], ["word", "near", "slot", "n"])
+
+        return texts.mapInArrow(run, "word long, near long, slot long, n long")
+
+    slots = pairs(True).select("word", "slot", "n")
+    if not whole:
+        rest = pairs(False).join(assigned.select(F.col("word").alias("near"), "class"), "near")
+        slots = slots.unionByName(rest.select("word", (F.col("slot") + F.col("class")).alias("slot"), "n"))
+    slots = slots.groupBy("word", "slot").agg(F.sum("n").alias("n"))
+    own = assigned.select("word", (2 * size + F.col("class") * open_classes + F.col("bucket")).alias("slot"), "n")
+    if n_texts:
+        own = own.unionByName(texts.sparkSession.createDataFrame([(int(END.view(np.int64)), (2 * size + end * open_classes), n_texts)], "word long, slot long, n long"))
+    rows = slots.unionByName(own).repartition(shuffle_partitions(texts.sparkSession), "word").sortWithinPartitions("word", F.col("slot").desc())
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list = []
+
+        def block(word, slot, n):
+            head = np.flatnonzero(slot >= 2 * size)
+            state = slot[head] - 2 * size
+            tail = slot < 2 * size
+            owner = np.cumsum(~tail) - 1
+            parts = (word[head], state // open_classes, state % open_classes, n[head], owner[tail], slot[tail], n[tail])
+            types = ("<i8", "<i2", "<i2", "<i8", "<i4", "<i2", "<i8")
+            return pa.RecordBatch.from_arrays([pa.array([x.astype(t).tobytes()], pa.binary()) for x, t in zip(parts, types)], _BLOCK_NAMES)
+
+        for batch in batches:
+            now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            kept.append(now)
+            if sum(len(k[0]) for k in kept) > 200_000:
+                now = [np.concatenate(x) for x in zip(*kept)]
+                cut = np.flatnonzero(now[0] != now[0][-1])
+                if len(cut):
+                    at = cut[-1] + 1
+                    yield block(*(x[:at] for x in now))
+                    now = [x[at:] for x in now]
+                kept = [now]
+        if kept and (rest := [np.concatenate(x) for x in zip(*kept)]) and len(rest[0]):
+            yield block(*rest)
+
+    return checkpointed(rows.mapInArrow(blocks, ", ".join(f"{c} binary" for c in _BLOCK_NAMES)))
+
+
+_BLOCK_NAMES = ["word", "class", "bucket", "count", "owner", "slot", "n"]
+
+
+def _read_blocks(batches: Iterator[pa.RecordBatch]):
+    for batch in batches:
+        for row in batch.to_pylist():
+            yield [np.frombuffer(row[c], t).astype(np.int64) for c, t in zip(_BLOCK_NAMES, ("<i8", "<i2", "<i2", "<i8", "<i4", "<i2", "<i8"))]
+
+
+def class_bigrams(found: DataFrame, size: int) -> np.ndarray:
+    """The matrix of counts of class bigrams, from the words' contexts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size * size)
+        for _, c, _, _, owner, slot, n in _read_blocks(batches):
+            after = slot < size
+            total += np.bincount(c[owner[after]] * size + slot[after], n[after], size * size)
+        keys = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(total[keys].astype(np.int64))], ["pair", "n"])
+
+    table = found.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    joint = np.zeros(size * size)
+    joint[table.column("pair").to_numpy()] = table.column("n").to_numpy()
+    return joint.reshape(size, size)
+
+
+def likelihood(joint: np.ndarray) -> float:
+    return float(_xlogx(joint).sum() - _xlogx(joint.sum(0)).sum() - _xlogx(joint.sum(1)).sum())
+
+
+def best_classes(joint: np.ndarray, classes: int, now: np.ndarray, owner: np.ndarray, slot: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The class below ``classes`` that each word, taken out of its own class, raises the likelihood most
+    in, if all other words stay. A word's pairs with itself count as pairs with its present class."""
+    size = len(joint)
+    table = np.concatenate((joint[:classes].T, joint[:, :classes]))  # by slot: count with each class
+    gain = np.zeros((len(now), classes))
+    for at in range(0, len(owner), 50_000):
+        o, s, k = (x[at : at + 50_000] for x in (owner, slot, n))
+        base = table[s]
+        mine = np.flatnonzero(now[o] < classes)
+        base[mine, now[o[mine]]] -= k[mine]
+        step = _xlogx(base + k[:, None]) - _xlogx(np.maximum(base, 0))
+        starts = np.flatnonzero(np.r_[True, o[1:] != o[:-1]])
+        gain[o[starts]] += np.add.reduceat(step, starts)
+    for side, sums in ((0, joint.sum(1)[:classes]), (1, joint.sum(0)[:classes])):
+        of = (slot >= size) == bool(side)
+        total = np.bincount(owner[of], n[of], len(now))
+        base = np.tile(sums, (len(now), 1))
+        mine = np.flatnonzero(now < classes)
+        base[mine, now[mine]] -= total[mine]
+        gain -= _xlogx(base + total[:, None]) - _xlogx(np.maximum(base, 0))
+    best = gain.argmax(1)
+    at = np.arange(len(now))
+    stay = (now < classes) & (gain[at, best] <= gain[at, np.minimum(now, classes - 1)] + 1e-9)
+    return np.where(stay, now, best)
+
+
+def moved(found: DataFrame, joint: np.ndarray, classes: int) -> DataFrame:
+    """word, bucket, n and class of all words after a round."""
+    sent = found.sparkSession.sparkContext.broadcast(joint)
+    end = len(joint) - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for word, now, bucket, count, owner, slot, n in _read_blocks(batches):
+            best = best_classes(sent.value, classes, now, owner, slot, n)
+            keep = now != end
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (word, bucket, count, best)], ["word", "bucket", "n", "class"])
+
+    return checkpointed(found.mapInArrow(run, "word long, bucket long, n long, class long"))
+
+
+def cluster_all(training: DataFrame, counts: DataFrame, items: Items, item_class: np.ndarray, classes: int, frequent: int, rounds: int, n_texts: int, distinct: int) -> tuple[DataFrame, Lookup, np.ndarray]:
+    """The class of every training word (word, bucket, n, class), the shipped words, and the class bigrams."""
+    spark, size = counts.sparkSession, classes + items.open + 1
+    closed = items.sorted.view(np.int64).tolist()
+    first = spark.createDataFrame(list(zip(closed, item_class[items.order].tolist())), "word long, first long")
+    assigned = counts.join(F.broadcast(first), "word", "left").select("word", "bucket", "n", F.coalesce("first", classes + F.col("bucket")).alias("class"))
+    assigned, before = checkpointed(assigned), None
+    for k in range(max(1, rounds) + 1):
+        lookup = Lookup.shipped(assigned, frequent)
+        found = contexts(training, assigned, lookup, len(lookup.words) >= distinct, size, items.open, n_texts)
+        joint = class_bigrams(found, size)
+        spark.sparkContext._jvm.System.gc()  # frees the files of shuffles that are done
+        if k > 1 and likelihood(joint) <= likelihood(before[2]):
+            return before
+        before = assigned, lookup, joint
+        if k < max(1, rounds):
+            assigned = moved(found, joint, classes)
+    return before
+
+
 class ClassModel:
-    """log10 of the bracket of the module's formula for every pair of items' classes."""
-
-    def __init__(self, bigrams: np.ndarray, item_class: np.ndarray, items: Items, words_in_item: np.ndarray):
-        n = int(item_class.max()) + 1
-        member = np.zeros((items.size, n))
-        member[np.arange(items.size), item_class] = 1
-        joint = member.T @ bigrams @ member
-        tokens, types = member.T @ bigrams.sum(0), member.T @ words_in_item
-        opened = member.T @ np.r_[np.zeros(items.closed), np.ones(items.open), 0.0]
-        emissions = tokens + PSEUDO * (types + opened)
+    """log10 of the bracket of the module's formula for every pair of classes. types: words in each class;
+    opened: whether unseen words count to it; fallback: the class of unseen words by bucket."""
+
+    def __init__(self, joint: np.ndarray, types: np.ndarray, opened: np.ndarray, fallback: np.ndarray):
+        emissions = joint.sum(0) + PSEUDO * (types + opened)
         total = emissions.sum()
         prior = emissions / max(total, 1e-300)
         seen = joint.sum(1)
@@ -190,11 +372,11 @@ class ClassModel:
         with np.errstate(divide="ignore", invalid="ignore"):
             per_emission = np.where(emissions > 0, transition / emissions, 0.0)
             self.table = np.log10(np.maximum(trust * per_emission + (1 - trust) / max(total, 1.0), 1e-300))
-        self.item_class = item_class
+        self.fallback = fallback
 
 
 def score_texts(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out=None, clustered: int = 1000, classes: int = 50, open_classes: int = 64, frequent: int = 300_000, sweeps: int = 3
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out=None, clustered: int = 1000, classes: int = 50, open_classes: int = 64, frequent: int = 300_000, sweeps: int = 3, rounds: int = 2
 ) -> DataFrame:
     """One row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score,
     perplexity (by the class model, of its own tokens).
@@ -209,64 +391,92 @@ def score_texts(
         held_out = held_out_remainder(id_col, 5) == 1
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(held_out, F.lit(True)).alias("held_out"))
     training = narrow.filter(~F.col("held_out")).select("text")
-    counts = checkpointed(word_counts(training))
+    counts = checkpointed(word_counts(training, open_classes))
     n_texts = training.count()
-    tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    tokens, distinct = tokens + n_texts, distinct + (n_texts > 0)
+    tokens, words = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    tokens, distinct = tokens + n_texts, words + (n_texts > 0)
     top = most_frequent(counts, frequent).toArrow()
     top_words, top_n = top.column("word").to_numpy().view(np.uint64), top.column("n").to_numpy()
-    by_count = np.lexsort((top_words, -top_n))
-    top_words, top_n = top_words[by_count], top_n[by_count]
-    items = Items(top_words[:clustered].copy(), open_classes)
-    bigrams = item_bigrams(training, items)
-    item_class = exchange_clusters(bigrams, items.closed, classes, sweeps)
-    # how many words each item stands for: what isn't closed is spread over open classes by their tokens
-    open_tokens = bigrams.sum(0)[items.closed : items.end]
-    rest = max(0, distinct - items.closed - (n_texts > 0))
-    spread = open_tokens / max(1.0, open_tokens.sum()) * rest
-    model = ClassModel(bigrams, item_class, items, np.r_[np.ones(items.closed), spread, float(n_texts > 0)])
-    order = np.argsort(top_words)
-    shipped = docs.sparkSession.sparkContext.broadcast((top_words[order], top_n[order], items, model))
+    items = Items(top_words[np.lexsort((top_words, -top_n))][:clustered].copy(), open_classes)
+    item_class = exchange_clusters(item_bigrams(training, items), items.closed, classes, sweeps)
+    classes = min(classes, max(1, items.closed))
+    assigned, lookup, joint = cluster_all(training, counts, items, item_class, classes, frequent, rounds, n_texts, words)
+    kinds = np.zeros((open_classes, len(joint)))
+    for r in assigned.groupBy("bucket", "class").agg(F.count("*").alias("kinds")).collect():
+        kinds[r["bucket"], r["class"]] = r["kinds"]
+    fallback = np.where(kinds.sum(1) > 0, kinds.argmax(1), kinds.sum(0).argmax())
+    opened, types = np.zeros(len(joint)), kinds.sum(0)
+    opened[fallback] = 1.0
+    types[-1] = float(n_texts > 0)
+    model = ClassModel(joint, types, opened, fallback)
+    whole_lookup = len(lookup.words) >= words
+    shipped = docs.sparkSession.sparkContext.broadcast((lookup, model))
     unit = float(np.log10(tokens + PSEUDO * (distinct + 1)))
     end_log = float(np.log10(n_texts + PSEUDO))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, n, items, model = shipped.value
-        logs = np.log10(n + PSEUDO)
-        for batch, start, end, hashes, row, tails, lengths in _word_batches(batches):
-            rows = end - start
-            left, right, of = items.stream(items.of(hashes, tails), lengths)
-            bracket = np.bincount(of, model.table[model.item_class[left], model.item_class[right]], rows)
-            at = np.minimum(np.searchsorted(words, hashes), max(len(words) - 1, 0))
-            hit = words[at] == hashes if len(words) else np.zeros(len(hashes), bool)
-            known = np.bincount(row[hit], minlength=rows) + (n_texts > 0)
-            value = np.bincount(row[hit], logs[at[hit]], rows) if len(words) else np.zeros(rows)
-            mark = K.mix(np.bincount(row, minlength=rows).astype(np.uint64))
-            with np.errstate(over="ignore"):
-                np.add.at(mark, row, K.mix(hashes * np.uint64(3) + np.arange(len(hashes), dtype=np.uint64) - (np.cumsum(lengths) - lengths).astype(np.uint64)[row]))
-            ids = batch.column("doc_id").slice(start, rows)
-            fields = [ids, pa.array(mark.view(np.int64)), batch.column("held_out").slice(start, rows)]
-            zeros = np.zeros(rows, np.int64)
-            yield _rows(*fields, pa.array(np.ones(rows, np.int64)), pa.array(lengths + 1), pa.array(known), pa.array(value + end_log), pa.array(bracket), pa.array(zeros), pa.array(zeros))
-            # words beyond the shipped ones, once for each row that has them
-            of, rare = row[~hit], hashes[~hit]
-            if len(rare):
-                o = np.lexsort((rare, of))
-                of, rare = of[o], rare[o]
-                new = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (rare[1:] != rare[:-1])])
-                times = np.diff(np.r_[new, len(of)])
-                take = pa.array(of[new])
-                none = pa.array(np.zeros(len(new)))
-                yield _rows(*(f.take(take) for f in fields), *(pa.array(np.zeros(len(new), np.int64)) for _ in range(3)), none, none, pa.array(rare[new].view(np.int64)), pa.array(times))
-
-    parts = narrow.mapInArrow(run, _PARTS)
-    if distinct - (n_texts > 0) > len(top_words):
-        rare = parts.filter("times > 0").join(counts.withColumnRenamed("n", "count"), "word", "left")
-        rare = rare.withColumn("known", F.when(F.col("count") > 0, F.col("times")).otherwise(0).cast("long"))
-        rare = rare.withColumn("value", F.col("times") * F.log10(F.coalesce(F.col("count"), F.lit(0)) + PSEUDO)).select(*parts.columns)
-    else:
-        rare = parts.filter("times > 0").withColumn("value", F.col("times") * float(np.log10(PSEUDO)))
-    sums = parts.filter("times = 0").unionByName(rare).groupBy("doc_id", "mark", "held_out").agg(*(F.sum(c).alias(c) for c in ("copies", "n_tokens", "known", "value", "bracket")))
+    end = len(joint) - 1
+
+    def parts(kind: str) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            lookup, model = shipped.value
+            for batch, start, stop, hashes, row, tails, lengths in _word_batches(batches):
+                rows = stop - start
+                hit, n, c = lookup.of(hashes)
+                unseen = model.fallback[_bucket(tails, open_classes)]
+                if whole_lookup:
+                    c = np.where(hit, c, unseen)
+                left, right, of = _stream(c, lengths, end)
+                mark = K.mix(np.bincount(row, minlength=rows).astype(np.uint64))
+                with np.errstate(over="ignore"):
+                    np.add.at(mark, row, K.mix(hashes * np.uint64(3) + np.arange(len(hashes), dtype=np.uint64) - (np.cumsum(lengths) - lengths).astype(np.uint64)[row]))
+                fields = [batch.column("doc_id").slice(start, rows), pa.array(mark.view(np.int64)), batch.column("held_out").slice(start, rows)]
+                if kind == "texts":
+                    met = (left >= 0) & (right >= 0)
+                    bracket = np.bincount(of[met], model.table[left[met], right[met]], rows)
+                    known = np.bincount(row[hit], minlength=rows) + (n_texts > 0)
+                    if whole_lookup:
+                        hit = np.ones(len(hashes), bool)
+                    value = np.bincount(row[hit], np.log10(n[hit] + PSEUDO), rows)
+                    yield _batch(_TEXTS, *fields, np.ones(rows, np.int64), lengths + 1, known, value + end_log, bracket)
+                    continue
+                # words beyond the shipped ones, once for each row and classes beside it; -1: as rare itself
+                rare = np.flatnonzero(~hit)
+                if kind == "rare":
+                    at = rare + row[rare]
+                    keys = (row[rare], hashes[rare], left[at], right[at + 1], unseen[rare])
+                else:
+                    follow = np.flatnonzero((left < 0) & (right < 0))
+                    second = follow - of[follow]
+                    keys = (of[follow], hashes[second - 1], hashes[second], unseen[second - 1], unseen[second])
+                if len(keys[0]):
+                    o = np.lexsort(keys[::-1])
+                    keys = [k[o] for k in keys]
+                    new = np.flatnonzero(np.r_[True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys])])
+                    times = np.diff(np.r_[new, len(o)])
+                    take = pa.array(keys[0][new])
+                    rest = [k[new].view(np.int64) for k in keys[1:]]
+                    yield _batch(_RARE if kind == "rare" else _PAIRS, *(f.take(take) for f in fields), times, *rest)
+
+        return narrow.mapInArrow(run, {"texts": _TEXTS, "rare": _RARE, "pairs": _PAIRS}[kind])
+
+    def priced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shipped.value[1].table
+        for batch in batches:
+            before, own, after, times, count = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("before", "own", "after", "times", "count"))
+            bracket = times * (np.where(before >= 0, table[before, own], 0.0) + np.where(after >= 0, table[own, after], 0.0))
+            alone = count >= 0  # not a pair
+            zeros = np.zeros(len(times), np.int64)
+            yield _batch(_TEXTS, *(batch.column(c) for c in ("doc_id", "mark", "held_out")), zeros, zeros, np.where(count > 0, times, 0), np.where(alone, times * np.log10(np.maximum(count, 0) + PSEUDO), 0.0), bracket)
+
+    sums = parts("texts")
+    if not whole_lookup:
+        names = ("doc_id", "mark", "held_out", "before", "own", "after", "times", "count")
+        rare = parts("rare").join(assigned.select("word", "n", "class"), "word", "left")
+        rare = rare.withColumns({"own": F.coalesce("class", "unseen"), "count": F.coalesce("n", F.lit(0))}).select(*names)
+        pairs = parts("pairs").join(assigned.select(F.col("class").alias("class1"), F.col("word").alias("word1")), "word1", "left")
+        pairs = pairs.join(assigned.select(F.col("class").alias("class2"), F.col("word").alias("word2")), "word2", "left")
+        pairs = pairs.withColumns({"before": F.coalesce("class1", "unseen1"), "own": F.coalesce("class2", "unseen2"), "after": F.lit(-1).cast("long"), "count": F.lit(-1).cast("long")}).select(*names)
+        sums = sums.unionByName(rare.unionByName(pairs).mapInArrow(priced, _TEXTS))
+    sums = sums.groupBy("doc_id", "mark", "held_out").agg(*(F.sum(c).alias(c) for c in ("copies", "n_tokens", "known", "value", "bracket")))
     whole = F.round(F.col("n_tokens") / F.col("copies")).cast("long")
     out = sums.select(
         "doc_id", "held_out", whole.alias("n_tokens"), F.round(F.col("known") / F.col("copies")).cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
@@ -275,8 +485,11 @@ def score_texts(
     return out.drop("copy").withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
 
-_PARTS = "doc_id long, mark long, held_out boolean, copies long, n_tokens long, known long, value double, bracket double, word long, times long"
+_KEYS = "doc_id long, mark long, held_out boolean"
+_TEXTS = f"{_KEYS}, copies long, n_tokens long, known long, value double, bracket double"
+_RARE = f"{_KEYS}, times long, word long, before long, after long, unseen long"
+_PAIRS = f"{_KEYS}, times long, word1 long, word2 long, unseen1 long, unseen2 long"
 
 
-def _rows(*columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(list(columns), [c.split()[0] for c in _PARTS.split(", ")])
+def _batch(schema: str, *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], [c.split()[0] for c in schema.split(", ")])

@@ -384,6 +384,47 @@ def test_exchange_raises_the_likelihood():
     assert all(len(set(of[:30][hidden == h])) == 1 for h in range(3))
 
 
+def test_all_words_are_clustered(spark):
+    """Words of two kinds that alternate, all with the same last two bytes and most of them rare."""
+    rnd = random.Random(5)
+    a, b = ([f"{k}{i}zz" for i in range(60)] for k in "ab")
+    rows = [(i, " ".join(rnd.choice(a) + " " + rnd.choice(b) for _ in range(40)), False) for i in range(100)]
+    rows += [(1000, " ".join(x + " " + y for x, y in zip(a, b)), True), (1001, " ".join(w for x, y, z, u in zip(a[::2], a[1::2], b[::2], b[1::2]) for w in (x, y, u, z)), True)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, held boolean").repartition(3)
+    for frequent in (10, 300_000):
+        got = {r.doc_id: r for r in lm.score_texts(df, held_out=df["held"], frequent=frequent, clustered=4, classes=2, rounds=4).collect()}
+        assert abs(got[1000].base_score - got[1001].base_score) < 1e-6
+        assert got[1000].score > got[1001].score + 10
+
+
+def test_contexts_and_joint(spark, small):
+    """However few words are shipped, the same class bigrams are counted, as in plain Python."""
+    df = small.limit(60).select("text")
+    rows = [[*(r.text or "").encode().lower().split()] for r in df.collect()]
+    counts = lm.checkpointed(lm.word_counts(df, 7)).withColumn("class", kernels_class())
+    of = {r.word: r["class"] for r in counts.collect()}
+    want = np.zeros((12, 12))
+    for ws in rows:
+        cs = [11, *(of[word_hash(w)] for w in ws), 11]
+        for x, y in zip(cs, cs[1:]):
+            want[x, y] += 1
+    for frequent in (20, 300_000):
+        lookup = lm.Lookup.shipped(counts, frequent)
+        found = lm.contexts(df, counts, lookup, len(lookup.words) >= len(of), 12, 7, len(rows))
+        assert (lm.class_bigrams(found, 12) == want).all()
+
+
+def kernels_class():
+    from pyspark.sql import functions as F
+
+    return F.pmod("word", F.lit(4))
+
+
+def word_hash(w):
+    data = np.frombuffer(w, np.uint8)
+    return int(kernels.words(data, np.array([0, len(data)]))[0].view(np.int64)[0])
+
+
 # -- empty tables
 def test_empty(empty, tokenizer_path):
     assert exact_dedup.exact_duplicates(empty).count() == exact_dedup.drop_exact_duplicates(empty).count() == 0
