@@ -3,8 +3,8 @@
 A text becomes the hashed counts of its byte bigrams and trigrams (A-Z lower-cased), square-rooted
 and scaled to length 1. A linear support vector machine for each family tells the families apart;
 within the family, one machine for each pair of its languages votes. The machines are fitted on a
-sample of labelled rows of about ``per_language`` rows a language, taken by a hash of the text;
-predictions read whole texts.
+sample of ``per_language`` distinct labelled texts a language, taken by a hash of the text; predictions
+read whole texts.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm import kernels as K
-from gleaner.llm.common import empty_caches, held_out_remainder
+from gleaner.llm.common import checkpointed, empty_caches, held_out_remainder
 
 #: Families of ISO 639-1 codes. A language that isn't here is a family of its own.
 FAMILIES = {
@@ -130,25 +130,51 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
             x = features(*K.flat(part.column(0))).astype("<f4")
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), part.column(1)], ["x", "lang"])
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), part.column(1), part.column(2)], ["x", "lang", "hash"])
+
+
+def sample(rows: DataFrame, per_language: int) -> DataFrame:
+    """Of each lang, the per_language texts with the smallest hashes, once each; all where there are fewer."""
+    marked = rows.select("lang", F.xxhash64("text", F.lit(7)).alias("hash"), "text")
+
+    def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, np.ndarray] = {}
+        for batch in batches:
+            langs, hashes = np.array(batch.column(0).to_pylist(), object), batch.column(1).to_numpy()
+            for lang in set(langs.tolist()):
+                found[lang] = np.unique(np.concatenate((found.get(lang, hashes[:0]), hashes[langs == lang])))[:per_language]
+        for lang, hashes in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(hashes), pa.string()), pa.array(hashes)], ["lang", "hash"])
+
+    few = marked.select("lang", "hash").mapInArrow(smallest, "lang string, hash long").groupBy("lang", F.pmod("hash", F.lit(16)).alias("part"))
+    few = few.agg(F.slice(F.array_sort(F.collect_set("hash")), 1, per_language).alias("hashes"))
+    of: dict[str, list[int]] = {}
+    for r in few.collect():
+        of.setdefault(r["lang"], []).extend(r["hashes"])
+    taken = rows.sparkSession.sparkContext.broadcast({lang: set(sorted(hashes)[:per_language]) for lang, hashes in of.items()})
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            keep = []
+            for i, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if key[1] in taken.value.get(key[0], ()) and key not in seen:
+                    seen.add(key)
+                    keep.append(i)
+            yield batch.take(pa.array(keep, pa.int64()))
+
+    return checkpointed(marked.mapInArrow(once, "lang string, hash long, text string").groupBy("lang", "hash").agg(F.min("text").alias("text")))
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = 300) -> Hierarchy:
-    """Machines fitted on about per_language rows of each language (never over twice as many), those of
-    the smallest text hashes. Rows of null text or language are left out."""
+    """Machines fitted on per_language distinct texts of each language, those of the smallest text hashes.
+    Rows of null text or language are left out."""
     rows = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).dropna()
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    place = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 40)) / float(1 << 40)
-    chosen = None
-    for lang, n in sorted(sizes.items()):
-        of = rows.filter((F.col("lang") == lang) & (place < min(1.0, per_language / n))).limit(2 * per_language)
-        chosen = of if chosen is None else chosen.unionByName(of)
-    if chosen is None:
-        return Hierarchy(np.zeros((0, DIMENSIONS), np.float32), np.array([], object))
-    table = chosen.mapInArrow(_feature_rows, "x binary, lang string").toArrow()
+    chosen = sample(rows, per_language)
+    table = chosen.select("text", "lang", "hash").mapInArrow(_feature_rows, "x binary, lang string, hash long").toArrow()
     x = np.frombuffer(b"".join(table.column("x").to_pylist()), "<f4").reshape(-1, DIMENSIONS)
     labels = np.array(table.column("lang").to_pylist(), object)
-    order = np.lexsort((x[:, 0], x[:, 1], labels.astype(str)))
+    order = np.lexsort((table.column("hash").to_numpy(), labels.astype(str)))
     return Hierarchy(x[order], labels[order])
 
 

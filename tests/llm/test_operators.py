@@ -299,6 +299,20 @@ def test_language(spark, odd):
             assert (r.lang_pred == "und") == (not any(c.isalpha() for c in text))
 
 
+def test_language_sample_is_of_distinct_texts(spark):
+    """One text with thousands of copies and a language of few texts with many copies each."""
+    rows = [("en", "a hot text")] * 5000 + [("en", f"text number {i}") for i in range(100)] + [("fr", f"texte {i % 2}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    want = {(lang, t) for lang in ("en", "fr") for t in sorted({t for k, t in rows if k == lang})}
+    hashes = {r.text: r.h for r in df.selectExpr("text", "xxhash64(text, 7) AS h").distinct().collect()}
+    for per_language in (20, 500):
+        got = [(r.lang, r.text) for r in langid.sample(df.repartition(5), per_language).collect()]
+        expected = [(k, t) for k in ("en", "fr") for t in sorted((t for lang, t in want if lang == k), key=hashes.get)[:per_language]]
+        assert sorted(got) == sorted(expected)
+    models = [langid.fit(df.repartition(n), per_language=20) for n in (2, 7)]
+    assert models[0].languages == ["en", "fr"] and (models[0].family_weights == models[1].family_weights).all()
+
+
 # -- chats
 def test_chat(spark):
     rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "a"), (3, 0, "user", "a"), (3, 1, "assistant", "b"), (3, 2, "user", "c"), (4, 0, "user", "x"), (5, 0, "user", "x"), (None, 0, None, None), (6, None, "user", "q"), (6, 5, "user", "q"), (6, 5, "user", "q")]
