@@ -10,14 +10,12 @@ from gleaner.llm.common import checkpointed, documents
 from gleaner.llm.queries import tokenizer
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Below this score, no language's machine claims the text.
-LEAST_SCORE = 0.1
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a letter, or that no language claims, go; lang becomes the prediction."""
+    """Texts without a letter, or unlike those that their language was learned from, go; lang becomes the prediction."""
     model = langid.fit(docs)
-    found = langid.predict(docs.select(*COLUMNS), model).filter((F.col("__lang") != langid.UNKNOWN) & (F.col("__score") >= LEAST_SCORE))
+    found = langid.predict(docs.select(*COLUMNS), model).filter((F.col("__lang") != langid.UNKNOWN) & F.col("__claimed"))
     return found.withColumn("lang", F.col("__lang")).select(*COLUMNS)
 
 

@@ -36,6 +36,8 @@ FAMILIES = {
 FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 DIMENSIONS = 4096
 UNKNOWN = "und"
+#: Lengths (powers of two, in bytes) of the pieces that a language's likeness is calibrated on.
+PIECES = range(4, 14)
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -94,6 +96,31 @@ class Hierarchy:
                 fitted.append(fit_svm(x[both], labels[both] == m[a]))
             self.pair_weights.append(np.array(fitted) if fitted else none)
 
+        sums = np.array([x[labels == c].sum(0) for c in self.languages]).reshape(-1, DIMENSIONS)
+        self.sums = sums
+        self.centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+        #: Least likeness, by language and piece length; without calibration everything is claimed.
+        self.least = np.full((len(self.languages), len(PIECES)), -np.inf)
+
+    def calibrate(self, langs: np.ndarray, pieces: np.ndarray, likeness: np.ndarray, least_rows: int = 20, widths: float = 6.0, margin: float = 0.1) -> None:
+        """From likenesses of the learned texts' pieces: the median less some robust standard deviations
+        and a margin, so that junk among the learned texts doesn't count. Of too few pieces no bound is made."""
+        for i, c in enumerate(self.languages):
+            for k in range(len(PIECES)):
+                of = likeness[(langs == c) & (pieces == k)]
+                if len(of) >= least_rows:
+                    middle = np.median(of)
+                    self.least[i, k] = middle - margin - widths * max(1.4826 * np.median(np.abs(of - middle)), 0.01)
+
+    def claimed(self, x: np.ndarray, found: list[str], lengths: np.ndarray) -> np.ndarray:
+        """Whether each text of so many bytes is as like its language's learned texts as their pieces of
+        that length (or of the longest calibrated one below) are."""
+        at = np.searchsorted(self.languages, found)
+        likeness = np.einsum("ij,ij->i", x, self.centres[at].astype(x.dtype))
+        piece = np.clip(np.log2(np.maximum(lengths, 1)).astype(int), PIECES[0], PIECES[-1]) - PIECES[0]
+        bounds = np.maximum.accumulate(self.least, axis=1)
+        return (lengths < 1 << PIECES[0]) | (likeness >= bounds[at, piece])
+
     def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
         """Language and score (the smaller of two logistic margins) of each row."""
         rows = len(x)
@@ -175,12 +202,29 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per
     x = np.frombuffer(b"".join(table.column("x").to_pylist()), "<f4").reshape(-1, DIMENSIONS)
     labels = np.array(table.column("lang").to_pylist(), object)
     order = np.lexsort((table.column("hash").to_numpy(), labels.astype(str)))
-    return Hierarchy(x[order], labels[order])
+    model = Hierarchy(x[order], labels[order])
+    shipped = labelled.sparkSession.sparkContext.broadcast((model.languages, model.sums))
+
+    def likenesses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        languages, sums = shipped.value
+        for batch in batches:
+            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                data = np.frombuffer(text.encode(), np.uint8)
+                rest = sums[languages.index(lang)] - features(data, np.array([0, len(data)]))[0]  # of the other texts
+                rest = rest / max(np.linalg.norm(rest), 1e-9)
+                pieces = [k for k, power in enumerate(PIECES) if 1 << power <= len(data)]
+                like = [float(features(data[: 1 << PIECES[k]], np.array([0, 1 << PIECES[k]]))[0] @ rest) for k in pieces]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(pieces), pa.string()), pa.array(pieces, pa.int64()), pa.array(like, pa.float64())], ["lang", "piece", "likeness"])
+
+    found = chosen.select("text", "lang").mapInArrow(likenesses, "lang string, piece long, likeness double").toArrow()
+    model.calibrate(np.array(found.column("lang").to_pylist(), object), found.column("piece").to_numpy(), found.column("likeness").to_numpy())
+    return model
 
 
 def predict(docs: DataFrame, model: Hierarchy, text_col: str = "text") -> DataFrame:
-    """docs and the columns lang_pred and score; of a text that is null or has no letter, or where no
-    language was learned, ``und`` and 0."""
+    """docs and the columns __lang, __score and __claimed (whether the text is like those the language was
+    learned from); of a text that is null or has no letter, or where no language was learned, ``und``, 0
+    and false."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
 
@@ -192,17 +236,20 @@ def predict(docs: DataFrame, model: Hierarchy, text_col: str = "text") -> DataFr
                 part = batch.slice(at, 256)
                 texts = part.column(names.index(text_col))
                 lettered = np.array([t is not None and _LETTER.search(t) is not None for t in texts.to_pylist()], bool)
-                langs, scores = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows)
+                langs, scores, claimed = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows), np.zeros(part.num_rows, bool)
                 if model.languages and lettered.any():
-                    found, score = model.predict(features(*K.flat(texts.filter(pa.array(lettered)))))
+                    data, offsets = K.flat(texts.filter(pa.array(lettered)))
+                    x = features(data, offsets)
+                    found, score = model.predict(x)
+                    claimed[lettered] = model.claimed(x, found, np.diff(offsets))
                     for i, lang in zip(np.flatnonzero(lettered).tolist(), found):
                         langs[i] = lang
                     scores[lettered] = score
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores)], [*names, "__lang", "__score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores), pa.array(claimed)], [*names, "__lang", "__score", "__claimed"])
 
-    from pyspark.sql.types import DoubleType, StringType, StructType
+    from pyspark.sql.types import BooleanType, DoubleType, StringType, StructType
 
-    schema = StructType([*docs.schema.fields]).add("__lang", StringType()).add("__score", DoubleType())
+    schema = StructType([*docs.schema.fields]).add("__lang", StringType()).add("__score", DoubleType()).add("__claimed", BooleanType())
     return docs.mapInArrow(run, schema)
 
 
