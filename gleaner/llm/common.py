@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -20,14 +21,23 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """df cut off from its lineage, in the folder of spark.checkpoint.dir, which the executors share.
-    Only where that setting is absent (tests on one machine), a temporary folder is set."""
+    Where that setting is absent, a temporary folder is set if Spark runs on this machine alone (tests)."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
 
 
+def small_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """From now on, in this session, Spark hands no more than so many rows at once to Python tasks (10,000
+    if left alone): rows here are whole texts, and each task holds a batch or two on either side."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
@@ -42,10 +52,19 @@ def worker_cache() -> dict:
     return _caches[-1]
 
 
+def give_back() -> None:
+    """Hand memory that is free in this worker back to the system, for the executor and other workers."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim is not None:
+        trim(0)
+
+
 def empty_caches() -> None:
     """Free what tasks of other operators have left in this worker."""
     for cache in _caches:
         cache.clear()
+    give_back()
 
 
 def in_parts(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:

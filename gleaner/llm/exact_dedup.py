@@ -1,14 +1,14 @@
 """Exact deduplication with a two-pass Bloom filter, in DataFrame operations alone.
 
-Pass one counts how often each filter slot is hit (two slots a text) and keeps the slots hit at
-least twice, as 64-bit words. Pass two tests every row: a text that occurs twice has both of its
-slots hit twice, so a row that fails the test is unique and passes straight through; only the rest
-is shuffled and grouped, by the SHA-256 of the text. A false positive costs a shuffled row, never a
-wrong result.
-
-The filter has ``bits_per_row`` bits for each row. It is broadcast while its proven size bound (16
-bytes for each word, at most bits/64 words) is below ``broadcast_bytes``; beyond that, the test is
-an ordinary shuffled join of the narrow rows.
+A text is read once for each pass and becomes its SHA-256 at once; only ids and hashes are ever
+shuffled. Pass one counts how often each filter slot is hit (two slots a hash) and keeps the slots hit
+at least twice, as 64-bit words. Pass two tests every row: a text that occurs twice has both of its
+slots hit twice, so a row that fails the test is unique and passes straight through; only the rest is
+shuffled and grouped by hash. A false positive costs a shuffled hash, never a wrong result.
+
+The plan is the same at every size. The broadcast filter has ``bits_per_row`` bits a row and at most
+``filter_bytes``; on a table with more rows than such a filter tells apart (4 million of its 64-bit words
+by default), more hashes are shuffled, at worst all of them: some 50 bytes a row.
 """
 
 from __future__ import annotations
@@ -17,15 +17,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm import bloom
-from gleaner.llm.common import text_or_empty
+from gleaner.llm.common import checkpointed, text_or_empty
+
 
-def flag_possible_repeats(docs: DataFrame, text_col: str = "text", bits_per_row: int = 16, broadcast_bytes: int = 64 << 20) -> DataFrame:
-    """docs and a boolean column ``__repeat``: false only if no other row has an equal text."""
-    bits = bloom.filter_bits(docs.count(), bits_per_row)
-    text = text_or_empty(text_col)
-    slots = docs.select(F.explode(F.array(*bloom.slots(text, bits))).alias("slot"))
+def flag_possible_repeats(hashes: DataFrame, rows: int, bits_per_row: int = 16, filter_bytes: int = bloom.FILTER_BYTES) -> DataFrame:
+    """hashes (with a column text_sha256) and a boolean column ``repeat``: false only if no other row has
+    an equal hash."""
+    bits = bloom.filter_bits(rows, bits_per_row, filter_bytes)
+    key = F.col("text_sha256")
+    slots = hashes.select(F.explode(F.array(*bloom.slots(key, bits))).alias("slot"))
     hit_twice = slots.groupBy("slot").agg(F.count("*").alias("n")).filter("n > 1")
-    return bloom.tested(docs, text, bits, bloom.words_of(hit_twice, bits, broadcast_bytes), "__repeat")
+    return bloom.tested(hashes, key, bits, bloom.words_of(hit_twice), "repeat")
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **filter_options) -> DataFrame:
@@ -36,9 +38,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     A null id is smaller than any other. An empty table gives an empty result. Other columns of docs
     are neither read nor returned.
     """
-    narrow = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    flagged = flag_possible_repeats(narrow, "text", **filter_options)
-    rows = flagged.select("doc_id", F.sha2(F.col("text"), 256).alias("text_sha256"), F.col("__repeat").alias("repeat"))
+    hashes = docs.select(F.col(id_col).alias("doc_id"), F.sha2(text_or_empty(text_col), 256).alias("text_sha256"))
+    rows = flag_possible_repeats(hashes, docs.count(), **filter_options)
     unique = rows.filter(~F.col("repeat")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     repeats = rows.filter("repeat")
     groups = repeats.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
@@ -50,9 +51,22 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **filter_options) -> DataFrame:
     """docs with one row of each group of equal texts, the one with the largest id (of rows that tie,
-    the one whose other columns sort last). Rows outside any group don't move."""
-    flagged = flag_possible_repeats(docs, text_col, **filter_options)
-    row = F.struct(F.col(id_col).alias("__first"), *docs.columns)
-    of_groups = flagged.filter("__repeat").groupBy(F.sha2(text_or_empty(text_col), 256).alias("__sha")).agg(F.max(row).alias("__row"))
-    names = [F.col("__row")[c].alias(c) for c in docs.columns]
-    return flagged.filter(~F.col("__repeat")).drop("__repeat").unionByName(of_groups.select(*names))
+    the one whose other columns sort last).
+
+    Groups are found on hashes. Rows that don't stay are then told by a filter of their ids and hashes, so
+    a row outside any group isn't shuffled (but for the filter's false positives), whatever its text.
+    """
+    names = docs.columns
+    found = checkpointed(exact_duplicates(docs, id_col, text_col, **filter_options).filter("group_size > 1"))
+    gone = found.filter("not kept").select(F.col("doc_id").alias("__gone"), F.col("text_sha256").alias("__gone_sha")).distinct()
+    # of groups whose largest id has several rows, one of these has to be chosen by the other columns
+    ties = found.filter("kept").groupBy("text_sha256").agg(F.count("*").alias("n"), F.max("doc_id").alias("doc_id")).filter("n > 1")
+    tied = ties.select(F.col("doc_id").alias("__tied"), F.col("text_sha256").alias("__tied_sha"))
+    rows = docs.withColumn("__sha", F.sha2(text_or_empty(text_col), 256)).withColumn("__key", F.xxhash64(F.col(id_col), "__sha"))
+    keys = gone.select(F.xxhash64("__gone", "__gone_sha").alias("key")).unionByName(tied.select(F.xxhash64("__tied", "__tied_sha").alias("key")))
+    flagged = bloom.flag_members(rows, F.col("__key"), keys, "__suspect", filter_options.get("filter_bytes", bloom.FILTER_BYTES))
+    suspects = flagged.filter("__suspect").join(gone, F.col(id_col).eqNullSafe(F.col("__gone")) & (F.col("__sha") == F.col("__gone_sha")), "left_anti")
+    marked = suspects.join(tied, F.col(id_col).eqNullSafe(F.col("__tied")) & (F.col("__sha") == F.col("__tied_sha")), "left")
+    chosen = marked.filter("__tied_sha is not null").groupBy("__tied_sha").agg(F.max(F.struct(*names)).alias("__row"))
+    parts = [flagged.filter(~F.col("__suspect")).select(*names), marked.filter("__tied_sha is null").select(*names), chosen.select(*(F.col("__row")[c].alias(c) for c in names))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm import kernels as K
-from gleaner.llm.bloom import possible_members
-from gleaner.llm.common import checkpointed, per_batch
+from gleaner.llm.bloom import flag_members
+from gleaner.llm.common import checkpointed, per_batch, small_batches
 from gleaner.llm.components import UnionFind, connected_components
 
 SLOTS = 127
@@ -39,6 +39,8 @@ BLOCK = 1 << 20
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Shingles in a tile of a bucket, on average; a task holds two tiles.
 TILE = 1 << 18
+#: Pairs of a hub that are compared with one copy of its set.
+PART = 64
 
 
 def super_minhash(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -114,12 +116,16 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs a, b whose sets have 100 * intersection >= percent * union."""
-    left = sets.select(F.col("rep").alias("x"), F.col("shingles").alias("s"))
+    """The pairs a, b whose sets have 100 * intersection >= percent * union. b occurs a bounded number of
+    times; a may occur any number of times, so its set is dealt out to one part for each PART of its pairs."""
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).alias("parts")).withColumnRenamed("a", "hub").repartition("parts", "hub")
+    dealt = pairs.join(parts, F.col("a") == F.col("hub")).select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
+    hubs = dealt.select(F.col("a").alias("x"), F.col("part").alias("x_part")).distinct()
+    left = hubs.join(sets.select("rep", F.col("shingles").alias("s")), F.col("x") == F.col("rep")).drop("rep")
     right = sets.select(F.col("rep").alias("y"), F.col("shingles").alias("t"))
-    both = pairs.join(right, F.col("b") == F.col("y")).join(left, F.col("a") == F.col("x"))
+    both = dealt.join(right, F.col("b") == F.col("y")).join(left, (F.col("a") == F.col("x")) & (F.col("part") == F.col("x_part")))
     common = both.select("a", "b", F.size(F.array_intersect("s", "t")).alias("n"), (F.size("s") + F.size("t")).alias("total"))
-    return common.filter(100 * F.col("n") >= percent * (F.col("total") - F.col("n"))).select("a", "b").distinct()
+    return common.filter(100 * F.col("n") >= percent * (F.col("total") - F.col("n"))).select("a", "b").repartition("a", "b").distinct()
 
 
 def tile_links(component: np.ndarray, values: np.ndarray, offsets: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -171,6 +177,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked with nothing. The ids are the nodes of the graph: rows that repeat an id share its component.
     A null id is linked with nothing. An empty table gives no rows; further columns are ignored.
     """
+    small_batches(docs.sparkSession)
     bands, rows = band_shape(percent / 100)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     base = checkpointed(_sketches(narrow, shingle_words, bands, rows))
@@ -192,7 +199,7 @@ def _linked(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> Dat
     sizes = sizes.withColumnRenamed("bucket", "of").repartition("hub")
     members = checkpointed(placed.join(sizes, F.col("bucket") == F.col("of")).select("bucket", "n", "hub", "rep", "n_shingles"))
     candidates = members.select("rep").distinct()
-    wanted = possible_members(docs.filter("doc_id is not null"), "doc_id", candidates)
+    wanted = flag_members(docs.filter("doc_id is not null"), F.col("doc_id"), candidates, "__wanted").filter("__wanted").drop("__wanted")
     sets = _sets(wanted, size).join(candidates.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r"), "left_semi")
     sets = checkpointed(sets.repartition("rep"))
     # each member with its smallest hub; then with its other hubs (no more than bands), where these have

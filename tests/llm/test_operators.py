@@ -32,19 +32,35 @@ def by_id(df):
 
 
 # -- exact duplicates
-@pytest.mark.parametrize("broadcast", [0, 64 << 20])
-def test_exact(odd, small, broadcast):
-    for df in (odd, small):
+def ties(spark):
+    """Rows that repeat the largest id of a group of equal texts, with other columns that differ."""
+    return spark.createDataFrame([(3, "a", "x"), (3, "a", "y"), (2, "a", "z"), (None, "a", "z"), (None, "b", "p"), (None, "b", "q"), (4, "c", None)], "doc_id long, text string, lang string")
+
+
+@pytest.mark.parametrize("filter_bytes", [0, 64 << 20])
+def test_exact(spark, odd, small, filter_bytes):
+    for df in (odd, small, ties(spark)):
         groups = defaultdict(list)
         for i, t in texts(df):
             groups[t].append(i)
         order = lambda i: -math.inf if i is None else i
         want = sorted(((i, max(g, key=order), len(g), i == max(g, key=order), hashlib.sha256(t.encode()).hexdigest()) for t, g in groups.items() for i in g), key=repr)
-        got = exact_dedup.exact_duplicates(df, broadcast_bytes=broadcast).collect()
+        got = exact_dedup.exact_duplicates(df, filter_bytes=filter_bytes).collect()
         assert sorted((tuple(r) for r in got), key=repr) == want
-        kept = exact_dedup.drop_exact_duplicates(df, broadcast_bytes=broadcast)
+        kept = exact_dedup.drop_exact_duplicates(df, filter_bytes=filter_bytes)
         assert kept.columns == df.columns
         assert Counter(t for _, t in texts(kept)) == Counter(groups.keys())
+    assert sorted((r.doc_id, r.lang) for r in kept.collect() if r.text in "ab" and r.doc_id) == [(3, "y")]
+
+
+@pytest.mark.parametrize("filter_bytes", [0, 64 << 20])
+def test_exact_shuffles_no_text(small, filter_bytes):
+    """Whatever the size of the filter, what is shuffled has hashes and no text."""
+    found = exact_dedup.exact_duplicates(small, filter_bytes=filter_bytes)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan
+    texts_read = [line for line in plan.splitlines() if "text#" in line]
+    assert texts_read and all("sha2" in line or "Relation" in line for line in texts_read)
 
 
 # -- near duplicates
