@@ -37,8 +37,9 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences of 4096 tokens."""
-    return packing.best_fit_pack(docs, tokenizer("word_bpe_49k.json"), capacity=4096, end_id=1)
+    """The pieces of all documents and their places in sequences of 4096 tokens. The executors have held
+    the stages before, so their workers remember fewer stretches of text here."""
+    return packing.best_fit_pack(docs, tokenizer("word_bpe_49k.json"), capacity=4096, end_id=1, remembered=150_000)
 
 
 STAGES = [("language_id", identify_language), ("exact_dedup", drop_exact), ("near_dedup", drop_near), ("secret_scan", mask_secrets), ("best_fit_packing", pack)]
