@@ -10,10 +10,12 @@ every training text:
    the class bigrams most.
 3. Every word of the training texts joins in: Spark counts, for each word, the classes of the words
    before and after it, and each word moves to the class that raises the likelihood most, all words of
-   a round at once. Only the matrix of class bigrams and the classes of the ``frequent`` most frequent
-   words are shipped; the classes of all other words reach their neighbours by a join. A round that
-   lowers the likelihood is taken back. A word that training hasn't seen counts to the class that most
-   kinds of words with its last two bytes (hashed to an open class) are in.
+   a round at once. Tasks reduce their counts to packed rows, one for each range of hashes, so that
+   neither a frequent word nor a frequent pair is a hot key, and a range is read into counts of bounded
+   size. The matrix of class bigrams, which is counted again after each round, gets the classes of the
+   ``frequent`` most frequent words, which are shipped, from memory and those of all others by a join. A
+   round that lowers the likelihood is taken back. A word that training hasn't seen counts to the class
+   that most kinds of words with its last two bytes (hashed to an open class) are in.
 4. A word costs p(class | class before) * p(word | class), mixed with its unigram probability, by
    weights that depend on how often the class before was seen (Witten-Bell):
    (count + 0.5) * [w * p(c | c') / emissions(c) + (1 - w) / total].
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm import kernels as K
-from gleaner.llm.common import checkpointed, held_out_remainder, most_frequent, shuffle_partitions
+from gleaner.llm.common import checkpointed, empty_caches, held_out_remainder, most_frequent, shuffle_partitions, small_batches
 
 BLOCK = 4 << 20
 PSEUDO = 0.5
@@ -203,157 +205,253 @@ class Lookup:
         return cls(top.column("word").to_numpy().view(np.uint64), top.column("n").to_numpy(), top.column("class").to_numpy())
 
 
-def contexts(texts: DataFrame, assigned: DataFrame, lookup: Lookup, whole: bool, size: int, open_classes: int, n_texts: int) -> DataFrame:
-    """Blocks of words: their class, bucket and count, and how often which class stands after (slots below
-    ``size``) and before each of them (slots from ``size`` on). All rows of a word are in one block.
-    whole: lookup has all words."""
-    sent = texts.sparkSession.sparkContext.broadcast(lookup)
-    end = size - 1
+#: Words whose contexts a reducing task holds at once, on average.
+HELD = 20_000
+#: Words of a task that are reduced to counts and sent at once.
+SENT = 1_000_000
+PARCEL = "target int, kind int, words binary, sizes binary, slots binary, counts binary"
+_STATE, _CONTEXT = 0, 1
 
-    def pairs(met: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            lookup = sent.value
-            for _, _, _, hashes, _, _, counts in _word_batches(batches):
-                classes = lookup.of(hashes)[2]
-                left, right, _ = _stream(hashes, counts, END)
-                class_left, class_right, _ = _stream(classes, counts, end)
-                for side, word, near, c in ((0, left, right, class_right), (1, right, left, class_left)):
-                    take = (c >= 0) == met
-                    word, near, slot = word[take], near[take], side * size + np.maximum(c[take], 0)
-                    other = slot.astype(np.uint64) if met else near
-                    _, first, n = np.unique(K.mix(word) + K.mix(other * np.uint64(2) + np.uint64(1)), return_index=True, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(word[first].view(np.int64)), pa.array(near[first].view(np.int64)), pa.array(slot[first]), pa.array(n)], ["word", "near", "slot", "n"])
-
-        return texts.mapInArrow(run, "word long, near long, slot long, n long")
-
-    slots = pairs(True).select("word", "slot", "n")
-    if not whole:
-        rest = pairs(False).join(assigned.select(F.col("word").alias("near"), "class"), "near")
-        slots = slots.unionByName(rest.select("word", (F.col("slot") + F.col("class")).alias("slot"), "n"))
-    slots = slots.groupBy("word", "slot").agg(F.sum("n").alias("n"))
-    own = assigned.select("word", (2 * size + F.col("class") * open_classes + F.col("bucket")).alias("slot"), "n")
-    if n_texts:
-        own = own.unionByName(texts.sparkSession.createDataFrame([(int(END.view(np.int64)), (2 * size + end * open_classes), n_texts)], "word long, slot long, n long"))
-    rows = slots.unionByName(own).repartition(shuffle_partitions(texts.sparkSession), "word").sortWithinPartitions("word", F.col("slot").desc())
-
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list = []
-
-        def block(word, slot, n):
-            head = np.flatnonzero(slot >= 2 * size)
-            state = slot[head] - 2 * size
-            tail = slot < 2 * size
-            owner = np.cumsum(~tail) - 1
-            parts = (word[head], state // open_classes, state % open_classes, n[head], owner[tail], slot[tail], n[tail])
-            types = ("<i8", "<i2", "<i2", "<i8", "<i4", "<i2", "<i8")
-            return pa.RecordBatch.from_arrays([pa.array([x.astype(t).tobytes()], pa.binary()) for x, t in zip(parts, types)], _BLOCK_NAMES)
 
-        for batch in batches:
-            now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-            kept.append(now)
-            if sum(len(k[0]) for k in kept) > 200_000:
-                now = [np.concatenate(x) for x in zip(*kept)]
-                cut = np.flatnonzero(now[0] != now[0][-1])
-                if len(cut):
-                    at = cut[-1] + 1
-                    yield block(*(x[:at] for x in now))
-                    now = [x[at:] for x in now]
-                kept = [now]
-        if kept and (rest := [np.concatenate(x) for x in zip(*kept)]) and len(rest[0]):
-            yield block(*rest)
+def _targets(words: np.ndarray, targets: int) -> np.ndarray:
+    """The target of each word; it doesn't fall where hashes rise."""
+    return ((words >> np.uint64(32)) * np.uint64(targets) >> np.uint64(32)).astype(np.int64)
 
-    return checkpointed(rows.mapInArrow(blocks, ", ".join(f"{c} binary" for c in _BLOCK_NAMES)))
 
+def _parcels(kind: int, targets: int, words: np.ndarray, sizes: np.ndarray, slots: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """A row for each target: its words (ascending hashes), and the slots and counts of each word."""
+    of = _targets(words, targets)
+    cuts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, np.int64)
+    ends, at = np.r_[cuts[1:], len(of)], np.concatenate(([0], np.cumsum(sizes)))
+    packed = [
+        [words[a:b].astype("<u8").tobytes() for a, b in zip(cuts, ends)], [sizes[a:b].astype("<u4").tobytes() for a, b in zip(cuts, ends)],
+        *([x[at[a] : at[b]].astype(t).tobytes() for a, b in zip(cuts, ends)] for x, t in ((slots, "<u2"), (counts, "<u4"))),
+    ]
+    columns = [pa.array(of[cuts], pa.int32()), pa.array(np.full(len(cuts), kind), pa.int32()), *(pa.array(x, pa.binary()) for x in packed)]
+    return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in PARCEL.split(", ")])
 
-_BLOCK_NAMES = ["word", "class", "bucket", "count", "owner", "slot", "n"]
 
+def _beside(values: np.ndarray, counts: np.ndarray, end) -> tuple[np.ndarray, np.ndarray]:
+    """What stands before and after every word; ``end`` where nothing does."""
+    before, after = np.r_[values[:1], values[:-1]], np.r_[values[1:], values[:1]]
+    stop = np.cumsum(counts)
+    some = counts > 0
+    before[(stop - counts)[some]] = end
+    after[stop[some] - 1] = end
+    return before, after
 
-def _read_blocks(batches: Iterator[pa.RecordBatch]):
-    for batch in batches:
-        for row in batch.to_pylist():
-            yield [np.frombuffer(row[c], t).astype(np.int64) for c, t in zip(_BLOCK_NAMES, ("<i8", "<i2", "<i2", "<i8", "<i4", "<i2", "<i8"))]
 
-
-def class_bigrams(found: DataFrame, size: int) -> np.ndarray:
-    """The matrix of counts of class bigrams, from the words' contexts."""
+def contexts(texts: DataFrame, near: Lookup, still: np.ndarray, size: int, classes: int, open_classes: int, targets: int, opened: bool) -> DataFrame:
+    """Parcels of every word outside ``still`` (ascending): how often which class stands after it (slots
+    below ``size``) and before it (slots from ``size`` on). near has the classes of neighbours; others
+    count to their open class (opened) or not at all. Each task reduces its words before it sends them."""
+    sent = texts.sparkSession.sparkContext.broadcast((near, still))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size * size)
-        for _, c, _, _, owner, slot, n in _read_blocks(batches):
-            after = slot < size
-            total += np.bincount(c[owner[after]] * size + slot[after], n[after], size * size)
-        keys = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(total[keys].astype(np.int64))], ["pair", "n"])
+        empty_caches()
+        near, still = sent.value
+        kept, total = [], 0
+
+        def out() -> pa.RecordBatch:
+            words, before, after = (np.concatenate(x) for x in zip(*kept))
+            unique, where = np.unique(words, return_inverse=True)
+            keys = [where[s >= 0] * (2 * size) + s[s >= 0] for s in (after.astype(np.int64), np.where(before >= 0, before.astype(np.int64) + size, -1))]
+            keys, n = np.unique(np.concatenate(keys), return_counts=True)
+            return _parcels(_CONTEXT, targets, unique, np.bincount(keys // (2 * size), minlength=len(unique)), keys % (2 * size), n)
+
+        for _, _, _, hashes, _, tails, counts in _word_batches(batches):
+            c = near.of(hashes)[2].astype(np.int16)
+            if opened:
+                c = np.where(c < 0, classes + _bucket(tails, open_classes), c).astype(np.int16)
+            before, after = _beside(c, counts, size - 1)
+            moves = ~_contains(still, hashes)
+            kept.append((hashes[moves], before[moves], after[moves]))
+            total += len(kept[-1][0])
+            if total > SENT:
+                yield out()
+                kept, total = [], 0
+        if total:
+            yield out()
+
+    return texts.mapInArrow(run, PARCEL)
+
 
-    table = found.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    joint = np.zeros(size * size)
-    joint[table.column("pair").to_numpy()] = table.column("n").to_numpy()
-    return joint.reshape(size, size)
+def _contains(ascending: np.ndarray, values: np.ndarray) -> np.ndarray:
+    if not len(ascending):
+        return np.zeros(len(values), bool)
+    return ascending[np.minimum(np.searchsorted(ascending, values), len(ascending) - 1)] == values
+
+
+def class_bigrams(texts: DataFrame, lookup: Lookup, assigned: DataFrame, size: int) -> np.ndarray:
+    """Counts of class bigrams, apart for bigrams of two shipped words (0), with only the second (1) or
+    the first (2) one shipped, and of two others (3): four matrices of size * size. The classes of words
+    that aren't shipped come by a join, of counts that the tasks have reduced."""
+    sent = texts.sparkSession.sparkContext.broadcast(lookup)
+    end, whole = size - 1, size * size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        empty_caches()
+        lookup, total, names = sent.value, np.zeros(whole, np.int64), ["word", "near", "cell", "n"]
+        for _, _, _, hashes, _, _, counts in _word_batches(batches):
+            left, right, _ = _stream(lookup.of(hashes)[2].astype(np.int32), counts, end)
+            first, second, _ = _stream(hashes, counts, END)
+            met = (left >= 0) & (right >= 0)
+            total += np.bincount(left[met].astype(np.int64) * size + right[met], minlength=whole)
+            for word, cell, take in ((first, whole + right, (left < 0) & (right >= 0)), (second, 2 * whole + left * size, (left >= 0) & (right < 0))):
+                word, cell = word[take].view(np.int64), cell[take].astype(np.int64)
+                order = np.lexsort((cell, word))
+                word, cell = word[order], cell[order]
+                new = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (cell[1:] != cell[:-1])]) if len(word) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(word[new]), pa.nulls(len(new), pa.int64()), pa.array(cell[new]), pa.array(np.diff(np.r_[new, len(word)]))], names)
+            both = (left < 0) & (right < 0)
+            word, near = first[both].view(np.int64), second[both].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(near), pa.array(np.full(len(word), 3 * whole)), pa.array(np.ones(len(word), np.int64))], names)
+        cells = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(cells), pa.int64()), pa.nulls(len(cells), pa.int64()), pa.array(cells), pa.array(total[cells])], names)
+
+    of = assigned.select("word", "class")
+    rows = texts.mapInArrow(run, "word long, near long, cell long, n long")
+    # a first word's class is the row of the matrix, a second one's the column; cells of two shipped words are as they are
+    rows = rows.withColumn("key", F.coalesce("word", -1 - F.col("cell")))  # no null keys: these would all meet in one task
+    rows = rows.join(of.withColumnRenamed("word", "w"), F.col("key") == F.col("w"), "left")
+    part = F.expr(f"cell div {whole}")
+    cell = F.when(part == 2, F.col("cell") + F.col("class")).when(part > 0, F.col("cell") + F.col("class") * size).otherwise(F.col("cell"))
+    first = rows.select("near", cell.alias("cell"), "n").groupBy("near", "cell").agg(F.sum("n").alias("n"))
+    first = first.withColumn("key", F.coalesce("near", -1 - F.col("cell")))
+    second = first.join(of.select(F.col("word").alias("w"), F.col("class").alias("column")), F.col("key") == F.col("w"), "left")
+    second = second.select((F.col("cell") + F.when(F.col("near").isNotNull(), F.col("column")).otherwise(F.lit(0))).alias("cell"), "n")
+    table = second.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    joint = np.zeros(4 * whole)
+    joint[table.column("cell").to_numpy()] = table.column("n").to_numpy()
+    return joint.reshape(4, size, size)
 
 
 def likelihood(joint: np.ndarray) -> float:
     return float(_xlogx(joint).sum() - _xlogx(joint.sum(0)).sum() - _xlogx(joint.sum(1)).sum())
 
 
-def best_classes(joint: np.ndarray, classes: int, now: np.ndarray, owner: np.ndarray, slot: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The class below ``classes`` that each word, taken out of its own class, raises the likelihood most
-    in, if all other words stay. A word's pairs with itself count as pairs with its present class."""
-    size = len(joint)
-    table = np.concatenate((joint[:classes].T, joint[:, :classes]))  # by slot: count with each class
-    gain = np.zeros((len(now), classes))
-    for at in range(0, len(owner), 50_000):
-        o, s, k = (x[at : at + 50_000] for x in (owner, slot, n))
-        base = table[s]
-        mine = np.flatnonzero(now[o] < classes)
-        base[mine, now[o[mine]]] -= k[mine]
-        step = _xlogx(base + k[:, None]) - _xlogx(np.maximum(base, 0))
-        starts = np.flatnonzero(np.r_[True, o[1:] != o[:-1]])
-        gain[o[starts]] += np.add.reduceat(step, starts)
-    for side, sums in ((0, joint.sum(1)[:classes]), (1, joint.sum(0)[:classes])):
-        of = (slot >= size) == bool(side)
-        total = np.bincount(owner[of], n[of], len(now))
-        base = np.tile(sums, (len(now), 1))
-        mine = np.flatnonzero(now < classes)
-        base[mine, now[mine]] -= total[mine]
-        gain -= _xlogx(base + total[:, None]) - _xlogx(np.maximum(base, 0))
-    best = gain.argmax(1)
-    at = np.arange(len(now))
-    stay = (now < classes) & (gain[at, best] <= gain[at, np.minimum(now, classes - 1)] + 1e-9)
-    return np.where(stay, now, best)
-
-
-def moved(found: DataFrame, joint: np.ndarray, classes: int) -> DataFrame:
-    """word, bucket, n and class of all words after a round."""
-    sent = found.sparkSession.sparkContext.broadcast(joint)
-    end = len(joint) - 1
+class Gains:
+    """How much a word's pairs raise the likelihood in each class. after: counts of the classes (rows) by
+    what stands after them; before: by what stands before."""
+
+    def __init__(self, after: np.ndarray, before: np.ndarray, classes: int, tabled: int = 32):
+        self.classes, self.sums = classes, (after.sum(1), before.sum(1))
+        self.table = np.concatenate((after.T, before.T))  # by slot
+        self.plain = _xlogx(self.table)
+        self.steps = np.array([_xlogx(self.table + n) - self.plain for n in range(tabled)])
+
+    def best(self, now: np.ndarray, owner: np.ndarray, slot: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The class that each word, taken out of its present one (``now``; from ``classes`` on: none), raises
+        the likelihood most in, while its neighbours keep their classes. owner, which rises, slot and n
+        are the words' pairs."""
+        classes, size = self.classes, len(self.table) // 2
+        gain, at = np.zeros((len(now), classes)), np.arange(len(now))
+        for begin in range(0, len(owner), 20_000):
+            o, s, k = (x[begin : begin + 20_000] for x in (owner, slot, n))
+            many = np.flatnonzero(k >= len(self.steps))
+            step = self.steps[np.where(k < len(self.steps), k, 0), s]
+            if len(many):
+                step[many] = _xlogx(self.table[s[many]] + k[many, None]) - self.plain[s[many]]
+            mine = np.flatnonzero(now[o] < classes)
+            own = self.table[s[mine], now[o[mine]]]
+            step[mine, now[o[mine]]] = _xlogx(own) - _xlogx(np.maximum(own - k[mine], 0))
+            starts = np.flatnonzero(np.r_[True, o[1:] != o[:-1]])
+            gain[o[starts]] += np.add.reduceat(step, starts)
+        inside = np.flatnonzero(now < classes)
+        for side, sums in enumerate(self.sums):
+            of = (slot >= size) == bool(side)
+            total = np.bincount(owner[of], n[of], len(now))
+            kinds, where = np.unique(total, return_inverse=True)  # few: most words are rare
+            loss = (_xlogx(sums[None] + kinds[:, None]) - _xlogx(sums)[None])[where]
+            own = sums[now[inside]]
+            loss[inside, now[inside]] = _xlogx(own) - _xlogx(np.maximum(own - total[inside], 0))
+            gain -= loss
+        best = gain.argmax(1)
+        stay = (now < classes) & (gain[at, best] <= gain[at, np.minimum(now, classes - 1)] + 1e-9)
+        return np.where(stay, now, best)
+
+
+def moved(found: DataFrame, assigned: DataFrame, gains: Gains, still: np.ndarray, targets: int) -> DataFrame:
+    """word, bucket, n and class of all words after a round; those of ``still`` keep their class. A task
+    reads the parcels of a target one after another into the counts of its words."""
+    spark = found.sparkSession
+    sent = spark.sparkContext.broadcast((gains, still))
+    names = ["word", "bucket", "n", "class"]
+
+    def state(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            word, bucket, n, c = (batch.column(x).to_numpy(zero_copy_only=False) for x in names)
+            order = np.argsort(word.view(np.uint64), kind="stable")
+            ones = np.full(len(word), 4)
+            # four counts of a word: bucket, class, and the two halves of n
+            counts = np.stack((bucket, c, n >> 32, n & 0xFFFFFFFF), 1)[order]
+            yield _parcels(_STATE, targets, word.view(np.uint64)[order], ones, np.zeros(4 * len(word), np.int64), counts.ravel())
+
+    parcels = assigned.select(*names).mapInArrow(state, PARCEL).unionByName(found)
+    parcels = parcels.repartition(min(targets, 64 * shuffle_partitions(spark)), "target").sortWithinPartitions("target", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for word, now, bucket, count, owner, slot, n in _read_blocks(batches):
-            best = best_classes(sent.value, classes, now, owner, slot, n)
-            keep = now != end
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (word, bucket, count, best)], ["word", "bucket", "n", "class"])
+        empty_caches()
+        gains, still = sent.value
+        size = len(gains.table) // 2
+
+        def settled(states: list) -> tuple:
+            words, counts = np.concatenate([w for w, _ in states]), np.concatenate([c for _, c in states]).reshape(-1, 4)
+            order = np.argsort(words)
+            return words[order], counts[order], np.zeros((len(words), 2 * size), np.int64)
+
+        def out(words: np.ndarray, counts: np.ndarray, beside: np.ndarray) -> pa.RecordBatch:
+            owner, slot = np.nonzero(beside)
+            best = gains.best(counts[:, 1], owner, slot, beside[owner, slot])
+            best = np.where(_contains(still, words) | ~beside.any(1), counts[:, 1], best)
+            return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts[:, 0]), pa.array(counts[:, 2] << 32 | counts[:, 3]), pa.array(best)], names)
+
+        target, states, held = None, [], None
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["target"] != target:
+                    if target is not None:
+                        yield out(*(held or settled(states)))
+                    target, states, held = row["target"], [], None
+                word, sizes, slots, counts = (np.frombuffer(row[c], t) for c, t in (("words", "<u8"), ("sizes", "<u4"), ("slots", "<u2"), ("counts", "<u4")))
+                if row["kind"] == _STATE:  # these come first
+                    states.append((word, counts.astype(np.int64)))
+                    continue
+                held = held or settled(states)
+                at = np.repeat(np.searchsorted(held[0], word), sizes)
+                held[2][at, slots] += counts
+        if target is not None:
+            yield out(*(held or settled(states)))
+
+    return checkpointed(parcels.mapInArrow(run, "word long, bucket long, n long, class long"))
 
-    return checkpointed(found.mapInArrow(run, "word long, bucket long, n long, class long"))
 
+def cluster_all(training: DataFrame, counts: DataFrame, items: Items, item_class: np.ndarray, bigrams: np.ndarray, classes: int, frequent: int, rounds: int, distinct: int) -> tuple[DataFrame, Lookup, np.ndarray]:
+    """The class of every training word (word, bucket, n, class), the shipped words, and the class bigrams.
 
-def cluster_all(training: DataFrame, counts: DataFrame, items: Items, item_class: np.ndarray, classes: int, frequent: int, rounds: int, n_texts: int, distinct: int) -> tuple[DataFrame, Lookup, np.ndarray]:
-    """The class of every training word (word, bucket, n, class), the shipped words, and the class bigrams."""
+    In the first round a word's neighbours are the closed words, by class, and all others by open class;
+    in later rounds, the shipped words by class. Closed words stay where exchange has put them."""
     spark, size = counts.sparkSession, classes + items.open + 1
+    targets = max(shuffle_partitions(spark), -(-distinct // HELD))
     closed = items.sorted.view(np.int64).tolist()
     first = spark.createDataFrame(list(zip(closed, item_class[items.order].tolist())), "word long, first long")
     assigned = counts.join(F.broadcast(first), "word", "left").select("word", "bucket", "n", F.coalesce("first", classes + F.col("bucket")).alias("class"))
-    assigned, before = checkpointed(assigned), None
-    for k in range(max(1, rounds) + 1):
-        lookup = Lookup.shipped(assigned, frequent)
-        found = contexts(training, assigned, lookup, len(lookup.words) >= distinct, size, items.open, n_texts)
-        joint = class_bigrams(found, size)
-        spark.sparkContext._jvm.System.gc()  # frees the files of shuffles that are done
-        if k > 1 and likelihood(joint) <= likelihood(before[2]):
-            return before
-        before = assigned, lookup, joint
-        if k < max(1, rounds):
-            assigned = moved(found, joint, classes)
-    return before
+    member = np.zeros((len(bigrams), size))
+    member[np.arange(len(bigrams)), item_class] = 1
+    joint = member.T @ bigrams @ member
+    near, after, before_ = Lookup(items.sorted, np.ones(items.closed, np.int64), item_class[items.order]), joint[:classes], joint[:, :classes].T
+    best = None
+    for k in range(max(1, rounds)):
+        found = contexts(training, near, items.sorted, size, classes, items.open, targets, k == 0)
+        assigned = moved(found, assigned, Gains(after, before_, classes), items.sorted, targets)
+        near = Lookup.shipped(assigned, frequent)
+        parts = class_bigrams(training, near, assigned, size)
+        joint = parts.sum(0)
+        if best and likelihood(joint) <= likelihood(best[2]):
+            break
+        best = assigned, near, joint
+        after, before_ = (parts[0] + parts[1])[:classes], (parts[0] + parts[2])[:, :classes].T
+    return best
 
 
 class ClassModel:
@@ -387,6 +485,7 @@ def score_texts(
     no training text all counts are 0. An empty table gives no rows. Words are told apart by 64-bit
     hashes.
     """
+    small_batches(docs.sparkSession)
     if held_out is None:
         held_out = held_out_remainder(id_col, 5) == 1
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(held_out, F.lit(True)).alias("held_out"))
@@ -398,9 +497,10 @@ def score_texts(
     top = most_frequent(counts, frequent).toArrow()
     top_words, top_n = top.column("word").to_numpy().view(np.uint64), top.column("n").to_numpy()
     items = Items(top_words[np.lexsort((top_words, -top_n))][:clustered].copy(), open_classes)
-    item_class = exchange_clusters(item_bigrams(training, items), items.closed, classes, sweeps)
+    bigrams = item_bigrams(training, items)
+    item_class = exchange_clusters(bigrams, items.closed, classes, sweeps)
     classes = min(classes, max(1, items.closed))
-    assigned, lookup, joint = cluster_all(training, counts, items, item_class, classes, frequent, rounds, n_texts, words)
+    assigned, lookup, joint = cluster_all(training, counts, items, item_class, bigrams, classes, frequent, rounds, words)
     kinds = np.zeros((open_classes, len(joint)))
     for r in assigned.groupBy("bucket", "class").agg(F.count("*").alias("kinds")).collect():
         kinds[r["bucket"], r["class"]] = r["kinds"]

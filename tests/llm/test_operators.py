@@ -428,20 +428,101 @@ def test_all_words_are_clustered(spark):
 
 
 def test_contexts_and_joint(spark, small):
-    """However few words are shipped, the same class bigrams are counted, as in plain Python."""
+    """However few words are shipped, the same class bigrams are counted, as in plain Python; and the
+    contexts of all words that aren't closed."""
     df = small.limit(60).select("text")
-    rows = [[*(r.text or "").encode().lower().split()] for r in df.collect()]
+    rows = [[word_hash(w) for w in (r.text or "").encode().lower().split()] for r in df.collect()]
     counts = lm.checkpointed(lm.word_counts(df, 7)).withColumn("class", kernels_class())
     of = {r.word: r["class"] for r in counts.collect()}
-    want = np.zeros((12, 12))
-    for ws in rows:
-        cs = [11, *(of[word_hash(w)] for w in ws), 11]
-        for x, y in zip(cs, cs[1:]):
-            want[x, y] += 1
     for frequent in (20, 300_000):
         lookup = lm.Lookup.shipped(counts, frequent)
-        found = lm.contexts(df, counts, lookup, len(lookup.words) >= len(of), 12, 7, len(rows))
-        assert (lm.class_bigrams(found, 12) == want).all()
+        shipped = set(lookup.words.view(np.int64).tolist())
+        assert len(shipped) <= frequent
+        want = np.zeros((4, 12, 12))
+        for ws in rows:
+            for x, y in zip([None, *ws], [*ws, None]):
+                known = [w is None or w in shipped for w in (x, y)]
+                want[{(True, True): 0, (False, True): 1, (True, False): 2, (False, False): 3}[*known], 11 if x is None else of[x], 11 if y is None else of[y]] += 1
+        assert (lm.class_bigrams(df, lookup, counts, 12) == want).all()
+    still = lookup.words[::3]
+    found = lm.contexts(df, lookup, np.sort(still), 12, 4, 7, 5, False)
+    got, closed = Counter(), set(still.view(np.int64).tolist())
+    for r in found.collect():
+        word, sizes, slots, n = (np.frombuffer(r[c], t) for c, t in (("words", "<i8"), ("sizes", "<u4"), ("slots", "<u2"), ("counts", "<u4")))
+        for w, s, k in zip(np.repeat(word, sizes).tolist(), slots.tolist(), n.tolist()):
+            got[w, s] += k
+    want = Counter()
+    for ws in rows:
+        for x, y in zip([None, *ws], [*ws, None]):
+            if x is not None and x not in closed:
+                want[x, 11 if y is None else of[y]] += 1
+            if y is not None and y not in closed:
+                want[y, 12 + (11 if x is None else of[x])] += 1
+    assert got == want
+
+
+def test_words_move_to_their_best_class():
+    """Gains against a likelihood that is counted anew with the word in each class: of what stands after
+    the words of a class, and before them, by the neighbours' present classes."""
+    rng = np.random.default_rng(3)
+    words, classes = 30, 4
+    of = rng.integers(0, classes, words)
+    pairs = rng.poisson(0.7, (words, words)).astype(float)
+    for w in range(words):
+        for inside in (True, False):
+            beside = np.eye(classes + 1)[np.where((np.arange(words) == w) & (not inside), classes, of)]
+            after, before = pairs @ beside, pairs.T @ beside  # of each word
+            value = []
+            for c in range(classes):
+                member = np.eye(classes)[np.where(np.arange(words) == w, c, of)]
+                sides = [member.T @ x for x in (after, before)]
+                value.append(sum(lm._xlogx(x).sum() - lm._xlogx(x.sum(1)).sum() for x in sides))
+            rows = beside[:, :classes].T
+            slots = np.concatenate((after[w], before[w])).astype(int)
+            s = np.flatnonzero(slots)
+            gains = lm.Gains(rows @ after, rows @ before, classes, tabled=3)
+            best = gains.best(np.array([of[w] if inside else classes]), np.zeros(len(s), int), s, slots[s])
+            assert value[best[0]] >= max(value) - 1e-6
+
+
+def test_scores_are_log_probabilities(spark, small, monkeypatch):
+    """score from the classes in plain Python; after each class, the probabilities of all words (one unseen
+    word for each class that unseen words may count to) and of the end add up to 1."""
+    rows = [(i, [word_hash(w) for w in t.encode().lower().split()], [w[-2:] for w in t.encode().lower().split()]) for i, t in texts(small)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    seen, plain = {}, lm.cluster_all
+    made, make = [], lm.ClassModel.__init__
+    monkeypatch.setattr(lm, "cluster_all", lambda *a: seen.setdefault("result", plain(*a)))
+    monkeypatch.setattr(lm.ClassModel, "__init__", lambda self, *a: made.append(a) or make(self, *a))
+    got = {r.doc_id: r.score for r in lm.score_texts(small, clustered=100, classes=10, frequent=200).collect()}
+    assigned, _, joint = seen["result"]
+    _, types, opened, fallback = made[0]
+    of = {r.word: (r["class"], r.n) for r in assigned.collect()}
+    end, size, n_texts = len(joint) - 1, len(joint), sum(not held(i) for i, *_ in rows)
+    want = np.zeros((size, size))
+    for i, ws, _ in rows:
+        if not held(i):
+            cs = [end, *(of[w][0] for w in ws), end]
+            for x, y in zip(cs, cs[1:]):
+                want[x, y] += 1
+    assert (joint == want).all() and Counter(c for c, _ in of.values()) == Counter({c: int(types[c]) for c in range(end) if types[c]})
+    emissions = want.sum(0) + 0.5 * (types + opened)
+    every, back = emissions.sum(), want.sum(1)
+
+    def chance(before, c, n):
+        weight = back[before] / max(back[before] + (want[before] > 0).sum(), 1)
+        step = weight * want[before, c] / max(back[before], 1) + (1 - weight) * emissions[c] / every
+        trust = 0.95 * back[before] / (back[before] + 50)
+        return (n + 0.5) * (trust * step / emissions[c] + (1 - trust) / every)
+
+    for i, ws, tails in rows:
+        known = [of.get(w) or (int(fallback[lm._bucket(np.array([t[-1] | (t[-2] << 8 if len(t) > 1 else 0)]), 64)[0]]), 0) for w, t in zip(ws, tails)]
+        cs = [(end, 0), *known, (end, n_texts)]
+        assert abs(got[i] - sum(math.log10(chance(x[0], *y)) for x, y in zip(cs, cs[1:]))) < 1e-5 * len(cs), i
+    for before in range(size):
+        if back[before]:
+            total = sum(chance(before, *x) for x in of.values()) + sum(chance(before, c, 0) for c in range(size) if opened[c]) + chance(before, end, n_texts)
+            assert abs(total - 1) < 1e-9
 
 
 def kernels_class():
