@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gleaner.llm import bpe, bwt, chat, components, exact_dedup, kernels, langid, lm, media, near_dedup, packing, secrets, suffix_dedup
@@ -212,6 +213,59 @@ def test_secrets(spark, odd):
     assert out.columns == [*odd.columns, "n_candidates", "secrets", "redacted"] and out.count() == odd.count()
 
 
+def test_secret_candidates():
+    def of(text):
+        data, offsets = kernels.flat(pa.array([text, "", text]))
+        first, end, row = secrets.candidates(data, offsets, 16, 6)
+        raw = (text * 2).encode()
+        found = [(r, raw[a:b].decode()) for a, b, r in zip(first.tolist(), end.tolist(), row.tolist())]
+        assert [x for r, x in found if r == 0] == [x for r, x in found if r == 2]
+        return {x for r, x in found if r == 0}
+
+    assert of("password=Tr0ub4dor3") == {"Tr0ub4dor3"}
+    assert of("pwd: 7f!kQ@92x.#Lm% end") == {"7f!kQ@92x.#Lm%"}
+    assert of('é token = "ab-cd_ef.gh".') == {"ab-cd_ef.gh"}
+    assert of("db://bob:s3cr3tPw@host:5432/db") == {"//bob:s3cr3tPw@host:5432/db", "s3cr3tPw", "5432/db"}
+    assert of("a: b") == of("=") == of(":") == of("") == set() and of("x" * 16) == {"x" * 16}
+    assert secrets.merged([(0, 4, 0.6), (2, 9, 0.9), (9, 12, 0.7)]) == [(0, 9, 0.9), (9, 12, 0.7)]
+
+
+def held_out_findings(rnd):
+    """Kinds of findings that training has no generator for: (kind, text before, finding, text after, label)."""
+    some = lambda chars, k: "".join(rnd.choices(chars, k=k))
+    low, up, dig, hexa = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
+    chosen = ["Tr0ub4dor3", "hunter2hunter", "Summer2024!", "c0rrectH0rse", "P@ssw0rd123", "letmein!99", "qwerty_1987", "N3v3rmind#1", "iloveyou42!", "Blue$ky77"]
+    prose = ["remember", "tomorrow", "everything", "although", "Sunday", "question"]
+    for _ in range(40):
+        yield "aws", "the key ", "AKIA" + some(up + dig, 16), " is here", 1
+        yield "hosted", "use ", rnd.choice(["sk_live_", "ghs_", "glpat-"]) + some(low + up + dig, 28), " for it", 1
+        yield "web token", "Authorization: Bearer ", "eyJhbGciOi" + some(low + up + dig + "_-", 50), " sent", 1
+        yield "pass word", rnd.choice(["password=", "DB_PASSWORD: ", "pwd = '", "login password: "]), rnd.choice(chosen), rnd.choice(["", " and", "'"]), 1
+        yield "signs", rnd.choice(["secret: ", "api_secret=", "passphrase="]), some(low + up + dig + "!#%@.*", 12), " next", 1
+        yield "url", "connect to mysql://admin:", some(low + up + dig, 10), "@db.internal/shop now", 1
+        yield "commit", "fixed in commit ", some(hexa, 40), " last week", 0
+        yield "image", "image digest sha256:", some(hexa, 64), " pulled", 0
+        yield "prose", "she said: ", rnd.choice(prose), " and left", 0
+        yield "date", "created: ", f"2024-0{rnd.randint(1, 9)}-1{rnd.randint(0, 9)}", " by hand", 0
+        yield "page", "see url: ", "https://example.org/docs/" + rnd.choice(prose), " for more", 0
+        yield "snake", "call ", "_".join(rnd.choices(prose, k=4)).lower(), " first", 0
+        yield "placeholder", "password=", rnd.choice(["changeme_please", "your_password", "********", "${DB_PASSWORD}"]), " here", 0
+
+
+def test_secrets_of_kinds_not_trained_on(spark):
+    """Recall for each kind of secret and the share of each kind of other findings taken for one."""
+    rows = [(i, kind, a + x + b, len(a), len(x), label) for i, (kind, a, x, b, label) in enumerate(held_out_findings(random.Random(8)))]
+    filler = [(10_000 + i, "", "she said that everything was ready although the question remained until Sunday " * 5, 0, 0, 0) for i in range(50)]
+    hits, all_ = Counter(), Counter(r[1] for r in rows)
+    for r in secrets.scan(spark.createDataFrame(rows + filler, "doc_id long, kind string, text string, at int, size int, label int")).collect():
+        hits[r.kind] += any(s.start < r.at + r["size"] and r.at < s.start + s.length for s in r.secrets)
+    recall = {k: hits[k] / all_[k] for k in ("aws", "hosted", "web token", "pass word", "signs", "url")}
+    wrong = {k: hits[k] / all_[k] for k in ("commit", "image", "prose", "date", "page", "snake", "placeholder")}
+    print(recall, wrong)
+    assert not hits[""] and min(recall.values()) >= 0.8 and sum(recall.values()) >= 0.93 * len(recall)
+    assert max(wrong.values()) <= 0.4 and sum(wrong.values()) <= 0.15 * len(wrong)
+
+
 def test_secrets_on_a_table(spark):
     import re
 
