@@ -28,6 +28,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
         if shared is None and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
+    # Spark removes the shuffle files behind earlier checkpoints when the driver collects its garbage
+    context._jvm.System.gc()
     return df.checkpoint()
 
 
