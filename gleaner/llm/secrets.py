@@ -184,9 +184,9 @@ def features(data: np.ndarray, first: np.ndarray, end: np.ndarray, lo: np.ndarra
 class Forest:
     """A random forest of binary trees by Gini impurity, kept as flat arrays."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, trees: int = 25, depth: int = 8, seed: int = 11):
+    def __init__(self, x: np.ndarray, y: np.ndarray, trees: int = 30, depth: int = 12, seed: int = 11):
         rng, self.trees = np.random.default_rng(seed), []
-        tries = max(1, int(np.ceil(np.sqrt(x.shape[1]))))
+        tries = max(1, x.shape[1] // 2)
         for _ in range(trees):
             some = rng.integers(0, len(x), len(x))
             nodes: list[list] = []  # feature, threshold, left, right, share of positives
@@ -233,7 +233,7 @@ class Forest:
         return total / len(self.trees)
 
 
-def synthetic_findings(words: list[str], n: int = 6000, seed: int = 5) -> list[tuple[str, int, int, int]]:
+def synthetic_findings(words: list[str], n: int = 8000, seed: int = 5) -> list[tuple[str, int, int, int]]:
     """(text, start, length, label) in characters; half of them secrets: generated keys, pass words that
     people choose, and the same in places that others stand in too."""
     rnd = random.Random(seed)
@@ -283,9 +283,10 @@ def synthetic_findings(words: list[str], n: int = 6000, seed: int = 5) -> list[t
     for i in range(n):
         secret, draw = i % 2, rnd.random()
         ahead = behind = ""
-        if secret and draw < 0.45:
-            key = rnd.choice(keys)()
-            if rnd.random() < 0.6:
+        if secret and draw < 0.6:
+            kind = rnd.randrange(len(keys))
+            key = keys[kind]()
+            if kind == 0 or rnd.random() < 0.35:  # bare, the first kind is a digest
                 ahead, behind = assigned(secret_names, key) if rnd.random() < 0.8 else (rnd.choice(["Bearer ", "token ", "key ", "secret is ", "password "]), "")
         elif secret and draw < 0.9:
             key = chosen()
@@ -313,9 +314,10 @@ def synthetic_findings(words: list[str], n: int = 6000, seed: int = 5) -> list[t
     return out
 
 
-def background(docs: DataFrame, text_col: str = "text", dictionary_size: int = 20_000) -> tuple[Background, list[str]]:
+def background(docs: DataFrame, text_col: str = "text", dictionary_size: int = 20_000, least: int = 3) -> tuple[Background, list[str]]:
     """Byte pairs and word counts over all rows; only the pair table and the ``dictionary_size`` most
-    frequent words of letters come to the driver."""
+    frequent words of letters come to the driver. A word that occurs less than ``least`` times, as pieces
+    of secrets do, is in no dictionary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         empty_caches()
@@ -362,7 +364,7 @@ def background(docs: DataFrame, text_col: str = "text", dictionary_size: int = 2
         key = bytes(key)
         if key[:1] == b"\xff":
             pairs[int.from_bytes(key[1:], "big")] = n
-        else:
+        elif n >= least:
             words.append((-n, key))
     words = [w for _, w in sorted(words)]
     return Background(pairs, words), [w.decode("utf-8", "replace") for w in words]
