@@ -165,3 +165,10 @@ def host_rule_matches(name: Column, pattern: Column) -> Column:
     base = F.substr(pattern, F.lit(3))
     wild = pattern.startswith("*.")
     return F.when(wild, (name == base) | F.endswith(name, F.concat(F.lit("."), base))).otherwise(name == pattern)
+
+
+def patterns_of_host(name: Column) -> Column:
+    """All rules' patterns that match a host: itself, and ``*.`` before each of its domains."""
+    labels = F.split(name, r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(F.lit("*."), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
+    return F.when(name.isNotNull(), F.concat(F.array(name), above))

@@ -26,9 +26,9 @@ def by_day(df: DataFrame, at: Column, name: str) -> DataFrame:
 
 
 def llm_costs(usage: DataFrame, prices: DataFrame, on_missing: str = "raise") -> DataFrame:
-    """Tokens, calls and cost in total, by model and by agent; the price list is small by nature, one row
-    a model. A model without a price raises, or counts as null with on_missing="null"."""
-    priced = usage.join(F.broadcast(prices), "model_name", "left")
+    """Tokens, calls and cost in total, by model and by agent. prices has one row
+    a model; Spark broadcasts it if its size allows. A model without a price raises, or counts as null with on_missing="null"."""
+    priced = usage.join(prices, "model_name", "left")
     cost = F.col("prompt_tokens") / 1e6 * F.col("input_per_million") + F.col("output_tokens") / 1e6 * F.col("output_per_million")
     if on_missing == "raise":
         cost = F.when(F.col("input_per_million").isNull(), F.raise_error(F.concat(F.lit("no price for model "), F.coalesce("model_name", F.lit("null"))))).otherwise(cost)

@@ -26,14 +26,15 @@ def near_signature(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
     return distinct_by(df, X.near_signature(F.col(text_col)), [F.col(id_col)])
 
 
-def containment(df: DataFrame, container_col: str, order_col: str, text_col: str, threshold: float = 0.8) -> DataFrame:
+def containment(df: DataFrame, container_col: str, order_cols: list[str], text_col: str, threshold: float = 0.8) -> DataFrame:
     """Within each container, in order: a text whose words (over two characters) lie to more than the
     threshold in a kept one is dropped; a kept one that lies so in a longer new text is replaced by it.
-    The outcome depends on the order, so each container is folded by one Python call, in order."""
+    The outcome depends on the order, so order_cols have to settle ties; each container, such as the
+    passages of one page, is folded by one Python call."""
     columns = df.columns
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order_col, kind="stable")
+        rows = rows.sort_values(order_cols, kind="stable")
         kept: list[tuple[int, set, int]] = []
         for i, text in enumerate(rows[text_col].fillna("")):
             words = {w for w in text.lower().split() if len(w) > 2}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,23 +59,25 @@ def resolve_edges(relations: DataFrame, names: DataFrame) -> DataFrame:
     return relations.join(ends("from"), F.col("from_name") == F.col("__from")).join(ends("to"), F.col("to_name") == F.col("__to")).drop("__from", "__to")
 
 
-def traverse(edges: DataFrame, vertices: DataFrame, seeds: DataFrame, hops: int, dedupe: bool = False) -> DataFrame:
+def traverse(edges: DataFrame, vertices: DataFrame, seeds: DataFrame, hops: int, dedupe: bool = False, checkpoint: Callable[[DataFrame], DataFrame] = lambda df: df.checkpoint()) -> DataFrame:
     """Edges (hop, from_id, to_id, relation_type) within some hops of the seeds (id), along directions.
 
     Each hop takes the distinct edges out of the frontier whose two ends are known; the next frontier is
     their ends that aren't in the present one. A vertex of an earlier hop may thus be expanded again and
-    its edges repeat; dedupe leaves vertices out that were expanded before."""
-    plain = edges.select("from_id", "to_id", "relation_type").distinct()
-    known = vertices.select(F.col("id").alias("__v"))
-    plain = plain.join(known, F.col("to_id") == F.col("__v"), "left_semi").join(known, F.col("from_id") == F.col("__v"), "left_semi")
-    frontier, seen, out = seeds.select("id").distinct(), seeds.select("id").distinct(), None
+    its edges repeat; dedupe leaves vertices out that were expanded before.
+
+    A hop reads the edges once, keeps those out of the frontier and only then looks at their ends; its
+    result is checkpointed, so the plan of a hop doesn't contain the hops before it."""
+    known = vertices.select("id").distinct()
+    frontier = seeds.select("id").distinct().join(known, "id", "left_semi")
+    expanded, out = frontier, None
     for hop in range(1, hops + 1):
-        found = plain.join(frontier, F.col("from_id") == F.col("id"), "left_semi").withColumn("hop", F.lit(hop))
+        found = edges.join(frontier.withColumnRenamed("id", "from_id"), "from_id", "left_semi").select("from_id", "to_id", "relation_type").distinct()
+        found = checkpoint(found.join(known.withColumnRenamed("id", "to_id"), "to_id", "left_semi").select(F.lit(hop).alias("hop"), "from_id", "to_id", "relation_type"))
         out = found if out is None else out.unionByName(found)
-        ends = found.select(F.col("to_id").alias("id")).distinct()
-        frontier = ends.join(seen if dedupe else frontier, "id", "left_anti")
-        seen = seen.unionByName(frontier)
-    return out.select("hop", "from_id", "to_id", "relation_type")
+        frontier = found.select(F.col("to_id").alias("id")).distinct().join(expanded, "id", "left_anti")
+        expanded = expanded.unionByName(frontier) if dedupe else frontier
+    return out
 
 
 def match(vertices: DataFrame, edges: DataFrame, start: Column | None = None, relation: str | None = None, end: Column | None = None, limit: int | None = None) -> DataFrame:

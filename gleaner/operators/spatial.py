@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,9 +59,9 @@ def band_texts(references: DataFrame, boxes: DataFrame, container: str, most: in
     return ranked.groupBy(F.col("r_element_id").alias("element_id")).agg(F.left(F.array_join(texts, " | "), F.lit(cap)).alias("band"))
 
 
-def edge_clusters(values: Column, tolerance: float) -> Column:
-    """Means of clusters of sorted edges: a new one begins where an edge is over the tolerance from the last
-    edge, or over twice the tolerance from the cluster's first."""
+def _clusters(values: Column, tolerance: float) -> Column:
+    """Clusters of sorted values: a new one begins where a value is over the tolerance from the last one, or
+    over twice the tolerance from the cluster's first."""
     none = F.array().cast("array<struct<first:double,last:double,sum:double,n:int>>")
 
     def step(acc: Column, x: Column) -> Column:
@@ -72,29 +71,21 @@ def edge_clusters(values: Column, tolerance: float) -> Column:
         apart = last.isNull() | (x - last["first"] > 2 * tolerance) | (x - last["last"] > tolerance)
         return F.when(apart, F.array_append(acc, new)).otherwise(F.array_append(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), grown))
 
-    return F.transform(F.aggregate(F.array_sort(F.transform(values, lambda v: v.cast("double"))), none, step), lambda c: F.round(c["sum"] / c["n"], 6))
+    return F.aggregate(F.array_sort(F.transform(values, lambda v: v.cast("double"))), none, step)
+
+
+def edge_clusters(values: Column, tolerance: float) -> Column:
+    """The means of the values' clusters."""
+    return F.transform(_clusters(values, tolerance), lambda c: F.round(c["sum"] / c["n"], 6))
 
 
 def grids(boxes: DataFrame, container: str, tolerance: float = 15.0) -> DataFrame:
     """Rows, columns, fill and whether a container's boxes form a grid (at least four boxes, two rows and
     two columns, and two fifths of the cells filled). One container is one page element's boxes."""
-
-    def fold(b: pd.DataFrame) -> pd.DataFrame:
-        def cluster(v):
-            out = []
-            for x in sorted(v):
-                if out and x - out[-1][0] <= 2 * tolerance and x - out[-1][-1] <= tolerance:
-                    out[-1].append(x)
-                else:
-                    out.append([x])
-            return [(c[0], c[-1]) for c in out]
-
-        rows, columns = cluster(b["top"]), cluster(b["left"])
-        place = lambda x, of: next(i for i, (lo, hi) in enumerate(of) if lo <= x <= hi)
-        cells = {(place(t, rows), place(x, columns)) for t, x in zip(b["top"], b["left"])}
-        fill = len(cells) / (len(rows) * len(columns))
-        ok = len(b) >= 4 and len(rows) > 1 and len(columns) > 1 and fill >= 0.4
-        return pd.DataFrame({container: b[container].iloc[:1], "n_rows": [len(rows)], "n_columns": [len(columns)], "fill": [round(fill, 6)], "is_grid": [ok]})
-
-    kind = dict(boxes.dtypes)[container]
-    return boxes.select(container, "top", "left").groupBy(container).applyInPandas(fold, f"{container} {kind}, n_rows long, n_columns long, fill double, is_grid boolean")
+    one = boxes.groupBy(container).agg(F.collect_list(F.struct("top", "left")).alias("boxes"))
+    one = one.select(container, "boxes", _clusters(F.col("boxes.top"), tolerance).alias("r"), _clusters(F.col("boxes.left"), tolerance).alias("c"))
+    place = lambda of, x: F.size(F.filter(of, lambda k: k["first"] <= x))
+    cells = F.size(F.array_distinct(F.transform("boxes", lambda b: F.struct(place(F.col("r"), b["top"]), place(F.col("c"), b["left"])))))
+    out = one.select(container, F.size("r").cast("long").alias("n_rows"), F.size("c").cast("long").alias("n_columns"), (cells / (F.size("r") * F.size("c"))).alias("fill"), F.size("boxes").alias("n"))
+    is_grid = (F.col("n") >= 4) & (F.col("n_rows") > 1) & (F.col("n_columns") > 1) & (F.col("fill") >= 0.4)
+    return out.select(container, "n_rows", "n_columns", F.round("fill", 6).alias("fill"), is_grid.alias("is_grid"))

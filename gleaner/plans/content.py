@@ -106,8 +106,8 @@ def near_dup_signature(spark, sf):
 
 @query("D6 J11 S28")
 def containment_dedup(spark, sf):
-    t = table(spark, sf, "conversations").withColumn("place", F.struct("turn", "role").cast("string"))
-    return D.containment(t.select("conv_id", "turn", "role", "text"), "conv_id", "turn", "text").select("conv_id", "turn", "role")
+    t = table(spark, sf, "conversations", "conv_id", "turn", "role", "text")
+    return D.containment(t, "conv_id", ["turn", "role", "text"], "text").select("conv_id", "turn", "role")
 
 
 @query("S28 U5", """
@@ -173,7 +173,8 @@ def request_batches(spark, sf):
 
 
 @query("SK4 G26 M14", """
-    SELECT DISTINCT p_name AS key FROM part WHERE NOT EXISTS (SELECT 1 FROM (SELECT p_name AS c FROM part WHERE p_size < 10) WHERE c = p_name)""")
+    WITH k AS (SELECT p_name || ' ' || p_brand AS key, p_size FROM part)
+    SELECT DISTINCT key FROM k WHERE NOT EXISTS (SELECT 1 FROM k c WHERE c.p_size < 10 AND c.key = k.key)""")
 def cache_misses(spark, sf):
-    t = table(spark, sf, "part", "p_name", "p_size")
-    return D.cache_misses(t.select(F.col("p_name").alias("key")), t.filter("p_size < 10").select(F.col("p_name").alias("key")), "key")
+    t = table(spark, sf, "part", "p_name", "p_brand", "p_size").select(F.concat_ws(" ", "p_name", "p_brand").alias("key"), "p_size")
+    return D.cache_misses(t.select("key"), t.filter("p_size < 10").select("key"), "key")

@@ -37,7 +37,9 @@ def _vertices(spark, sf):
     f3 AS (SELECT DISTINCT to_id AS id FROM h2 WHERE to_id NOT IN (SELECT id FROM f2)), h3 AS (SELECT 3 AS hop, * FROM k WHERE from_id IN (SELECT id FROM f3))
     SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3""")
 def khop_traverse(spark, sf):
-    return G.traverse(_edges(spark, sf), _vertices(spark, sf), spark.createDataFrame([("n1",), ("c7",)], "id string"), 3)
+    from gleaner.streaming.rounds import checkpointed
+
+    return G.traverse(_edges(spark, sf), _vertices(spark, sf), spark.createDataFrame([("n1",), ("c7",)], "id string"), 3, checkpoint=checkpointed)
 
 
 @query("R10 as DataFrame pattern", """
@@ -79,10 +81,10 @@ def entity_search(spark, sf):
     return G.enrich(best, s).select("entity_id", "distance", "facts")
 
 
-@query("J7 M8", "SELECT p_partkey AS entity_id FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey)")
+@query("J7 M8", "SELECT p_partkey AS entity_id FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity >= 49)")
 def orphan_entities(spark, sf):
     e = table(spark, sf, "part", "p_partkey").select(F.col("p_partkey").alias("entity_id"))
-    return G.orphans(e, table(spark, sf, "lineitem", "l_partkey").select(F.col("l_partkey").alias("entity_id")))
+    return G.orphans(e, table(spark, sf, "lineitem", "l_partkey", "l_quantity").filter("l_quantity >= 49").select(F.col("l_partkey").alias("entity_id")))
 
 
 @query("J6", """

@@ -41,13 +41,13 @@ def partial_upsert(spark, sf):
 
 
 @query("M4", """
-    WITH o AS (SELECT DISTINCT l_orderkey AS url, l_partkey AS hash FROM lineitem WHERE l_orderkey < 500), d AS (SELECT DISTINCT l_orderkey AS url, l_partkey + (l_linenumber % 2) AS hash FROM lineitem WHERE l_orderkey < 250)
+    WITH o AS (SELECT DISTINCT l_orderkey AS url, l_partkey AS hash FROM lineitem), d AS (SELECT DISTINCT l_orderkey AS url, l_partkey + (l_linenumber % 2) AS hash FROM lineitem WHERE l_returnflag = 'R')
     SELECT url, hash, true AS is_active, 9000::BIGINT AS created_at_ms FROM d
     UNION ALL SELECT url, hash, url NOT IN (SELECT url FROM d), 1000 FROM o WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.url = o.url AND d.hash = o.hash)""")
 def replace_links(spark, sf):
-    t = table(spark, sf, "lineitem", "l_orderkey", "l_partkey", "l_linenumber").filter("l_orderkey < 500")
+    t = table(spark, sf, "lineitem", "l_orderkey", "l_partkey", "l_linenumber", "l_returnflag")
     old = t.select(F.col("l_orderkey").alias("url"), F.col("l_partkey").alias("hash"), F.lit(True).alias("is_active"), F.lit(1000).cast("long").alias("created_at_ms")).distinct()
-    return M.replace_links(old, t.filter("l_orderkey < 250").select(F.col("l_orderkey").alias("url"), (F.col("l_partkey") + F.col("l_linenumber") % 2).alias("hash")), "url", "hash", 9000)
+    return M.replace_links(old, t.filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("url"), (F.col("l_partkey") + F.col("l_linenumber") % 2).alias("hash")), "url", "hash", 9000)
 
 
 @query("M5", """
@@ -58,11 +58,11 @@ def flag_used(spark, sf):
 
 
 @query("M6", """
-    SELECT l_orderkey AS source_url, l_partkey AS fact FROM lineitem WHERE l_orderkey >= 100 AND l_orderkey < 400
-    UNION ALL SELECT o_orderkey, -o_custkey FROM orders WHERE o_orderkey < 100""")
+    SELECT l_orderkey AS source_url, l_partkey AS fact FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderstatus = 'F')
+    UNION ALL SELECT o_orderkey, -o_custkey FROM orders WHERE o_orderstatus = 'F'""")
 def replace_provenance(spark, sf):
-    old = table(spark, sf, "lineitem", "l_orderkey", "l_partkey").filter("l_orderkey < 400").select(F.col("l_orderkey").alias("source_url"), F.col("l_partkey").alias("fact"))
-    return M.replace_provenance(old, table(spark, sf, "orders", "o_orderkey", "o_custkey").filter("o_orderkey < 100").select(F.col("o_orderkey").alias("source_url"), (-F.col("o_custkey")).alias("fact")), "source_url")
+    old = table(spark, sf, "lineitem", "l_orderkey", "l_partkey").select(F.col("l_orderkey").alias("source_url"), F.col("l_partkey").alias("fact"))
+    return M.replace_provenance(old, table(spark, sf, "orders", "o_orderkey", "o_custkey", "o_orderstatus").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("source_url"), (-F.col("o_custkey")).alias("fact")), "source_url")
 
 
 @query("M9", """

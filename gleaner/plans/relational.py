@@ -74,9 +74,10 @@ def exists_semi(spark, sf):
     return table(spark, sf, "orders", "o_orderkey", "o_orderdate").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi")
 
 
-@query("J7 J8 U4", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("J7 J8 U4", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT' AND o_totalprice > 100000)")
 def orphans_anti(spark, sf):
-    return table(spark, sf, "customer", "c_custkey", "c_name").join(table(spark, sf, "orders", "o_custkey"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+    urgent = table(spark, sf, "orders", "o_custkey", "o_orderpriority", "o_totalprice").filter("o_orderpriority = '1-URGENT' and o_totalprice > 100000")
+    return table(spark, sf, "customer", "c_custkey", "c_name").join(urgent, F.col("c_custkey") == F.col("o_custkey"), "left_anti")
 
 
 @query("J3", """
@@ -91,12 +92,11 @@ def enrich_children(spark, sf):
 
 @query("J4 J5 J17 J13", """
     SELECT o_orderkey, c_name, l_partkey, p_name, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS line
-    FROM orders JOIN customer ON c_custkey = o_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = l_partkey
-    WHERE o_orderkey < 200""")
+    FROM orders JOIN customer ON c_custkey = o_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = l_partkey""")
 def detail_join(spark, sf):
-    o = table(spark, sf, "orders", "o_orderkey", "o_custkey").filter("o_orderkey < 200")
+    o = table(spark, sf, "orders", "o_orderkey", "o_custkey")
     o = o.join(table(spark, sf, "customer", "c_custkey", "c_name"), F.col("c_custkey") == F.col("o_custkey"))
-    lines = table(spark, sf, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate").filter("l_orderkey < 200")
+    lines = table(spark, sf, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate")
     o = o.join(lines, F.col("l_orderkey") == F.col("o_orderkey"), "left").join(table(spark, sf, "part", "p_partkey", "p_name"), F.col("p_partkey") == F.col("l_partkey"), "left")
     w = Window.partitionBy("o_orderkey").orderBy(*[F.col(c).asc_nulls_last() for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")])
     return o.select("o_orderkey", "c_name", "l_partkey", "p_name", F.row_number().over(w).alias("line"))

@@ -9,11 +9,11 @@ from gleaner.plans.catalog import query
 from gleaner.session import table
 
 _BOXES = """b AS (SELECT l_orderkey AS container_id, l_orderkey * 10 + l_linenumber AS element_id, 'n' || l_linenumber AS text, (l_linenumber % 3) * 100.0::DOUBLE AS left_, (l_linenumber % 3) * 100.0::DOUBLE + l_quantity * 2 AS right_,
-       floor(l_linenumber / 3) * 40.0 + l_quantity % 5 AS top_, floor(l_linenumber / 3) * 40.0 + l_quantity % 5 + 20 AS bottom_ FROM (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM lineitem WHERE l_orderkey < 2000 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity))"""
+       floor(l_linenumber / 3) * 40.0 + l_quantity % 5 AS top_, floor(l_linenumber / 3) * 40.0 + l_quantity % 5 + 20 AS bottom_ FROM (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity))"""
 
 
 def _boxes(spark, sf):
-    t = table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_partkey", "l_suppkey").filter("l_orderkey < 2000")
+    t = table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_partkey", "l_suppkey")
     t = t.groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_partkey", "l_suppkey", "l_quantity")).alias("m")).withColumn("l_quantity", F.col("m.l_quantity"))
     left, top = (F.col("l_linenumber") % 3) * 100.0, F.floor(F.col("l_linenumber") / 3) * 40.0 + F.col("l_quantity") % 5
     return t.select(F.col("l_orderkey").alias("container_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("element_id"), F.concat(F.lit("n"), F.col("l_linenumber").cast("string")).alias("text"), left.alias("left"), (left + F.col("l_quantity") * 2).alias("right"), top.alias("top"), (top + 20).alias("bottom"))
@@ -48,13 +48,22 @@ def outermost_candidates(spark, sf):
     return B.outermost(table(spark, sf, "nation").select(F.col("n_regionkey").alias("container_id"), path.alias("path")).distinct(), "container_id", "path")
 
 
-@query("W9 W10 G21")
+_CLUSTERS = """list_reduce(list_transform(list_sort(list({0})), lambda x: [{{'first': x, 'last': x, 'total': x, 'n': 1}}]),
+        lambda a, x: CASE WHEN x[1].first - a[-1].last > 15 OR x[1].first - a[-1].first > 30 THEN a || x
+                     ELSE a[1:-2] || [{{'first': a[-1].first, 'last': x[1].last, 'total': a[-1].total + x[1].total, 'n': a[-1].n + 1}}] END)"""
+
+
+@query("W9 W10 G21", f"""
+    WITH {_BOXES} SELECT container_id, list_transform({_CLUSTERS.format("left_")}, lambda c: round(c.total / c.n, 6)) AS columns FROM b GROUP BY container_id""")
 def edge_clusters(spark, sf):
     b = _boxes(spark, sf).groupBy("container_id").agg(F.collect_list("left").alias("v"))
     return b.select("container_id", B.edge_clusters(F.col("v"), 15.0).alias("columns"))
 
 
-@query("S36")
+@query("S36", f"""
+    WITH {_BOXES}, c AS (SELECT container_id, {_CLUSTERS.format("top_")} AS r, {_CLUSTERS.format("left_")} AS c, list({{'x': left_, 'y': top_}}) AS boxes FROM b GROUP BY container_id),
+    p AS (SELECT container_id, len(r) AS n_rows, len(c) AS n_columns, len(boxes) AS n, len(list_distinct(list_transform(boxes, lambda b: [len(list_filter(r, lambda k: k.first <= b.y)), len(list_filter(c, lambda k: k.first <= b.x))]))) AS cells FROM c)
+    SELECT container_id, n_rows, n_columns, round(cells::DOUBLE / (n_rows * n_columns), 6) AS fill, n >= 4 AND n_rows > 1 AND n_columns > 1 AND cells::DOUBLE / (n_rows * n_columns) >= 0.4 AS is_grid FROM p""")
 def table_grids(spark, sf):
     return B.grids(_boxes(spark, sf), "container_id")
 

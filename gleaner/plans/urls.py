@@ -60,10 +60,10 @@ def lang_filter(spark, sf):
 def host_rules(spark, sf):
     rules = spark.createDataFrame([(1, "*.example.net", "a"), (2, "example.com", "b"), (3, "*.com", "c")], "rule_id int, pattern string, proxy string")
     pages = table(spark, sf, "pages", "page_id", "url").select("page_id", U.host(F.col("url")).alias("host"))
-    # a user's rules are few by nature; the pages are scanned once
-    matched = pages.join(F.broadcast(rules), U.host_rule_matches(F.col("host"), F.col("pattern")), "left")
+    # each host looks up the patterns that match it, so however many rules there are, it is an equal join
+    matched = pages.withColumn("pattern", F.explode_outer(U.patterns_of_host(F.col("host")))).join(rules, "pattern", "left").filter("proxy is not null")
     best = matched.groupBy("page_id").agg(F.min_by("proxy", F.struct(F.col("pattern").startswith("*."), "rule_id")).alias("proxy"))
-    return best.select("page_id", F.coalesce("proxy", F.lit("default")).alias("proxy"))
+    return pages.select("page_id").join(best, "page_id", "left").select("page_id", F.coalesce("proxy", F.lit("default")).alias("proxy"))
 
 
 @query("S10 S34", """

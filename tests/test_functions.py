@@ -117,3 +117,21 @@ def test_lists(spark):
 
 def test_markdown(spark):
     assert values(spark, ['<h2>T</h2><p>a <b>b</b> <a href="/u">c</a></p><ul><li>d</ul>'], H.to_markdown) == ["## T\n\na **b** [c](/u)\n\n* d"]
+
+
+def test_traversal_of_a_cycle_with_a_dangling_edge(spark):
+    from gleaner.operators import graph
+    from gleaner.streaming.rounds import checkpointed
+
+    edges = spark.createDataFrame([("a", "b", "x"), ("b", "c", "x"), ("c", "a", "x"), ("a", "gone", "x"), ("a", "b", "x"), ("b", "d", "y")], "from_id string, to_id string, relation_type string")
+    vertices = spark.createDataFrame([(c,) for c in "abcde"], "id string")
+    seeds = spark.createDataFrame([("a",), ("gone",)], "id string")
+    walk = lambda hops, dedupe: sorted(tuple(r) for r in graph.traverse(edges, vertices, seeds, hops, dedupe, checkpointed).collect())
+    three = [(1, "a", "b", "x"), (2, "b", "c", "x"), (2, "b", "d", "y"), (3, "c", "a", "x")]
+    assert walk(3, True) == walk(3, False) == walk(5, True) == three
+    assert walk(4, False) == [*three, (4, "a", "b", "x")]
+
+
+def test_patterns_of_a_host(spark):
+    row = spark.range(1).select(U.patterns_of_host(F.lit("a.b.org")).alias("x"), U.patterns_of_host(F.lit(None).cast("string")).alias("y")).first()
+    assert row.x == ["a.b.org", "*.a.b.org", "*.b.org", "*.org"] and row.y is None
