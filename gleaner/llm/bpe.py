@@ -17,7 +17,8 @@ import mmap
 import os
 import tempfile
 from collections.abc import Iterator
-from itertools import chain
+from heapq import heapify, heappop, heappush
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ from gleaner.llm.kernels import blocks, flat
 SPACE = r"[\p{White_Space}]"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^\p{{White_Space}}\p{{L}}\p{{N}}]+|{SPACE}+(?!\P{{White_Space}})|{SPACE}+"
 NO_RANK = np.int64(1) << 40
+#: Bytes from which a word is merged on its own.
+LONG = 2048
 
 
 def byte_letters() -> dict[str, int]:
@@ -66,6 +69,7 @@ class Vocabulary:
         keys = np.array([ids[a] << 20 | ids[b] for a, b in merges], np.int64)
         order = np.argsort(keys, kind="stable")
         self.pairs, self.ranks = keys[order], order.astype(np.int64)
+        self.by_pair: dict[int, int] | None = None
         self.merged = np.array([ids[a + b] for a, b in merges], np.int64)  # by rank
         self.words = regex.compile(PATTERN)
         self.marks = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
@@ -83,7 +87,11 @@ class Vocabulary:
 
     def merge(self, words: list[bytes]) -> list[bytes]:
         """Ids (as little-endian unsigned 32-bit integers) of each word, by merging the pair of lowest
-        rank, leftmost first, until none is left; all words advance by one rank at a time."""
+        rank, leftmost first, until none is left; all words advance by one rank at a time, but for those
+        of over LONG bytes, whose ranks would each take a pass over the whole word."""
+        if any(len(w) > LONG for w in words):
+            short = iter(self.merge([w for w in words if len(w) <= LONG]))
+            return [next(short) if len(w) <= LONG else self.merge_long(w) for w in words]
         if not words:
             return []
         sizes = np.array([len(w) for w in words], np.int64)
@@ -130,6 +138,28 @@ class Vocabulary:
             ranks[inner] = self.rank(symbols[inner], symbols[inner + 1])
         return done
 
+    def merge_long(self, word: bytes) -> bytes:
+        """The same for one word, with the pairs in a heap and the symbols in a linked list."""
+        if self.by_pair is None:
+            self.by_pair = dict(zip(self.pairs.tolist(), self.ranks.tolist()))
+        symbols = self.first[np.frombuffer(word, np.uint8)].tolist()
+        ranks, n = self.by_pair, len(symbols)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i) for i, (a, b) in enumerate(pairwise(symbols)) if (r := ranks.get(a << 20 | b)) is not None]
+        heapify(heap)
+        while heap:
+            rank, i = heappop(heap)
+            j = after[i]
+            if symbols[i] < 0 or j == n or ranks.get(symbols[i] << 20 | symbols[j]) != rank:
+                continue  # one of the two has been merged since
+            symbols[i], symbols[j], after[i] = int(self.merged[rank]), -1, after[j]
+            if after[j] < n:
+                before[after[j]] = i
+            for a, b in ((before[i], i), (i, after[i])):
+                if a >= 0 and b < n and (r := ranks.get(symbols[a] << 20 | symbols[b])) is not None:
+                    heappush(heap, (r, a))
+        return np.array([s for s in symbols if s >= 0], "<u4").tobytes()
+
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
         """The texts of the ids between offsets."""
         data, at = gathered(self.flat, self.flat_starts, ids)

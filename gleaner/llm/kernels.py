@@ -77,10 +77,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[:n], _inverses[:n]
 
 
-def prefix_sums(data: np.ndarray) -> np.ndarray:
-    """S with hash(data[i:j]) = (S[j] - S[i]) * base**-i, modulo 2**64."""
+def prefix_sums(data: np.ndarray, values: np.ndarray = BYTE_VALUE) -> np.ndarray:
+    """S with hash(data[i:j]) = (S[j] - S[i]) * base**-i, modulo 2**64. Other values of bytes give hashes
+    that are independent of these."""
     sums = np.zeros(len(data) + 1, U64)
-    np.cumsum(BYTE_VALUE[data] * powers(len(data))[0], out=sums[1:])
+    np.cumsum(values[data] * powers(len(data))[0], out=sums[1:])
     return sums
 
 

@@ -134,7 +134,7 @@ def _ranges(t: dict) -> tuple[list, list]:
     if not runs or "n_samples" not in t:
         return [], []
     keys, chunks, sample = [], [], 1
-    sync, at_key = t["sync"], 0
+    sync, at_key = range(1, t["n_samples"] + 1) if t["sync"] is None else t["sync"], 0  # without a table, every sample is one
     run = 0
     for number, offset in enumerate(offsets, 1):
         while run + 1 < len(runs) and runs[run + 1][0] <= number:
@@ -143,7 +143,7 @@ def _ranges(t: dict) -> tuple[list, list]:
         sizes = t["sizes"][sample - 1 : sample - 1 + n] if t["sizes"] is not None else None
         total = sum(sizes) if sizes is not None else n * t["size"]
         chunks.append((offset, offset + total))
-        while sync is not None and at_key < len(sync) and sync[at_key] < sample + n:
+        while at_key < len(sync) and sync[at_key] < sample + n:
             i = sync[at_key] - sample
             start = offset + (sum(sizes[:i]) if sizes is not None else i * t["size"])
             keys.append((start, start + (sizes[i] if sizes is not None else t["size"])))
@@ -169,7 +169,8 @@ def describe(text: str) -> tuple:
     back = read_payload(stored, track)
     duration = track["duration"] / track["timescale"]
     keys = [{"start": a, "stop": b} for a, b in track["keys"]]
-    feature = f"{track['codec'].strip()};{track['timescale']};{track['duration']};" + ",".join(f"{k['start']}-{k['stop']}" for k in keys[:8]) + f";{len(keys)}"
+    ranges = hashlib.md5(",".join(f"{a}-{b}" for a, b in track["keys"]).encode()).hexdigest()
+    feature = f"{track['codec'].strip()};{track['timescale']};{track['duration']};{len(keys)};{ranges}"
     return len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, track["codec"].strip(), duration, len(keys), keys
 
 
@@ -187,3 +188,29 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(per_batch(run), RESULT)
+
+
+def tracks(files: DataFrame, media_col: str = "media") -> DataFrame:
+    """files without the media column and with ``tracks``: codec, duration in seconds and the byte ranges of
+    the key frames of each track of an ISO media file.
+
+    Payloads are not decoded. A null, an empty file, and bytes that are no such file have no tracks; a
+    track without a table of key frames has a key frame in every sample. All rows are returned; a
+    column that is called ``tracks`` already is replaced.
+    """
+    files = files.drop("tracks")
+    names, kept = files.columns, [c for c in files.columns if c != media_col]
+    kind = pa.list_(pa.struct([("codec", pa.string()), ("duration", pa.float64()), ("keyframes", _KEYS)]))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = []
+        for data in batch.column(names.index(media_col)):
+            try:
+                read = read_container(data.as_py() or b"")
+            except struct.error:  # cut off in a table
+                read = []
+            found.append([{"codec": (t["codec"] or "").strip(), "duration": t["duration"] / t["timescale"] if t["timescale"] else None, "keyframes": [{"start": a, "stop": b} for a, b in t["keys"]]} for t in read])
+        return pa.RecordBatch.from_arrays([*(batch.column(names.index(c)) for c in kept), pa.array(found, kind)], [*kept, "tracks"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.select(*kept).schema.fields)
+    return files.mapInArrow(per_batch(run), f"{fields}, tracks array<struct<codec:string,duration:double,keyframes:array<struct<start:long,stop:long>>>>")

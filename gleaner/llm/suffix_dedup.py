@@ -31,12 +31,13 @@ from pyspark.sql import functions as F
 
 from gleaner.llm import kernels as K
 from gleaner.llm.bwt import repeated_strings
-from gleaner.llm.common import shuffle_partitions
 
 BLOCK = 2 << 20
 #: Bytes of runs in one transform.
 TRANSFORM = 2 << 20
 FLUSH = 1_000_000
+#: Values of bytes for a second hash of a string.
+SECOND = K.mix(K.BYTE_VALUE)
 PARCEL = "target int, kind int, shard int, payload binary"
 NAMES = ["target", "kind", "shard", "payload"]
 ANCHOR = np.dtype([("hash", "<u8"), ("shard", "<i4"), ("n", "<i4")])
@@ -155,11 +156,11 @@ class _Job:
                     r = np.repeat(r, n)
                     shift = np.arange(len(r)) - np.repeat(np.cumsum(n) - n, n)
                     begin = np.repeat(first[take], n) + shift
-                    sums, inverse = K.prefix_sums(part), K.powers(len(part) + 1)[1]
-                    strings = (sums[begin + self.least] - sums[begin]) * inverse[begin]
+                    inverse = K.powers(len(part) + 1)[1]
+                    strings, prints = ((s[begin + self.least] - s[begin]) * inverse[begin] for s in (K.prefix_sums(part), K.prefix_sums(part, SECOND)))
                     r["start"] += shift.astype(np.int32)
                     r["count"] = 1
-                    r["hash"], r["print"] = K.mix(strings ^ np.uint64(0x7F4A7C15)), K.mix(strings + np.uint64(0x1CE4E5B9))
+                    r["hash"], r["print"] = K.mix(strings ^ np.uint64(0x7F4A7C15)), K.mix(prints)
                 out.append(r)
         runs = np.concatenate(runs + hot)
         runs = runs[np.lexsort((runs["start"], runs["row"], runs["print"], runs["hash"]))]
@@ -288,20 +289,20 @@ def _merged(runs: np.ndarray) -> np.ndarray:
     return out
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 100, inner: int = 36, hot: int = 10_000, shard_bytes: int = 1 << 20, with_kept: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 100, inner: int = 36, hot: int = 10_000, shard_bytes: int = 8 << 20, with_kept: bool = False) -> DataFrame:
     """One row for each document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256
     of the remaining bytes; with_kept adds ``kept`` (binary).
 
     Matches lie within single texts (as UTF-8) and are judged on the input. "Earlier" is by id, a null id
     first; rows that repeat an id follow one another by text. Null texts count as empty. Texts of under
     ``least`` bytes keep everything. An empty table gives no rows; further columns are ignored. A shard
-    of about ``shard_bytes`` (at most four shards a shuffle partition) or one longer text is held in
-    memory at a time. Strings are told apart by 64-bit hashes of their anchors and, where whole runs are
+    of about ``shard_bytes`` or one longer text is held in memory at a time; there are as many shards, and
+    as many buckets, as that takes, and at least 16. Strings are told apart by 64-bit hashes of their anchors and, where whole runs are
     compared, by a further 64 bits.
     """
     spark = docs.sparkSession
     total = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0))).first()[0]
-    shards = int(min(max(16, total // shard_bytes), 2 * max(8, shuffle_partitions(spark))))
+    shards = int(max(16, total // shard_bytes))
     job = _Job(least, inner, hot, shards)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     texts = texts.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))

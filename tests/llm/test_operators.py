@@ -140,6 +140,20 @@ def test_signature_estimates_similarity():
     assert np.var(errors) < (1 / 3) * (2 / 3) / near_dedup.SLOTS  # below that of independent hashes
 
 
+def test_pairs_of_just_the_threshold_are_found(spark):
+    """A thousand pairs of a similarity from 0.85 to 0.86, each of texts that are like no others."""
+    rnd, rows, name = random.Random(9), [], "abcdefghijklmnopqrstuvwxyz"
+    while len(rows) < 2000:
+        words = ["".join(rnd.choices(name, k=6)) for _ in range(rnd.randint(60, 200))]
+        cut = rnd.randint(4, 40)
+        a, b = " ".join(words), " ".join(words[: len(words) - cut])
+        x, y = shingles(a, 3), shingles(b, 3)
+        if 0.85 * len(x | y) <= len(x & y) <= 0.86 * len(x | y):
+            rows += [(len(rows), a), (len(rows) + 1, b)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle_words=3, percent=85).collect()
+    assert sum(r.component_id == r.doc_id - r.doc_id % 2 for r in got) >= 0.99 * 2000
+
+
 def test_components(spark):
     rnd = random.Random(1)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1100)]
@@ -290,6 +304,21 @@ def test_media(odd):
             assert r.codec == "raw" and r.n_keyframes == -(-len(payload) // media.CHUNK)
 
 
+def test_media_of_stored_files(spark):
+    """Files of several chunks, of a size that isn't a full chunk, without a table of key frames, and none."""
+    payload = random.Random(1).randbytes(3 * media.CHUNK + 5)
+    stored = media.write_container(payload)
+    bare = media.write_container(b"abcde").replace(b"stss", b"free", 1)
+    rows = [(1, stored, "x"), (2, bare, "y"), (3, None, None), (4, b"", "z"), (5, b"no such file at all", "z"), (5, stored[:200], "z")]
+    got = media.tracks(spark.createDataFrame(rows, "id int, media binary, tracks string")).collect()
+    assert [r.id for r in got] == [1, 2, 3, 4, 5, 5] and [len(r.tracks) for r in got][:5] == [1, 1, 0, 0, 0]
+    (one,), (two,) = got[0].tracks, got[1].tracks
+    assert one.codec == "raw" and one.duration == len(payload) / media.RATE
+    assert [stored[k.start : k.stop] for k in one.keyframes] == [payload[i : i + 1] for i in range(0, len(payload), media.CHUNK)]
+    assert b"".join(bare[k.start : k.stop] for k in two.keyframes) == b"abcde"
+    assert media.describe("x" * 10**6)[6] != media.describe("x" * (10**6 + 192))[6]
+
+
 def test_media_boxes():
     for n in (0, 1, 65536, 65537, 200_000):
         payload = random.Random(n).randbytes(n)
@@ -431,6 +460,21 @@ def test_bpe_on_random_strings(tokenizer_path):
     assert encoder.encode([])[1].tolist() == [0]
 
 
+def test_long_words_are_merged_alike_and_fast(tokenizer_path):
+    import time
+
+    known, rnd = bpe.Vocabulary(tokenizer_path("byte_bpe_50k.json")), random.Random(7)
+    for alphabet in (b"abcdefghijklmnopqrstuvwxyz", b"a", b"the ", bytes(range(256))):
+        for n in (1, 2, 3, 50, 700):
+            word = bytes(rnd.choices(alphabet, k=n))
+            assert known.merge_long(word) == known.merge([word])[0]
+    words = [b"the", bytes(rnd.choices(b"etaoinshr", k=200_000)), b" of"]
+    began = time.perf_counter()
+    got = known.merge(words)
+    assert time.perf_counter() - began < 20
+    assert got[::2] == known.merge(words[::2]) and b"".join(known.bytes[i] for i in np.frombuffer(got[1], "<u4")) == words[1]
+
+
 def test_automaton_is_minimal_and_exact():
     words = [b"tap", b"taps", b"top", b"tops", b"stop", b"stops", b"a", b"b\xff\x00"]
     a = bpe.Automaton(bpe.Automaton.compile({w: np.arange(i, dtype="<u4").tobytes() for i, w in enumerate(words)}))
