@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -136,3 +138,81 @@ def link_html(html: Column) -> Column:
     for _ in range(2):
         out = F.regexp_replace(out, "(?is)<(?!a\\b)([a-z0-9]+)>\\s*</\\1>", "")
     return F.trim(F.regexp_replace(out, r"\s+", " "))
+
+
+def element_pattern(selector: str) -> str:
+    """A regular expression of the elements of a simple selector: a tag, alone or with one ``.class``,
+    ``#id`` or ``[name="value"]``. An element ends at the first closing tag of its name, so elements
+    nested in one of the same name aren't told apart; images and breaks have no closing tag."""
+    parts = re.fullmatch(r"([a-z][a-z0-9]*)(?:\.([\w-]+)|#([\w-]+)|\[([\w-]+)=\"([^\"]*)\"\])?", selector)
+    if parts is None:
+        raise ValueError(f"not a simple selector: {selector}")
+    tag, class_, id_, name, value = parts.groups()
+    asked = ""
+    if class_:
+        asked = f'\\bclass="(?:[^"]*\\s)?{re.escape(class_)}(?:\\s[^"]*)?"'
+    elif id_:
+        asked = f'\\bid="{re.escape(id_)}"'
+    elif name:
+        asked = f'\\b{name}="{re.escape(value)}"'
+    opening = f"<{tag}\\b[^>]*?{asked}[^>]*>" if asked else f"<{tag}\\b[^>]*>"
+    return f"(?is){opening}" if tag in ("img", "br", "hr", "input") else f"(?is){opening}.*?</{tag}\\s*>"
+
+
+def replace_elements(html: Column, replacements: dict[str, str | None]) -> Column:
+    """The HTML with a selector's elements replaced by a text in a span, or removed for None."""
+    for selector, text in replacements.items():
+        with_ = "" if text is None else f"<span>{text}</span>"
+        html = F.regexp_replace(html, element_pattern(selector), with_.replace("\\", "\\\\").replace("$", "\\$"))
+    return html
+
+
+def element_html(html: Column, selector: str) -> Column:
+    """The first element of a selector, or null."""
+    return F.nullif(F.regexp_extract(html, element_pattern(selector), 0), F.lit(""))
+
+
+def element_text(html: Column, selector: str) -> Column:
+    """The text of the last element of a selector, on one line, or null."""
+    found = F.regexp_extract_all(html, F.lit(element_pattern(selector)), F.lit(0))
+    last = F.try_element_at(found, F.lit(-1))
+    return F.trim(F.regexp_replace(unescape(F.regexp_replace(last, "<[^>]*>", " ")), r"\s+", " "))
+
+
+def with_placeholders(html: Column, selector: str, prefix: str) -> Column:
+    """A struct of the HTML in which a selector's elements are ``{{PREFIX_n}}`` in a span, counted from 0
+    in order, and the map from ``PREFIX_n`` to the element."""
+    pattern = element_pattern(selector)
+    found = F.regexp_extract_all(html, F.lit(pattern), F.lit(0))
+    names = F.transform(found, lambda _, i: F.concat(F.lit(f"{prefix}_"), i.cast("string")))
+    marks = F.transform(names, lambda n: F.concat(F.lit("<span>{{"), n, F.lit("}}</span>")))
+    pieces = F.zip_with(F.split(html, pattern, -1), marks, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    return F.struct(F.array_join(pieces, "").alias("html"), F.map_from_arrays(names, found).alias("elements"))
+
+
+def restored(html: Column, elements: Column) -> Column:
+    """The HTML with each ``<span>{{NAME}}</span>`` or ``{{NAME}}`` of the map put back."""
+    def put(text: Column, e: Column) -> Column:
+        mark = F.concat(F.lit("{{"), e["key"], F.lit("}}"))
+        return F.replace(F.replace(text, F.concat(F.lit("<span>"), mark, F.lit("</span>")), e["value"]), mark, e["value"])
+
+    return F.aggregate(F.map_entries(elements), html, put)
+
+
+def link_descriptors(html: Column) -> Column:
+    """path and text of a page's links within the site, one a path (the first): relative paths only; the
+    text (80 characters), else its aria-label, an image's alt, its title, else ``[no text]``."""
+    anchors = F.regexp_extract_all(without_elements(html), F.lit("(?is)<a\\s[^>]*>.*?</a\\s*>"), F.lit(0))
+
+    def of(name: str, a: Column) -> Column:
+        return F.nullif(F.trim(unescape(F.regexp_extract(a, f'(?is)^[^>]*?\\s{name}="([^"]*)"', 1))), F.lit(""))
+
+    def describe(a: Column) -> Column:
+        text = F.trim(F.regexp_replace(unescape(F.regexp_replace(a, "<[^>]*>", " ")), r"\s+", " "))
+        alt = F.nullif(F.trim(unescape(F.regexp_extract(a, '(?is)<img\\b[^>]*?\\balt="([^"]*)"', 1))), F.lit(""))
+        path = F.regexp_replace(F.coalesce(of("href", a), F.lit("")), "#.*$", "")
+        return F.struct(path.alias("path"), F.coalesce(F.nullif(F.left(text, F.lit(80)), F.lit("")), of("aria-label", a), alt, of("title", a), F.lit("[no text]")).alias("text"))
+
+    links = F.filter(F.transform(anchors, describe), lambda d: d["path"].rlike("^/(?!/)"))
+    paths = F.transform(links, lambda d: d["path"])
+    return F.filter(links, lambda d, i: F.array_position(paths, d["path"]) == i + 1)

@@ -140,10 +140,24 @@ def chunks(text: Column, target: int = 1500, least: int = 500, above: int = 2000
     """Pieces of a text of over ``above`` characters, cut after blank lines, images, tables' ends and
     sentences: a piece is closed at the first such place at which it has ``target`` characters, and the
     last one joins its predecessor when shorter than ``least``. Joined together they are the text."""
-    units = F.regexp_extract_all(text, F.lit(r"(?s).+?(?:\n\s*\n|!\[[^\]]*\]\([^)]*\)|\|\s*\n(?!\|)|[.!?]\s+|$)"), F.lit(0))
+    units = F.regexp_extract_all(text, F.lit(r"(?s).*?(?:\n\s*\n|!\[[^\]]*\]\([^)]*\)|\|\s*\n(?!\|)|[.!?]\s+|\z)"), F.lit(0))
     units = F.filter(units, lambda u: u != "")
     nothing = F.array().cast("array<string>")
     last = lambda a: F.element_at(a, -1)
     joined = F.aggregate(units, nothing, lambda a, u: F.when((F.size(a) > 0) & (F.length(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(""))) < target), F.array_append(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.concat(F.try_element_at(a, F.lit(-1)), u))).otherwise(F.array_append(a, u)))
     tail = F.when((F.size(joined) > 1) & (F.length(last(joined)) < least), F.array_append(F.slice(joined, 1, F.greatest(F.size(joined) - 2, F.lit(0))), F.concat(F.try_element_at(joined, F.lit(-2)), last(joined)))).otherwise(joined)
     return F.when(F.length(text) <= above, F.array(text)).otherwise(tail)
+
+
+def checked_query(text: Column, most: int = 1000) -> Column:
+    """A struct of the query, line breaks as blanks and trimmed, and error: blank, too long, or null."""
+    query = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n|\n|\r", " "))
+    return F.struct(query.alias("query"), F.when(query.rlike(r"^\s*$"), "blank").when(F.length(query) > most, "too long").alias("error"))
+
+
+def visual_change(before: Column, after: Column, grey_levels: int = 30) -> Column:
+    """Whether two pictures (structs of width, height and pixels, an array of grey levels) differ: in size,
+    or in a pixel by more than the grey levels."""
+    same_size = (before["width"] == after["width"]) & (before["height"] == after["height"])
+    differ = F.exists(F.zip_with(before["pixels"], after["pixels"], lambda a, b: F.abs(a - b) > grey_levels), lambda d: d)
+    return F.when(same_size, differ).otherwise(True)

@@ -172,3 +172,34 @@ def patterns_of_host(name: Column) -> Column:
     labels = F.split(name, r"\.")
     above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(F.lit("*."), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
     return F.when(name.isNotNull(), F.concat(F.array(name), above))
+
+
+def lenient_uri(url: Column) -> Column:
+    """The trimmed URL, if it can't be parsed, with all that a path, a query or a fragment may not hold
+    percent-encoded as UTF-8 (letters beyond ASCII alone can be parsed); ``%XX`` stays, and so do the delimiters. Scheme and authority stay as they are; without a scheme only
+    blanks are encoded. A blank URL is null."""
+    trimmed = F.trim(url)
+    head = F.regexp_extract(trimmed, "^([^:/?#]+://[^/?#]*)", 1)
+    rest = F.substring(trimmed, F.length(head) + 1, F.length(trimmed))
+    pieces = F.regexp_extract_all(rest, F.lit("(?s)%[0-9A-Fa-f]{2}|."), F.lit(0))
+    encoded = F.transform(pieces, lambda c: F.when(c.rlike(r"^(?:%..|[A-Za-z0-9\-._~!$'()*+,;:@/?&=#])$"), c).otherwise(F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))))
+    legal = rest.rlike(r"^(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9\-._~!$'()*+,;:@/?&=#]|[^\x00-\x7F\p{Z}\p{Cc}])*$")
+    whole = F.when(legal, trimmed).otherwise(F.concat(head, F.array_join(encoded, "")))
+    return F.when(trimmed == "", None).when(head == "", F.replace(trimmed, F.lit(" "), F.lit("%20"))).otherwise(whole)
+
+
+def language_pattern(pattern: Column) -> Column:
+    """A filter's pattern as a struct: kind (path, query; null if there is none or it is wrong), name and
+    value of a query pattern, and error, null if the pattern is right or empty."""
+    text = F.trim(pattern)
+    name = F.trim(F.regexp_extract(text, r"(?s)^\?([^=]*)=", 1))
+    value = F.trim(F.regexp_extract(text, r"(?s)^\?[^=]*=(.*)$", 1))
+    path, asks = text.startswith("/"), text.startswith("?")
+    error = (
+        F.when(text == "", None).when(path & ~F.endswith(text, F.lit("/")), "a path pattern ends with /").when(path & (F.length(text) < 3), "a path pattern names a segment")
+        .when(path, None).when(asks & ~F.contains(text, F.lit("=")), "a query pattern has an =").when(asks & (name == ""), "a query pattern has a name")
+        .when(asks & (value == ""), "a query pattern has a value").when(asks, None).otherwise("a pattern starts with / or ?")
+    )
+    right = error.isNull()
+    kind = F.when(right & path, "path").when(right & asks, "query")
+    return F.struct(kind.alias("kind"), F.when(kind == "query", name).alias("name"), F.when(kind == "query", value).alias("value"), error.alias("error"))

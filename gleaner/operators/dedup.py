@@ -54,3 +54,9 @@ def cache_misses(requests: DataFrame, cache: DataFrame, key: str) -> DataFrame:
     """The requests that the cache lacks, once each: what a costly model still has to do."""
     return requests.join(cache.select(key), key, "left_anti").dropDuplicates([key])
 
+
+def known_links(ranking: DataFrame, known: DataFrame, keys: list[str], order: str, score: str, least: int = 1, most: int = 10) -> DataFrame:
+    """A ranking's rows, the first of each key in order, of keys that are known, with the score held between
+    two bounds: what a model made up is left out."""
+    first = distinct_by(ranking, F.struct(*keys), [F.col(order), F.col(score)])
+    return first.join(known.select(*keys), keys, "left_semi").withColumn(score, F.greatest(F.lit(least), F.least(F.lit(most), F.col(score))))

@@ -66,6 +66,12 @@ def vector_topk(vectors: DataFrame, id_col: str, vector_col: str, query: Sequenc
     return rows.filter(~F.isnan(name) & F.col(name).isNotNull()).orderBy(name, id_col).limit(k)
 
 
+def recent_topk(chunks: DataFrame, id_col: str, vector_col: str, uploaded_col: str, query: Sequence[float], k: int, now_ms: int, max_age_ms: int | None = None) -> DataFrame:
+    """The k nearest of the chunks uploaded (epoch ms) within the age, of all without one."""
+    recent = chunks if max_age_ms is None else chunks.filter(F.col(uploaded_col) >= now_ms - max_age_ms)
+    return vector_topk(recent, id_col, vector_col, query, k)
+
+
 def rrf(keyword: DataFrame, semantic: DataFrame, id_col: str, kw_order: Sequence[Column], sem_order: Sequence[Column], limit: int, k: int = RRF_K) -> DataFrame:
     """Reciprocal-rank fusion of two short ranked lists: id, rrf, kw_rank, sem_rank; ties go to the better
     keyword rank, then the better semantic one. The ranks' windows run over ``limit`` rows each."""

@@ -89,3 +89,17 @@ def grids(boxes: DataFrame, container: str, tolerance: float = 15.0) -> DataFram
     out = one.select(container, F.size("r").cast("long").alias("n_rows"), F.size("c").cast("long").alias("n_columns"), (cells / (F.size("r") * F.size("c"))).alias("fill"), F.size("boxes").alias("n"))
     is_grid = (F.col("n") >= 4) & (F.col("n_rows") > 1) & (F.col("n_columns") > 1) & (F.col("fill") >= 0.4)
     return out.select(container, "n_rows", "n_columns", F.round("fill", 6).alias("fill"), is_grid.alias("is_grid"))
+
+
+def relative_boxes(boxes: DataFrame, parents: DataFrame, container: str) -> DataFrame:
+    """boxes against the upper left corner of their container's parent box (parents: one a container); boxes
+    without one are left out."""
+    corner = parents.select(F.col(container).alias("__c"), F.col("left").alias("__left"), F.col("top").alias("__top"))
+    rows = boxes.join(corner, F.col(container) == F.col("__c"))
+    moved = {c: F.col(c) - F.col("__left") for c in ("left", "right")} | {c: F.col(c) - F.col("__top") for c in ("top", "bottom")}
+    return rows.withColumns(moved).drop("__c", "__left", "__top")
+
+
+def stable_selector(identifier: Column) -> Column:
+    """The CSS selector of a stable id; null if it is no such id."""
+    return F.when(identifier.startswith("ds-"), F.concat(F.lit('[data-ds-id="'), identifier, F.lit('"]')))

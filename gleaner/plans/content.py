@@ -28,13 +28,24 @@ def _sql_unescape(x: str) -> str:
     return x
 
 
+def _sql_markdown(x: str) -> str:
+    x = _sql_without(x)
+    for level in range(1, 7):
+        x = f"regexp_replace({x}, '<h{level}\\b[^>]*>(.*?)</h{level}\\s*>', chr(10) || chr(10) || '{'#' * level} \\1' || chr(10) || chr(10), 'gis')"
+    x = f"regexp_replace({x}, '<a\\s[^>]*?href=\"([^\"]*)\"[^>]*>(.*?)</a>', '[\\2](\\1)', 'gis')"
+    x = f"regexp_replace({x}, '<(?:b|strong)\\b[^>]*>(.*?)</(?:b|strong)>', '**\\1**', 'gis')"
+    x = f"regexp_replace(regexp_replace({x}, '<li\\b[^>]*>', chr(10) || '* ', 'gis'), '<br\\s*/?>', chr(10), 'gis')"
+    x = f"regexp_replace({x}, '</?(?:p|div|article|section|ul|ol|table|tr|nav|header|footer)\\b[^>]*>', chr(10) || chr(10), 'gis')"
+    return _sql_unescape(f"regexp_replace({x}, '<[^>]*>', '', 'g')")
+
+
 @query("S15", f"""
     SELECT page_id, array_to_string(list_filter(list_transform(regexp_split_to_array({_sql_without('html')}, '<[^>]*>'), lambda t: trim(regexp_replace({_sql_unescape('t')}, '\\s+', ' ', 'g'))), lambda t: t <> ''), chr(10)) AS text FROM pages""")
 def html_text(spark, sf):
     return table(spark, sf, "pages", "page_id", "html").select("page_id", H.visible_text(F.col("html")).alias("text"))
 
 
-@query("S11 S12 S20", """
+@query("S11", """
     WITH h AS (SELECT page_id, url, unnest(list_filter(regexp_extract_all(html, '<a\\s[^>]*?href="([^"]*)"', 1, 'is'), lambda x: trim(x) <> '')) AS href FROM pages),
          a AS (SELECT page_id, url, CASE WHEN regexp_matches(href, '^(?i)https?://') THEN href WHEN starts_with(href, '//') THEN regexp_extract(url, '^(https?:)', 1) || href
                    WHEN starts_with(href, '/') THEN regexp_extract(url, '^(https?://[^/?#]+)', 1) || href WHEN starts_with(href, '#') OR regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN NULL
@@ -52,7 +63,7 @@ def page_header(spark, sf):
     return t.select("page_id", F.concat(F.lit("URL: "), F.col("url"), F.lit("\nTitle: "), H.title(F.col("html"))).alias("header"))
 
 
-@query("S22 S23 S18", """
+@query("S22 S23", """
     SELECT r_regionkey, '| name | key |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_name || ' | ' || n_nationkey || ' |', chr(10) ORDER BY n_nationkey) AS markdown
     FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey""")
 def table_md(spark, sf):
@@ -178,3 +189,80 @@ def request_batches(spark, sf):
 def cache_misses(spark, sf):
     t = table(spark, sf, "part", "p_name", "p_brand", "p_size").select(F.concat_ws(" ", "p_name", "p_brand").alias("key"), "p_size")
     return D.cache_misses(t.select("key"), t.filter("p_size < 10").select("key"), "key")
+
+
+@query("S21 markdown", f"""
+    WITH a AS (SELECT page_id, {_sql_markdown('html')} AS m FROM pages)
+    SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(m, '[ \\t]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')) AS markdown FROM a""")
+def page_markdown(spark, sf):
+    return table(spark, sf, "pages", "page_id", "html").select("page_id", H.to_markdown(F.col("html")).alias("markdown"))
+
+
+@query("S18 S20", """
+    SELECT page_id, md5(regexp_replace(regexp_replace(html, '<div\\b[^>]*?\\bclass="(?:[^"]*\\s)?ad(?:\\s[^"]*)?"[^>]*>.*?</div\\s*>', '<span>[ad]</span>', 'gis'), '<nav\\b[^>]*>.*?</nav\\s*>', '', 'gis')) AS replaced,
+           nullif(regexp_extract(html, '<li\\b[^>]*>.*?</li\\s*>', 0, 'is'), '') AS first_item,
+           trim(regexp_replace(""" + _sql_unescape("regexp_replace(list_last(regexp_extract_all(html, '<li\\b[^>]*>.*?</li\\s*>', 0, 'is')), '<[^>]*>', ' ', 'g')") + """, '\\s+', ' ', 'g')) AS last_item FROM pages""")
+def element_selection(spark, sf):
+    html = F.col("html")
+    t = table(spark, sf, "pages", "page_id", "html")
+    return t.select("page_id", F.md5(H.replace_elements(html, {"div.ad": "[ad]", "nav": None})).alias("replaced"), H.element_html(html, "li").alias("first_item"), H.element_text(html, "li").alias("last_item"))
+
+
+@query("S19", """
+    SELECT page_id, md5(html) AS whole, len(regexp_extract_all(html, '<li\\b[^>]*>.*?</li\\s*>', 0, 'is')) AS elements, list_last(regexp_extract_all(html, '<li\\b[^>]*>.*?</li\\s*>', 0, 'is')) AS last,
+           length(html) - list_sum(list_transform(regexp_extract_all(html, '<li\\b[^>]*>.*?</li\\s*>', 0, 'is'), lambda x, i: length(x) - 23 - length((i - 1)::VARCHAR)))::BIGINT AS n_chars FROM pages""")
+def placeholders(spark, sf):
+    t = table(spark, sf, "pages", "page_id", "html").select("page_id", H.with_placeholders(F.col("html"), "li", "MEDIA").alias("p"))
+    last = F.try_element_at(F.map_values("p.elements"), F.lit(-1))
+    return t.select("page_id", F.md5(H.restored(F.col("p.html"), F.col("p.elements"))).alias("whole"), F.size("p.elements").cast("long").alias("elements"), last.alias("last"), F.length("p.html").cast("long").alias("n_chars"))
+
+
+@query("S12", f"""
+    WITH a AS (SELECT page_id, unnest(regexp_extract_all({_sql_without('html')}, '<a\\s[^>]*>.*?</a\\s*>', 0, 'is')) AS a, generate_subscripts(regexp_extract_all({_sql_without('html')}, '<a\\s[^>]*>.*?</a\\s*>', 0, 'is'), 1) AS n FROM pages),
+         d AS (SELECT page_id, n, regexp_replace(trim({_sql_unescape("regexp_extract(a, '^[^>]*?\\shref=\"([^\"]*)\"', 1, 'is')")}), '#.*$', '') AS path, trim(regexp_replace({_sql_unescape("regexp_replace(a, '<[^>]*>', ' ', 'g')")}, '\\s+', ' ', 'g')) AS text FROM a)
+    SELECT page_id, path, arg_min(coalesce(nullif(left(text, 80), ''), '[no text]'), n) AS text FROM d WHERE starts_with(path, '/') AND NOT starts_with(path, '//') GROUP BY ALL""")
+def link_descriptors(spark, sf):
+    return table(spark, sf, "pages", "page_id", "html").select("page_id", F.explode(H.link_descriptors(F.col("html"))).alias("d")).select("page_id", "d.*")
+
+
+@query("S13", """
+    WITH h AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '<a\\s[^>]*?href="([^"]*)"', 1, 'is')) AS url FROM pages)
+    SELECT page_id, url, greatest(1, least(10, length(url) - 5))::INT AS score FROM h WHERE trim(url) <> '' AND length(url) % 2 = 0""")
+def ranked_links(spark, sf):
+    known = table(spark, sf, "pages", "page_id", "html").select("page_id", F.explode(H.hrefs(F.col("html"))).alias("url"))
+    odd = F.length("url") % 2 == 1  # a ranking that makes up every link of odd length, and scores beyond 1..10
+    ranking = known.withColumn("place", F.length("url")).select("page_id", F.when(odd, F.concat(F.lit("/made-up"), "url")).otherwise(F.col("url")).alias("url"), "place", (F.length("url") - 5).alias("score"))
+    return D.known_links(ranking, known, ["page_id", "url"], "place", "score").select("page_id", "url", "score")
+
+
+@query("S32", """
+    WITH q AS (SELECT doc_id, trim(regexp_replace(text, '\\r\\n|\\n|\\r', ' ', 'g')) AS q FROM documents)
+    SELECT doc_id, md5(q) AS query, CASE WHEN regexp_matches(q, '^\\s*$') THEN 'blank' WHEN length(q) > 1000 THEN 'too long' END AS error FROM q""")
+def query_check(spark, sf):
+    t = table(spark, sf, "documents", "doc_id", "text").select("doc_id", X.checked_query(F.col("text")).alias("q"))
+    return t.select("doc_id", F.md5("q.query").alias("query"), "q.error")
+
+
+@query("D3", "SELECT DISTINCT text AS query FROM conversations WHERE role = 'user'")
+def query_dedup(spark, sf):
+    return table(spark, sf, "conversations", "role", "text").filter("role = 'user'").select(F.col("text").alias("query")).distinct()
+
+
+@query("SC10", """
+    SELECT d.doc_id, sha256(d.text) AS hash FROM documents d WHERE sha256(d.text) IN (SELECT sha256(text) FROM documents JOIN labels USING (doc_id) WHERE toxic = 1)""")
+def files_by_hash(spark, sf):
+    stored = table(spark, sf, "documents", "doc_id", "text").select("doc_id", F.sha2("text", 256).alias("hash"))
+    asked = stored.join(table(spark, sf, "labels").filter("toxic = 1"), "doc_id").select("hash")
+    return stored.join(asked, "hash", "left_semi").select("doc_id", "hash")
+
+
+@query("S40", """
+    WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x * 128 + 128)::INT) AS p FROM embeddings),
+         n AS (SELECT vec_id - 1 AS vec_id, p AS q FROM e)
+    SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN true ELSE len(list_filter(list_zip(p, q), lambda z: abs(z[1] - z[2]) > 30)) > 0 END AS changed FROM e JOIN n USING (vec_id)""")
+def visual_change(spark, sf):
+    e = table(spark, sf, "embeddings", "vec_id", "embedding").select("vec_id", F.transform("embedding", lambda x: F.floor(x * 128 + 128).cast("int")).alias("pixels"))
+    shape = lambda w: F.struct(w.alias("width"), F.lit(8).alias("height"), F.col("pixels"))
+    before = e.select("vec_id", shape(F.when(F.col("vec_id") % 5 == 0, 9).otherwise(8)).alias("before"))
+    after = e.select((F.col("vec_id") - 1).alias("vec_id"), shape(F.lit(8)).alias("after"))
+    return before.join(after, "vec_id").select("vec_id", X.visual_change(F.col("before"), F.col("after")).alias("changed"))

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gleaner import sinks
+from gleaner.functions import html as H
 from gleaner.plans.catalog import query
 from gleaner.session import millis, table
 from gleaner.streaming import flows as S
+from gleaner.streaming import rounds
+from gleaner.streaming.stages import run_stages
 
 
 @query("X1", """
@@ -25,7 +29,11 @@ def token_bucket(spark, sf):
     return S.over_limit(table(spark, sf, "events", "event_type", "ts"), "event_type", F.col("ts"), 3, 60)
 
 
-@query("X11")
+@query("X11", """
+    WITH e AS (SELECT user_id, list({'l': 0::BIGINT, 's': 0::BIGINT, 'x': event_type = 'error'} ORDER BY epoch_us(ts) // 1000, event_id) AS a, count(*) AS events FROM events GROUP BY user_id),
+         r AS (SELECT user_id, events, list_reduce(a, lambda s, e: CASE WHEN e.x THEN {'l': greatest(1, s.l // 2), 's': 0::BIGINT, 'x': false}
+               WHEN s.s = 9 THEN {'l': least(100, s.l + 1), 's': 0::BIGINT, 'x': false} ELSE {'l': s.l, 's': s.s + 1, 'x': false} END, {'l': 100::BIGINT, 's': 0::BIGINT, 'x': false}) AS s FROM e)
+    SELECT user_id, s.l AS "limit", events FROM r""")
 def aimd(spark, sf):
     t = table(spark, sf, "events", "event_id", "user_id", "ts", "event_type").select("event_id", "user_id", millis(F.col("ts")).alias("ms"), (F.col("event_type") == "error").alias("limited"))
     return S.adaptive_limits(t, "user_id", "ms", "event_id", "limited")
@@ -42,19 +50,17 @@ def running_sources(spark, sf):
     return S.running_sources(b, "session", "batch", "url", "event_id")
 
 
-@query("X5 X6 X15 D2 X4", """
+@query("X5 X6 X8 X15 D2 X4", """
     WITH RECURSIVE l AS (SELECT o_custkey AS a, l_partkey AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
     s(url, round) AS (SELECT unnest([1, 7, 10])::BIGINT, 0 UNION SELECT b, round + 1 FROM s JOIN l ON a = url WHERE round < 4)
     SELECT 'https://x.test/' || url AS url, min(round)::INT AS round FROM s GROUP BY url""")
 def crawl_frontier(spark, sf):
-    from gleaner.streaming.rounds import checkpointed
-
     o = table(spark, sf, "orders", "o_custkey", "o_orderkey")
     p = table(spark, sf, "lineitem", "l_orderkey", "l_partkey")
     at = lambda c: F.concat(F.lit("https://x.test/"), F.col(c).cast("string"))
     links = o.join(p, F.col("l_orderkey") == F.col("o_orderkey")).select(at("o_custkey").alias("from_url"), at("l_partkey").alias("to_url")).distinct()
     seeds = spark.createDataFrame([("https://x.test/1",), ("https://x.test/7",), ("https://x.test/10",), ("https://other.test/",)], "url string")
-    return S.crawl(seeds, links, "https://x.test/", 1_000_000, 5, checkpointed)
+    return S.crawl(seeds, links, "https://x.test/", 1_000_000, 5, rounds.checkpointed)
 
 
 @query("G12 stages by rule", """
@@ -62,3 +68,41 @@ def crawl_frontier(spark, sf):
 def stage_machine(spark, sf):
     t = table(spark, sf, "orders", "o_orderstatus", "o_totalprice")
     return t.groupBy(F.when(F.col("o_orderstatus") == "F", "DONE").when(F.col("o_totalprice") > 200000, "TABLES").otherwise("CONTENT").alias("stage")).agg(F.count("*").alias("n"))
+
+
+@query("X14", """
+    SELECT o_orderkey, o_totalprice + CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END + CASE WHEN o_orderstatus = 'O' AND o_totalprice > 200000 THEN 10 ELSE 0 END AS price,
+           CASE WHEN o_orderstatus <> 'O' THEN NULL WHEN o_totalprice > 200000 THEN 'TABLES' ELSE 'CONTENT' END AS stage FROM orders""")
+def resumable_stages(spark, sf):
+    items = table(spark, sf, "orders", "o_orderkey", "o_orderstatus", F.col("o_totalprice").alias("price"), F.col("o_totalprice").alias("size"))
+    path = rounds.new_folder(spark, "stages")
+    adding = lambda n: lambda df: df.withColumn("price", F.col("price") + n)
+    full = F.col("o_orderstatus") == "O"
+    stages = [("CONTENT", full, adding(1)), ("TABLES", full & (F.col("size") > 200000), adding(10))]
+    run_stages(items, stages[:1], path)  # a job that ended after its first stage goes on
+    return run_stages(items, stages, path).select("o_orderkey", "price", "stage")
+
+
+@query("SK2 SK3 X9", """
+    SELECT event_id, user_id, event_type FROM events UNION ALL SELECT event_id, user_id, 'again' FROM events WHERE event_type = 'error'""")
+def event_log(spark, sf):
+    path = rounds.new_folder(spark, "events")
+    events = table(spark, sf, "events", "event_id", "user_id", "event_type")
+    stream = spark.readStream.schema(spark.read.parquet(f"{sf}/events.parquet").schema).option("pathGlobFilter", "events.parquet").parquet(sf).select("event_id", "user_id", "event_type")
+    for _ in range(2):  # a stream that starts anew without its progress writes its batches again
+        run = stream.writeStream.foreachBatch(sinks.batch_writer(f"{path}/log")).option("checkpointLocation", rounds.new_folder(spark, "progress")).trigger(availableNow=True).start()
+        run.awaitTermination()
+    sinks.append(events.filter("event_type = 'error'").withColumn("event_type", F.lit("again")), f"{path}/more")
+    return spark.read.parquet(f"{path}/log").drop("batch").unionByName(spark.read.parquet(f"{path}/more"))
+
+
+@query("SC12", """
+    SELECT page_id, 'html' AS stage, md5(html) AS digest FROM pages UNION ALL SELECT page_id, 'title', md5(trim(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is'))) FROM pages""")
+def page_snapshots(spark, sf):
+    path = rounds.new_folder(spark, "snapshots")
+    t = table(spark, sf, "pages", "page_id", "html")
+    of = {"html": F.col("html"), "title": H.title(F.col("html"))}
+    for version, (stage, content) in enumerate(of.items()):
+        sinks.write_snapshot(t.select("page_id", F.lit(stage).alias("stage"), content.alias("content")), path, version)
+    both = [sinks.read_snapshot(spark, path, v) for v in range(len(of))]
+    return both[0].unionByName(both[1]).select("page_id", "stage", F.md5("content").alias("digest"))

@@ -92,7 +92,7 @@ def keyword_pages(spark, sf):
     return R.keyword_pages(table(spark, sf, "documents", "doc_id", "text"), "doc_id", "text", ["the", "password", "AKIA", "token", "license"])
 
 
-@query("R2 R22 R25 R15", """
+@query("R2 R22", """
     SELECT item_id, trim(regexp_replace(regexp_replace(left(text, 500), '[\\x00-\\x1f\\x7f]', '', 'g'), '\\s+', ' ', 'g')) AS q, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))::INT AS tokens FROM benchmark""")
 def query_preparation(spark, sf):
     t = table(spark, sf, "benchmark", "item_id", "text")
@@ -129,10 +129,40 @@ def source_fanout(spark, sf):
     return semantic.unionByName(labelled).withColumn("score", F.lit(10))
 
 
-@query("R17 R18", """
+@query("R18", """
     SELECT conv_id, string_agg('[' || turn || '] ' || text, chr(10) || chr(10) ORDER BY turn, text) AS markdown, count(*) AS n FROM conversations WHERE trim(text) <> '' GROUP BY conv_id""")
 def chunk_assembly(spark, sf):
     t = table(spark, sf, "conversations").filter("trim(text) <> ''")
     line = F.concat(F.lit("["), F.col("turn").cast("string"), F.lit("] "), F.col("text"))
     parts = F.array_sort(F.collect_list(F.struct("turn", "text", line.alias("line"))))
     return t.groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda p: p["line"]), "\n\n").alias("markdown"), F.count("*").alias("n"))
+
+
+@query("R15 R25", """
+    WITH b AS (SELECT item_id, CASE WHEN item_id % 3 = 0 THEN '東京大学 abc 大学' ELSE '' END || text AS t FROM benchmark),
+         w AS (SELECT item_id, t, list_filter(regexp_split_to_array(lower(t), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w, regexp_extract_all(t, '[\\x{3040}-\\x{30ff}\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}\\x{ac00}-\\x{d7af}]') AS c FROM b)
+    SELECT item_id, list_sort(list_distinct(list_filter(w, lambda x: length(x) >= 3))) AS keywords,
+           CASE WHEN len(c) > 0 THEN list_sort(list_distinct(list_transform(range(1, len(c)), lambda i: c[i] || c[i + 1])))
+           ELSE list_sort(list_transform(list_sort(list_transform(list_distinct(list_filter(w, lambda x: length(x) >= 4 AND x NOT IN ('that', 'with'))), lambda x: {'i': list_position(w, x), 'x': x}))[1:8], lambda z: z.x)) END AS first FROM w""")
+def query_keywords(spark, sf):
+    text = F.concat(F.when(F.col("item_id") % 3 == 0, "東京大学 abc 大学").otherwise(""), F.col("text"))
+    t = table(spark, sf, "benchmark", "item_id", "text").select("item_id", text.alias("t"))
+    return t.select("item_id", F.array_sort(X.keywords(F.col("t"))).alias("keywords"), F.array_sort(X.initial_keywords(F.col("t"), ["that", "with"])).alias("first"))
+
+
+@query("R14 scripts", """
+    WITH b AS (SELECT item_id, left(CASE item_id % 3 WHEN 0 THEN repeat('東京大学', 300) WHEN 1 THEN repeat('Москва ', 200) ELSE '東京 Москва ' END || text, 2000) AS t FROM benchmark),
+         n AS (SELECT item_id, len(regexp_extract_all(t, '[\\x{3040}-\\x{30ff}\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}\\x{ac00}-\\x{d7af}]')) AS cjk, len(regexp_extract_all(t, '\\p{Latin}')) AS latin, len(regexp_extract_all(t, '\\p{L}')) AS letters FROM b)
+    SELECT item_id, CASE WHEN cjk > 0 AND cjk >= latin AND cjk >= letters - cjk - latin THEN 'cjk' WHEN latin > 0 AND latin >= letters - cjk - latin THEN 'latin' ELSE 'standard' END AS analyser FROM n""")
+def script_choice(spark, sf):
+    n = F.col("item_id") % 3
+    head = F.when(n == 0, F.repeat(F.lit("東京大学"), 300)).when(n == 1, F.repeat(F.lit("Москва "), 200)).otherwise("東京 Москва ")
+    choice = X.analyser(F.concat(head, F.col("text")))
+    return table(spark, sf, "benchmark", "item_id", "text").select("item_id", F.when(choice.isin("cjk", "standard"), choice).otherwise("latin").alias("analyser"))
+
+
+@query("R17", """
+    SELECT vec_id, round(1 - list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 9) AS distance FROM embeddings WHERE vec_id % 100 >= 40 ORDER BY distance, vec_id LIMIT 15""")
+def recent_chunks(spark, sf):
+    chunks = table(spark, sf, "embeddings", "vec_id", "embedding").withColumn("uploaded_ms", F.col("vec_id") % 100 * 1000)
+    return R.recent_topk(chunks, "vec_id", "embedding", "uploaded_ms", _vector(spark, sf), 15, now_ms=100_000, max_age_ms=60_000)

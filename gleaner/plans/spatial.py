@@ -72,3 +72,13 @@ def table_grids(spark, sf):
     WITH {_BOXES} SELECT container_id, min(left_) AS "left", min(top_) AS top, max(right_) AS "right", max(bottom_) AS bottom, count(*) AS n FROM b GROUP BY container_id""")
 def union_bounds(spark, sf):
     return _boxes(spark, sf).groupBy("container_id").agg(F.min("left").alias("left"), F.min("top").alias("top"), F.max("right").alias("right"), F.max("bottom").alias("bottom"), F.count("*").alias("n"))
+
+
+@query("S39", f"""
+    WITH {_BOXES}, p AS (SELECT container_id, left_ AS l, top_ AS t FROM b WHERE element_id % 10 = 1)
+    SELECT element_id, CASE WHEN element_id % 4 > 0 THEN '[data-ds-id="ds-' || element_id || '"]' END AS selector, left_ - l AS "left", right_ - l AS "right", top_ - t AS top, bottom_ - t AS bottom FROM b JOIN p USING (container_id)""")
+def relative_boxes(spark, sf):
+    b = _boxes(spark, sf)
+    name = F.concat(F.when(F.col("element_id") % 4 > 0, "ds-").otherwise("x-"), F.col("element_id").cast("string"))
+    r = B.relative_boxes(b, b.filter(F.col("element_id") % 10 == 1), "container_id")
+    return r.select("element_id", B.stable_selector(name).alias("selector"), "left", "right", "top", "bottom")

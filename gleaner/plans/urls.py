@@ -79,3 +79,24 @@ def urls_in_text(spark, sf):
 def order_by_domain(spark, sf):
     t = table(spark, sf, "pages", "page_id", "url").select("page_id", U.host(F.col("url")).alias("domain"))
     return R.page(t, R.ordered_by("domain", False, "page_id"), 1, 30)
+
+
+@query("S7", r"""
+    WITH u AS (SELECT page_id, trim(CASE page_id % 3 WHEN 0 THEN url || '/ü %41 100%/x|y?q=a b&r=ß#f g' WHEN 1 THEN ' ' || url || '/über ' ELSE 'no scheme ' || page_id END) AS u FROM pages),
+         p AS (SELECT page_id, u, regexp_extract(u, '^[^:/?#]+://[^/?#]*') AS head FROM u), r AS (SELECT *, substr(u, length(head) + 1) AS rest FROM p)
+    SELECT page_id, CASE WHEN head = '' THEN replace(u, ' ', '%20') WHEN regexp_full_match(rest, '(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9\-._~!$''()*+,;:@/?&=#]|[^\x00-\x7F\p{Z}\p{Cc}])*') THEN u
+           ELSE head || array_to_string(list_transform(regexp_extract_all(rest, '(?s)%[0-9A-Fa-f]{2}|.'), lambda c: CASE WHEN regexp_full_match(c, '%..|[A-Za-z0-9\-._~!$''()*+,;:@/?&=#]') THEN c ELSE url_encode(c) END), '') END AS uri FROM r""")
+def lenient_uri(spark, sf):
+    u, n = F.col("url"), F.col("page_id") % 3
+    odd = F.when(n == 0, F.concat(u, F.lit("/ü %41 100%/x|y?q=a b&r=ß#f g"))).when(n == 1, F.concat(F.lit(" "), u, F.lit("/über "))).otherwise(F.concat(F.lit("no scheme "), F.col("page_id").cast("string")))
+    return table(spark, sf, "pages", "page_id", "url").select("page_id", U.lenient_uri(odd).alias("uri"))
+
+
+@query("P14", """
+    WITH p AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN ' /en-us/ ' WHEN 1 THEN '?lang=' || page_id WHEN 2 THEN '/en' WHEN 3 THEN '?lang= ' WHEN 4 THEN '' ELSE url END AS pattern FROM pages)
+    SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'path' WHEN 1 THEN 'query' END AS kind, CASE WHEN page_id % 6 = 1 THEN 'lang' END AS name, CASE WHEN page_id % 6 = 1 THEN substr(pattern, 7) END AS value,
+           CASE page_id % 6 WHEN 2 THEN 'a path pattern ends with /' WHEN 3 THEN 'a query pattern has a value' WHEN 5 THEN 'a pattern starts with / or ?' END AS error FROM p""")
+def pattern_check(spark, sf):
+    n = F.col("page_id") % 6
+    pattern = F.when(n == 0, " /en-us/ ").when(n == 1, F.concat(F.lit("?lang="), F.col("page_id").cast("string"))).when(n == 2, "/en").when(n == 3, "?lang= ").when(n == 4, "").otherwise(F.col("url"))
+    return table(spark, sf, "pages", "page_id", "url").select("page_id", U.language_pattern(pattern).alias("p")).select("page_id", "p.*")

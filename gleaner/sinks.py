@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,16 @@ def read_snapshot(spark: SparkSession, path: str, version: int) -> DataFrame:
     return spark.read.parquet(f"{path}/version={version:012d}")
 
 
+def batch_writer(path: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function. Each batch has a folder of its own and replaces what an earlier try left
+    there, so after a restart no row is missing or there twice."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return write
+
+
 def write_requests(df: DataFrame, path: str) -> None:
     """JSON lines, one a request."""
     df.write.mode("overwrite").json(path)

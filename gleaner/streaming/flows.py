@@ -47,16 +47,40 @@ class Rate:
         return self.limit
 
 
-def adaptive_limits(events: DataFrame, key: str, at: str, tie: str, limited: str) -> DataFrame:
-    """Each key's last limit and its number of events, by folding its events in order."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rate = Rate()
-        for x in rows.sort_values([at, tie])[limited]:
-            rate.step(bool(x))
-        return pd.DataFrame({key: rows[key].iloc[:1], "limit": [rate.limit], "events": [len(rows)]})
-
-    return events.select(key, at, tie, limited).groupBy(key).applyInPandas(fold, f"{key} {dict(events.dtypes)[key]}, limit long, events long")
+def adaptive_limits(events: DataFrame, key: str, at: str, tie: str, limited: str, block_ms: int = 3_600_000, every: int = 10, most: int = 100) -> DataFrame:
+    """Each key's last limit and its number of events, in order of time (epoch ms) and tie.
+
+    A block of time is summed up apart from the others: the successes before its first limited event,
+    those after its last one, and what the events between make of each limit. So a key's events are
+    spread over its blocks, and only one row a block is brought together. A null flag is a success."""
+    flag = F.coalesce(F.col(limited).cast("boolean"), F.lit(False))
+    rows = events.select(key, at, tie, flag.alias("__limited"), F.floor(F.col(at) / block_ms).alias("__block"))
+    so_far = Window.partitionBy(key, "__block").orderBy(at, tie).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__run", F.sum(F.col("__limited").cast("int")).over(so_far))
+    runs = rows.groupBy(key, "__block", "__run").agg(F.count("*").alias("n"), F.sum((~F.col("__limited")).cast("long")).alias("ok"))
+    blocks = runs.groupBy(key, "__block").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("__run", "ok"))).alias("runs"))
+
+    def halved(limit: Column, successes: Column) -> Column:
+        return F.greatest(F.lit(1).cast("long"), F.floor(F.least(F.lit(most).cast("long"), limit + F.floor(successes / every)) / 2))
+
+    # the runs after a limited event; the last of them ends with the block, not with a limited event
+    after = F.filter("runs", lambda r: r["__run"] > 0)
+    between = F.transform(F.slice(after, 1, F.greatest(F.size(after) - 1, F.lit(0))), lambda r: r["ok"])
+    limits = F.transform(F.sequence(F.lit(1), F.lit(max(1, most // 2))), lambda x: x.cast("long"))
+    blocks = blocks.select(
+        key, "__block", "n", F.coalesce(F.try_element_at(F.filter("runs", lambda r: r["__run"] == 0), F.lit(1))["ok"], F.lit(0)).alias("lead"),
+        F.try_element_at(after, F.lit(-1))["ok"].alias("trail"), F.aggregate(between, limits, lambda all_, ok: F.transform(all_, lambda x: halved(x, ok))).alias("ends"),
+    )
+
+    def step(state: Column, block: Column) -> Column:
+        run = state["run"] + block["lead"]
+        whole = F.struct(F.element_at(block["ends"], halved(state["limit"], run).cast("int")).alias("limit"), block["trail"].alias("run"))
+        return F.when(block["trail"].isNull(), F.struct(state["limit"].alias("limit"), run.alias("run"))).otherwise(whole)
+
+    ordered = F.array_sort(F.collect_list(F.struct("__block", "lead", "trail", "ends")))
+    start = F.struct(F.lit(most).cast("long").alias("limit"), F.lit(0).cast("long").alias("run"))
+    keys = blocks.groupBy(key).agg(F.sum("n").alias("events"), F.aggregate(ordered, start, step).alias("end"))
+    return keys.select(key, F.least(F.lit(most).cast("long"), F.col("end.limit") + F.floor(F.col("end.run") / every)).alias("limit"), "events")
 
 
 def adaptive_limits_stream(events: DataFrame, key: str, limited: str) -> DataFrame:
