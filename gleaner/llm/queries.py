@@ -93,17 +93,17 @@ ORACLE_SQL = {
         FROM t WINDOW g AS (PARTITION BY text)""",
     "op8_chat_formatting": """
         WITH t AS (
-            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
-                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
-            FROM conversations),
+            SELECT conv_id, part, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                   row_number() OVER (PARTITION BY conv_id, part ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+            FROM (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS part FROM conversations)),
         p AS (
-            SELECT conv_id, place, role, text,
+            SELECT conv_id, part, place, role, text,
                    string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '')
-                       OVER (PARTITION BY conv_id ORDER BY place ROWS UNBOUNDED PRECEDING) AS so_far
+                       OVER (PARTITION BY conv_id, part ORDER BY place ROWS UNBOUNDED PRECEDING) AS so_far
             FROM t),
-        ends AS (SELECT conv_id, max(place) AS n_turns, max_by(so_far, place) AS rendered FROM p GROUP BY conv_id),
+        ends AS (SELECT conv_id, max(place) AS n_turns, max_by(so_far, place) AS rendered FROM p GROUP BY conv_id, part),
         prefixes AS (
-            SELECT DISTINCT p.place, p.so_far FROM p JOIN ends e ON p.conv_id IS NOT DISTINCT FROM e.conv_id AND p.place < e.n_turns)
+            SELECT DISTINCT p.place, p.so_far FROM p JOIN ends e ON p.conv_id = e.conv_id AND p.place < e.n_turns)
         SELECT min(conv_id) AS conv_id, n_turns, rendered FROM ends e
         WHERE NOT EXISTS (SELECT 1 FROM prefixes x WHERE x.place = e.n_turns AND x.so_far = e.rendered)
         GROUP BY n_turns, rendered""",

@@ -421,6 +421,22 @@ def test_chat(spark):
     assert got[6][0] == 3 and got[None] == (1, "<|im_start|>\n<|im_end|>\n")
 
 
+def test_chat_of_rows_without_id_and_long_texts(spark):
+    """Each row without an id is a conversation; equal ones, and those that begin another one, go once."""
+    from gleaner.llm.queries import ORACLE_SQL
+
+    long_ = "very long " * 50_000
+    rows = [(None, i % 3, "user", f"t{i % 4}") for i in range(40)] + [(1, 0, "user", "t0"), (1, 1, None, long_), (2, 7, "user", "t1"), (3, 0, "user", "t1"), (None, None, "user", long_), (4, 0, "", ""), (None, 2, None, None), (5, 0, "user", "x"), (5, 0, "user", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df = df.withColumns({c: df["turn"] for c in ("place", "h1", "n_turns", "part", "rendered", "kept_id")})
+    got = chat.format_chats(df)
+    shown = sorted(((r.conv_id or 0, r.n_turns, r.rendered[:24]) for r in got.collect()))
+    assert [(c, n) for c, n, _ in shown] == [(0, 1), (0, 1), (0, 1), (1, 2), (2, 1), (4, 1), (5, 2)]
+    con = oracle.duckdb.connect()
+    con.register("conversations", df.select("conv_id", "turn", "role", "text").toArrow())
+    assert oracle.rows(got) == oracle.expected(con, ORACLE_SQL["op8_chat_formatting"])
+
+
 def test_sql(spark):
     from gleaner.llm.queries import ORACLE_SQL, QUERIES
 
