@@ -83,7 +83,13 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(documents(spark, sf_dir, "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_minhash_near_dedup, op3_secret_scans, op4_media_columns, op5_exact_dedup, op6_suffix_dedup, op7_language_id, op8_chat_formatting, op9_bpe, op10_lm_scoring)}
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleaner.llm.whitening import whiten
+
+    return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"), components=32)
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_minhash_near_dedup, op3_secret_scans, op4_media_columns, op5_exact_dedup, op6_suffix_dedup, op7_language_id, op8_chat_formatting, op9_bpe, op10_lm_scoring, op11_embedding_whitening)}
 
 ORACLE_SQL = {
     "op5_exact_dedup": """
