@@ -79,9 +79,9 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def prefix_sums(data: np.ndarray, values: np.ndarray = BYTE_VALUE) -> np.ndarray:
     """S with hash(data[i:j]) = (S[j] - S[i]) * base**-i, modulo 2**64. Other values of bytes give hashes
-    that are independent of these."""
+    that are independent of these. In place of bytes, data may hold 64-bit numbers, which are their own values."""
     sums = np.zeros(len(data) + 1, U64)
-    np.cumsum(values[data] * powers(len(data))[0], out=sums[1:])
+    np.cumsum((values[data] if data.dtype == np.uint8 else data) * powers(len(data))[0], out=sums[1:])
     return sums
 
 
@@ -114,6 +114,32 @@ def words_with_tails(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     return hashes, np.repeat(np.arange(len(counts)), counts), counts, tails
 
 
+def word_spans(data: np.ndarray, offsets: np.ndarray, outside: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin and end of every word (a run of bytes that aren't ``outside``), in order, and the number of
+    words of each row. Words don't cross rows."""
+    if not len(data):
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros(len(offsets) - 1, np.int64)
+    inside = ~outside[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[1:-1] = inside[1:] != inside[:-1]
+    edge[0], edge[-1] = inside[0], inside[-1]
+    ends = np.flatnonzero(edge)
+    first, last = ends[::2], ends[1::2]
+    cuts = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(data))]
+    cuts = np.unique(cuts[inside[cuts] & inside[cuts - 1]])
+    if len(cuts):
+        first, last = np.sort(np.r_[first, cuts]), np.sort(np.r_[last, cuts])
+    counts = np.searchsorted(first, offsets[1:]) - np.searchsorted(first, offsets[:-1])
+    return first, last, counts
+
+
+def span_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span."""
+    sums = prefix_sums(data)
+    return mix((sums[last] - sums[first]) * powers(len(data) + 1)[1][first])
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct ``size``-word shingles of each row as 64-bit hashes, ascending within a row, and
     the offsets of the rows. A row with fewer words has its whole sequence as one shingle; a row
@@ -141,18 +167,19 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.n
     return value, np.concatenate(([0], np.cumsum(np.bincount(of, minlength=rows)))).astype(np.int64)
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, span: int, inner: int) -> tuple[np.ndarray, ...]:
+def anchors(data: np.ndarray, offsets: np.ndarray, span: int, inner: int, least_places: int = 0) -> tuple[np.ndarray, ...]:
     """The anchors of all strings of ``span`` bytes within rows: of each such string, its ``inner``-byte
     substring of the smallest hash, the leftmost of equals. Neighbouring starts of one anchor make a
     run: first start, number of starts, anchor (places in data), hash of the anchor, and fingerprint
-    of all bytes that the run's strings cover. Equal strings have equal anchors at the same place."""
+    of all bytes that the run's strings cover. Equal strings have equal anchors at the same place.
+    ``least_places`` low bits of the hashes aren't compared, however short the data."""
     width, n = span - inner + 1, len(data)
     none = np.zeros(0, np.int64)
     if n < span:
         return none, none, none, none.view(U64), none.view(U64)
     sums, inverse = prefix_sums(data), powers(n + 1)[1]
     hashes = mix((sums[inner:] - sums[:-inner]) * inverse[: n + 1 - inner])
-    places = U64(int(n).bit_length())
+    places = U64(max(int(n).bit_length(), least_places))
     low = (hashes >> places << places) | np.arange(len(hashes), dtype=U64)
     reach = 1
     while reach * 2 <= width:

@@ -89,7 +89,13 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"), components=32)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_minhash_near_dedup, op3_secret_scans, op4_media_columns, op5_exact_dedup, op6_suffix_dedup, op7_language_id, op8_chat_formatting, op9_bpe, op10_lm_scoring, op11_embedding_whitening)}
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleaner.llm.substring_dedup import remove_repeated_windows
+
+    return remove_repeated_windows(documents(spark, sf_dir, "doc_id", "text"), window=50)
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_minhash_near_dedup, op3_secret_scans, op4_media_columns, op5_exact_dedup, op6_suffix_dedup, op7_language_id, op8_chat_formatting, op9_bpe, op10_lm_scoring, op11_embedding_whitening, op13_substring_dedup)}
 
 ORACLE_SQL = {
     "op5_exact_dedup": """
@@ -113,4 +119,13 @@ ORACLE_SQL = {
         SELECT min(conv_id) AS conv_id, n_turns, rendered FROM ends e
         WHERE NOT EXISTS (SELECT 1 FROM prefixes x WHERE x.place = e.n_turns AND x.so_far = e.rendered)
         GROUP BY n_turns, rendered""",
+    "op13_substring_dedup": """
+        WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents),
+        starts AS (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM t WHERE len(words) >= 50),
+        windows AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY array_to_string(words[i : i + 49], ' ')) AS earliest FROM starts),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM windows WHERE earliest < doc_id),
+        places AS (SELECT doc_id, list(i) AS places FROM gone GROUP BY doc_id)
+        SELECT doc_id, len(words) AS n_words, coalesce(len(places), 0) AS n_removed,
+               sha256(array_to_string(list_filter(words, lambda x, i: NOT list_contains(coalesce(places, []), i)), ' ')) AS kept_sha256
+        FROM t LEFT JOIN places USING (doc_id)""",
 }
