@@ -89,13 +89,22 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"), components=32)
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleaner.llm.lexical import rank_documents
+
+    return rank_documents(documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"), k=50)
+
+
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gleaner.llm.substring_dedup import remove_repeated_windows
 
     return remove_repeated_windows(documents(spark, sf_dir, "doc_id", "text"), window=50)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_minhash_near_dedup, op3_secret_scans, op4_media_columns, op5_exact_dedup, op6_suffix_dedup, op7_language_id, op8_chat_formatting, op9_bpe, op10_lm_scoring, op11_embedding_whitening, op13_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_minhash_near_dedup, op3_secret_scans, op4_media_columns, op5_exact_dedup, op6_suffix_dedup, op7_language_id, op8_chat_formatting, op9_bpe, op10_lm_scoring, op11_embedding_whitening, op12_lexical_search, op13_substring_dedup)}
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_TERMS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
 
 ORACLE_SQL = {
     "op5_exact_dedup": """
@@ -119,6 +128,17 @@ ORACLE_SQL = {
         SELECT min(conv_id) AS conv_id, n_turns, rendered FROM ends e
         WHERE NOT EXISTS (SELECT 1 FROM prefixes x WHERE x.place = e.n_turns AND x.so_far = e.rendered)
         GROUP BY n_turns, rendered""",
+    "op12_lexical_search": f"""
+        WITH d AS (SELECT doc_id, {_TERMS} AS terms FROM documents),
+        i AS (SELECT item_id, unnest(list_distinct({_TERMS})) AS term FROM benchmark),
+        totals AS (SELECT count(*) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM d WHERE len(terms) > 0),
+        p AS (SELECT doc_id, len(terms) AS n, unnest(terms) AS term FROM d),
+        t AS (SELECT doc_id, term, any_value(n) AS n, count(*) AS tf FROM p WHERE term IN (SELECT term FROM i) GROUP BY doc_id, term),
+        w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS weight FROM t, totals GROUP BY term, n_docs),
+        s AS (SELECT item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))))::BIGINT AS score
+              FROM i JOIN t USING (term) JOIN w USING (term), totals GROUP BY item_id, doc_id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM s WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50""",
     "op13_substring_dedup": """
         WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents),
         starts AS (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM t WHERE len(words) >= 50),
