@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -33,6 +34,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark remove the files of shuffles and checkpoints that nothing refers to any more; it learns of
+    them when Python and the driver's JVM collect their garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:
     """From now on, in this session, Spark hands no more than so many rows at once to Python tasks (10,000
     if left alone): rows here are whole texts, and each task holds a batch or two on either side."""

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm import kernels as K
-from gleaner.llm.common import checkpointed, in_parts
+from gleaner.llm.common import checkpointed, in_parts, release
 
 BLOCK = 2 << 20
 #: Bytes of contexts in one bucket.
@@ -202,18 +202,34 @@ def _shifted(by: Column):
     return lambda s: F.struct((s["offset"] + by).alias("offset"), s["count"].alias("count"))
 
 
-def earlier_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, seed: int = 10, hot: int = 10_000) -> DataFrame:
-    """doc, key, spans: of each document with windows that also start in one of a smaller id, these
-    windows, as runs of starts (offset in words, count)."""
-    texts = _texts(docs, id_col, text_col)
-    job = _Job(window, seed)
+def _apart(df: DataFrame, *keys: str) -> DataFrame:
+    """df, dealt out so that a join by the keys shuffles it too; Spark then splits what a hot key has on the
+    join's other side."""
+    return df.repartition(F.xxhash64(*keys))
+
+
+def _shared_seeds(texts: DataFrame, job: _Job) -> DataFrame:
+    """Runs of anchors that documents of different ids have."""
     seeds = checkpointed(texts.select("doc", "key", "text").mapInArrow(job.seeds, SEEDS))
     common = seeds.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("anchor")
-    shared = checkpointed(seeds.join(common, "anchor", "left_semi"))
+    return checkpointed(seeds.join(_apart(common, "anchor"), "anchor", "left_semi"))
+
+
+def _contexts(shared: DataFrame, hot: int) -> DataFrame:
+    """One run of each context of an anchor, the smallest and largest ids that have it, how many contexts
+    the anchor has (n), and whether these are too many for a task (hot)."""
     # first() of each column comes from one row; any row of a context has its words
     contexts = shared.groupBy("anchor", "print").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), *[F.first(c).alias(c) for c in ("doc", "key", "first", "count")])
     sizes = contexts.groupBy("anchor").agg(F.count("*").alias("n"))
-    contexts = checkpointed(contexts.join(sizes, "anchor").withColumn("hot", F.col("n") > hot))
+    return checkpointed(contexts.join(_apart(sizes, "anchor"), "anchor").withColumn("hot", F.col("n") > hot))
+
+
+def earlier_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, seed: int = 10, hot: int = 10_000) -> DataFrame:
+    """doc, key, spans: of each document with windows that also start in one of a smaller id, these
+    windows, as runs of starts (offset in words, count)."""
+    texts = _texts(docs, id_col, text_col)
+    shared = _shared_seeds(texts, _Job(window, seed))
+    contexts = _contexts(shared, hot)
     numbers = contexts.agg(F.coalesce(F.sum(F.col("count") + window), F.lit(0)), F.coalesce(F.max(F.col("hot").cast("int")), F.lit(0))).first()
     job = _Job(window, seed, max(16, numbers[0] * 8 // BUCKET))
     settled = contexts.filter("n = 1 and lo < hi").select("anchor", "print", F.array(F.struct(F.lit(0).alias("offset"), "count", "lo")).cast("array<struct<offset:int,count:int,lo:long>>").alias("spans"))
@@ -225,14 +241,14 @@ def earlier_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = settled.unionByName(words_of(contexts.filter("n > 1 and not hot")).groupBy("bucket").applyInArrow(lambda table: job.extend(table), FOUND))
     if numbers[1]:  # an empty branch would still shuffle all texts
         windows = words_of(contexts.filter("hot"))
-        earliest = windows.groupBy("words").agg(F.min("lo").alias("earliest")).repartition("earliest").withColumnRenamed("words", "__words")
+        earliest = _apart(windows.groupBy("words").agg(F.min("lo").alias("earliest")).withColumnRenamed("words", "__words"), "__words")
         dealt = windows.join(earliest, F.col("words") == F.col("__words"))
         one = F.struct(F.col("at").alias("offset"), F.col("count"), F.col("earliest").alias("lo"))
         found = found.unionByName(dealt.groupBy("anchor", "print").agg(F.collect_list(one).alias("spans")))
-    found = found.dropDuplicates(["anchor", "print"])
+    found = _apart(found.dropDuplicates(["anchor", "print"]), "anchor", "print")
     later = F.filter("spans", lambda s: s["lo"] < F.col("doc"))
     hits = shared.join(found, ["anchor", "print"]).select("doc", "key", F.transform(later, _shifted(F.col("first"))).alias("spans")).filter(F.size("spans") > 0)
-    return hits.groupBy("doc", "key").agg(F.flatten(F.collect_set("spans")).alias("spans"))
+    return checkpointed(hits.groupBy("doc", "key").agg(F.flatten(F.collect_set("spans")).alias("spans")))
 
 
 def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, seed: int = 10, hot: int = 10_000, with_kept: bool = False) -> DataFrame:
@@ -247,6 +263,7 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
     ``window``; neither it nor ``hot`` changes a result.
     """
     spans = earlier_windows(docs, id_col, text_col, window, seed, hot)
+    release(docs.sparkSession)
     texts = _texts(docs, id_col, text_col).join(spans, ["doc", "key"], "left").select("doc_id", "text", "spans")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_kept
     return texts.mapInArrow(_Job(window, seed, with_kept=with_kept).cut, schema)
