@@ -26,7 +26,7 @@ def query(covers: str, sql: str | None = None):
 
 
 def load() -> None:
-    from gleaner.plans import content, flows, graph, merges, relational, retrieval, spatial, urls  # noqa: F401
+    from gleaner.plans import content, flows, graph, merges, pages, relational, retrieval, spatial, urls  # noqa: F401
 
 
 load()
