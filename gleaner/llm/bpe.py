@@ -16,12 +16,14 @@ import json
 import mmap
 import os
 import tempfile
+from array import array
 from collections.abc import Iterator
-from heapq import heapify, heappop, heappush
-from itertools import chain, pairwise
+from heapq import heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -139,26 +141,39 @@ class Vocabulary:
         return done
 
     def merge_long(self, word: bytes) -> bytes:
-        """The same for one word, with the pairs in a heap and the symbols in a linked list."""
+        """The same for one word, a pair at a time: those of the start in sorted order, those that merging makes
+        in a heap, and the symbols in a linked list. A word of n bytes takes some 60 n bytes of memory."""
         if self.by_pair is None:
             self.by_pair = dict(zip(self.pairs.tolist(), self.ranks.tolist()))
-        symbols = self.first[np.frombuffer(word, np.uint8)].tolist()
-        ranks, n = self.by_pair, len(symbols)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i) for i, (a, b) in enumerate(pairwise(symbols)) if (r := ranks.get(a << 20 | b)) is not None]
-        heapify(heap)
-        while heap:
-            rank, i = heappop(heap)
+        begin, n, ranks = self.first[np.frombuffer(word, np.uint8)], len(word), self.by_pair
+        at = self.rank(begin[:-1], begin[1:]) if n > 1 else np.zeros(0, np.int64)
+        places = np.flatnonzero(at != NO_RANK)
+        waiting = np.sort(at[places] << 40 | places)
+        symbols, after, before = (array("i", x.astype(np.int32).tobytes()) for x in (begin, np.arange(1, n + 1), np.arange(-1, n - 1)))
+        merged, mask, heap, read = self.merged, (1 << 40) - 1, [], 0
+        part, k = waiting[: 1 << 16].tolist(), 0
+        while True:
+            if k == len(part):
+                read += len(part)
+                part, k = waiting[read : read + (1 << 16)].tolist(), 0
+            if heap and (k == len(part) or heap[0] < part[k]):
+                code = heappop(heap)
+            elif k < len(part):
+                code, k = part[k], k + 1
+            else:
+                break
+            rank, i = code >> 40, code & mask
             j = after[i]
             if symbols[i] < 0 or j == n or ranks.get(symbols[i] << 20 | symbols[j]) != rank:
                 continue  # one of the two has been merged since
-            symbols[i], symbols[j], after[i] = int(self.merged[rank]), -1, after[j]
+            symbols[i], symbols[j], after[i] = int(merged[rank]), -1, after[j]
             if after[j] < n:
                 before[after[j]] = i
             for a, b in ((before[i], i), (i, after[i])):
                 if a >= 0 and b < n and (r := ranks.get(symbols[a] << 20 | symbols[b])) is not None:
-                    heappush(heap, (r, a))
-        return np.array([s for s in symbols if s >= 0], "<u4").tobytes()
+                    heappush(heap, r << 40 | a)
+        left = np.frombuffer(symbols, np.int32)
+        return left[left >= 0].astype("<u4").tobytes()
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
         """The texts of the ids between offsets."""
@@ -332,8 +347,9 @@ def text_blocks(batches: Iterator[pa.RecordBatch], column: int, limit: int = 8 <
             yield batch.slice(row, end - row)
 
 
-def word_counts(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """word (bytes) and how often it occurs in the column ``text``, over all rows."""
+def word_counts(docs: DataFrame, tokenizer_path: str, longest: int = 64) -> DataFrame:
+    """word (bytes) and how often it occurs in the column ``text``, over all rows, for words of at most
+    ``longest`` bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = vocabulary(tokenizer_path), []
@@ -345,7 +361,9 @@ def word_counts(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
         for block in text_blocks(batches, 0):
             found = words_of(known, [t or "" for t in block.column(0).to_pylist()])[0].value_counts()
-            counts.append(pa.table([found.field(0).dictionary_decode().cast(pa.binary()), found.field(1)], ["word", "n"]))
+            table = pa.table([found.field(0).dictionary_decode().cast(pa.large_binary()), found.field(1)], ["word", "n"])
+            table = table.filter(pa.compute.less_equal(pa.compute.binary_length(table.column("word")), longest))
+            counts.append(pa.table([table.column("word").cast(pa.binary()), table.column("n")], ["word", "n"]))
             if sum(c.num_rows for c in counts) > 1_000_000:
                 yield from flush()
         if counts:
@@ -354,10 +372,11 @@ def word_counts(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def build_lexicon(docs: DataFrame, tokenizer_path: str, lexicon_size: int = 50_000) -> bytes:
-    """The compiled automaton of the most frequent words (up to lexicon_size of them).
-    Counts cover all rows; only those words themselves come to the driver."""
-    top = most_frequent(checkpointed(word_counts(docs, tokenizer_path)), lexicon_size).select("word").collect()
+def build_lexicon(docs: DataFrame, tokenizer_path: str, lexicon_size: int = 50_000, longest: int = 64) -> bytes:
+    """The compiled automaton of the most frequent words of up to ``longest`` bytes (up to lexicon_size of
+    them); longer ones are always merged. Counts cover all rows; only those words themselves come to the
+    driver, lexicon_size * longest bytes at most."""
+    top = most_frequent(checkpointed(word_counts(docs, tokenizer_path, longest)), lexicon_size).select("word").collect()
     words, known = [bytes(r["word"]) for r in top], vocabulary(tokenizer_path)
     words = [w for w in words if w.decode("utf-8", "replace") not in known.special]
     return Automaton.compile(dict(zip(words, known.merge(words))))

@@ -15,9 +15,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 from gleaner.llm import bloom
-from gleaner.llm.common import checkpointed, text_or_empty
+from gleaner.llm.common import checkpointed, fresh, text_or_empty
 
 
 def flag_possible_repeats(hashes: DataFrame, rows: int, bits_per_row: int = 16, filter_bytes: int = bloom.FILTER_BYTES) -> DataFrame:
@@ -49,24 +50,37 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return unique.unionByName(joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"))
 
 
+def _orderable(kind: DataType) -> bool:
+    if isinstance(kind, ArrayType):
+        return _orderable(kind.elementType)
+    if isinstance(kind, StructType):
+        return all(_orderable(f.dataType) for f in kind.fields)
+    return not isinstance(kind, (MapType, VariantType))
+
+
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **filter_options) -> DataFrame:
     """docs with one row of each group of equal texts, the one with the largest id (of rows that tie,
-    the one whose other columns sort last).
+    the one whose other columns sort last; columns that have no order, such as maps, count last, as JSON).
 
-    Groups are found on hashes. Rows that don't stay are then told by a filter of their ids and hashes, so
-    a row outside any group isn't shuffled (but for the filter's false positives), whatever its text.
+    Columns may have any names and kinds. Null texts count as empty. Groups are found on hashes. Rows
+    that don't stay are then told by a filter of their ids and hashes, so a row outside any group isn't
+    shuffled (but for the filter's false positives), whatever its text.
     """
     names = docs.columns
+    sha, key, suspect = fresh(docs, "sha", "key", "suspect")
+    gone_id, gone_sha, tied_id, tied_sha, row = fresh(docs, "gone_id", "gone_sha", "tied_id", "tied_sha", "row")
     found = checkpointed(exact_duplicates(docs, id_col, text_col, **filter_options).filter("group_size > 1"))
-    gone = found.filter("not kept").select(F.col("doc_id").alias("__gone"), F.col("text_sha256").alias("__gone_sha")).distinct()
+    gone = found.filter("not kept").select(F.col("doc_id").alias(gone_id), F.col("text_sha256").alias(gone_sha)).distinct()
     # of groups whose largest id has several rows, one of these has to be chosen by the other columns
     ties = found.filter("kept").groupBy("text_sha256").agg(F.count("*").alias("n"), F.max("doc_id").alias("doc_id")).filter("n > 1")
-    tied = ties.select(F.col("doc_id").alias("__tied"), F.col("text_sha256").alias("__tied_sha"))
-    rows = docs.withColumn("__sha", F.sha2(text_or_empty(text_col), 256)).withColumn("__key", F.xxhash64(F.col(id_col), "__sha"))
-    keys = gone.select(F.xxhash64("__gone", "__gone_sha").alias("key")).unionByName(tied.select(F.xxhash64("__tied", "__tied_sha").alias("key")))
-    flagged = bloom.flag_members(rows, F.col("__key"), keys, "__suspect", filter_options.get("filter_bytes", bloom.FILTER_BYTES))
-    suspects = flagged.filter("__suspect").join(gone, F.col(id_col).eqNullSafe(F.col("__gone")) & (F.col("__sha") == F.col("__gone_sha")), "left_anti")
-    marked = suspects.join(tied, F.col(id_col).eqNullSafe(F.col("__tied")) & (F.col("__sha") == F.col("__tied_sha")), "left")
-    chosen = marked.filter("__tied_sha is not null").groupBy("__tied_sha").agg(F.max(F.struct(*names)).alias("__row"))
-    parts = [flagged.filter(~F.col("__suspect")).select(*names), marked.filter("__tied_sha is null").select(*names), chosen.select(*(F.col("__row")[c].alias(c) for c in names))]
+    tied = ties.select(F.col("doc_id").alias(tied_id), F.col("text_sha256").alias(tied_sha))
+    rows = docs.withColumn(sha, F.sha2(text_or_empty(text_col), 256)).withColumn(key, F.xxhash64(F.col(id_col), sha))
+    keys = gone.select(F.xxhash64(gone_id, gone_sha).alias("key")).unionByName(tied.select(F.xxhash64(tied_id, tied_sha).alias("key")))
+    flagged = bloom.flag_members(rows, F.col(key), keys, suspect, filter_options.get("filter_bytes", bloom.FILTER_BYTES))
+    suspects = flagged.filter(suspect).join(gone, F.col(id_col).eqNullSafe(F.col(gone_id)) & (F.col(sha) == F.col(gone_sha)), "left_anti")
+    marked = suspects.join(tied, F.col(id_col).eqNullSafe(F.col(tied_id)) & (F.col(sha) == F.col(tied_sha)), "left")
+    ordered = [f.name for f in docs.schema if _orderable(f.dataType)]
+    others = [F.to_json(F.struct(c)) for c in names if c not in ordered]
+    chosen = marked.filter(F.col(tied_sha).isNotNull()).groupBy(tied_sha).agg(F.max_by(F.struct(*names), F.struct(*ordered, *others)).alias(row))
+    parts = [flagged.filter(~F.col(suspect)).select(*names), marked.filter(F.col(tied_sha).isNull()).select(*names), chosen.select(*(F.col(row)[c].alias(c) for c in names))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])

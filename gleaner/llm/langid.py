@@ -224,7 +224,8 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per
 def predict(docs: DataFrame, model: Hierarchy, text_col: str = "text") -> DataFrame:
     """docs and the columns __lang, __score and __claimed (whether the text is like those the language was
     learned from); of a text that is null or has no letter, or where no language was learned, ``und``, 0
-    and false."""
+    and false. Columns of these names are replaced."""
+    docs = docs.drop("__lang", "__score", "__claimed")
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -75,9 +76,13 @@ def write_container(payload: bytes, rate: int = RATE) -> bytes:
     return ftyp + moov(before + head) + box(b"mdat", payload)
 
 
+class Malformed(ValueError):
+    """A table that its box doesn't hold, or that contradicts itself."""
+
+
 def walk(data: bytes | memoryview, start: int = 0, end: int | None = None, path: tuple = ()):
     """(path, start, end of the contents) of every box, parents before children. A box whose size
-    reaches past its parent ends the walk there."""
+    reaches past its parent ends the walk there; boxes nested deeper than any file has are not entered."""
     end = len(data) if end is None else end
     while start + 8 <= end:
         size, kind = struct.unpack_from(">I4s", data, start)
@@ -89,14 +94,27 @@ def walk(data: bytes | memoryview, start: int = 0, end: int | None = None, path:
         if size < head or start + size > end:
             return
         yield (*path, kind), start + head, start + size
-        if kind in NESTED:
+        if kind in NESTED and len(path) < 16:
             yield from walk(data, start + head, start + size, (*path, kind))
         start += size
 
 
+def _table(data: bytes | memoryview, at: int, end: int, count: int, fields: str) -> list[tuple]:
+    """``count`` entries of some fields from a place on, which the box has to hold."""
+    entry = struct.Struct(">" + fields)
+    if count * entry.size > end - at:
+        raise Malformed(f"{count} entries in {end - at} bytes")
+    return list(entry.iter_unpack(data[at : at + count * entry.size]))
+
+
+def _number(data: bytes | memoryview, at: int, end: int, kind: str = "I") -> int:
+    return _table(data, at, end, 1, kind)[0][0]
+
+
 def read_container(data: bytes | memoryview) -> list[dict]:
     """For each track: codec, timescale, duration, n_samples, chunk ranges and key-frame ranges (start,
-    stop in the file)."""
+    stop in the file). A table that doesn't fit into its box raises Malformed; so nothing is larger than
+    the file lets it be."""
     tracks: list[dict] = []
     for path, at, end in walk(data):
         kind = path[-1]
@@ -106,24 +124,23 @@ def read_container(data: bytes | memoryview) -> list[dict]:
             continue
         t = tracks[-1]
         if kind == b"mdhd":
-            t["timescale"], t["duration"] = struct.unpack_from(">IQ" if data[at] == 1 else ">II", data, at + (20 if data[at] == 1 else 12))
+            wide = _number(data, at, end, "B") == 1
+            ((t["timescale"], t["duration"]),) = _table(data, at + (20 if wide else 12), end, 1, "IQ" if wide else "II")
         elif kind == b"stsd":
-            t["codec"] = bytes(data[at + 12 : at + 16]).decode("latin-1")
+            t["codec"] = bytes(data[at + 12 : min(at + 16, end)]).decode("latin-1")
         elif kind == b"stts":
-            n = struct.unpack_from(">I", data, at + 4)[0]
-            t["times"] = [struct.unpack_from(">II", data, at + 8 + 8 * i) for i in range(n)]
+            t["times"] = _table(data, at + 8, end, _number(data, at + 4, end), "II")
         elif kind == b"stss":
-            n = struct.unpack_from(">I", data, at + 4)[0]
-            t["sync"] = struct.unpack_from(f">{n}I", data, at + 8)
+            t["sync"] = [x for (x,) in _table(data, at + 8, end, _number(data, at + 4, end), "I")]
+            if any(b <= a for a, b in zip([0, *t["sync"]], t["sync"])):
+                raise Malformed("key samples that don't rise")
         elif kind == b"stsc":
-            n = struct.unpack_from(">I", data, at + 4)[0]
-            t["runs"] = [struct.unpack_from(">III", data, at + 8 + 12 * i) for i in range(n)]
+            t["runs"] = _table(data, at + 8, end, _number(data, at + 4, end), "III")
         elif kind == b"stsz":
-            t["size"], t["n_samples"] = struct.unpack_from(">II", data, at + 4)
-            t["sizes"] = None if t["size"] else struct.unpack_from(f">{t['n_samples']}I", data, at + 12)
+            ((t["size"], t["n_samples"]),) = _table(data, at + 4, end, 1, "II")
+            t["sizes"] = None if t["size"] else [x for (x,) in _table(data, at + 12, end, t["n_samples"], "I")]
         elif kind in (b"stco", b"co64"):
-            n = struct.unpack_from(">I", data, at + 4)[0]
-            t["offsets"] = struct.unpack_from(f">{n}{'I' if kind == b'stco' else 'Q'}", data, at + 8)
+            t["offsets"] = [x for (x,) in _table(data, at + 8, end, _number(data, at + 4, end), "I" if kind == b"stco" else "Q")]
     for t in tracks:
         t["chunks"], t["keys"] = _ranges(t)
     return tracks
@@ -134,20 +151,23 @@ def _ranges(t: dict) -> tuple[list, list]:
     if not runs or "n_samples" not in t:
         return [], []
     keys, chunks, sample = [], [], 1
-    sync, at_key = range(1, t["n_samples"] + 1) if t["sync"] is None else t["sync"], 0  # without a table, every sample is one
+    sync, at_key = t["sync"], 0
     run = 0
     for number, offset in enumerate(offsets, 1):
         while run + 1 < len(runs) and runs[run + 1][0] <= number:
             run += 1
         n = min(runs[run][1], t["n_samples"] - sample + 1)
-        sizes = t["sizes"][sample - 1 : sample - 1 + n] if t["sizes"] is not None else None
-        total = sum(sizes) if sizes is not None else n * t["size"]
+        ends = list(accumulate(t["sizes"][sample - 1 : sample - 1 + n], initial=0)) if t["sizes"] is not None else None
+        total = ends[-1] if ends is not None else n * t["size"]
         chunks.append((offset, offset + total))
-        while at_key < len(sync) and sync[at_key] < sample + n:
-            i = sync[at_key] - sample
-            start = offset + (sum(sizes[:i]) if sizes is not None else i * t["size"])
-            keys.append((start, start + (sizes[i] if sizes is not None else t["size"])))
-            at_key += 1
+        if sync is None:  # without a table every sample is one, and a chunk's samples are neighbours
+            if total:
+                keys.append((offset, offset + total))
+        else:
+            while at_key < len(sync) and sync[at_key] < sample + n:
+                i = sync[at_key] - sample
+                keys.append((offset + ends[i], offset + ends[i + 1]) if ends is not None else (offset + i * t["size"], offset + (i + 1) * t["size"]))
+                at_key += 1
         sample += n
     return chunks, keys
 
@@ -195,7 +215,7 @@ def tracks(files: DataFrame, media_col: str = "media") -> DataFrame:
     the key frames of each track of an ISO media file.
 
     Payloads are not decoded. A null, an empty file, and bytes that are no such file have no tracks; a
-    track without a table of key frames has a key frame in every sample. All rows are returned; a
+    track without a table of key frames has a key frame in every sample: a range for each chunk. All rows are returned; a
     column that is called ``tracks`` already is replaced.
     """
     files = files.drop("tracks")
@@ -207,7 +227,7 @@ def tracks(files: DataFrame, media_col: str = "media") -> DataFrame:
         for data in batch.column(names.index(media_col)):
             try:
                 read = read_container(data.as_py() or b"")
-            except struct.error:  # cut off in a table
+            except Malformed:
                 read = []
             found.append([{"codec": (t["codec"] or "").strip(), "duration": t["duration"] / t["timescale"] if t["timescale"] else None, "keyframes": [{"start": a, "stop": b} for a, b in t["keys"]]} for t in read])
         return pa.RecordBatch.from_arrays([*(batch.column(names.index(c)) for c in kept), pa.array(found, kind)], [*kept, "tracks"])

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm import kernels as K
 from gleaner.llm.bloom import flag_members
-from gleaner.llm.common import checkpointed, per_batch, small_batches
+from gleaner.llm.common import checkpointed, fresh, per_batch, small_batches
 from gleaner.llm.components import UnionFind, connected_components
 
 SLOTS = 127
@@ -228,6 +228,8 @@ def _linked(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> Dat
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the rows that near_duplicates doesn't keep; rows that repeat a kept id stay."""
-    found = near_duplicates(docs, id_col, text_col, shingle_words, percent).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(found, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    """docs without the rows that near_duplicates doesn't keep; rows that repeat a kept id stay. Columns may
+    have any names."""
+    (gone,) = fresh(docs, "gone")
+    found = near_duplicates(docs, id_col, text_col, shingle_words, percent).filter("not kept").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(found, F.col(id_col).cast("long") == F.col(gone), "left_anti")
