@@ -20,9 +20,8 @@ def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return exploded.groupBy(id_col, "term").agg(F.count("*").alias("tf"), F.max("n_terms").alias("n_terms"))
 
 
-def keyword_filter(text: Column, all_of: Sequence[str] = (), any_of: Sequence[str] = (), none_of: Sequence[str] = (), phrases: Sequence[str] = ()) -> Column:
-    """Whether a prepared text has all, any and none of some terms, and some phrases of terms."""
-    words = X.terms(text)
+def keyword_filter(words: Column, all_of: Sequence[str] = (), any_of: Sequence[str] = (), none_of: Sequence[str] = (), phrases: Sequence[str] = ()) -> Column:
+    """Whether an array of terms has all, any and none of some terms, and some phrases of terms."""
     spaced = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
     has = lambda t: F.array_contains(words, t.lower())
     conditions = [has(t) for t in all_of] + [~has(t) for t in none_of] + [F.contains(spaced, F.lit(f" {p.lower()} ")) for p in phrases]
@@ -32,14 +31,15 @@ def keyword_filter(text: Column, all_of: Sequence[str] = (), any_of: Sequence[st
 
 
 def keyword_search(docs: DataFrame, id_col: str, text_col: str, terms: Sequence[str], limit: int, none_of: Sequence[str] = (), phrases: Sequence[str] = ()) -> DataFrame:
-    """id and kw_score (occurrences of the terms) of the texts with all terms, best first, ties by id. The
-    terms are counted in one pass over the texts, without an index."""
+    """id and kw_score (occurrences of the terms) of the texts with all terms, best first, ties by id. Terms
+    are found and counted in the prepared texts' first characters, in one pass and without an index
+    (gleaner.operators.fulltext has one)."""
     wanted = list(dict.fromkeys(t.lower() for t in terms))
     if not wanted:
         return docs.select(id_col, F.lit(0).cast("long").alias("kw_score")).limit(0)
     words = X.terms(F.left(X.index_text(F.col(text_col)), F.lit(X.INDEXED_CHARACTERS)))
     rows = docs.filter(F.col(text_col).isNotNull()).select(id_col, text_col, words.alias("words"))
-    rows = rows.filter(keyword_filter(F.col(text_col), wanted, (), none_of, phrases))
+    rows = rows.filter(keyword_filter(F.col("words"), wanted, (), none_of, phrases))
     score = F.size(F.filter("words", lambda w: w.isin(wanted))).cast("long")
     return rows.select(id_col, score.alias("kw_score")).orderBy(F.desc("kw_score"), id_col).limit(limit)
 

@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as X
+from gleaner.operators import fulltext as T
 from gleaner.operators import retrieval as R
 from gleaner.plans.catalog import query
 from gleaner.session import table
+from gleaner.streaming import rounds
 
 _TERMS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
+_PREPARED = _TERMS.replace("text", "left(trim(regexp_replace(regexp_replace(regexp_replace(text, '[\\p{So}\\p{Sk}]', ' ', 'g'), '\\p{Cf}', '', 'g'), '\\s+', ' ', 'g')), 100000)")
 _QUERY = "(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)"
 
 
 def _vector(spark, sf, number: int = 0):
-    return table(spark, sf, "embeddings", "vec_id", "embedding").filter(F.col("vec_id") == number).first()["embedding"]
+    row = table(spark, sf, "embeddings", "vec_id", "embedding").filter(F.col("vec_id") == number).first()
+    return row["embedding"] if row else []
 
 
 @query("R5 T4 R21", f"""
@@ -23,8 +27,8 @@ def vector_topk(spark, sf):
     return R.vector_topk(table(spark, sf, "embeddings", "vec_id", "embedding"), "vec_id", "embedding", _vector(spark, sf), 20)
 
 
-@query("R1 R3 R4 T5", f"""
-    WITH d AS (SELECT doc_id, {_TERMS} AS w FROM documents)
+@query("R1 T5", f"""
+    WITH d AS (SELECT doc_id, {_PREPARED} AS w FROM documents)
     SELECT doc_id, len(list_filter(w, lambda x: x IN ('the', 'onth'))) AS kw_score FROM d WHERE list_contains(w, 'the') AND list_contains(w, 'onth') ORDER BY kw_score DESC, doc_id LIMIT 20""")
 def keyword_search(spark, sf):
     return R.keyword_search(table(spark, sf, "documents", "doc_id", "text"), "doc_id", "text", ["the", "onth"], 20)
@@ -36,11 +40,11 @@ def keyword_search(spark, sf):
       AND (list_contains(w, 'and') OR list_contains(w, 'zzz'))""")
 def boolean_search(spark, sf):
     t = table(spark, sf, "documents", "doc_id", "text")
-    return t.filter(R.keyword_filter(F.col("text"), ["the"], ["and", "zzz"], ["onth"], ["of the"])).select("doc_id")
+    return t.filter(R.keyword_filter(X.terms(F.col("text")), ["the"], ["and", "zzz"], ["onth"], ["of the"])).select("doc_id")
 
 
 @query("R6 R7 U1 W1 R20", f"""
-    WITH d AS (SELECT doc_id, {_TERMS} AS w FROM documents),
+    WITH d AS (SELECT doc_id, {_PREPARED} AS w FROM documents),
          k AS (SELECT doc_id, len(list_filter(w, lambda x: x IN ('the', 'onth'))) AS s FROM d WHERE list_contains(w, 'the') AND list_contains(w, 'onth') ORDER BY s DESC, doc_id LIMIT 20),
          kr AS (SELECT doc_id, row_number() OVER (ORDER BY s DESC, doc_id) AS kw_rank FROM k),
          v AS (SELECT vec_id AS doc_id, round(1 - list_cosine_similarity(embedding::DOUBLE[], {_QUERY}), 9) AS distance FROM embeddings JOIN documents ON doc_id = vec_id ORDER BY distance, vec_id LIMIT 20),
@@ -166,3 +170,29 @@ def script_choice(spark, sf):
 def recent_chunks(spark, sf):
     chunks = table(spark, sf, "embeddings", "vec_id", "embedding").withColumn("uploaded_ms", F.col("vec_id") % 100 * 1000)
     return R.recent_topk(chunks, "vec_id", "embedding", "uploaded_ms", _vector(spark, sf), 15, now_ms=100_000, max_age_ms=60_000)
+
+
+_AT = "list_filter(list_transform(w, lambda x, i: CASE WHEN x = '{0}' THEN least(i, 16383) END), lambda i: i IS NOT NULL)[:256]"
+_RANK = "list_sum(list_transform(range(1, len({0}) + 1), lambda j: 0.1 / (j * j)))"
+
+
+@query("R3 R4 stored index", f"""
+    WITH d AS (SELECT doc_id, {_PREPARED} AS w FROM documents),
+         p AS (SELECT doc_id, {_AT.format("the")} AS a, {_AT.format("onth")} AS b, {_AT.format("of")} AS c FROM d),
+         pairs AS (SELECT doc_id, 'together' AS query, unnest(a) AS x, b AS ys FROM p WHERE len(a) > 0 AND len(b) > 0 UNION ALL SELECT doc_id, 'phrase', unnest(c), a FROM p WHERE len(list_filter(c, lambda i: list_contains(a, i + 1))) > 0),
+         q AS (SELECT doc_id, query, abs(x - y) AS n FROM (SELECT doc_id, query, x, unnest(ys) AS y FROM pairs) WHERE x <> y),
+         t AS (SELECT query, doc_id, 1 - exp(sum(ln(1 - sqrt(0.01 * CASE WHEN n > 100 THEN 1e-30 ELSE 1 / (1.005 + 0.05 * exp(n / 1.5 - 2)) END)))) AS rank FROM q GROUP BY ALL),
+         o AS (SELECT 'either' AS query, doc_id, (coalesce({_RANK.format("a")}, 0) + coalesce({_RANK.format("b")}, 0)) / 1.64493406685 / 2 AS rank FROM p WHERE len(a) > 0 OR len(b) > 0
+               UNION ALL SELECT 'without', doc_id, coalesce({_RANK.format("c")}, 0) / 1.64493406685 / 2 FROM p WHERE len(c) > 0 AND len(b) = 0
+               UNION ALL SELECT * FROM t),
+         r AS (SELECT query, doc_id, round(rank::DOUBLE, 9) AS rank FROM o)
+    SELECT query, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rank DESC, doc_id) AS n FROM r) WHERE n <= 20""")
+def fulltext_search(spark, sf):
+    """Four searches of one stored index."""
+    path = rounds.new_folder(spark, "fulltext")
+    T.build(table(spark, sf, "documents", "doc_id", "text"), "doc_id", "text", path)
+    asked, out = {"together": "the onth", "either": "the OR onth", "phrase": '"of the"', "without": "of -onth"}, None
+    for name, words in asked.items():
+        one = T.search(spark, path, T.web_query(words), 20).select(F.lit(name).alias("query"), F.col("id").alias("doc_id"), "rank")
+        out = one if out is None else out.unionByName(one)
+    return out
