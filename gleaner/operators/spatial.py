@@ -59,7 +59,7 @@ def band_texts(references: DataFrame, boxes: DataFrame, container: str, most: in
     return ranked.groupBy(F.col("r_element_id").alias("element_id")).agg(F.left(F.array_join(texts, " | "), F.lit(cap)).alias("band"))
 
 
-def _clusters(values: Column, tolerance: float) -> Column:
+def _clusters(values: Column, tolerance: float | Column) -> Column:
     """Clusters of sorted values: a new one begins where a value is over the tolerance from the last one, or
     over twice the tolerance from the cluster's first."""
     none = F.array().cast("array<struct<first:double,last:double,sum:double,n:int>>")
