@@ -86,6 +86,75 @@ def table_markdown(table: Column, repeat_spans: bool = False) -> Column:
     return F.when(F.size(rows) == 0, "").otherwise(F.array_join(F.concat(F.array(header, rule), body), "\n"))
 
 
+def _put(row: Column, first: Column, n: Column, text: Column) -> Column:
+    """A row of cells with a text in n cells from a place (counted from 0) on, made longer if it has to be."""
+    longer = F.concat(row, F.array_repeat(F.lit(""), F.greatest(first + n - F.size(row), F.lit(0))))
+    return F.transform(longer, lambda c, i: F.when((i >= first) & (i < first + n), text).otherwise(c))
+
+
+def _span(cell: Column, name: str) -> Column:
+    """A span as HTML allows it, 1 if it is none."""
+    found = F.regexp_extract(cell, f"(?is)^<t[dh]\\b[^>]*?\\b{name}\\s*=\\s*[\"']?\\s*([0-9]+)", 1).try_cast("int")
+    return F.least(F.coalesce(found, F.lit(1)), F.lit(1000))
+
+
+def filled_grid(table: Column) -> Column:
+    """A table's cells as an array of rows, with a cell's text wherever its row and column spans reach. A fold
+    over the rows carries what is open from rows above; a cell takes the first place without text."""
+    none = F.array().cast("array<array<string>>")
+    rows = F.regexp_extract_all(table, F.lit("(?is)<tr\\b[^>]*>(.*?)(?=</tr|<tr\\b|</table|\\z)"), F.lit(1))
+    make = lambda done, row, ahead, at: F.struct(done.alias("done"), row.alias("row"), ahead.alias("ahead"), at.cast("int").alias("at"))
+
+    def cell(s: Column, c: Column) -> Column:
+        text = F.trim(F.regexp_replace(unescape(F.regexp_replace(c, "<[^>]*>", " ")), r"\s+", " "))
+        n, down = _span(c, "colspan"), _span(c, "rowspan")
+        free = F.filter(F.sequence(s["at"], F.greatest(F.size(s["row"]), s["at"])), lambda i: F.coalesce(F.get(s["row"], i), F.lit("")) == "")
+        at = F.get(free, F.lit(0))
+        reach = F.greatest(F.size(s["ahead"]), down - 1)
+        below = F.transform(F.sequence(F.lit(0), F.greatest(reach - 1, F.lit(0))), lambda r: F.when(r < down - 1, _put(F.coalesce(F.get(s["ahead"], r), F.array().cast("array<string>")), at, n, text)).otherwise(F.get(s["ahead"], r)))
+        placed = make(s["done"], _put(s["row"], at, n, text), F.when(reach > 0, below).otherwise(none), at + n)
+        return F.when(down > 0, placed).otherwise(make(s["done"], s["row"], s["ahead"], at + n))
+
+    def row(s: Column, r: Column) -> Column:
+        cells = F.regexp_extract_all(r, F.lit("(?is)<t[dh]\\b[^>]*>.*?(?=</t[dh]|<t[dh]\\b|\\z)"), F.lit(0))
+        begun = make(s["done"], F.coalesce(F.get(s["ahead"], F.lit(0)), F.array().cast("array<string>")), F.slice(s["ahead"], 2, F.greatest(F.size(s["ahead"]) - 1, F.lit(0))), F.lit(0))
+        ended = F.aggregate(cells, begun, cell)
+        return make(F.array_append(ended["done"], ended["row"]), F.array().cast("array<string>"), ended["ahead"], F.lit(0))
+
+    start = make(none, F.array().cast("array<string>"), none, F.lit(0))
+    return F.aggregate(rows, start, row, lambda s: F.concat(s["done"], s["ahead"]))
+
+
+def span_table_markdown(table: Column) -> Column:
+    """A table as pipe-separated markdown in which the text of a cell stands in all the cells that it spans; the
+    caption is a line before it. The header is the last row of the table's head, else the first row with a
+    header cell, else the first row. A table without cells is empty."""
+    rows = F.regexp_extract_all(table, F.lit("(?is)<tr\\b[^>]*>(.*?)(?=</tr|<tr\\b|</table|\\z)"), F.lit(1))
+    in_head = F.regexp_count(F.regexp_extract(table, "(?is)^(.*?</thead)", 1), F.lit("(?i)<tr\\b")) - 1
+    with_header = F.array_position(F.transform(rows, lambda r: r.rlike("(?i)<th\\b")), F.lit(True)) - 1
+    place = F.when(in_head >= 0, in_head).when(with_header >= 0, with_header).otherwise(0).cast("int")
+    caption = F.trim(F.regexp_replace(unescape(F.regexp_replace(F.regexp_extract(table, "(?is)<caption\\b[^>]*>(.*?)</caption", 1), "<[^>]*>", " ")), r"\s+", " "))
+
+    def text(grid: Column) -> Column:
+        width = F.coalesce(F.array_max(F.transform(grid, lambda r: F.size(r))), F.lit(0))
+        cells = lambda r: F.transform(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))), lambda c: F.replace(c, F.lit("|"), F.lit("\\|")))
+        line = lambda r: F.concat(F.lit("| "), F.array_join(cells(r), " | "), F.lit(" |"))
+        rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), width), " | "), F.lit(" |"))
+        body = F.transform(F.filter(grid, lambda r, i: i != place), line)
+        whole = F.array_join(F.concat(F.when(caption != "", F.array(caption)).otherwise(F.array().cast("array<string>")), F.array(line(F.get(grid, place)), rule), body), "\n")
+        return F.when(width == 0, F.lit("")).otherwise(whole)
+
+    return F.get(F.transform(F.array(filled_grid(table)), text), F.lit(0))
+
+
+def with_tables_as_markdown(text: Column) -> Column:
+    """A text in which HTML tables have become markdown (span_table_markdown), all else as it is."""
+    pattern = "(?is)<table\\b.*?</table>"
+    tables = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda t: F.concat(F.lit("\n"), span_table_markdown(t), F.lit("\n")))
+    pieces = F.zip_with(F.split(text, pattern, -1), tables, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    return F.regexp_replace(F.array_join(pieces, ""), "^\\s+|\\s+$", "")
+
+
 def list_markdown(html: Column) -> Column:
     """A list as markdown: ``*`` or ``n.``, two blanks a level; empty items keep their mark.
 

@@ -337,3 +337,89 @@ def markdown(table: DataFrame, pages: DataFrame, key: str, html: str) -> DataFra
     joiner = lambda p, i, all_: F.when(i == 0, "").when(p["tight"] & F.get(all_, i - 1)["listed"], "\n").when((p["quotes"] > 0) & (F.get(all_, i - 1)["quotes"] >= p["quotes"]), F.concat(F.lit("\n"), F.repeat(F.lit(">"), p["quotes"]), F.lit("\n"))).otherwise("\n\n")
     pages_ = made.groupBy("key").agg(parts.alias("parts"))
     return pages_.select("key", F.array_join(F.transform("parts", lambda p, i: F.concat(joiner(p, i, F.col("parts")), p["line"])), "").alias("markdown"))
+
+
+# -- comparison tables
+def _mode(rows: DataFrame, parent: str) -> DataFrame:
+    """For each key and parent the most frequent number of icons of at least two, of equals the one that comes
+    first, how often it occurs, and how many rows have any."""
+    counts = rows.filter("icons >= 2").groupBy("key", parent, "icons").agg(F.count("*").alias("n"), F.min("at").alias("at"))
+    best = counts.groupBy("key", parent).agg(F.max(F.struct("n", (-F.col("at")).alias("at"), "icons")).alias("m"))
+    return best.select("key", parent, F.col("m.n").alias("n_rows"), F.col("m.icons").alias("n_columns"))
+
+
+def comparison_tables(table: DataFrame, mark: str = "data-ds-local") -> DataFrame:
+    """key, id, n_rows and n_columns of marked elements whose children repeat a number of svg icons: either most
+    children have as many icons within them, or runs of icons of one length follow the other children. At
+    least three such rows, half of all, and two icons a row; in pages with four icons. Elements within one
+    that is found don't count."""
+    names = Window.partitionBy("key").orderBy("node")
+    is_icon = F.col("name") == "svg"
+    so_far = table.withColumn("__so_far", F.sum(F.when(is_icon, 1).otherwise(0)).over(names))
+    total = so_far.withColumn("__all", F.max("__so_far").over(Window.partitionBy("key"))).filter("__all >= 4")
+    ends = total.select(F.col("key").alias("__key"), F.col("node").alias("__node"), F.col("__so_far").alias("__to"))
+    children = total.filter("name != '#text'").join(ends, F.col("key").eqNullSafe(F.col("__key")) & (F.col("last") == F.col("__node")))
+    children = children.select("key", "parent", F.col("node").alias("at"), (F.col("__to") - F.col("__so_far") + F.when(is_icon, 1).otherwise(0)).alias("icons"), is_icon.alias("icon"))
+    sizes = children.groupBy("key", "parent").agg(F.count("*").alias("n_children")).filter("n_children >= 3")
+    nested = _mode(children, "parent").join(sizes, ["key", "parent"]).filter("n_rows >= 3 and n_rows >= 0.5 * n_children").select("key", "parent", F.lit(1).alias("way"), "n_rows", "n_columns")
+    runs = children.withColumn("run", F.sum(F.when(F.col("icon"), 0).otherwise(1)).over(Window.partitionBy("key", "parent").orderBy("at")))
+    runs = runs.filter("icon").groupBy("key", "parent", "run").agg(F.count("*").alias("icons"), F.min("at").alias("at"))
+    n_runs = runs.groupBy("key", "parent").agg(F.count("*").alias("n_runs")).filter("n_runs >= 3")
+    flat = _mode(runs, "parent").join(n_runs, ["key", "parent"]).join(sizes, ["key", "parent"]).filter("n_rows >= 3 and n_rows >= 0.5 * n_runs").select("key", "parent", F.lit(2).alias("way"), "n_rows", "n_columns")
+    best = nested.unionByName(flat).groupBy(F.col("key").alias("__key"), F.col("parent").alias("__parent")).agg(F.min(F.struct("way", "n_rows", "n_columns")).alias("found"))
+    joined = total.join(best, F.col("key").eqNullSafe(F.col("__key")) & (F.col("node") == F.col("__parent")), "left")
+    local = F.col("attributes")[mark]
+    hit = F.col("found").isNotNull() & (F.coalesce(local, F.lit("")) != "")
+    joined = joined.withColumn("__hit", hit)
+    chosen = joined.withColumn("__inside", inside(F.col("__hit"))).filter("__hit and not __inside")
+    return chosen.select("key", local.alias("id"), F.col("found.n_rows").cast("int").alias("n_rows"), F.col("found.n_columns").cast("int").alias("n_columns"))
+
+
+#: Words of headers, icons, and what no row of a comparison begins with or has in it.
+TIERS = ("free", "pro", "premium", "enterprise", "basic", "starter", "business", "team", "plus")
+_ICON, _INFO = r"\{(?:tick|cross|checkmark|check mark) icon\}", r"\{information icon\}"
+
+
+def comparison_headers(lines: Column) -> Column:
+    """The columns' names: the cells of the first table row with three words of tiers, without a first cell that
+    names the rows; else the labels of ``label: value - label: value`` lines that occur most, at least twice."""
+    cells = lambda line: F.filter(F.transform(F.split(line, r"\|"), lambda c: F.trim(c)), lambda c: c.rlike(r"\S") & ~c.rlike("^-+$"))
+    tiers = lambda c: F.size(F.filter(c, lambda x: F.lower(x).rlike("|".join(TIERS))))
+    rows = F.filter(F.transform(F.filter(lines, lambda x: x.rlike(r"\|([^|]+\|){3,}")), cells), lambda c: (F.size(c) >= 3) & (tiers(c) >= 3))
+    first = F.get(rows, F.lit(0))
+    named = F.when(F.lower(F.get(first, F.lit(0))).rlike("plan|feature|name"), F.slice(first, 2, F.greatest(F.size(first) - 1, F.lit(0)))).otherwise(first)
+    labels = F.transform(F.filter(lines, lambda x: F.contains(x, F.lit(" - ")) & F.contains(x, F.lit(":"))), lambda x: F.transform(F.regexp_extract_all(x, F.lit(r"(\w[\w\s]*?):\s"), F.lit(1)), lambda y: F.trim(y)))
+    labels = F.filter(labels, lambda x: F.size(x) >= 3)
+    counted = F.transform(F.array_distinct(labels), lambda x, i: F.struct(F.size(F.filter(labels, lambda y: y == x)).alias("n"), (-i).alias("i"), x.alias("x")))
+    best = F.array_max(counted)
+    return F.coalesce(named, F.when(best["n"] >= 2, best["x"]))
+
+
+def linearised(pages: DataFrame, key: str, text: str) -> DataFrame:
+    """pages with comparisons in the markdown on one line: a line of text, perhaps an information icon, and just as
+    many tick and cross icons, each on a line, as there are headers become ``text: header: icon - ...``.
+
+    Lines of icons belong to the line before them, so a window over a page's lines makes islands of a line and
+    its icons; an island whose icons fit is one line. A page without headers stays as it is."""
+    lines = F.split(F.col(text), r"\r\n|\n|\r", -1)
+    with_lines = pages.select(F.col(key).alias("key"), comparison_headers(lines).alias("headers"), lines.alias("lines")).filter("headers is not null")
+    rows = with_lines.select("key", "headers", F.posexplode("lines").alias("at", "line")).withColumn("icon", F.col("line").rlike(_ICON))
+    islands = rows.withColumn("island", F.sum(F.when(F.col("icon"), 0).otherwise(1)).over(Window.partitionBy("key").orderBy("at")))
+    parts = F.array_sort(F.collect_list(F.struct("at", "line", "icon")))
+    islands = islands.groupBy("key", "island").agg(F.any_value("headers").alias("headers"), parts.alias("parts"))
+    head = F.get(F.filter("parts", lambda p: ~p["icon"]), F.lit(0))["line"]
+    tick = lambda p: F.when(F.regexp_extract(p["line"], "\\{(tick|cross|checkmark|check mark) icon\\}", 1) == "cross", "❌").otherwise("✅")
+    islands = islands.withColumns({"head": head, "icons": F.transform(F.filter("parts", lambda p: p["icon"]), tick)})
+    islands = islands.withColumn("info", F.coalesce(F.col("head").rlike(_INFO), F.lit(False)))
+    w = Window.partitionBy("key").orderBy("island")
+    line = F.trim(F.regexp_replace("head", r"^\s+|\s+$", ""))
+    allowed = line.rlike(r"\S") & ~F.col("info") & ~line.rlike(r"Free:|Pro AI:|^- |^URL:|^Title:|^#|^\||^```|^\[|^!") & F.length(line).between(2, 199)
+    next_info = F.coalesce(F.lead("info").over(w), F.lit(False)) & (F.size("icons") == 0)
+    icons = F.when(next_info, F.lead("icons").over(w)).otherwise(F.col("icons"))
+    islands = islands.withColumns({"fits": F.coalesce(allowed & (F.size(icons) == F.size("headers")), F.lit(False)), "used": icons, "by_next": next_info})
+    gone = F.coalesce(F.lag(F.col("fits") & F.col("by_next")).over(w), F.lit(False))
+    pairs = F.array_join(F.zip_with("headers", "used", lambda h, i: F.concat(h, F.lit(": "), i)), " - ")
+    islands = islands.withColumn("text", F.when(gone, F.array().cast("array<string>")).when(F.col("fits"), F.array(F.concat(line, F.lit(": "), pairs))).otherwise(F.transform("parts", lambda p: p["line"])))
+    new = islands.groupBy(F.col("key").alias("__key")).agg(F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("island", "text"))), lambda x: x["text"])), "\n").alias("__new"))
+    joined = pages.join(new, F.col(key).eqNullSafe(F.col("__key")), "left")
+    return joined.select(*[F.coalesce("__new", c).alias(c) if c == text else F.col(c) for c in pages.columns])

@@ -104,3 +104,49 @@ def pages_cleaned(spark, sf):
 def tree_markdown(spark, sf):
     t = table(spark, sf, "pages", "page_id", "html")
     return O.markdown(_nodes(spark, sf), t, "page_id", "html").withColumnRenamed("key", "page_id")
+
+
+@query("S23", """
+    SELECT n_regionkey AS page_id, 'Region ' || n_regionkey || chr(10) || '| region | name | name |' || chr(10) || '| --- | --- | --- |' || chr(10)
+           || string_agg('| ' || r_name || ' | ' || n_name || ' | ' || CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'k' || n_nationkey END || ' |', chr(10) ORDER BY n_nationkey) AS markdown
+    FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY n_regionkey""")
+def span_tables(spark, sf):
+    from gleaner.functions import html as H
+
+    n = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    key = F.col("n_nationkey")
+    cell = F.when(key % 2 == 0, F.concat(F.lit("<td colspan=2>"), "n_name", F.lit("</td>"))).otherwise(F.concat(F.lit("<td>"), "n_name", F.lit("</td><td>k"), key.cast("string"), F.lit("</td>")))
+    rows = n.groupBy("n_regionkey", "r_name").agg(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", cell.alias("cell")))), lambda x: x["cell"]).alias("cells"))
+    first = F.concat(F.lit('<td rowspan="'), F.size("cells").cast("string"), F.lit('">'), "r_name", F.lit("</td>"))
+    body = F.array_join(F.transform("cells", lambda c, i: F.concat(F.lit("<tr>"), F.when(i == 0, first).otherwise(""), c, F.lit("</tr>"))), "")
+    html = F.concat(F.lit("<table><caption>Region "), F.col("n_regionkey").cast("string"), F.lit("</caption><thead><tr><th>region</th><th colspan=2>name</th></tr></thead><tbody>"), body, F.lit("</tbody></table>"))
+    return rows.select(F.col("n_regionkey").alias("page_id"), H.with_tables_as_markdown(html).alias("markdown"))
+
+
+_LINES = "l AS (SELECT o_custkey, o_orderkey, count(*) AS n FROM orders JOIN (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) ON l_orderkey = o_orderkey GROUP BY ALL)"
+
+
+def _orders(spark, sf):
+    lines = table(spark, sf, "lineitem", "l_orderkey", "l_linenumber").distinct().groupBy("l_orderkey").agg(F.count("*").cast("int").alias("n"))
+    return table(spark, sf, "orders", "o_custkey", "o_orderkey").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+
+
+@query("S38", f"""
+    WITH {_LINES}, c AS (SELECT o_custkey, count(*) AS children, sum(n) AS icons FROM l GROUP BY o_custkey),
+         m AS (SELECT o_custkey, n, count(*) AS n_rows, min(o_orderkey) AS first FROM l WHERE n >= 2 GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY n_rows DESC, first) AS place FROM m)
+    SELECT o_custkey AS page_id, 'c' || o_custkey AS id, n_rows::INT AS n_rows, n::INT AS n_columns FROM b JOIN c USING (o_custkey) WHERE place = 1 AND children >= 3 AND icons >= 4 AND n_rows >= 3 AND n_rows >= 0.5 * children""")
+def comparison_patterns(spark, sf):
+    row = F.concat(F.lit("<div>Order"), F.repeat(F.lit("<svg></svg>"), F.col("n")), F.lit("</div>"))
+    pages = _orders(spark, sf).groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", row.alias("row")))), lambda x: x["row"]), "").alias("rows"))
+    pages = pages.select("o_custkey", F.concat(F.lit('<body><section data-ds-local="c'), F.col("o_custkey").cast("string"), F.lit('">'), "rows", F.lit("</section></body>")).alias("html"))
+    return O.comparison_tables(O.nodes(pages, "o_custkey", "html")).withColumnRenamed("key", "page_id")
+
+
+@query("S27", f"""
+    WITH {_LINES}, t AS (SELECT *, 'Order ' || o_orderkey AS name FROM l)
+    SELECT o_custkey AS page_id, '| Plan | Free | Pro | Team |' || chr(10) || string_agg(CASE WHEN n = 3 THEN name || ': Free: ✅ - Pro: ✅ - Team: ❌' ELSE name || chr(10) || '{{information icon}}' || repeat(chr(10) || '{{tick icon}}', n - 1) || chr(10) || '{{cross icon}}' END, chr(10) ORDER BY o_orderkey) AS markdown
+    FROM t GROUP BY o_custkey""".replace("{{", "{").replace("}}", "}"))
+def comparison_lines(spark, sf):
+    row = F.concat(F.lit("Order "), F.col("o_orderkey").cast("string"), F.lit("\n{information icon}"), F.repeat(F.lit("\n{tick icon}"), F.col("n") - 1), F.lit("\n{cross icon}"))
+    pages = _orders(spark, sf).groupBy(F.col("o_custkey").alias("page_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", row.alias("row")))), lambda x: x["row"]), "\n").alias("rows"))
+    return O.linearised(pages.select("page_id", F.concat(F.lit("| Plan | Free | Pro | Team |\n"), "rows").alias("markdown")), "page_id", "markdown")
