@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.functions import stems as S
 from gleaner.functions import text as X
 
 RRF_K = 60
@@ -129,3 +130,28 @@ def cache_state(pages: DataFrame, requests: DataFrame, key: str, now_ms: int, tt
     bad = F.col("http_status").isNotNull() & ~F.col("http_status").between(200, 299)
     old = F.lit(False) if ttl_ms is None else now_ms - F.col("updated_at_ms") >= ttl_ms
     return joined.withColumn("state", F.when(F.col("__k").isNull(), "Miss").when(bad, "Failure").when(old, "Expired").otherwise("Hit")).drop("__k", "http_status", "updated_at_ms")
+
+
+def stemmed_lines(pages: DataFrame, id_col: str, text_col: str, keywords: Sequence[str], best: int = 5, most: int = 120) -> DataFrame:
+    """For each page and keyword the best lines: id, keyword, rank, line_no, line, context and score.
+
+    A page's lines are its own corpus: a keyword's terms, by the analyser of the page's script and language, are
+    ranked by BM25 over the lines that have any term, ties by place. The context is the line with its
+    neighbours, cut to ``most`` characters. Keywords without terms or hits are absent."""
+    rows = pages.select(F.col(id_col).alias("id"), X.analyser(F.col(text_col)).alias("analyser"), F.split(F.col(text_col), r"\r\n|\n|\r", -1).alias("lines"))
+    asked = F.array(*[F.struct(F.lit(i).alias("number"), F.lit(k).alias("keyword")) for i, k in enumerate(dict.fromkeys(keywords))])
+    near = lambda i: F.array_join(F.transform(F.slice(F.col("lines"), F.greatest(i, F.lit(1)), F.when(i == 0, 2).otherwise(3)), lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", ""))), " ")
+    lines = rows.select("id", "analyser", F.explode(F.transform("lines", lambda x, i: F.struct(i.alias("line_no"), x.alias("line"), near(i).alias("around")))).alias("l")).select("id", "analyser", "l.*")
+    lines = lines.filter(F.col("line").rlike(r"\S")).withColumn("terms", S.analysed(F.col("line"), F.col("analyser"))).filter(F.size("terms") > 0)
+    totals = lines.groupBy(F.col("id").alias("__id")).agg(F.count("*").alias("n_lines"), F.avg(F.size("terms")).alias("mean"))
+    wanted = rows.select("id", "analyser", F.explode(asked).alias("q")).select(F.col("id").alias("__i"), "q.number", "q.keyword", F.explode(S.analysed(F.col("q.keyword"), F.col("analyser"))).alias("asked"))
+    wanted = wanted.groupBy("__i", "number", "keyword", "asked").agg(F.count("*").alias("times"))
+    found = lines.select("id", "line_no", F.size("terms").alias("length"), F.explode("terms").alias("term")).groupBy("id", "line_no", "length", "term").agg(F.count("*").alias("tf"))
+    held = found.groupBy(F.col("id").alias("__h"), F.col("term").alias("__t")).agg(F.count("*").alias("df"))
+    hits = found.join(wanted, F.col("id").eqNullSafe(F.col("__i")) & (F.col("term") == F.col("asked"))).join(held, F.col("id").eqNullSafe(F.col("__h")) & (F.col("term") == F.col("__t"))).join(totals, F.col("id").eqNullSafe(F.col("__id")))
+    idf = F.log(1 + (F.col("n_lines") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = F.col("times") * idf * F.col("tf") / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("length") / F.col("mean")))
+    scored = hits.groupBy("id", "number", "keyword", "line_no").agg(F.round(F.sum(part), 9).alias("score"))
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("id", "number").orderBy(F.desc("score"), "line_no"))).filter(F.col("rank") <= best)
+    text = lines.select(F.col("id").alias("__id"), F.col("line_no").alias("__n"), "line", F.when(F.length("around") > most, F.concat(F.lit("..."), F.left("around", F.lit(most)), F.lit("..."))).otherwise(F.col("around")).alias("context"))
+    return ranked.join(text, F.col("id").eqNullSafe(F.col("__id")) & (F.col("line_no") == F.col("__n"))).select(F.col("id").alias(id_col), "keyword", "rank", "line_no", "line", "context", "score")

@@ -75,7 +75,7 @@ def bm25_search(spark, sf):
     return R.bm25(table(spark, sf, "documents", "doc_id", "text"), "doc_id", "text", ["blend", "eranly"], 30)
 
 
-@query("R13 W6", """
+@query("W6 R13 light", """
     WITH l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS place FROM conversations),
          n AS (SELECT *, left(concat_ws(' ', lag(line) OVER w, line, lead(line) OVER w), 120) AS context FROM l WHERE trim(line) <> '' WINDOW w AS (PARTITION BY conv_id * 1000 + turn ORDER BY place)),
          s AS (SELECT *, list_transform(list_filter(regexp_split_to_array(lower(line), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''), lambda x: CASE WHEN length(x) > 4 THEN regexp_replace(regexp_replace((
@@ -196,3 +196,10 @@ def fulltext_search(spark, sf):
         one = T.search(spark, path, T.web_query(words), 20).select(F.lit(name).alias("query"), F.col("id").alias("doc_id"), "rank")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+@query("R13 R14 stems")
+def stemmed_lines(spark, sf):
+    """Lines of each document, by its own language's stems."""
+    found = R.stemmed_lines(table(spark, sf, "documents", "doc_id", "text"), "doc_id", "text", ["thinging", "the", "können", "las casas", "license tokens"])
+    return found.select("doc_id", "keyword", "rank", "line_no", F.round("score", 6).alias("score"), F.md5("context").alias("context"))
