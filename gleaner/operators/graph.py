@@ -108,3 +108,46 @@ def longest_common_path(paths: DataFrame, group: str, path: str) -> DataFrame:
     same = F.filter(places, lambda i: F.slice("a", 1, i) == F.slice("b", 1, i))
     return ends.select(group, F.array_join(F.slice("a", 1, F.size(same)), "/").alias("ancestor"))
 
+
+
+def patterns(vertices: DataFrame, edges: DataFrame, ends: Sequence[Column | None], steps: Sequence[tuple[str | None, int, int]], checkpoint: Callable[[DataFrame], DataFrame] = lambda df: df.checkpoint()) -> DataFrame:
+    """Matches of (v0)-[*lo..hi]->(v1)-[*lo..hi]->(v2) ...: columns v0, v1, ... (ids) and edges, how many there are
+    in the match. ``ends`` has a condition on the vertices for each v, or None, and steps a relation (None: any)
+    with the fewest and most edges.
+
+    No edge is in a match twice; each way that differs in an edge is a match of its own. Edges are the distinct
+    rows of from_id, to_id, relation_type whose two ends are vertices. The frontier is checkpointed after each
+    edge. The pattern is walked from whichever end fewer vertices fit."""
+    known = checkpoint(edges.select("from_id", "to_id", "relation_type").distinct().join(vertices.select(F.col("id").alias("from_id")), "from_id", "left_semi").join(vertices.select(F.col("id").alias("to_id")), "to_id", "left_semi"))
+    fits = [None if c is None else vertices.filter(c).select("id").distinct() for c in ends]
+    sizes = [vertices.count() if f is None else f.count() for f in (fits[0], fits[-1])]
+    backwards = sizes[1] < sizes[0]
+    near, far = ("to_id", "from_id") if backwards else ("from_id", "to_id")
+    order = list(range(len(ends)))[::-1] if backwards else list(range(len(ends)))
+    walk = list(steps)[::-1] if backwards else list(steps)
+    first = vertices.select("id").distinct() if fits[order[0]] is None else fits[order[0]]
+    kind = "array<struct<from_id:string,to_id:string,relation_type:string>>"
+    now = first.select(F.col("id").alias(f"v{order[0]}"), F.col("id").alias("__at"), F.array().cast(kind).alias("__used"))
+    for place, (relation, low, high) in zip(order[1:], walk):
+        usable = known.filter(F.col("relation_type") == relation) if relation else known
+        here = usable.select(F.col(near).alias("__near"), F.col(far).alias("__far"), F.struct(*(F.col(c).cast("string").alias(c) for c in ("from_id", "to_id", "relation_type"))).alias("__edge"))
+        reached = now if low == 0 else None
+        for n in range(1, high + 1):
+            longer = now.join(here, F.col("__at") == F.col("__near")).filter(~F.array_contains("__used", F.col("__edge")))
+            now = checkpoint(longer.withColumns({"__at": F.col("__far"), "__used": F.array_append("__used", F.col("__edge"))}).drop("__near", "__far", "__edge"))
+            if n >= low:
+                reached = now if reached is None else reached.unionByName(now)
+        reached = reached.withColumn(f"v{place}", F.col("__at"))
+        now = reached if fits[place] is None else reached.join(fits[place].select(F.col("id").alias(f"v{place}")), f"v{place}", "left_semi")
+    return now.select(*(f"v{i}" for i in range(len(ends))), F.size("__used").alias("edges"))
+
+
+def legs(checkpoint: Callable[[DataFrame], DataFrame], **makes: Callable[[], DataFrame]) -> dict[str, DataFrame | None]:
+    """The result of each leg of a retrieval, worked out; None for a leg that fails, which doesn't end the others."""
+    out: dict[str, DataFrame | None] = {}
+    for name, make in makes.items():
+        try:
+            out[name] = checkpoint(make())
+        except Exception:  # whatever a leg raises, it alone is missing
+            out[name] = None
+    return out

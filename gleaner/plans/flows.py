@@ -9,11 +9,12 @@ from gleaner.functions import html as H
 from gleaner.plans.catalog import query
 from gleaner.session import millis, table
 from gleaner.streaming import flows as S
+from gleaner.streaming import keyed as K
 from gleaner.streaming import rounds
 from gleaner.streaming.stages import run_stages
 
 
-@query("X1", """
+@query("X1 batch", """
     WITH e AS (SELECT event_id, user_id, (epoch_us(ts) // 1000) AS ms FROM events),
          r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, CASE WHEN ms - lag(ms) OVER (PARTITION BY user_id ORDER BY ms, event_id) >= 7200000 THEN 1 WHEN lag(ms) OVER (PARTITION BY user_id ORDER BY ms, event_id) IS NULL THEN 1 ELSE 0 END AS new FROM e)),
          p AS (SELECT *, (row_number() OVER (PARTITION BY user_id, run ORDER BY ms, event_id) - 1) // 3 AS part FROM r)
@@ -23,7 +24,7 @@ def event_microbatch(spark, sf):
     return S.microbatches(t, ["user_id"], "ms", "event_id", 3, 7_200_000)
 
 
-@query("X12", """
+@query("X12 windows", """
     SELECT event_type, time_bucket(INTERVAL 60 MINUTE, ts) AS start, count(*) - 3 AS rejected FROM events GROUP BY ALL HAVING count(*) > 3""")
 def token_bucket(spark, sf):
     return S.over_limit(table(spark, sf, "events", "event_type", "ts"), "event_type", F.col("ts"), 3, 60)
@@ -39,7 +40,7 @@ def aimd(spark, sf):
     return S.adaptive_limits(t, "user_id", "ms", "event_id", "limited")
 
 
-@query("G20 X7", """
+@query("G20 X7 batch", """
     WITH b AS (SELECT user_id AS session, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS batch, CAST(floor(value) AS BIGINT) % 20 AS url, event_id FROM events),
          f AS (SELECT session, url, min(batch) AS batch FROM b GROUP BY ALL), n AS (SELECT session, batch, count(*) AS new FROM f GROUP BY ALL),
          a AS (SELECT DISTINCT session, batch FROM b)
@@ -50,7 +51,7 @@ def running_sources(spark, sf):
     return S.running_sources(b, "session", "batch", "url", "event_id")
 
 
-@query("X5 X6 X8 X15 D2 X4", """
+@query("X5 X6 X15 D2", """
     WITH RECURSIVE l AS (SELECT o_custkey AS a, l_partkey AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
     s(url, round) AS (SELECT unnest([1, 7, 10])::BIGINT, 0 UNION SELECT b, round + 1 FROM s JOIN l ON a = url WHERE round < 4)
     SELECT 'https://x.test/' || url AS url, min(round)::INT AS round FROM s GROUP BY url""")
@@ -106,3 +107,59 @@ def page_snapshots(spark, sf):
         sinks.write_snapshot(t.select("page_id", F.lit(stage).alias("stage"), content.alias("content")), path, version)
     both = [sinks.read_snapshot(spark, path, v) for v in range(len(of))]
     return both[0].unionByName(both[1]).select("page_id", "stage", F.md5("content").alias("digest"))
+
+
+@query("X12", """
+    WITH e AS (SELECT event_type, epoch_us(ts) // 1000 AS ms, event_id, (1 + event_id % 3)::BIGINT * 3600000 AS cost FROM events),
+         l AS (SELECT event_type, list({'ms': ms, 'id': event_id, 'cost': cost} ORDER BY ms, event_id) AS a FROM e GROUP BY event_type),
+         r AS (SELECT event_type, list_reduce(list_transform(a, lambda x: {'left': greatest(0, 18000000 - x.cost), 'out': [{'ms': x.ms, 'id': x.id, 'cost': x.cost, 'level': 18000000::BIGINT}]}),
+               lambda s, x: {'left': greatest(0, least(18000000, s.left + (x.out[1].ms - s.out[-1].ms) * 5) - x.out[1].cost),
+                             'out': list_append(s.out, {'ms': x.out[1].ms, 'id': x.out[1].id, 'cost': x.out[1].cost, 'level': least(18000000, s.left + (x.out[1].ms - s.out[-1].ms) * 5)})}).out AS o FROM l)
+    SELECT event_type, x.ms AS ms, x.id AS event_id, x.level AS level, x.level >= x.cost AS accepted FROM (SELECT event_type, unnest(o) AS x FROM r)""")
+def refilling_bucket(spark, sf):
+    """Five tokens an hour for each type of event; events cost one to three."""
+    t = table(spark, sf, "events", "event_id", "event_type", "ts").select("event_id", "event_type", millis(F.col("ts")).alias("ms"), (1 + F.col("event_id") % 3).alias("cost"))
+    return S.refilling_bucket(t, "event_type", "ms", "event_id", "cost", 5, 3_600_000, 6 * 3_600_000)
+
+
+def _streamed(spark, rows, order, make):
+    """Rows as a stream of three files, in order, each read by a run of its own that goes on from the one before:
+    what the runs have written, and their checkpoint."""
+    path = rounds.new_folder(spark, "keyed")
+    low, high = rows.agg(F.min(order), F.max(order)).first()
+    for n in range(3):
+        part = F.least(F.lit(2), F.floor((F.col(order) - low) * 3 / (high - low + 1))) == n
+        rows.filter(part).coalesce(1).write.mode("append").parquet(f"{path}/in")
+        with K.keyed_state(spark, ends=True):
+            stream = make(spark.readStream.schema(rows.schema).parquet(f"{path}/in"))
+            stream.writeStream.outputMode("update").foreachBatch(sinks.batch_writer(f"{path}/log")).option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/log/*"), f"{path}/progress"
+
+
+@query("X1", """
+    WITH e AS (SELECT event_id, user_id, (epoch_us(ts) // 1000) AS ms FROM events),
+         r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, CASE WHEN ms - lag(ms) OVER (PARTITION BY user_id ORDER BY ms, event_id) < 7200000 THEN 0 ELSE 1 END AS new FROM e)),
+         p AS (SELECT *, (row_number() OVER (PARTITION BY user_id, run ORDER BY ms, event_id) - 1) // 3 AS part FROM r)
+    SELECT event_id, user_id, ms, dense_rank() OVER (PARTITION BY user_id ORDER BY run, part) - 1 AS batch FROM p""")
+def stream_batches(spark, sf):
+    t = table(spark, sf, "events", "event_id", "user_id", "ts").select("event_id", "user_id", millis(F.col("ts")).alias("ms"))
+    ended, progress = _streamed(spark, t, "ms", lambda s: K.batches(s, "user_id", "ms", "event_id", 3, 7_200_000))
+    return ended.unionByName(K.waiting(spark, progress)).select(F.col("tie").alias("event_id"), F.col("key").alias("user_id"), F.col("at").alias("ms"), "batch")
+
+
+@query("X4", """
+    SELECT user_id, min(epoch_us(ts) // 1000) AS ms, list(event_id ORDER BY epoch_us(ts) // 1000, event_id)[1] AS event_id FROM events GROUP BY user_id""")
+def stream_first(spark, sf):
+    t = table(spark, sf, "events", "event_id", "user_id", "ts").select("event_id", "user_id", millis(F.col("ts")).alias("ms"))
+    found, _ = _streamed(spark, t, "ms", lambda s: K.first_of_each(s, "user_id", "ms", "event_id", 86_400_000).withColumn("kind", F.lit("first")))
+    return found.select(F.col("key").alias("user_id"), F.col("at").alias("ms"), F.col("tie").alias("event_id"))
+
+
+@query("X7", """
+    WITH b AS (SELECT user_id AS session, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS batch, CAST(floor(value) AS BIGINT) % 20 AS url FROM events),
+         f AS (SELECT session, url, min(batch) AS batch FROM b GROUP BY ALL), n AS (SELECT session, batch, count(*) AS new FROM f GROUP BY ALL), a AS (SELECT DISTINCT session, batch FROM b)
+    SELECT a.session, a.batch, coalesce(new, 0) AS new, sum(coalesce(new, 0)) OVER (PARTITION BY a.session ORDER BY a.batch ROWS UNBOUNDED PRECEDING)::BIGINT AS known FROM a LEFT JOIN n ON a.session = n.session AND a.batch = n.batch""")
+def stream_sources(spark, sf):
+    t = table(spark, sf, "events", "user_id", "ts", "value").select(F.col("user_id").alias("session"), F.floor(millis(F.col("ts")) / 86_400_000).alias("day"), (F.floor("value").cast("long") % 20).alias("url"))
+    found, _ = _streamed(spark, t, "day", lambda s: K.running_sources(s, "session", "day", "url"))
+    return found

@@ -30,7 +30,7 @@ def _vertices(spark, sf):
     return t("region", "r", "r_regionkey").unionByName(t("nation", "n", "n_nationkey")).unionByName(t("customer", "c", "c_custkey")).unionByName(t("orders", "o", "o_orderkey")).unionByName(t("part", "p", "p_partkey"))
 
 
-@query("R9 R11", f"""
+@query("R9", f"""
     WITH {_EDGES}, v AS (SELECT 'n' || n_nationkey AS id FROM nation UNION ALL SELECT 'c' || c_custkey FROM customer UNION ALL SELECT 'o' || o_orderkey FROM orders UNION ALL SELECT 'p' || p_partkey FROM part UNION ALL SELECT 'r' || r_regionkey FROM region),
     k AS (SELECT * FROM e WHERE from_id IN (SELECT id FROM v) AND to_id IN (SELECT id FROM v)),
     h1 AS (SELECT 1 AS hop, * FROM k WHERE from_id IN ('n1', 'c7')), f2 AS (SELECT DISTINCT to_id AS id FROM h1 WHERE to_id NOT IN ('n1', 'c7')), h2 AS (SELECT 2 AS hop, * FROM k WHERE from_id IN (SELECT id FROM f2)),
@@ -103,3 +103,44 @@ def edge_resolution(spark, sf):
 def common_ancestor(spark, sf):
     t = table(spark, sf, "pages", "url").select(F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("site"), F.regexp_replace("url", "^https?://", "").alias("path"))
     return G.longest_common_path(t, "site", "path")
+
+
+@query("R10", f"""
+    WITH RECURSIVE {_EDGES}, k AS (SELECT * FROM e WHERE NOT (relation_type = 'CONTAINS' AND to_id NOT IN (SELECT 'p' || p_partkey FROM part))),
+    w AS (SELECT from_id AS v0, to_id AS pos, 1 AS n, [from_id || to_id || relation_type] AS used FROM k WHERE from_id IN ('r1', 'r2', 'n3')
+          UNION ALL SELECT v0, k.to_id, n + 1, list_append(used, k.from_id || k.to_id || k.relation_type) FROM w JOIN k ON k.from_id = w.pos WHERE n < 2 AND NOT list_contains(used, k.from_id || k.to_id || k.relation_type)),
+    m AS (SELECT v0, pos AS v1, n FROM w WHERE starts_with(pos, 'c'))
+    SELECT v0, v1, p.to_id AS v2, (n + 1)::INT AS edges FROM m JOIN k p ON p.from_id = m.v1 AND p.relation_type = 'PLACED'""")
+def graph_patterns(spark, sf):
+    """Regions or nations, one or two steps of any kind, customers, and the orders they placed."""
+    from gleaner.streaming.rounds import checkpointed
+
+    ends = [F.col("id").isin("r1", "r2", "n3"), F.col("id").startswith("c"), None]
+    return G.patterns(_vertices(spark, sf), _edges(spark, sf), ends, [(None, 1, 2), ("PLACED", 1, 1)], checkpointed)
+
+
+@query("R11 legs", f"""
+    WITH {_EDGES} SELECT 'traversal' AS leg, to_id AS id FROM e WHERE from_id = 'n1' UNION ALL SELECT 'pattern', NULL""")
+def hybrid_legs(spark, sf):
+    """A traversal beside a query that fails: the failing leg is null."""
+    from gleaner.streaming.rounds import checkpointed
+
+    edges = _edges(spark, sf).distinct()
+    found = G.legs(checkpointed, traversal=lambda: edges.filter("from_id = 'n1'").select(F.col("to_id").alias("id")), pattern=lambda: edges.select(F.raise_error(F.lit("no such query")).cast("string").alias("id")))
+    out = None
+    for name, leg in found.items():
+        one = spark.createDataFrame([(name, None)], "leg string, id string") if leg is None else leg.select(F.lit(name).alias("leg"), "id")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("R12", f"""
+    WITH s AS (SELECT p_partkey % 50 AS e, 'u' || (p_partkey % 7) AS url, p_brand AS fact FROM part)
+    SELECT 'url' AS kind, url AS value, 1::BIGINT AS n FROM (SELECT DISTINCT url FROM s WHERE e < 10) UNION ALL SELECT 'fact', fact, count(*) FROM s WHERE e < 10 GROUP BY fact""")
+def retrieval_sources(spark, sf):
+    """All source URLs (once each) and all facts (as often as they occur) of some entities."""
+    p = table(spark, sf, "part", "p_partkey", "p_brand").select((F.col("p_partkey") % 50).alias("entity_id"), F.concat(F.lit("u"), (F.col("p_partkey") % 7).cast("string")).alias("url"), "p_brand")
+    found = p.filter("entity_id < 10").groupBy("entity_id").agg(F.collect_list("p_brand").alias("facts"), F.collect_set("url").alias("source_urls"))
+    urls = G.all_source_urls(found).select(F.lit("url").alias("kind"), F.col("url").alias("value"), F.lit(1).cast("long").alias("n"))
+    facts = found.select(F.explode("facts").alias("value")).groupBy("value").agg(F.count("*").alias("n"))
+    return urls.unionByName(facts.select(F.lit("fact").alias("kind"), "value", "n"))

@@ -30,6 +30,49 @@ def over_limit(events: DataFrame, key: str, at: Column, limit: int, minutes: int
     return counts.filter(F.col("n") > limit).select(key, F.col("w.start").alias("start"), (F.col("n") - limit).alias("rejected"))
 
 
+def refilling_bucket(requests: DataFrame, key: str, at: str, tie: str, cost: str, capacity: int, period_ms: int, block_ms: int = 600_000) -> DataFrame:
+    """requests with ``level`` (before the request) and ``accepted``: a key's bucket holds ``capacity`` tokens, gains
+    that many a period, steadily, and loses each request's cost; a request that finds less than its cost is
+    turned away and leaves the bucket empty. Levels are whole numbers, in tokens times period_ms.
+
+    What a request does to a level, adding within bounds, is of the same kind as what many requests in a row
+    do. So each block of time is summed up apart, blocks are chained by their sums, and a key of many
+    requests is spread over its blocks."""
+    full, zero = F.lit(capacity * period_ms).cast("long"), F.lit(0).cast("long")
+    rows = requests.withColumn("__block", F.floor(F.col(at) / block_ms)).withColumn("__cost", F.col(cost).cast("long") * period_ms)
+    within = Window.partitionBy(key, "__block").orderBy(at, tie)
+    before = F.lag(at).over(within)
+    rows = rows.withColumn("__gain", F.when(before.isNotNull(), F.least(full, (F.col(at) - before).cast("long") * capacity)))
+    one = F.struct(F.col(at).alias("at"), F.col(tie).alias("tie"), F.coalesce("__gain", zero).alias("gain"), F.col("__cost").alias("cost"))
+    blocks = rows.groupBy(F.col(key).alias("__key"), "__block").agg(F.array_sort(F.collect_list(one)).alias("all"))
+    bounded = lambda x, low, high: F.greatest(low, F.least(high, x))
+    bounds = lambda add, low, high: F.struct(add.alias("add"), low.alias("low"), high.alias("high"))
+
+    def then(s: Column, r: Column) -> Column:
+        add, high = r["gain"] - r["cost"], F.greatest(zero, full - r["cost"])
+        return bounds(s["add"] + add, bounded(s["low"] + add, zero, high), bounded(s["high"] + add, zero, high))
+
+    blocks = blocks.withColumn("sum", F.aggregate("all", bounds(zero, zero, full), then)).withColumns({"first": F.get("all", F.lit(0))["at"], "last": F.element_at("all", -1)["at"]})
+    chain = F.array_sort(F.collect_list(F.struct("__block", "first", "last", "sum")))
+    start = F.struct(full.alias("level"), F.lit(None).cast("long").alias("last"), F.array().cast("array<struct<block:long,level:long>>").alias("out"))
+
+    def link(s: Column, b: Column) -> Column:
+        level = F.when(s["last"].isNull(), full).otherwise(F.least(full, s["level"] + F.least(full, (b["first"] - s["last"]).cast("long") * capacity)))
+        return F.struct(bounded(level + b["sum"]["add"], b["sum"]["low"], b["sum"]["high"]).alias("level"), b["last"].cast("long").alias("last"), F.array_append(s["out"], F.struct(b["__block"].alias("block"), level.alias("level"))).alias("out"))
+
+    starts = blocks.groupBy("__key").agg(F.aggregate(chain, start, link)["out"].alias("out")).select(F.col("__key").alias("__k"), F.explode("out").alias("s"))
+    joined = blocks.join(starts, F.col("__key").eqNullSafe(F.col("__k")) & (F.col("__block") == F.col("s.block")))
+    begun = F.struct(F.col("s.level").alias("level"), F.array().cast("array<struct<at:long,tie:long,level:long,accepted:boolean>>").alias("out"))
+
+    def take(s: Column, r: Column) -> Column:
+        level = F.least(full, s["level"] + r["gain"])
+        item = F.struct(r["at"].cast("long").alias("at"), r["tie"].cast("long").alias("tie"), level.alias("level"), (level >= r["cost"]).alias("accepted"))
+        return F.struct(F.greatest(zero, level - r["cost"]).alias("level"), F.array_append(s["out"], item).alias("out"))
+
+    done = joined.select(F.col("__key").alias(key), F.explode(F.aggregate("all", begun, take)["out"]).alias("r"))
+    return done.select(key, F.col("r.at").alias(at), F.col("r.tie").alias(tie), "r.level", "r.accepted")
+
+
 @dataclass
 class Rate:
     """Additive increase, multiplicative decrease of a domain's concurrency."""

@@ -129,3 +129,16 @@ def test_query_check(spark):
     checked = lambda t: tuple(one(spark, X.checked_query, t))
     assert checked(" a\r\nb\nc ") == ("a b c", None) and checked("\n") == ("", "blank") and checked(None) == ("", "blank")
     assert checked("x" * 1001)[1] == "too long" and checked("x" * 1000)[1] is None
+
+
+def test_refilling_bucket_against_a_fold(spark):
+    draw = random.Random(9)
+    rows = [(draw.choice(["hot", "hot", "hot", "a", None]), draw.randrange(3_000_000), i, draw.choice([0, 1, 1, 2, 9])) for i in range(1500)]
+    got = {r.n: (r.level, r.accepted) for r in S.refilling_bucket(spark.createDataFrame(rows, "k string, at long, n long, c int"), "k", "at", "n", "c", 5, 60_000, 50_000).collect()}
+    for key in {r[0] for r in rows}:
+        level, last = 5 * 60_000, None
+        for _, at, n, cost in sorted((r for r in rows if r[0] == key), key=lambda r: r[1:3]):
+            level, last = min(5 * 60_000, level + (0 if last is None else (at - last) * 5)), at
+            assert got.pop(n) == (level, level >= cost * 60_000)
+            level = max(0, level - cost * 60_000)
+    assert not got
