@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -102,3 +103,34 @@ def ingestion_action(documents: DataFrame, stored: DataFrame, key: str, now_ms:
     s = stored.select(F.col(key).alias("__k"), "updated_at_ms")
     j = documents.join(s, F.col(key) == F.col("__k"), "left")
     return j.withColumn("action", F.when(F.col("__k").isNull(), "add").when(now_ms - F.col("updated_at_ms") < ttl_ms, "skip").otherwise("replace")).drop("__k", "updated_at_ms")
+
+
+def current_plan(subscriptions: DataFrame, user: str) -> DataFrame:
+    """Each user's plan: with paid ones, the one with searches left that allows the most, of equals the first; with
+    free ones alone, the first with searches left. Users without such a plan are absent."""
+    left = F.col("max_searches") + F.col("rollover_searches") - F.col("used_searches") > 0
+    paid = F.col("tier") == "PAID"
+    users = subscriptions.groupBy(user).agg(F.max(paid).alias("__paid"), F.min_by("subscription_id", F.when(left & paid, F.struct(-F.col("max_searches"), F.col("subscription_id")))).alias("__best"), F.min(F.when(left & ~paid, F.col("subscription_id"))).alias("__free"))
+    plan = F.when(F.col("__paid"), F.col("__best")).otherwise(F.col("__free"))
+    return users.select(user, plan.alias("subscription_id")).filter("subscription_id is not null")
+
+
+def work(tasks: DataFrame, process: Callable[[DataFrame], DataFrame], read: Callable[[int], DataFrame], write: Callable[[DataFrame, int], object], each: int | None, now_ms: int, rounds: int) -> int:
+    """Rounds of a worker over a queue that is kept as versions of a table: each claims the ``each`` oldest pending
+    tasks of every kind (None: all of them), has them processed (process gives task_id and ok) and writes the next version, in
+    which they are completed, pending again, or failed. Ends with the version in which nothing is pending, or
+    after some rounds; returns its number. A round that is lost is done again from the version before."""
+    write(tasks, 0)
+    for version in range(rounds):
+        now = read(version)
+        pending = now.filter("status = 'PENDING'")
+        kinds = [r["kind"] for r in pending.select("kind").distinct().collect()]
+        if not kinds:
+            return version
+        claimed = pending if each is None else reduce(DataFrame.unionByName, [pending.filter(F.col("kind") == k).orderBy("task_id").limit(each) for k in kinds])
+        done = claimed.select(F.col("task_id").alias("__c")).join(process(claimed).select(F.col("task_id").alias("__t"), "ok"), F.col("__c") == F.col("__t"), "left")
+        marked = now.join(done.select("__c", F.coalesce("ok", F.lit(False)).alias("__ok")), F.col("task_id") == F.col("__c"), "left")
+        hit, attempts = F.col("__c").isNotNull(), F.col("attempts") + F.col("__c").isNotNull().cast("int")
+        status = F.when(~hit, F.col("status")).when(F.col("__ok"), "COMPLETED").otherwise(retry_or_fail(F.col("status"), attempts, F.col("max_attempts"), ~F.col("__ok")))
+        write(marked.withColumns({"status": status, "attempts": attempts, "updated_at_ms": F.when(hit, now_ms).otherwise(F.col("updated_at_ms"))}).select(*now.columns), version + 1)
+    return rounds

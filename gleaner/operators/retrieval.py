@@ -155,3 +155,24 @@ def stemmed_lines(pages: DataFrame, id_col: str, text_col: str, keywords: Sequen
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("id", "number").orderBy(F.desc("score"), "line_no"))).filter(F.col("rank") <= best)
     text = lines.select(F.col("id").alias("__id"), F.col("line_no").alias("__n"), "line", F.when(F.length("around") > most, F.concat(F.lit("..."), F.left("around", F.lit(most)), F.lit("..."))).otherwise(F.col("around")).alias("context"))
     return ranked.join(text, F.col("id").eqNullSafe(F.col("__id")) & (F.col("line_no") == F.col("__n"))).select(F.col("id").alias(id_col), "keyword", "rank", "line_no", "line", "context", "score")
+
+
+def page_excerpts(pages: DataFrame, document: str, page: str, text: str, keywords: Sequence[str], context: int = 10, best: int = 10, most: int = 10_000) -> DataFrame:
+    """For each document with a hit: preview and pages. A page's score is how many distinct keywords it has (in any
+    case); its excerpt, the lines that have one, with ``context`` lines before and after. The best pages, in
+    their order, fill the preview up to the first that would pass ``most`` characters."""
+    wanted = F.array(*[F.lit(k.lower()) for k in dict.fromkeys(keywords)])
+    lines = F.split(F.col(text), r"\r\n|\n|\r", -1)
+    hits = F.filter(F.transform(lines, lambda x, i: F.when(F.exists(wanted, lambda k: F.contains(F.lower(x), k)), i)), lambda i: i.isNotNull())
+    rows = pages.select(document, page, lines.alias("__lines"), hits.alias("__hits"), F.size(F.filter(wanted, lambda k: F.contains(F.lower(text), k))).alias("score")).filter("score > 0")
+    # places around hits, by a fold over the hits: each adds what the one before hasn't
+    none = F.array().cast("array<int>")
+    around = F.aggregate("__hits", none, lambda a, i: F.concat(a, F.when(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(-1)) >= i + context, none).otherwise(F.sequence(F.greatest(i - context, F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(-1)) + 1), i + context))))
+    excerpt = F.array_join(F.transform(F.filter(around, lambda i: i < F.size("__lines")), lambda i: F.get("__lines", i)), "\n")
+    rows = rows.select(document, page, "score", excerpt.alias("excerpt"))
+    top = rows.withColumn("__rank", F.row_number().over(Window.partitionBy(document).orderBy(F.desc("score"), page))).filter(F.col("__rank") <= best)
+    so_far = F.sum(F.length("excerpt")).over(Window.partitionBy(document).orderBy(page).rowsBetween(Window.unboundedPreceding, 0))
+    kept = top.withColumn("__so_far", so_far).withColumn("__in", F.col("__so_far") <= most)
+    piece = F.concat(F.lit("[Page "), F.col(page).cast("string"), F.lit("] ("), F.col("score").cast("string"), F.lit(" keyword matches)\n"), F.col("excerpt"), F.lit("\n\n"))
+    parts = F.array_sort(F.collect_list(F.when(F.col("__in"), F.struct(F.col(page).alias("page"), piece.alias("piece")))))
+    return kept.groupBy(document).agg(parts.alias("p")).select(document, F.left(F.array_join(F.transform("p", lambda x: x["piece"]), ""), F.lit(most)).alias("preview"), F.transform("p", lambda x: x["page"]).alias("pages"))

@@ -174,6 +174,16 @@ def content_routing(spark, sf):
     return table(spark, sf, "pages", "page_id").select("page_id", route(mime, F.when(F.col("page_id") % 5 == 0, 1 << 30).otherwise(1000)).alias("route"))
 
 
+@query("SC9 types", """
+    SELECT page_id, ['FILE', 'FILE', 'UNSUPPORTED', 'FILE', 'UNSUPPORTED', 'FILE', 'UNSUPPORTED', 'HTML', 'UNSUPPORTED'][page_id % 9 + 1] AS route FROM pages""")
+def content_types(spark, sf):
+    from gleaner.sources.routing import route
+
+    types = ("text/css", "application/ZIP; x=y", "application/rtf", "text/x-anything", "video/mp4", " application/x-sh ", "application/vnd.ms-powerpoint", "TEXT/HTML;charset=utf-8", "textual/plain")
+    mime = F.get(F.array(*map(F.lit, types)), (F.col("page_id") % 9).cast("int"))
+    return table(spark, sf, "pages", "page_id").select("page_id", route(mime, F.lit(1000)).alias("route"))
+
+
 @query("SC11 X19 X20", """
     WITH d AS (SELECT source, doc_id, length(text) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS r FROM documents)
     SELECT source, (r // 10)::INT AS batch, count(*) AS requests, CAST(sum(n) AS BIGINT) AS chars, CASE WHEN sum(n) < 20000 THEN 'inline' ELSE 'file' END AS route FROM d GROUP BY ALL""")

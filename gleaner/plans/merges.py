@@ -137,3 +137,27 @@ def ingestion_dedup(spark, sf):
     t = table(spark, sf, "documents", "doc_id", "text").select("doc_id", F.md5("text").alias("h"))
     stored = t.filter("doc_id % 3 = 0").select("h").distinct().withColumn("updated_at_ms", F.ascii("h") * 10)
     return M.ingestion_action(t, stored, "h", 1000, 450).select("doc_id", "action")
+
+
+@query("T9", """
+    WITH s AS (SELECT o_orderkey AS id, o_custkey AS user_id, CASE WHEN o_orderkey % 3 = 0 THEN 'PAID' ELSE 'FREE' END AS tier, o_orderkey % 9 AS most, o_orderkey % 7 AS used FROM orders),
+         u AS (SELECT user_id, bool_or(tier = 'PAID') AS paid FROM s GROUP BY user_id),
+         r AS (SELECT s.*, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN paid THEN -most ELSE 0 END, id) AS n FROM s JOIN u USING (user_id) WHERE most - used > 0 AND (tier = 'PAID') = paid)
+    SELECT user_id, id AS subscription_id FROM r WHERE n = 1""")
+def current_plan(spark, sf):
+    key = F.col("o_orderkey")
+    t = table(spark, sf, "orders", "o_orderkey", "o_custkey").select(key.alias("subscription_id"), F.col("o_custkey").alias("user_id"), F.when(key % 3 == 0, "PAID").otherwise("FREE").alias("tier"), (key % 9).alias("max_searches"), F.lit(0).alias("rollover_searches"), (key % 7).alias("used_searches"))
+    return M.current_plan(t, "user_id")
+
+
+@query("X13", """
+    SELECT o_orderkey AS task_id, CASE WHEN o_orderkey % 5 = 0 THEN 'FAILED' ELSE 'COMPLETED' END AS status, CASE WHEN o_orderkey % 5 = 0 THEN 2 ELSE 1 END AS attempts FROM orders""")
+def queue_worker(spark, sf):
+    """All orders as tasks of two kinds; those with a key divisible by five fail and are tried twice."""
+    from gleaner import sinks
+    from gleaner.streaming import rounds
+
+    key, path = F.col("o_orderkey"), rounds.new_folder(spark, "queue")
+    tasks = table(spark, sf, "orders", "o_orderkey").select(key.alias("task_id"), F.when(key % 2 == 0, "EMBEDDING").otherwise("KNOWLEDGE_GRAPH").alias("kind"), F.lit("PENDING").alias("status"), F.lit(0).alias("attempts"), F.lit(2).alias("max_attempts"), F.lit(0).cast("long").alias("updated_at_ms"))
+    last = M.work(tasks, lambda t: t.select("task_id", (F.col("task_id") % 5 != 0).alias("ok")), lambda v: sinks.read_snapshot(spark, path, v), lambda t, v: sinks.write_snapshot(t, path, v), None, 5, 4)
+    return sinks.read_snapshot(spark, path, last).select("task_id", "status", "attempts")

@@ -21,7 +21,7 @@ def _vector(spark, sf, number: int = 0):
     return row["embedding"] if row else []
 
 
-@query("R5 T4 R21", f"""
+@query("R5 T4", f"""
     SELECT vec_id, round(1 - list_cosine_similarity(embedding::DOUBLE[], {_QUERY}), 9) AS distance FROM embeddings ORDER BY distance, vec_id LIMIT 20""")
 def vector_topk(spark, sf):
     return R.vector_topk(table(spark, sf, "embeddings", "vec_id", "embedding"), "vec_id", "embedding", _vector(spark, sf), 20)
@@ -89,7 +89,7 @@ def line_search(spark, sf):
     return R.line_search(t, "page", "text", ["onth"]).select("page", "place", "context", "hits", "rank")
 
 
-@query("R15 R16 T6", """
+@query("R15 T6", """
     SELECT doc_id, score FROM (SELECT doc_id, len(list_filter(['the', 'password', 'akia', 'token', 'license'], lambda k: contains(lower(text), k))) AS score FROM documents)
     WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 10""")
 def keyword_pages(spark, sf):
@@ -203,3 +203,23 @@ def stemmed_lines(spark, sf):
     """Lines of each document, by its own language's stems."""
     found = R.stemmed_lines(table(spark, sf, "documents", "doc_id", "text"), "doc_id", "text", ["thinging", "the", "können", "las casas", "license tokens"])
     return found.select("doc_id", "keyword", "rank", "line_no", F.round("score", 6).alias("score"), F.md5("context").alias("context"))
+
+
+@query("R16", """
+    WITH p AS (SELECT conv_id, turn, arg_min(text, text) AS text FROM conversations WHERE text IS NOT NULL GROUP BY ALL),
+         l AS (SELECT conv_id, turn, text, string_split(text, chr(10)) AS lines, len(list_filter(['the', 'und', 'que'], lambda k: contains(lower(text), k))) AS score FROM p),
+         h AS (SELECT *, list_filter(range(1, len(lines) + 1), lambda i: len(list_filter(['the', 'und', 'que'], lambda k: contains(lower(lines[i]), k))) > 0) AS hits FROM l WHERE score > 0),
+         e AS (SELECT conv_id, turn, score, array_to_string(list_transform(list_filter(range(1, len(lines) + 1), lambda i: len(list_filter(hits, lambda j: abs(i - j) <= 1)) > 0), lambda i: lines[i]), chr(10)) AS excerpt FROM h),
+         t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, turn) AS n FROM e),
+         c AS (SELECT *, sum(length(excerpt)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS so_far FROM t WHERE n <= 3)
+    SELECT conv_id, left(coalesce(string_agg('[Page ' || turn || '] (' || score || ' keyword matches)' || chr(10) || excerpt || chr(10) || chr(10), '' ORDER BY turn) FILTER (so_far <= 600), ''), 600) AS preview FROM c GROUP BY conv_id""")
+def page_excerpts(spark, sf):
+    t = table(spark, sf, "conversations").filter("text is not null").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
+    return R.page_excerpts(t, "conv_id", "turn", "text", ["the", "und", "QUE", "the"], context=1, best=3, most=600).select("conv_id", "preview")
+
+
+@query("R21", """
+    SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))), 6)) AS unit FROM embeddings""")
+def unit_vectors(spark, sf):
+    t = table(spark, sf, "embeddings", "vec_id", "embedding")
+    return t.select("vec_id", F.transform(X.unit_vector(F.col("embedding")), lambda x: F.round(x, 6)).alias("unit"))

@@ -142,3 +142,29 @@ def test_refilling_bucket_against_a_fold(spark):
             assert got.pop(n) == (level, level >= cost * 60_000)
             level = max(0, level - cost * 60_000)
     assert not got
+
+
+def test_a_worker_goes_through_its_queue(spark, tmp_path):
+    from gleaner.operators import merge as M
+
+    rows = [(i, "ab"[i % 2], "PENDING", 0, 1 + i % 3, 0) for i in range(20)] + [(50, "a", "COMPLETED", 1, 3, 0)]
+    df = spark.createDataFrame(rows, "task_id long, kind string, status string, attempts int, max_attempts int, updated_at_ms long")
+    path = str(tmp_path)
+    seen = []
+
+    def process(claimed):
+        ids = sorted(r.task_id for r in claimed.collect())
+        seen.append(ids)
+        return claimed.filter("task_id % 7 != 3").select("task_id", (F.col("task_id") % 4 != 1).alias("ok"))  # 3, 10 and 17 get no answer
+
+    last = M.work(df, process, lambda v: sinks.read_snapshot(spark, path, v), lambda t, v: sinks.write_snapshot(t, path, v), 3, 9, 50)
+    want, queue, claims = {r[0]: list(r) for r in rows}, None, []
+    while pending := [r for r in want.values() if r[2] == "PENDING"]:
+        queue = [r for kind in "ab" for r in sorted((p for p in pending if p[1] == kind), key=lambda r: r[0])[:3]]
+        claims.append(sorted(r[0] for r in queue))
+        for r in queue:
+            r[3], r[5] = r[3] + 1, 9
+            fails = r[0] % 7 == 3 or r[0] % 4 == 1
+            r[2] = "COMPLETED" if not fails else "PENDING" if r[3] < r[4] else "FAILED"
+    assert seen == claims and last == len(claims)
+    assert sorted(map(tuple, sinks.read_snapshot(spark, path, last).select(df.columns).collect())) == sorted(map(tuple, want.values()))
