@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,22 +31,36 @@ def near_signature(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
 def containment(df: DataFrame, container_col: str, order_cols: list[str], text_col: str, threshold: float = 0.8) -> DataFrame:
     """Within each container, in order: a text whose words (over two characters) lie to more than the
     threshold in a kept one is dropped; a kept one that lies so in a longer new text is replaced by it.
-    The outcome depends on the order, so order_cols have to settle ties; each container, such as the
-    passages of one page, is folded by one Python call."""
+    A text without such words lies in any other. The outcome depends on the order, so order_cols have to
+    settle ties. Each container, such as the passages of one page, is folded by one Python call, in which a
+    text meets only kept ones that it shares a word with."""
     columns = df.columns
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order_cols, kind="stable")
         kept: list[tuple[int, set, int]] = []
+        having: dict[str, set[int]] = {}  # places in kept, by word
+        bare: set[int] = set()  # places of texts without words
         for i, text in enumerate(rows[text_col].fillna("")):
             words = {w for w in text.lower().split() if len(w) > 2}
-            share = lambda a, b: 1.0 if not a else len(a & b) / len(a)
-            inside = next((k for k, (_, other, _) in enumerate(kept) if share(words, other) > threshold), None)
-            around = next((k for k, (_, other, n) in enumerate(kept) if share(other, words) > threshold and len(text) > n), None)
-            if around is not None:
-                kept[around] = (i, words, len(text))
-            elif inside is None:
+            shared = Counter(k for w in words for k in having.get(w, ()))
+            within = (k for k, n in shared.items() if n / len(words) > threshold) if words else range(len(kept))[:1]
+            wider = [k for k, n in shared.items() if n / len(kept[k][1]) > threshold and len(text) > kept[k][2]] + [k for k in bare if len(text) > kept[k][2]]
+            if wider:
+                place = min(wider)
+                for w in kept[place][1]:
+                    having[w].discard(place)
+                bare.discard(place)
+                kept[place] = (i, words, len(text))
+            elif min(within, default=None) is None:
+                place = len(kept)
                 kept.append((i, words, len(text)))
+            else:
+                continue
+            for w in words:
+                having.setdefault(w, set()).add(place)
+            if not words:
+                bare.add(place)
         return rows.iloc[[k[0] for k in kept]][columns]
 
     return df.groupBy(container_col).applyInPandas(fold, df.schema)

@@ -34,7 +34,8 @@ def merge_entities(mentions: DataFrame, types: Sequence[str]) -> DataFrame:
 def enrich(entities: DataFrame, sources: DataFrame) -> DataFrame:
     """entities with all facts and source URLs; without a source, empty lists."""
     none = F.array().cast("array<string>")
-    grouped = sources.groupBy(F.col("entity_id").alias("__e")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("facts")))).alias("facts"), F.array_sort(F.collect_set("source_url")).alias("source_urls"))
+    asked = sources.join(entities.select("entity_id").distinct(), "entity_id", "left_semi")  # before facts are brought together
+    grouped = asked.groupBy(F.col("entity_id").alias("__e")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("facts")))).alias("facts"), F.array_sort(F.collect_set("source_url")).alias("source_urls"))
     joined = entities.join(grouped, F.col("entity_id") == F.col("__e"), "left").drop("__e")
     return joined.withColumns({"facts": F.coalesce("facts", none), "source_urls": F.coalesce("source_urls", none)})
 
@@ -66,13 +67,15 @@ def traverse(edges: DataFrame, vertices: DataFrame, seeds: DataFrame, hops: int,
     their ends that aren't in the present one. A vertex of an earlier hop may thus be expanded again and
     its edges repeat; dedupe leaves vertices out that were expanded before.
 
-    A hop reads the edges once, keeps those out of the frontier and only then looks at their ends; its
-    result is checkpointed, so the plan of a hop doesn't contain the hops before it."""
+    The distinct edges are made once and checkpointed, and so is what a hop finds: the plan of a hop
+    contains neither the edges' sources nor the hops before it. Ends are looked up for the edges out of
+    the frontier alone."""
     known = vertices.select("id").distinct()
     frontier = seeds.select("id").distinct().join(known, "id", "left_semi")
+    edges = checkpoint(edges.select("from_id", "to_id", "relation_type").distinct()) if hops else edges
     expanded, out = frontier, None
     for hop in range(1, hops + 1):
-        found = edges.join(frontier.withColumnRenamed("id", "from_id"), "from_id", "left_semi").select("from_id", "to_id", "relation_type").distinct()
+        found = edges.join(frontier.withColumnRenamed("id", "from_id"), "from_id", "left_semi")
         found = checkpoint(found.join(known.withColumnRenamed("id", "to_id"), "to_id", "left_semi").select(F.lit(hop).alias("hop"), "from_id", "to_id", "relation_type"))
         out = found if out is None else out.unionByName(found)
         frontier = found.select(F.col("to_id").alias("id")).distinct().join(expanded, "id", "left_anti")

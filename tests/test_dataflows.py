@@ -168,3 +168,28 @@ def test_a_worker_goes_through_its_queue(spark, tmp_path):
             r[2] = "COMPLETED" if not fails else "PENDING" if r[3] < r[4] else "FAILED"
     assert seen == claims and last == len(claims)
     assert sorted(map(tuple, sinks.read_snapshot(spark, path, last).select(df.columns).collect())) == sorted(map(tuple, want.values()))
+
+
+def test_containment_against_all_kept_texts(spark):
+    draw = random.Random(14)
+    words = ["alpha", "beta", "gamma", "delta", "no", "of", "omega", "kappa"]
+    rows = [(draw.randrange(8), i, draw.choice([None, "", "of no"]) if draw.random() < 0.1 else " ".join(draw.choices(words, k=draw.randint(1, 9)))) for i in range(300)]
+
+    def plain(texts):
+        kept = []
+        share = lambda a, b: 1.0 if not a else len(a & b) / len(a)
+        for n, text in texts:
+            text = text or ""
+            own = {w for w in text.split() if len(w) > 2}
+            around = next((k for k, (_, other, size) in enumerate(kept) if share(other, own) > 0.8 and len(text) > size), None)
+            if around is not None:
+                kept[around] = (n, own, len(text))
+            elif not any(share(own, other) > 0.8 for _, other, _ in kept):
+                kept.append((n, own, len(text)))
+        return [k[0] for k in kept]
+
+    got = {}
+    for r in D.containment(spark.createDataFrame(rows, "c int, n int, t string").repartition(3), "c", ["n"], "t").collect():
+        got.setdefault(r.c, []).append(r.n)
+    for c in range(8):
+        assert sorted(got.get(c, [])) == sorted(plain([(n, t) for k, n, t in rows if k == c]))
