@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from gleaner import sinks
@@ -64,6 +66,23 @@ def crawl_frontier(spark, sf):
     return S.crawl(seeds, links, "https://x.test/", 1_000_000, 5, rounds.checkpointed)
 
 
+@query("X8", """
+    WITH l AS (SELECT DISTINCT o_custkey AS a, l_partkey AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
+    u AS (SELECT a, b, 'https://x.test/' || b AS url FROM l), r0 AS (SELECT unnest([1, 7, 10])::BIGINT AS id),
+    f1 AS (SELECT DISTINCT b, url FROM u WHERE a IN (SELECT id FROM r0) AND b NOT IN (SELECT id FROM r0)), r1 AS (SELECT b AS id FROM f1 ORDER BY url LIMIT 37),
+    f2 AS (SELECT DISTINCT b, url FROM u WHERE a IN (SELECT id FROM r1) AND b NOT IN (SELECT id FROM r0 UNION ALL SELECT id FROM r1)),
+    r2 AS (SELECT b AS id FROM (SELECT *, row_number() OVER (ORDER BY url) AS n FROM f2) WHERE n <= 40 - (SELECT count(*) FROM r0) - (SELECT count(*) FROM r1))
+    SELECT 'https://x.test/' || id AS url, 0 AS round FROM r0 UNION ALL SELECT 'https://x.test/' || id, 1 FROM r1 UNION ALL SELECT 'https://x.test/' || id, 2 FROM r2""")
+def crawl_budget(spark, sf):
+    """At most forty pages, three rounds, and a deadline."""
+    o, p = table(spark, sf, "orders", "o_custkey", "o_orderkey"), table(spark, sf, "lineitem", "l_orderkey", "l_partkey")
+    at = lambda c: F.concat(F.lit("https://x.test/"), F.col(c).cast("string"))
+    links = o.join(p, F.col("l_orderkey") == F.col("o_orderkey")).select(at("o_custkey").alias("from_url"), at("l_partkey").alias("to_url")).distinct()
+    seeds = spark.createDataFrame([("https://x.test/1",), ("https://x.test/7",), ("https://x.test/10",)], "url string")
+    deadline = time.monotonic() + 3600
+    return S.crawl(seeds, links, "https://x.test/", 40, 3, rounds.checkpointed, lambda: time.monotonic() > deadline)
+
+
 @query("G12 stages by rule", """
     SELECT CASE WHEN o_orderstatus = 'F' THEN 'DONE' WHEN o_totalprice > 200000 THEN 'TABLES' ELSE 'CONTENT' END AS stage, count(*) AS n FROM orders GROUP BY ALL""")
 def stage_machine(spark, sf):

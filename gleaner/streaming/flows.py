@@ -166,9 +166,31 @@ def running_sources(batches: DataFrame, session: str, batch: str, url: str, tie:
     return all_batches.withColumn("known", F.sum("new").over(w))
 
 
-def crawl(seeds: DataFrame, links: DataFrame, prefix: str, most: int, rounds: int, checkpoint: Callable[[DataFrame], DataFrame] = lambda df: df.checkpoint()) -> DataFrame:
+def smallest(rows: DataFrame, order: list[Column], n: int, checkpoint: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The n first rows in an order, without all of them in one task: rows are sorted by ranges, ranges are counted,
+    and each row's number is its place in its range after those before."""
+    names = rows.columns
+    if n <= 0:
+        return rows.limit(0)
+    ranges = checkpoint(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__range", F.spark_partition_id()))
+    before, total = {}, 0
+    for r in ranges.groupBy("__range").agg(F.count("*").alias("n")).orderBy("__range").collect():
+        before[r["__range"]], total = total, total + r["n"]
+    if total <= n:
+        return ranges.select(names)
+    whole = [k for k, start in before.items() if start < n]
+    last = whole[-1]
+    number = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    cut = ranges.filter(F.col("__range") == last).withColumn("__number", number).filter(F.col("__number") <= n - before[last])
+    return ranges.filter(F.col("__range").isin(whole[:-1])).select(names).unionByName(cut.select(names))
+
+
+def crawl(
+    seeds: DataFrame, links: DataFrame, prefix: str, most: int, rounds: int, checkpoint: Callable[[DataFrame], DataFrame] = lambda df: df.checkpoint(), until: Callable[[], bool] = lambda: False
+) -> DataFrame:
     """url and round of up to ``most`` pages, breadth first: each round takes the new URLs under the prefix,
-    the shallowest first, follows their links (from_url, to_url), and stops when nothing is new."""
+    the shallowest first, follows their links (from_url, to_url), and stops when nothing is new, when so many
+    are known, after some rounds, or when ``until`` says so (a deadline, a spent budget)."""
     depth = F.size(F.filter(F.split(F.regexp_replace("url", "^https?://[^/]*", ""), "/"), lambda s: s != ""))
     seen = None
     frontier = seeds.select("url").distinct()
@@ -177,10 +199,10 @@ def crawl(seeds: DataFrame, links: DataFrame, prefix: str, most: int, rounds: in
         fresh = frontier.filter(F.col("url").startswith(prefix))
         if seen is not None:
             fresh = fresh.join(seen, "url", "left_anti")
-        fresh = fresh.orderBy(depth, "url").limit(most - taken).withColumn("round", F.lit(number))
+        fresh = smallest(fresh.select("url"), [depth, F.col("url")], most - taken, checkpoint).withColumn("round", F.lit(number))
         seen = checkpoint(fresh if seen is None else seen.unionByName(fresh))
         n = seen.count()
-        if n == taken or n >= most:
+        if n == taken or n >= most or until():
             break
         taken = n
         frontier = links.join(seen.filter(F.col("round") == number), F.col("from_url") == F.col("url"), "left_semi").select(F.col("to_url").alias("url")).distinct()

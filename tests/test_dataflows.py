@@ -193,3 +193,24 @@ def test_containment_against_all_kept_texts(spark):
         got.setdefault(r.c, []).append(r.n)
     for c in range(8):
         assert sorted(got.get(c, [])) == sorted(plain([(n, t) for k, n, t in rows if k == c]))
+
+
+def test_the_smallest_rows(spark):
+    from gleaner.streaming.rounds import checkpointed
+
+    draw = random.Random(1)
+    values = [draw.randrange(500) for _ in range(700)]
+    rows = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "v int, i int").repartition(4)
+    for n in (0, 1, 37, 350, 699, 700, 5000):
+        got = sorted((r.v, r.i) for r in S.smallest(rows, [F.col("v"), F.col("i")], n, checkpointed).collect())
+        assert got == sorted((v, i) for i, v in enumerate(values))[:n]
+    assert S.smallest(rows.limit(0), [F.col("v")], 5, checkpointed).count() == 0
+
+
+def test_a_crawl_ends_in_time(spark):
+    from gleaner.streaming.rounds import checkpointed
+
+    links = spark.createDataFrame([(f"http://a/{i}", f"http://a/{i + 1}") for i in range(9)], "from_url string, to_url string")
+    rounds = iter([False, True])
+    got = S.crawl(spark.createDataFrame([("http://a/0",)], "url string"), links, "http://a/", 100, 9, checkpointed, lambda: next(rounds))
+    assert sorted((r.url, r["round"]) for r in got.collect()) == [("http://a/0", 0), ("http://a/1", 1)]
