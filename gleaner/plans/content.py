@@ -82,7 +82,7 @@ def list_md(spark, sf):
     return r.select("r_regionkey", H.list_markdown(F.concat(F.lit("<ul><li>"), F.col("r_name"), F.lit("<ol>"), F.col("items"), F.lit("</ol></li></ul>"))).alias("markdown"))
 
 
-@query("S21 S16 S14")
+@query("S14 S16 S21 by patterns")
 def html_markdown(spark, sf):
     t = table(spark, sf, "pages", "page_id", "html")
     return t.select("page_id", H.to_markdown(F.col("html")).alias("markdown"), H.link_html(F.col("html")).alias("link_html"))
@@ -201,14 +201,14 @@ def cache_misses(spark, sf):
     return D.cache_misses(t.select("key"), t.filter("p_size < 10").select("key"), "key")
 
 
-@query("S21 markdown", f"""
+@query("S21 by patterns", f"""
     WITH a AS (SELECT page_id, {_sql_markdown('html')} AS m FROM pages)
     SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(m, '[ \\t]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')) AS markdown FROM a""")
 def page_markdown(spark, sf):
     return table(spark, sf, "pages", "page_id", "html").select("page_id", H.to_markdown(F.col("html")).alias("markdown"))
 
 
-@query("S18 S20", """
+@query("S18 S20 by patterns", """
     SELECT page_id, md5(regexp_replace(regexp_replace(html, '<div\\b[^>]*?\\bclass="(?:[^"]*\\s)?ad(?:\\s[^"]*)?"[^>]*>.*?</div\\s*>', '<span>[ad]</span>', 'gis'), '<nav\\b[^>]*>.*?</nav\\s*>', '', 'gis')) AS replaced,
            nullif(regexp_extract(html, '<li\\b[^>]*>.*?</li\\s*>', 0, 'is'), '') AS first_item,
            trim(regexp_replace(""" + _sql_unescape("regexp_replace(list_last(regexp_extract_all(html, '<li\\b[^>]*>.*?</li\\s*>', 0, 'is')), '<[^>]*>', ' ', 'g')") + """, '\\s+', ' ', 'g')) AS last_item FROM pages""")

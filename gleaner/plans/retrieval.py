@@ -123,7 +123,7 @@ def ttl_lookup(spark, sf):
     return R.cache_state(p, table(spark, sf, "documents", "doc_id").withColumnRenamed("doc_id", "url"), "url", 200_000, 86_400)
 
 
-@query("R19 U3 X3", """
+@query("R19 U3", """
     WITH h AS (SELECT vec_id AS id, 'semantic' AS source FROM (SELECT vec_id, round(1 - list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 9) AS d FROM embeddings ORDER BY d, vec_id LIMIT 15)),
          g AS (SELECT DISTINCT doc_id AS id, 'labelled' AS source FROM labels WHERE toxic = 1)
     SELECT id, source, 10 AS score FROM h UNION ALL SELECT id, source, 10 FROM g""")
