@@ -103,10 +103,16 @@ def fenced_json(text: Column) -> Column:
     return F.regexp_replace(F.when(inner == "", text).otherwise(inner), r"^\s+|\s+$", "")
 
 
-def unit_vector(v: Column) -> Column:
-    """A vector of length 1; a zero vector stays."""
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.when(norm == 0, F.transform(v, lambda x: x.cast("double"))).otherwise(F.transform(v, lambda x: x.cast("double") / norm))
+def unit_vector(v: Column, of_zero: Column | None = None) -> Column:
+    """A vector of length 1; null entries stay and don't count. A zero vector stays, or has ``of_zero`` everywhere."""
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + F.coalesce(x.cast("double") * x.cast("double"), F.lit(0.0))))
+    same = lambda x: x.cast("double") if of_zero is None else F.when(x.isNotNull(), of_zero)
+    return F.get(F.transform(F.array(norm), lambda n: F.when(n == 0, F.transform(v, same)).otherwise(F.transform(v, lambda x: x.cast("double") / n))), F.lit(0))
+
+
+def rounded(x: Column, places: int) -> Column:
+    """A double rounded half away from zero; what rounds to zero keeps its sign, as by IEEE 754."""
+    return F.get(F.transform(F.array(F.round(x, places)), lambda r: F.when(r == 0, x * 0.0).otherwise(r)), F.lit(0))
 
 
 def dot(a: Column, b: Column) -> Column:

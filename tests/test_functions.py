@@ -135,3 +135,11 @@ def test_traversal_of_a_cycle_with_a_dangling_edge(spark):
 def test_patterns_of_a_host(spark):
     row = spark.range(1).select(U.patterns_of_host(F.lit("a.b.org")).alias("x"), U.patterns_of_host(F.lit(None).cast("string")).alias("y")).first()
     assert row.x == ["a.b.org", "*.a.b.org", "*.b.org", "*.org"] and row.y is None
+
+
+def test_unit_vectors_of_odd_entries(spark):
+    got = values(spark, [[3.0, None, 4.0], [None], [], None], X.unit_vector, "array<float>")
+    assert got == [[0.6, None, 0.8], [None], [], None]
+    zero = values(spark, [[0.0, None], [3.0, 4.0]], lambda v: X.unit_vector(v, F.lit(float("nan"))), "array<float>")
+    assert str(zero) == "[[nan, None], [0.6, 0.8]]"
+    assert str(values(spark, [-1e-9, -0.0, 1e-9, -0.25, None, float("nan")], lambda x: X.rounded(x, 6), "double")) == "[-0.0, -0.0, 0.0, -0.25, None, nan]"
