@@ -186,11 +186,11 @@ def smallest(rows: DataFrame, order: list[Column], n: int, checkpoint: Callable[
 
 
 def crawl(
-    seeds: DataFrame, links: DataFrame, prefix: str, most: int, rounds: int, checkpoint: Callable[[DataFrame], DataFrame] = lambda df: df.checkpoint(), until: Callable[[], bool] = lambda: False
+    seeds: DataFrame, links: DataFrame, prefix: str, most: int | None, rounds: int, checkpoint: Callable[[DataFrame], DataFrame] = lambda df: df.checkpoint(), until: Callable[[], bool] = lambda: False
 ) -> DataFrame:
-    """url and round of up to ``most`` pages, breadth first: each round takes the new URLs under the prefix,
-    the shallowest first, follows their links (from_url, to_url), and stops when nothing is new, when so many
-    are known, after some rounds, or when ``until`` says so (a deadline, a spent budget)."""
+    """url and round of up to ``most`` pages (None: all), breadth first: each round takes the new URLs under the
+    prefix, the shallowest first, follows their links (from_url, to_url), and stops when nothing is new, when so
+    many are known, after some rounds, or when ``until`` says so (a deadline, a spent budget)."""
     depth = F.size(F.filter(F.split(F.regexp_replace("url", "^https?://[^/]*", ""), "/"), lambda s: s != ""))
     seen = None
     frontier = seeds.select("url").distinct()
@@ -199,13 +199,16 @@ def crawl(
         fresh = frontier.filter(F.col("url").startswith(prefix))
         if seen is not None:
             fresh = fresh.join(seen, "url", "left_anti")
-        fresh = smallest(fresh.select("url"), [depth, F.col("url")], most - taken, checkpoint).withColumn("round", F.lit(number))
-        seen = checkpoint(fresh if seen is None else seen.unionByName(fresh))
-        n = seen.count()
-        if n == taken or n >= most or until():
+        fresh = fresh.select("url")
+        if most is not None:
+            fresh = smallest(fresh, [depth, F.col("url")], most - taken, checkpoint)
+        fresh = checkpoint(fresh.withColumn("round", F.lit(number)))
+        seen = fresh if seen is None else seen.unionByName(fresh)
+        n = taken + fresh.count()
+        if n == taken or (most is not None and n >= most) or until():
             break
         taken = n
-        frontier = links.join(seen.filter(F.col("round") == number), F.col("from_url") == F.col("url"), "left_semi").select(F.col("to_url").alias("url")).distinct()
+        frontier = links.join(fresh, F.col("from_url") == F.col("url"), "left_semi").select(F.col("to_url").alias("url")).distinct()
     return seen
 
 

@@ -214,3 +214,12 @@ def test_a_crawl_ends_in_time(spark):
     rounds = iter([False, True])
     got = S.crawl(spark.createDataFrame([("http://a/0",)], "url string"), links, "http://a/", 100, 9, checkpointed, lambda: next(rounds))
     assert sorted((r.url, r["round"]) for r in got.collect()) == [("http://a/0", 0), ("http://a/1", 1)]
+
+
+def test_a_crawl_without_a_bound(spark):
+    from gleaner.streaming.rounds import checkpointed
+
+    links = spark.range(300).select(F.concat(F.lit("http://a/"), F.floor(F.col("id") / 20).cast("string")).alias("from_url"), F.concat(F.lit("http://a/"), F.col("id").cast("string")).alias("to_url"))
+    got = S.crawl(spark.createDataFrame([("http://a/0",)], "url string"), links.unionByName(links), "http://a/", None, 9, checkpointed)
+    want = {f"http://a/{n}": 0 if n == 0 else 1 if n < 20 else 2 for n in range(300)}
+    assert sorted((r.url, r["round"]) for r in got.collect()) == sorted(want.items())
