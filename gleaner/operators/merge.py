@@ -128,9 +128,15 @@ def work(tasks: DataFrame, process: Callable[[DataFrame], DataFrame], read: Call
         if not kinds:
             return version
         claimed = pending if each is None else reduce(DataFrame.unionByName, [pending.filter(F.col("kind") == k).orderBy("task_id").limit(each) for k in kinds])
-        done = claimed.select(F.col("task_id").alias("__c")).join(process(claimed).select(F.col("task_id").alias("__t"), "ok"), F.col("__c") == F.col("__t"), "left")
-        marked = now.join(done.select("__c", F.coalesce("ok", F.lit(False)).alias("__ok")), F.col("task_id") == F.col("__c"), "left")
-        hit, attempts = F.col("__c").isNotNull(), F.col("attempts") + F.col("__c").isNotNull().cast("int")
+        # results are as many as tasks, in few bytes each: never sent to all by way of the driver
+        results = process(claimed).select(F.col("task_id").alias("__t"), F.coalesce("ok", F.lit(False)).alias("__ok"))
+        marked = now.join(results.hint("merge"), F.col("task_id") == F.col("__t"), "left").withColumn("__ok", F.coalesce("__ok", F.lit(False)))
+        if each is None:
+            marked = marked.withColumn("__hit", F.coalesce(F.col("status") == "PENDING", F.lit(False)))
+        else:
+            named = claimed.select(F.col("task_id").alias("__c"))
+            marked = marked.join(named.hint("merge"), F.col("task_id") == F.col("__c"), "left").withColumn("__hit", F.col("__c").isNotNull())
+        hit, attempts = F.col("__hit"), F.col("attempts") + F.col("__hit").cast("int")
         status = F.when(~hit, F.col("status")).when(F.col("__ok"), "COMPLETED").otherwise(retry_or_fail(F.col("status"), attempts, F.col("max_attempts"), ~F.col("__ok")))
         write(marked.withColumns({"status": status, "attempts": attempts, "updated_at_ms": F.when(hit, now_ms).otherwise(F.col("updated_at_ms"))}).select(*now.columns), version + 1)
     return rounds

@@ -223,3 +223,21 @@ def test_a_crawl_without_a_bound(spark):
     got = S.crawl(spark.createDataFrame([("http://a/0",)], "url string"), links.unionByName(links), "http://a/", None, 9, checkpointed)
     want = {f"http://a/{n}": 0 if n == 0 else 1 if n < 20 else 2 for n in range(300)}
     assert sorted((r.url, r["round"]) for r in got.collect()) == sorted(want.items())
+
+
+@pytest.mark.parametrize("each", [None, 3])
+def test_a_worker_broadcasts_no_tasks(spark, tmp_path, each):
+    from gleaner.operators import merge as M
+
+    rows = [(i, "ab"[i % 2], "PENDING", 0, 2, 0) for i in range(8)]
+    df = spark.createDataFrame(rows, "task_id long, kind string, status string, attempts int, max_attempts int, updated_at_ms long")
+    path, plans = str(tmp_path), []
+
+    def write(t, v):
+        plans.append(t._jdf.queryExecution().executedPlan().toString())
+        sinks.write_snapshot(t, path, v)
+
+    last = M.work(df, lambda t: t.select("task_id", (F.col("task_id") % 5 != 0).alias("ok")), lambda v: sinks.read_snapshot(spark, path, v), write, each, 9, 9)
+    got = {r.task_id: (r.status, r.attempts) for r in sinks.read_snapshot(spark, path, last).collect()}
+    assert got == {i: ("FAILED", 2) if i % 5 == 0 else ("COMPLETED", 1) for i in range(8)}
+    assert not any("Broadcast" in p for p in plans)
