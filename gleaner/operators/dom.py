@@ -357,17 +357,18 @@ def comparison_tables(table: DataFrame, mark: str = "data-ds-local") -> DataFram
     is_icon = F.col("name") == "svg"
     so_far = table.withColumn("__so_far", F.sum(F.when(is_icon, 1).otherwise(0)).over(names))
     total = so_far.withColumn("__all", F.max("__so_far").over(Window.partitionBy("key"))).filter("__all >= 4")
+    # as many rows as elements, in few bytes each: joined by sorting, never sent to all by way of the driver
     ends = total.select(F.col("key").alias("__key"), F.col("node").alias("__node"), F.col("__so_far").alias("__to"))
-    children = total.filter("name != '#text'").join(ends, F.col("key").eqNullSafe(F.col("__key")) & (F.col("last") == F.col("__node")))
+    children = total.filter("name != '#text'").join(ends.hint("merge"), F.col("key").eqNullSafe(F.col("__key")) & (F.col("last") == F.col("__node")))
     children = children.select("key", "parent", F.col("node").alias("at"), (F.col("__to") - F.col("__so_far") + F.when(is_icon, 1).otherwise(0)).alias("icons"), is_icon.alias("icon"))
     sizes = children.groupBy("key", "parent").agg(F.count("*").alias("n_children")).filter("n_children >= 3")
-    nested = _mode(children, "parent").join(sizes, ["key", "parent"]).filter("n_rows >= 3 and n_rows >= 0.5 * n_children").select("key", "parent", F.lit(1).alias("way"), "n_rows", "n_columns")
+    nested = _mode(children, "parent").join(sizes.hint("merge"), ["key", "parent"]).filter("n_rows >= 3 and n_rows >= 0.5 * n_children").select("key", "parent", F.lit(1).alias("way"), "n_rows", "n_columns")
     runs = children.withColumn("run", F.sum(F.when(F.col("icon"), 0).otherwise(1)).over(Window.partitionBy("key", "parent").orderBy("at")))
     runs = runs.filter("icon").groupBy("key", "parent", "run").agg(F.count("*").alias("icons"), F.min("at").alias("at"))
     n_runs = runs.groupBy("key", "parent").agg(F.count("*").alias("n_runs")).filter("n_runs >= 3")
-    flat = _mode(runs, "parent").join(n_runs, ["key", "parent"]).join(sizes, ["key", "parent"]).filter("n_rows >= 3 and n_rows >= 0.5 * n_runs").select("key", "parent", F.lit(2).alias("way"), "n_rows", "n_columns")
+    flat = _mode(runs, "parent").join(n_runs.hint("merge"), ["key", "parent"]).join(sizes.hint("merge"), ["key", "parent"]).filter("n_rows >= 3 and n_rows >= 0.5 * n_runs").select("key", "parent", F.lit(2).alias("way"), "n_rows", "n_columns")
     best = nested.unionByName(flat).groupBy(F.col("key").alias("__key"), F.col("parent").alias("__parent")).agg(F.min(F.struct("way", "n_rows", "n_columns")).alias("found"))
-    joined = total.join(best, F.col("key").eqNullSafe(F.col("__key")) & (F.col("node") == F.col("__parent")), "left")
+    joined = total.join(best.hint("merge"), F.col("key").eqNullSafe(F.col("__key")) & (F.col("node") == F.col("__parent")), "left")
     local = F.col("attributes")[mark]
     hit = F.col("found").isNotNull() & (F.coalesce(local, F.lit("")) != "")
     joined = joined.withColumn("__hit", hit)

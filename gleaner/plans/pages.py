@@ -128,7 +128,7 @@ _LINES = "l AS (SELECT o_custkey, o_orderkey, count(*) AS n FROM orders JOIN (SE
 
 def _orders(spark, sf):
     lines = table(spark, sf, "lineitem", "l_orderkey", "l_linenumber").distinct().groupBy("l_orderkey").agg(F.count("*").cast("int").alias("n"))
-    return table(spark, sf, "orders", "o_custkey", "o_orderkey").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    return table(spark, sf, "orders", "o_custkey", "o_orderkey").join(lines.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey"))
 
 
 @query("S38", f"""

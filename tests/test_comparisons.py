@@ -192,3 +192,11 @@ def test_comparison_lines(spark, head):
     assert got.pop(103) is None
     for n, text in cases:
         assert got[n] == plain_linearised(text), text
+
+
+def test_comparison_tables_broadcast_no_elements(spark):
+    row = "<div>Order" + "<svg></svg>" * 3 + "</div>"
+    pages = spark.sql("select 1L as id").select("id", F.lit('<body><section data-ds-local="c1">' + row * 4 + "</section></body>").alias("html"))
+    found = O.comparison_tables(O.nodes(pages, "id", "html"))
+    assert [(r.id, r.n_rows, r.n_columns) for r in found.collect()] == [("c1", 4, 3)]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
