@@ -30,7 +30,7 @@ def over_limit(events: DataFrame, key: str, at: Column, limit: int, minutes: int
     return counts.filter(F.col("n") > limit).select(key, F.col("w.start").alias("start"), (F.col("n") - limit).alias("rejected"))
 
 
-def refilling_bucket(requests: DataFrame, key: str, at: str, tie: str, cost: str, capacity: int, period_ms: int, block_ms: int = 600_000) -> DataFrame:
+def refilling_bucket(requests: DataFrame, key: str, at: str, tie: str, cost: str, capacity: int, period_ms: int, block_ms: int = 600_000, piece: int = 1024) -> DataFrame:
     """requests with ``level`` (before the request) and ``accepted``: a key's bucket holds ``capacity`` tokens, gains
     that many a period, steadily, and loses each request's cost; a request that finds less than its cost is
     turned away and leaves the bucket empty. Levels are whole numbers, in tokens times period_ms.
@@ -41,10 +41,10 @@ def refilling_bucket(requests: DataFrame, key: str, at: str, tie: str, cost: str
     full, zero = F.lit(capacity * period_ms).cast("long"), F.lit(0).cast("long")
     rows = requests.withColumn("__block", F.floor(F.col(at) / block_ms)).withColumn("__cost", F.col(cost).cast("long") * period_ms)
     within = Window.partitionBy(key, "__block").orderBy(at, tie)
-    before = F.lag(at).over(within)
-    rows = rows.withColumn("__gain", F.when(before.isNotNull(), F.least(full, (F.col(at) - before).cast("long") * capacity)))
+    before, number = F.lag(at).over(within), F.row_number().over(within) - 1
+    rows = rows.withColumns({"__gain": F.when(number % piece != 0, F.least(full, (F.col(at) - before).cast("long") * capacity)), "__piece": F.floor(number / piece)})
     one = F.struct(F.col(at).alias("at"), F.col(tie).alias("tie"), F.coalesce("__gain", zero).alias("gain"), F.col("__cost").alias("cost"))
-    blocks = rows.groupBy(F.col(key).alias("__key"), "__block").agg(F.array_sort(F.collect_list(one)).alias("all"))
+    blocks = rows.groupBy(F.col(key).alias("__key"), F.struct("__block", "__piece").alias("__block")).agg(F.array_sort(F.collect_list(one)).alias("all"))
     bounded = lambda x, low, high: F.greatest(low, F.least(high, x))
     bounds = lambda add, low, high: F.struct(add.alias("add"), low.alias("low"), high.alias("high"))
 
@@ -54,7 +54,7 @@ def refilling_bucket(requests: DataFrame, key: str, at: str, tie: str, cost: str
 
     blocks = blocks.withColumn("sum", F.aggregate("all", bounds(zero, zero, full), then)).withColumns({"first": F.get("all", F.lit(0))["at"], "last": F.element_at("all", -1)["at"]})
     chain = F.array_sort(F.collect_list(F.struct("__block", "first", "last", "sum")))
-    start = F.struct(full.alias("level"), F.lit(None).cast("long").alias("last"), F.array().cast("array<struct<block:long,level:long>>").alias("out"))
+    start = F.struct(full.alias("level"), F.lit(None).cast("long").alias("last"), F.array().cast("array<struct<block:struct<__block:long,__piece:long>,level:long>>").alias("out"))
 
     def link(s: Column, b: Column) -> Column:
         level = F.when(s["last"].isNull(), full).otherwise(F.least(full, s["level"] + F.least(full, (b["first"] - s["last"]).cast("long") * capacity)))

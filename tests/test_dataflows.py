@@ -241,3 +241,12 @@ def test_a_worker_broadcasts_no_tasks(spark, tmp_path, each):
     got = {r.task_id: (r.status, r.attempts) for r in sinks.read_snapshot(spark, path, last).collect()}
     assert got == {i: ("FAILED", 2) if i % 5 == 0 else ("COMPLETED", 1) for i in range(8)}
     assert not any("Broadcast" in p for p in plans)
+
+
+def test_pieces_of_a_block_change_no_level(spark):
+    draw = random.Random(4)
+    rows = [("k", 1_000_000 + draw.randrange(90_000), n, draw.randrange(1, 4)) for n in range(120)]
+    df = spark.createDataFrame(rows, "k string, at long, n long, c int")
+    levels = lambda **sizes: sorted(map(tuple, S.refilling_bucket(df, "k", "at", "n", "c", 5, 60_000, 50_000, **sizes).collect()))
+    whole = levels(piece=1000)
+    assert len(whole) == 120 and levels(piece=7) == whole and levels(piece=1) == whole
