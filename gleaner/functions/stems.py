@@ -136,12 +136,27 @@ def portuguese(word: Column) -> Column:
 LANGUAGES = {"en": english, "de": german, "fr": french, "es": spanish, "it": italian, "pt": portuguese}
 
 
+ANALYSERS = ("cjk", "standard", *LANGUAGES)
+
+
+def words(text: Column, analyser: Column) -> Column:
+    """What an analyser (gleaner.functions.text.analyser) finds in a text before stems: pairs of CJK characters and
+    words in other scripts, or words; in English none that aren't looked for."""
+    plain = X.terms(text)
+    cjk = F.concat(X.bigrams(text), F.filter(plain, lambda w: ~w.rlike(X.CJK)))
+    en = F.filter(X.terms(F.regexp_replace(text, "['’]s(?![\\p{L}\\p{N}])", "")), lambda w: ~w.isin(STOP))
+    return F.when(analyser == "cjk", cjk).when(analyser == "en", en).otherwise(plain)
+
+
+def stem(word: Column, analyser: Column) -> Column:
+    """A word's stem for a Latin language's analyser; for others the word."""
+    out = F.when(F.lit(False), word)
+    for name, function in LANGUAGES.items():
+        out = out.when(analyser == name, function(word))
+    return out.otherwise(word)
+
+
 def analysed(text: Column, analyser: Column) -> Column:
-    """The terms of a text for an analyser (gleaner.functions.text.analyser): stems of a Latin language, pairs of
-    CJK characters and words in other scripts, or plain words."""
-    words = X.terms(text)
-    out = F.when(analyser == "cjk", F.concat(X.bigrams(text), F.filter(words, lambda w: ~w.rlike(X.CJK)))).when(analyser == "en", F.transform(F.filter(X.terms(F.regexp_replace(text, "['’]s(?![\\p{L}\\p{N}])", "")), lambda w: ~w.isin(STOP)), english))
-    for name, stem in LANGUAGES.items():
-        if name != "en":
-            out = out.when(analyser == name, F.transform(words, stem))
-    return out.otherwise(words)
+    """The terms of a text for an analyser: stems of a Latin language, pairs of CJK characters and words in other
+    scripts, or plain words."""
+    return F.transform(words(text, analyser), lambda w: stem(w, analyser))

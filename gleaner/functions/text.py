@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,11 @@ MARKERS = {
 CJK = "[\\u3040-\\u30ff\\u3400-\\u4dbf\\u4e00-\\u9fff\\uac00-\\ud7af]"
 
 
+def _once(value: Column, function: Callable[[Column], Column]) -> Column:
+    """function(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), function), F.lit(0))
+
+
 def index_text(text: Column) -> Column:
     """What is indexed of a page: no symbols or format characters, single blanks."""
     out = F.regexp_replace(F.regexp_replace(text, r"[\p{So}\p{Sk}]", " "), r"\p{Cf}", "")
@@ -55,21 +62,30 @@ def initial_keywords(text: Column, stop_words: list[str], most: int = 8) -> Colu
 def latin_language(text: Column, least_words: int = 10, least_hits: int = 3) -> Column:
     """The language whose marker words occur most, English below the least hits or words."""
     words = F.filter(F.split(F.lower(F.left(text, F.lit(2000))), r"\s+"), lambda w: F.length(w) >= 2)
-    hits = {k: F.size(F.array_intersect(words, F.array(*map(F.lit, m.split())))) for k, m in MARKERS.items()}
-    best = F.greatest(*hits.values())
-    choice = F.when((F.size(words) < least_words) | (best < least_hits), "en")
-    for k, n in hits.items():
-        choice = choice.when(n == best, k)
-    return choice
+
+    def choice(x: Column) -> Column:
+        best = F.greatest(*(x[k] for k in MARKERS))
+        out = F.when((x["n"] < least_words) | (best < least_hits), "en")
+        for k in MARKERS:
+            out = out.when(x[k] == best, k)
+        return out
+
+    hits = lambda w: F.struct(F.size(w).alias("n"), *(F.size(F.array_intersect(w, F.array(*map(F.lit, m.split())))).alias(k) for k, m in MARKERS.items()))
+    return _once(_once(words, hits), choice)
 
 
 def analyser(text: Column) -> Column:
     """cjk, a Latin language, or standard, by the most frequent script of the first 2000 characters."""
     sample = F.left(text, F.lit(2000))
-    cjk = F.regexp_count(sample, F.lit(CJK))
-    latin = F.regexp_count(sample, F.lit("\\p{IsLatin}"))
-    other = F.regexp_count(sample, F.lit("\\p{L}")) - cjk - latin
-    return F.when((cjk > 0) & (cjk >= latin) & (cjk >= other), "cjk").when((latin > 0) & (latin >= other), latin_language(text)).otherwise("standard")
+    count = lambda letters: F.length(sample) - F.length(F.regexp_replace(sample, f"{letters}+", ""))
+    counts = F.struct(count(CJK).alias("cjk"), count("\\p{IsLatin}").alias("latin"), count("\\p{L}").alias("letters"))
+
+    def choice(n: Column) -> Column:
+        cjk, latin = n["cjk"], n["latin"]
+        other = n["letters"] - cjk - latin
+        return F.when((cjk > 0) & (cjk >= latin) & (cjk >= other), "cjk").when((latin > 0) & (latin >= other), latin_language(text)).otherwise("standard")
+
+    return _once(counts, choice)
 
 
 def word_overlap(a: Column, b: Column) -> Column:

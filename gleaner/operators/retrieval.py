@@ -133,28 +133,47 @@ def cache_state(pages: DataFrame, requests: DataFrame, key: str, now_ms: int, tt
 
 
 def stemmed_lines(pages: DataFrame, id_col: str, text_col: str, keywords: Sequence[str], best: int = 5, most: int = 120) -> DataFrame:
-    """For each page and keyword the best lines: id, keyword, rank, line_no, line, context and score.
+    """For each page and keyword the best lines: id, keyword, rank, line_no, line, context and score. Ids are unique.
 
     A page's lines are its own corpus: a keyword's terms, by the analyser of the page's script and language, are
     ranked by BM25 over the lines that have any term, ties by place. The context is the line with its
-    neighbours, cut to ``most`` characters. Keywords without terms or hits are absent."""
+    neighbours, cut to ``most`` characters. Keywords without terms or hits are absent.
+
+    Each different word of all pages is stemmed once. Those with a stem of a keyword are a few for each keyword,
+    whatever the pages, and go to all tasks; lines are then asked for these words as they stand."""
     rows = pages.select(F.col(id_col).alias("id"), X.analyser(F.col(text_col)).alias("analyser"), F.split(F.col(text_col), r"\r\n|\n|\r", -1).alias("lines"))
     asked = F.array(*[F.struct(F.lit(i).alias("number"), F.lit(k).alias("keyword")) for i, k in enumerate(dict.fromkeys(keywords))])
-    near = lambda i: F.array_join(F.transform(F.slice(F.col("lines"), F.greatest(i, F.lit(1)), F.when(i == 0, 2).otherwise(3)), lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", ""))), " ")
-    lines = rows.select("id", "analyser", F.explode(F.transform("lines", lambda x, i: F.struct(i.alias("line_no"), x.alias("line"), near(i).alias("around")))).alias("l")).select("id", "analyser", "l.*")
-    lines = lines.filter(F.col("line").rlike(r"\S")).withColumn("terms", S.analysed(F.col("line"), F.col("analyser"))).filter(F.size("terms") > 0)
-    totals = lines.groupBy(F.col("id").alias("__id")).agg(F.count("*").alias("n_lines"), F.avg(F.size("terms")).alias("mean"))
-    wanted = rows.select("id", "analyser", F.explode(asked).alias("q")).select(F.col("id").alias("__i"), "q.number", "q.keyword", F.explode(S.analysed(F.col("q.keyword"), F.col("analyser"))).alias("asked"))
-    wanted = wanted.groupBy("__i", "number", "keyword", "asked").agg(F.count("*").alias("times"))
-    found = lines.select("id", "line_no", F.size("terms").alias("length"), F.explode("terms").alias("term")).groupBy("id", "line_no", "length", "term").agg(F.count("*").alias("tf"))
-    held = found.groupBy(F.col("id").alias("__h"), F.col("term").alias("__t")).agg(F.count("*").alias("df"))
-    hits = found.join(wanted, F.col("id").eqNullSafe(F.col("__i")) & (F.col("term") == F.col("asked"))).join(held, F.col("id").eqNullSafe(F.col("__h")) & (F.col("term") == F.col("__t"))).join(totals, F.col("id").eqNullSafe(F.col("__id")))
+    wanted = pages.sparkSession.range(1, numPartitions=1).select(F.explode(F.array(*map(F.lit, S.ANALYSERS))).alias("analyser"), asked.alias("asked")).select("analyser", F.explode("asked").alias("q"))
+    wanted = wanted.select("analyser", "q.*", F.explode(S.analysed(F.col("q.keyword"), F.col("analyser"))).alias("term")).groupBy("analyser", "number", "keyword", "term").agg(F.count("*").alias("times"))
+
+    lines = rows.select("id", "analyser", F.posexplode("lines").alias("line_no", "line")).select("id", "analyser", "line_no", S.words(F.col("line"), F.col("analyser")).alias("words"))
+    vocabulary = lines.select("analyser", F.explode_outer("words").alias("word")).distinct().filter("word is not null")
+    vocabulary = vocabulary.withColumn("term", F.explode(F.array(S.stem(F.col("word"), F.col("analyser")))))  # as a column, Spark would work it out for words before they are made distinct too
+    known = vocabulary.join(F.broadcast(wanted.select("analyser", "term").distinct()), ["analyser", "term"])
+    known = known.groupBy("analyser").agg(F.collect_list("word").alias("known"), F.map_from_entries(F.collect_list(F.struct("word", "term"))).alias("term_of"))
+
+    # of each line its number of terms and the words asked for; then all of a page's lines in one group
+    hits = F.transform(F.array_intersect("words", "known"), lambda w: F.struct(F.element_at("term_of", w).alias("term"), F.size(F.filter("words", lambda x: x == w)).alias("n")))
+    counted = lines.join(F.broadcast(known), "analyser").select("id", "analyser", "line_no", F.size("words").alias("length"), hits.alias("hits"))
+    some = F.col("length") > 0
+    totals = [F.count(F.when(some, 1)).alias("n_lines"), F.avg(F.when(some, F.col("length"))).alias("mean")]
+    page = counted.groupBy("id", "analyser").agg(*totals, F.collect_list(F.when(F.size("hits") > 0, F.struct("line_no", "length", "hits"))).alias("l"))
+    found = page.select("id", "analyser", "n_lines", "mean", F.explode("l").alias("l")).select("id", "analyser", "n_lines", "mean", "l.line_no", "l.length", F.explode("l.hits").alias("h"))
+    found = found.groupBy("id", "analyser", "n_lines", "mean", "line_no", "length", F.col("h.term").alias("term")).agg(F.sum("h.n").alias("tf"))
+    found = found.withColumn("df", F.count("*").over(Window.partitionBy("id", "analyser", "term")))
+    hits = found.join(F.broadcast(wanted), ["analyser", "term"])
     idf = F.log(1 + (F.col("n_lines") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("times") * idf * F.col("tf") / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("length") / F.col("mean")))
-    scored = hits.groupBy("id", "number", "keyword", "line_no").agg(F.round(F.sum(part), 9).alias("score"))
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("id", "number").orderBy(F.desc("score"), "line_no"))).filter(F.col("rank") <= best)
-    text = lines.select(F.col("id").alias("__id"), F.col("line_no").alias("__n"), "line", F.when(F.length("around") > most, F.concat(F.lit("..."), F.left("around", F.lit(most)), F.lit("..."))).otherwise(F.col("around")).alias("context"))
-    return ranked.join(text, F.col("id").eqNullSafe(F.col("__id")) & (F.col("line_no") == F.col("__n"))).select(F.col("id").alias(id_col), "keyword", "rank", "line_no", "line", "context", "score")
+    scored = hits.groupBy("id", "analyser", "number", "keyword", "line_no").agg(F.round(F.sum(part), 9).alias("score"))
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("id", "analyser", "number").orderBy(F.desc("score"), "line_no"))).filter(F.col("rank") <= best)
+
+    chosen = ranked.groupBy(F.col("id").alias("__id"), "analyser").agg(F.collect_list(F.struct("keyword", "rank", "line_no", "score")).alias("r")).drop("analyser")
+    at = F.col("r.line_no")
+    near = F.slice(F.col("lines"), F.greatest(at, F.lit(1)), F.when(at == 0, 2).otherwise(3))
+    around = F.array_join(F.transform(near, lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", ""))), " ")
+    out = rows.select("id", "lines").join(chosen, F.col("id").eqNullSafe(F.col("__id"))).select("id", "lines", F.explode("r").alias("r")).select("id", "r.*", F.get("lines", at).alias("line"), around.alias("around"))
+    context = F.when(F.length("around") > most, F.concat(F.lit("..."), F.left("around", F.lit(most)), F.lit("..."))).otherwise(F.col("around"))
+    return out.select(F.col("id").alias(id_col), "keyword", "rank", "line_no", "line", context.alias("context"), "score")
 
 
 def page_excerpts(pages: DataFrame, document: str, page: str, text: str, keywords: Sequence[str], context: int = 10, best: int = 10, most: int = 10_000) -> DataFrame:

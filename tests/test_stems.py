@@ -141,3 +141,12 @@ def test_lines_of_other_scripts(spark):
     pages = [(1, "東京大学の学生\n大学は東京にある\n何もない"), (2, "Москва большой город\nгород Москва"), (3, None), (4, "")]
     got = [(r.page, r.keyword, r.line_no) for r in R.stemmed_lines(spark.createDataFrame(pages, "page int, text string"), "page", "text", ["大学", "город"]).collect()]
     assert Counter(got) == Counter([(1, "大学", 0), (1, "大学", 1), (2, "город", 0), (2, "город", 1)])
+
+
+def test_words_are_stemmed_once(spark):
+    """Porter's rules are worked out for keywords and for distinct words alone, never for each word of each line."""
+    pages = spark.createDataFrame([(1, "the cats ran\nrelational cats")], "page int, text string")
+    plan = R.stemmed_lines(pages, "page", "text", ["cat"])._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    stemming = [i for i, line in enumerate(plan) if "ational" in line]
+    assert stemming and all("Generate explode(" in plan[i] for i in stemming)
+    assert any("Generate explode(array(" in plan[i] and "Aggregate [analyser" in "".join(plan[i + 1 : i + 3]) for i in stemming)
