@@ -20,6 +20,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from struct import pack
+from string import punctuation
 
 import numpy as np
 import pandas as pd
@@ -34,9 +35,9 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 class WordEncoder:
     """Ids of texts as little-endian unsigned 32-bit integers, by a tokenizer that lower-cases, drops white
-    space and merges neither across it nor between letters and a comma or full stop. So each stretch
-    between blanks is encoded on its own, without such a sign at its end, and remembered: up to ``kept``
-    stretches as they stand and ``kept_cores`` without the sign."""
+    space and merges neither across it nor between letters or digits and signs. So each stretch between
+    blanks is encoded on its own, apart from the ASCII signs at its end, and remembered: up to ``kept``
+    stretches as they stand and ``kept_cores`` without the signs."""
 
     def __init__(self, path: str, kept: int = 600_000, kept_cores: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -45,27 +46,30 @@ class WordEncoder:
         self.tokenizer, self.kept, self.kept_cores = Tokenizer.from_file(path), kept, kept_cores
         self.known: dict[str, bytes] = worker_cache()
         self.cores: dict[str, bytes] = worker_cache()
-        self.signs = dict(zip(",.", self._encode([",", "."])))
 
     def _encode(self, parts: list[str]) -> list[bytes]:
         return [pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
     def _learn(self, new: list[str]) -> None:
-        known, cores, signs = self.known, self.cores, self.signs
+        known, cores = self.known, self.cores
         if len(cores) > self.kept_cores:
             cores.clear()
-        split = []
+        split, wanted = [], set()
         for x in new:
-            core, sign = x, ""
-            if x.isascii():  # elsewhere lower-casing is the tokenizer's own
-                core = x.lower()
-                if core[-1:] in signs and core[-2:-1].isalnum():
-                    core, sign = core[:-1], core[-1]
-            split.append((x, core, sign))
-        missing = list({c for _, c, _ in split if c not in cores})
+            core, signs = x, ""
+            if "<|" not in x:  # special tokens stay whole
+                bare = x.rstrip(punctuation)
+                if bare != x and bare[-1:].isalnum() and bare[-1] < "\u0100":
+                    core, signs = bare, x[len(bare) :]
+                    wanted.add(signs)
+                if core.isascii():  # elsewhere lower-casing is the tokenizer's own
+                    core = core.lower()
+            wanted.add(core)
+            split.append((x, core, signs))
+        missing = list(wanted.difference(cores))
         cores.update(zip(missing, self._encode(missing)))
-        for x, core, sign in split:
-            known[x] = cores[core] + signs[sign] if sign else cores[core]
+        for x, core, signs in split:
+            known[x] = cores[core] + cores[signs] if signs else cores[core]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         known = self.known

@@ -165,6 +165,15 @@ def test_components(spark):
 
 
 # -- packing
+def test_words_are_encoded_apart_from_signs(tokenizer_path):
+    """One stretch is encoded for all signs after it, and ids are the tokenizer's, special tokens' too."""
+    encoder = packing.WordEncoder(tokenizer_path("word_bpe_49k.json"))
+    ids = lambda t: b"".join(x.to_bytes(4, "little") for x in encoder.tokenizer.encode(t, add_special_tokens=False).ids)
+    texts = ["word word! word*** Word?! wörd wörd, wörd%%% WÖRD... it's. it's's? x's'", "<|endoftext|> <|ENDOFTEXT|> a<|endoftext|>. <|endoftext|", "İ. e\u0301. ½! ²: ª# 3.14, ... \u0370x. a\t, 'll. b'!s. ß%&", "Ǆ. \u1c8a! 中, 中。 ﬁ. Σ. ΑΣ."]
+    assert encoder.encode(texts) == [ids(t) for t in texts]
+    assert not [c for c in encoder.cores if c[-1:] in "!*?%" and c[0] in "wW"]
+
+
 def test_packing(odd, small, tokenizer_path):
     from tokenizers import Tokenizer
 
