@@ -192,7 +192,7 @@ def discover(elements: DataFrame, container: str, checkpointed: Callable[[DataFr
     ancestor (the highest candidate that has all its leaves) takes its place if it is a complete table and
     isn't the ancestor of three groups. The other candidates, from the top of the tree, take their leaves if
     none is taken yet; what others have left of theirs has to form a table by itself."""
-    found, pairs = candidates(elements, container, checkpointed)
+    found, pairs = candidates(checkpointed(elements), container, checkpointed)  # they are read once a level and more
     grouped = stacked_groups(found, container, "node")
     size = F.count("*").over(Window.partitionBy(container, "n_columns", "group"))
     members = checkpointed(grouped.withColumn("size", size).filter("size > 1").select(F.col(container).alias("c"), F.concat_ws("/", "n_columns", "group").alias("g"), F.col("id").alias("member")))

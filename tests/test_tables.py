@@ -236,6 +236,21 @@ def test_discovery(spark):
     assert T.discover(df.limit(0), "page", checkpointed).count() == 0
 
 
+def test_discovery_works_out_its_elements_once(spark):
+    """What the elements come from (joins and windows, say) isn't repeated for each level and join."""
+    rnd, read = random.Random(3), spark.sparkContext.accumulator(0)
+    rows = [(n, *r) for n in range(3) for r in flat(page(rnd))]
+    kinds = "page int, id string, parent string, node int, last int, depth int, left double, top double, right double, bottom double"
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    T.discover(spark.createDataFrame(rows, kinds).mapInArrow(counted, kinds), "page", checkpointed).collect()
+    assert len(rows) <= read.value <= 2 * len(rows)
+
+
 def test_best_of_alike(spark):
     rows = [("a", 0.6, 9, 1), ("a", 0.8, 6, 2), ("a", 0.8, 7, 3), ("a", 0.8, 7, 4), ("b", 0.5, 6, 5)]
     df = spark.createDataFrame(rows, "signature string, confidence double, n_leaves int, place int")
