@@ -30,8 +30,9 @@ def best_matches(regions: DataFrame, boxes: DataFrame, container: str, least: fl
     r = prefixed(regions, "r_").withColumn("cell", spread("r_"))
     b = prefixed(boxes, "b_").withColumn("cell", spread("b_"))
     pairs = r.join(b, (F.col(f"r_{container}") == F.col(f"b_{container}")) & (r["cell"] == b["cell"])).withColumn("iou", F.round(iou("r_", "b_"), 9))
-    best = pairs.groupBy("r_element_id").agg(F.max(F.struct("iou", F.col("b_element_id"))).alias("m"))
-    return best.filter(F.col("m.iou") >= least).select(F.col("r_element_id").alias("region_id"), F.col("m.b_element_id").alias("element_id"), F.col("m.iou").alias("iou"))
+    # pairs below the least can't win a region that counts; without them, few are sorted for the maximum of structs
+    best = pairs.filter(F.col("iou") >= least).groupBy("r_element_id").agg(F.max(F.struct("iou", F.col("b_element_id"))).alias("m"))
+    return best.select(F.col("r_element_id").alias("region_id"), F.col("m.b_element_id").alias("element_id"), F.col("m.iou").alias("iou"))
 
 
 def outermost(candidates: DataFrame, container: str, path: str) -> DataFrame:

@@ -255,3 +255,16 @@ def test_best_of_alike(spark):
     rows = [("a", 0.6, 9, 1), ("a", 0.8, 6, 2), ("a", 0.8, 7, 3), ("a", 0.8, 7, 4), ("b", 0.5, 6, 5)]
     df = spark.createDataFrame(rows, "signature string, confidence double, n_leaves int, place int")
     assert sorted(r.place for r in T.best_of_alike(df, "signature").collect()) == [3, 5]
+
+
+def test_best_matches_sort_only_pairs_that_count(spark):
+    """Pairs below the least overlap are dropped before a region's best is looked for; what is found stays."""
+    from gleaner.operators.spatial import best_matches
+
+    boxes = spark.createDataFrame([(1, 1, 0.0, 10.0, 0.0, 10.0), (1, 2, 2.0, 12.0, 0.0, 10.0), (1, 3, 90.0, 99.0, 0.0, 10.0), (2, 4, 0.0, 10.0, 0.0, 10.0)], "c int, element_id int, left double, right double, top double, bottom double")
+    regions = spark.createDataFrame([(1, 7, 1.5, 11.5, 0.0, 10.0), (1, 8, 40.0, 50.0, 0.0, 10.0)], boxes.schema)
+    found = best_matches(regions, boxes, "c", 0.5)
+    assert [(r.region_id, r.element_id) for r in found.collect()] == [(7, 2)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    at = next(i for i, line in enumerate(plan) if "Aggregate [r_element_id" in line)
+    assert any(">= 0.5" in line for line in plan[at:]) and not any(">= 0.5" in line for line in plan[:at])
