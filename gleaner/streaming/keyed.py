@@ -48,35 +48,43 @@ class _Batches(StatefulProcessor):
         self.pending = handle.getListState("pending", "at long, tie long")
         self.number = handle.getValueState("number", "batch long")
 
-    def _out(self, key, items: list[tuple[int, int]], reason: str) -> pd.DataFrame:
-        n = int(self.number.get()[0]) if self.number.exists() else 0
-        self.number.update((n + 1,))
-        return pd.DataFrame({"key": [key[0]] * len(items), "batch": [n] * len(items), "at": [a for a, _ in items], "tie": [t for _, t in items], "reason": [reason] * len(items)})
+    def _out(self, key, ended: list[tuple[str, list[tuple[int, int]]]]) -> pd.DataFrame:
+        """The items of batches that have ended. Each call to the state waits for an answer: the number is asked for
+        and stored once, and all batches are one frame."""
+        known = self.number.get()
+        n = int(known[0]) if known else 0
+        self.number.update((n + len(ended),))
+        rows = [(key[0], n + i, at, tie, reason) for i, (reason, items) in enumerate(ended) for at, tie in items]
+        return pd.DataFrame(rows, columns=["key", "batch", "at", "tie", "reason"])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         waiting = [(int(a), int(t)) for a, t in self.pending.get()] if self.pending.exists() else []
-        out = []
+        waited = bool(waiting)
+        ended = []
         for at, tie in _sorted(rows):
             if waiting and at - waiting[-1][0] >= self.gap_ms:
-                out.append(self._out(key, waiting, "pause"))
+                ended.append(("pause", waiting))
                 waiting = []
             waiting.append((at, tie))
             if len(waiting) == self.size:
-                out.append(self._out(key, waiting, "full"))
+                ended.append(("full", waiting))
                 waiting = []
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
-        self.pending.clear()
+        if waited:  # only what waits has a timer
+            for timer in self.handle.listTimers():
+                self.handle.deleteTimer(timer)
         if waiting:
             self.pending.put(waiting)
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.gap_ms)
-        yield from out
+        elif waited:
+            self.pending.clear()
+        if ended:
+            yield self._out(key, ended)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         waiting = [(int(a), int(t)) for a, t in self.pending.get()] if self.pending.exists() else []
         self.pending.clear()
         if waiting:
-            yield self._out(key, waiting, "idle")
+            yield self._out(key, [("idle", waiting)])
 
     def close(self) -> None:
         pass

@@ -3,6 +3,7 @@
 import random
 import time
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from gleaner import sinks
@@ -37,6 +38,44 @@ def test_batches_by_count_or_pause(spark, tmp_path):
     assert all(b == last[k] for k, b, *_ in left)  # what waits is the last batch
 
 
+class Kept:
+    """Calls to a state that keeps one key's value."""
+
+    def __init__(self, value=None):
+        self.value, self.calls, self.timers = value, 0, []
+
+    def __getattr__(self, name):
+        def call(*given):
+            self.calls += 1
+            if name in ("update", "put"):
+                self.value = given[0]
+            elif name == "clear":
+                self.value = None
+            elif name == "registerTimer":
+                self.timers.append(given[0])
+            elif name == "deleteTimer":
+                self.timers.remove(given[0])
+            return {"exists": self.value is not None, "get": self.value, "listTimers": list(self.timers)}.get(name)
+
+        return call
+
+    getCurrentProcessingTimeInMs = staticmethod(lambda: 1000)
+
+
+def test_calls_to_the_state_do_not_grow_with_the_batches_of_a_key():
+    made = K._Batches(3, 100)
+    made.handle, made.pending, made.number = Kept(), Kept(), Kept()
+    calls = []
+    for start in (0, 1000):
+        frames = list(made.handleInputRows(("k",), iter([pd.DataFrame({"at": range(start, start + 1000), "tie": range(1000)})]), Kept()))
+        calls.append(made.handle.calls + made.pending.calls + made.number.calls)
+        assert len(frames) == 1 and list(frames[0].columns) == ["key", "batch", "at", "tie", "reason"]
+        assert made.handle.timers == [1100] and made.number.value == ((333,) if start == 0 else (666,))
+    # 333 batches and one item that waits, then with that item 333 and two
+    assert len(frames[0]) == 999 and list(frames[0]["batch"])[:4] == [333, 333, 333, 334] and len(made.pending.value) == 2
+    assert calls[0] <= 6 and calls[1] - calls[0] <= 9
+
+
 def test_an_idle_batch_is_handed_out_by_its_timer(spark, tmp_path):
     source, log = str(tmp_path / "in"), str(tmp_path / "log")
     spark.createDataFrame([("a", 1, 1), ("a", 2, 2)], SCHEMA).coalesce(1).write.parquet(source)
