@@ -136,20 +136,30 @@ class _Sources(StatefulProcessor):
         self.count = handle.getValueState("count", "n long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows))
-        known = int(self.count.get()[0]) if self.count.exists() else 0
-        out = {"session": [], "batch": [], "new": [], "known": []}
-        for batch, part in sorted(frame.groupby("batch")["url"]):
-            new = 0
-            for url in part.unique():
-                if not self.urls.containsKey((url,)):
-                    self.urls.updateValue((url,), (int(batch),))
-                    new += 1
-            known += new
-            for name, value in zip(out, (key[0], int(batch), new, known)):
-                out[name].append(value)
-        self.count.update((known,))
-        yield pd.DataFrame(out)
+        firsts, new = {}, {}
+        for part in rows:
+            part = part.dropna(subset=["batch"]) if part["batch"].hasnans else part
+            for batch, url in zip(part["batch"].tolist(), part["url"].tolist()):
+                new[int(batch)] = 0
+                firsts[url] = min(int(batch), firsts.get(url, int(batch)))
+        counted = self.count.get()
+        known = total = int(counted[0]) if counted else 0
+        # each call to the state waits for an answer: what is known is read at once, unless it is much more than what has come
+        if known <= 8 * len(firsts):
+            before = {u for (u,) in self.urls.keys()} if known else set()
+        else:
+            before = {u for u in firsts if self.urls.containsKey((u,))}
+        for url, batch in firsts.items():
+            if url not in before:
+                self.urls.updateValue((url,), (batch,))
+                new[batch] += 1
+        out = []
+        for batch in sorted(new):
+            total += new[batch]
+            out.append((key[0], batch, new[batch], total))
+        if total > known:
+            self.count.update((total,))
+        yield pd.DataFrame(out, columns=["session", "batch", "new", "known"])
 
     def close(self) -> None:
         pass

@@ -110,3 +110,36 @@ def test_running_sources(spark, tmp_path):
     got, _ = run_in_parts(spark, tmp_path, parts, schema, lambda s: K.running_sources(s, "s", "b", "u"))
     want = S.running_sources(spark.createDataFrame(rows, schema), "s", "b", "u", "n").collect()
     assert sorted((r.session, r.batch, r.new, r.known) for r in got) == sorted((r.s, r.b, r.new, r.known) for r in want)
+
+
+class Sources(dict):
+    """Calls to a state that keeps one key's sources."""
+
+    calls = 0
+
+    def keys(self):
+        self.calls += 1
+        return list(super().keys())
+
+    def containsKey(self, url):
+        self.calls += 1
+        return url in self
+
+    def updateValue(self, url, batch):
+        self.calls += 1
+        self[url] = batch
+
+
+def test_calls_to_the_state_do_not_grow_with_the_batches_of_a_session():
+    made = K._Sources()
+    made.urls, made.count = Sources(), Kept()
+    frame = pd.DataFrame({"batch": [b for b in range(100) for _ in range(3)], "url": [f"u{n % 4}" for n in range(300)]})
+    first, again = (next(made.handleInputRows(("s",), iter([frame.iloc[::2], frame.iloc[1::2]]), None)) for _ in range(2))
+    assert list(first["new"]) == [3, 1] + [0] * 98 and list(first["known"]) == [3] + [4] * 99
+    assert list(again["new"]) == [0] * 100 and list(again["known"]) == [4] * 100 and list(again["batch"]) == list(range(100))
+    assert made.urls == {("u0",): (0,), ("u1",): (0,), ("u2",): (0,), ("u3",): (1,)} and made.urls.calls == 5 and made.count.calls == 3
+    # few urls against many known ones are asked for one by one
+    made.urls.update({(f"v{n}",): (0,) for n in range(100)})
+    made.count.value = (104,)
+    few = next(made.handleInputRows(("s",), iter([pd.DataFrame({"batch": [7, 7], "url": ["v5", "w"]})]), None))
+    assert few.values.tolist() == [["s", 7, 1, 105]] and made.urls.calls == 8
