@@ -400,27 +400,35 @@ def linearised(pages: DataFrame, key: str, text: str) -> DataFrame:
     """pages with comparisons in the markdown on one line: a line of text, perhaps an information icon, and just as
     many tick and cross icons, each on a line, as there are headers become ``text: header: icon - ...``.
 
-    Lines of icons belong to the line before them, so a window over a page's lines makes islands of a line and
-    its icons; an island whose icons fit is one line. A page without headers stays as it is."""
+    Lines of icons belong to the line before them, so a page's lines make islands of a line and its icons; an
+    island whose icons fit is one line. All of that is within a page's array of lines: no line is a row, so
+    a task holds one page's lines at a time. A page without headers stays as it is."""
+    names = pages.columns
     lines = F.split(F.col(text), r"\r\n|\n|\r", -1)
-    with_lines = pages.select(F.col(key).alias("key"), comparison_headers(lines).alias("headers"), lines.alias("lines")).filter("headers is not null")
-    rows = with_lines.select("key", "headers", F.posexplode("lines").alias("at", "line")).withColumn("icon", F.col("line").rlike(_ICON))
-    islands = rows.withColumn("island", F.sum(F.when(F.col("icon"), 0).otherwise(1)).over(Window.partitionBy("key").orderBy("at")))
-    parts = F.array_sort(F.collect_list(F.struct("at", "line", "icon")))
-    islands = islands.groupBy("key", "island").agg(F.any_value("headers").alias("headers"), parts.alias("parts"))
-    head = F.get(F.filter("parts", lambda p: ~p["icon"]), F.lit(0))["line"]
-    tick = lambda p: F.when(F.regexp_extract(p["line"], "\\{(tick|cross|checkmark|check mark) icon\\}", 1) == "cross", "❌").otherwise("✅")
-    islands = islands.withColumns({"head": head, "icons": F.transform(F.filter("parts", lambda p: p["icon"]), tick)})
-    islands = islands.withColumn("info", F.coalesce(F.col("head").rlike(_INFO), F.lit(False)))
-    w = Window.partitionBy("key").orderBy("island")
-    line = F.trim(F.regexp_replace("head", r"^\s+|\s+$", ""))
-    allowed = line.rlike(r"\S") & ~F.col("info") & ~line.rlike(r"Free:|Pro AI:|^- |^URL:|^Title:|^#|^\||^```|^\[|^!") & F.length(line).between(2, 199)
-    next_info = F.coalesce(F.lead("info").over(w), F.lit(False)) & (F.size("icons") == 0)
-    icons = F.when(next_info, F.lead("icons").over(w)).otherwise(F.col("icons"))
-    islands = islands.withColumns({"fits": F.coalesce(allowed & (F.size(icons) == F.size("headers")), F.lit(False)), "used": icons, "by_next": next_info})
-    gone = F.coalesce(F.lag(F.col("fits") & F.col("by_next")).over(w), F.lit(False))
-    pairs = F.array_join(F.zip_with("headers", "used", lambda h, i: F.concat(h, F.lit(": "), i)), " - ")
-    islands = islands.withColumn("text", F.when(gone, F.array().cast("array<string>")).when(F.col("fits"), F.array(F.concat(line, F.lit(": "), pairs))).otherwise(F.transform("parts", lambda p: p["line"])))
-    new = islands.groupBy(F.col("key").alias("__key")).agg(F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("island", "text"))), lambda x: x["text"])), "\n").alias("__new"))
-    joined = pages.join(new, F.col(key).eqNullSafe(F.col("__key")), "left")
-    return joined.select(*[F.coalesce("__new", c).alias(c) if c == text else F.col(c) for c in pages.columns])
+    rows = pages.withColumn("__lines", lines).withColumns({"__headers": comparison_headers(F.col("__lines")), "__icon": F.transform("__lines", lambda x: x.rlike(_ICON))})
+    rows = rows.withColumn("__starts", F.filter(F.sequence(F.lit(0), F.size("__lines") - 1), lambda i: (i == 0) | ~F.get("__icon", i)))
+    part = lambda s, n: F.slice("__lines", s + 1, F.coalesce(F.get("__starts", n + 1), F.size("__lines")) - s)
+    rows = rows.withColumn("__islands", F.transform("__starts", lambda s, n: F.struct(part(s, n).alias("lines"), F.get("__icon", s).alias("headless"))))
+    tick = lambda x: F.when(F.regexp_extract(x, "\\{(tick|cross|checkmark|check mark) icon\\}", 1) == "cross", "❌").otherwise("✅")
+
+    def described(x: Column) -> Column:
+        head = F.when(~x["headless"], F.get(x["lines"], F.lit(0)))
+        icons = F.transform(F.when(x["headless"], x["lines"]).otherwise(F.slice(x["lines"], F.lit(2), F.size(x["lines"]))), tick)
+        return F.struct(x["lines"].alias("lines"), F.trim(F.regexp_replace(head, r"^\s+|\s+$", "")).alias("line"), icons.alias("icons"), F.coalesce(head.rlike(_INFO), F.lit(False)).alias("info"))
+
+    def fitted(x: Column, n: Column) -> Column:
+        line, following = x["line"], F.get("__islands", n + 1)
+        allowed = line.rlike(r"\S") & ~x["info"] & ~line.rlike(r"Free:|Pro AI:|^- |^URL:|^Title:|^#|^\||^```|^\[|^!") & F.length(line).between(2, 199)
+        by_next = F.coalesce(following["info"], F.lit(False)) & (F.size(x["icons"]) == 0)
+        used = F.when(by_next, following["icons"]).otherwise(x["icons"])
+        fits = F.coalesce(allowed & (F.size(used) == F.size("__headers")), F.lit(False))
+        return F.struct(x["lines"].alias("lines"), line.alias("line"), used.alias("used"), fits.alias("fits"), (fits & by_next).alias("takes"))
+
+    def written(x: Column, n: Column) -> Column:
+        gone = F.coalesce(F.get("__fitted", n - 1)["takes"], F.lit(False))
+        pairs = F.array_join(F.zip_with("__headers", x["used"], lambda h, i: F.concat(h, F.lit(": "), i)), " - ")
+        return F.when(gone, F.array().cast("array<string>")).when(x["fits"], F.array(F.concat(x["line"], F.lit(": "), pairs))).otherwise(x["lines"])
+
+    rows = rows.withColumn("__islands", F.transform("__islands", described)).withColumn("__fitted", F.transform("__islands", fitted))
+    new = F.when(F.col("__headers").isNotNull(), F.array_join(F.flatten(F.transform("__fitted", written)), "\n"))
+    return rows.select(*[F.coalesce(new, c).alias(c) if c == text else F.col(c) for c in names])

@@ -200,3 +200,14 @@ def test_comparison_tables_broadcast_no_elements(spark):
     found = O.comparison_tables(O.nodes(pages, "id", "html"))
     assert [(r.id, r.n_rows, r.n_columns) for r in found.collect()] == [("c1", 4, 3)]
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_comparison_lines_stay_within_their_page(spark):
+    head = "| Plan | Free | Pro | Team |"
+    block = ["Storage", "{tick icon}", "{cross icon}", "{tick icon}", "Users", "{information icon}", "{tick icon}", "{tick icon}", "{cross icon}", "plain"]
+    pages = [(1, "\n".join([head, *block * 2000])), (2, "{tick icon}\r\n" + head + "\r\n{tick icon}"), (3, None), (4, "no header\n{tick icon}"), (None, head + "\nStorage\n{tick icon}\n{tick icon}\n{tick icon}")]
+    found = O.linearised(spark.createDataFrame(pages, "k long, md string"), "k", "md")
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {r.k: r.md for r in found.collect()}
+    assert got.pop(1).split("\n") == [head, *["Storage: Free: ✅ - Pro: ❌ - Team: ✅", "Users: Free: ✅ - Pro: ✅ - Team: ❌", "plain"] * 2000]
+    assert got == {2: "{tick icon}\n" + head + "\n{tick icon}", 3: None, 4: "no header\n{tick icon}", None: head + "\nStorage: Free: ✅ - Pro: ✅ - Team: ✅"}
