@@ -55,10 +55,16 @@ def inside(flag: Column) -> Column:
     return F.coalesce(F.max(F.when(flag, F.col("last"))).over(before) >= F.col("node"), F.lit(False))
 
 
+def _next(flag: Column, distance: int) -> Column:
+    """The first node with the flag at this distance or later. From the end of the page on: Spark works a frame
+    up to the end out anew for each row."""
+    after = Window.partitionBy("key").orderBy(F.desc("node")).rowsBetween(Window.unboundedPreceding, -distance)
+    return F.min(F.when(flag, F.col("node"))).over(after)
+
+
 def contains(flag: Column) -> Column:
     """Whether a node, or one within it, has the flag."""
-    after = _in_order().rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return F.coalesce(F.min(F.when(flag, F.col("node"))).over(after) <= F.col("last"), F.lit(False))
+    return F.coalesce(_next(flag, 0) <= F.col("last"), F.lit(False))
 
 
 # -- selectors
@@ -160,19 +166,27 @@ def select(table: DataFrame, selector: str) -> DataFrame:
 
 
 # -- cutting
+def _outer() -> Column:
+    """Whether a part (first and end) of a page lies within no earlier one."""
+    reach = F.max("end").over(Window.partitionBy("key").orderBy("first", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1))
+    return reach.isNull() | (F.col("first") >= reach)
+
+
+def _without(page: Column, cuts: Column) -> Column:
+    """A page with the parts of a sorted array (first, end, text) replaced."""
+    piece = lambda p, i: F.concat(F.substr(page, F.when(i == 0, 1).otherwise(F.get(cuts, i - 1)["end"] + 1), p["first"] - F.when(i == 0, 0).otherwise(F.get(cuts, i - 1)["end"])), F.coalesce(p["text"], F.lit("")))
+    rest = F.substr(page, F.try_element_at(cuts, F.lit(-1))["end"] + 1)
+    return F.when(cuts.isNull() | (F.size(cuts) == 0), page).otherwise(F.concat(F.array_join(F.transform(cuts, piece), ""), rest))
+
+
 def cut(pages: DataFrame, key: str, html: str, parts: DataFrame) -> DataFrame:
     """pages with parts of the HTML replaced; parts has key, first, end and text (null: nothing comes in its
     place). Parts within earlier ones are passed over."""
-    before = Window.partitionBy("key").orderBy("first", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
-    outer = parts.withColumn("__reach", F.max("end").over(before)).filter("__reach is null or first >= __reach")
+    outer = parts.withColumn("__outer", _outer()).filter("__outer")
     lists = outer.groupBy(F.col("key").alias("__key")).agg(F.array_sort(F.collect_list(F.struct("first", "end", "text"))).alias("__parts"))
     names = pages.columns
     joined = pages.join(lists, F.col(key).eqNullSafe(F.col("__key")), "left")
-    page, cuts = F.col(html), F.col("__parts")
-    piece = lambda p, i: F.concat(F.substr(page, F.when(i == 0, 1).otherwise(F.get(cuts, i - 1)["end"] + 1), p["first"] - F.when(i == 0, 0).otherwise(F.get(cuts, i - 1)["end"])), F.coalesce(p["text"], F.lit("")))
-    rest = F.substr(page, F.try_element_at(cuts, F.lit(-1))["end"] + 1)
-    new = F.when(cuts.isNull(), page).otherwise(F.concat(F.array_join(F.transform(cuts, piece), ""), rest))
-    return joined.select(*[new.alias(c) if c == html else F.col(c) for c in names])
+    return joined.select(*[_without(F.col(html), F.col("__parts")).alias(c) if c == html else F.col(c) for c in names])
 
 
 def replace_elements(pages: DataFrame, key: str, html: str, replacements: Mapping[str, str | None]) -> DataFrame:
@@ -203,11 +217,13 @@ def element_texts(table: DataFrame, selector: str) -> DataFrame:
 
 
 # -- clean-up before markdown
-def _count(table: DataFrame, flag: Column, name: str) -> DataFrame:
-    """table and how many of a node's child elements have the flag."""
-    children = table.filter((F.col("name") != "#text") & flag).groupBy(F.col("key").alias("__key"), F.col("parent").alias("__parent")).agg(F.count("*").alias(name))
-    joined = table.join(children, F.col("key").eqNullSafe(F.col("__key")) & (F.col("node") == F.col("__parent")), "left")
-    return joined.withColumn(name, F.coalesce(name, F.lit(0))).drop("__key", "__parent")
+def _with_children(table: DataFrame, flags: Mapping[str, Column]) -> DataFrame:
+    """A whole table of nodes, and whether a node has a child with each flag. Siblings tell one another, and the
+    first of them, which comes right after its parent, tells it; so rows stay where they are."""
+    siblings = Window.partitionBy("key", "parent")
+    table = table.withColumns({f"{name}_here": F.max(flag).over(siblings) for name, flag in flags.items()})
+    told = {name: (F.col("last") > F.col("node")) & F.lead(f"{name}_here").over(_in_order()) for name in flags}
+    return table.withColumns({name: F.coalesce(value, F.lit(False)) for name, value in told.items()})
 
 
 def clean_up(table: DataFrame) -> DataFrame:
@@ -224,33 +240,37 @@ def clean_up(table: DataFrame) -> DataFrame:
     text = F.col("name") == "#text"
     placeholder = F.exists(F.map_values(F.coalesce("attributes", F.create_map().cast("map<string,string>"))), lambda v: F.contains(v, F.lit("{{")))
     content = (text & (F.regexp_replace("text", r"\s+", "") != "")) | F.col("name").isin(*MEANINGFUL)
-    parent = F.try_element_at("names", F.lit(-1))
+    # all that texts, attributes and ancestors' names are asked for is a flag before the first window: a query that
+    # doesn't return these columns doesn't shuffle or sort them
+    table = table.withColumns({
+        "__structural": F.coalesce(structural, F.lit(False)), "__placeholder": placeholder, "__content": content, "__quoted": F.coalesce(F.try_element_at("names", F.lit(-1)) == "blockquote", F.lit(False)),
+        "__blank": text & (F.trim(F.regexp_replace("text", r"\s+", " ")) == ""), "__visible": text & ~F.col("text").rlike(BLANK),
+    })
 
     def empty(stays: Column) -> Column:
         # an element's own attributes aren't within it
-        marks = F.min(F.when(placeholder & stays, F.col("node"))).over(_in_order().rowsBetween(1, Window.unboundedFollowing))
-        return ~text & ~contains(content & stays) & ~F.coalesce(marks <= F.col("last"), F.lit(False))
+        marks = _next(F.col("__placeholder") & stays, 1)
+        return ~text & ~contains(F.col("__content") & stays) & ~F.coalesce(marks <= F.col("last"), F.lit(False))
 
-    table = table.withColumns({"__empty": empty(F.lit(True)), "__structural": F.coalesce(structural, F.lit(False))})
+    table = table.withColumn("__empty", empty(F.lit(True)))
     table = table.withColumn("__item", F.col("__empty") & (F.col("name") == "li"))
-    table = _count(table, ~F.col("__item"), "__others")
-    table = table.withColumn("__list", F.when(F.col("__item"), 1).when(F.col("name").isin("ul", "ol") & (F.col("__others") == 0), 2))
+    table = _with_children(table, {"__others": ~text & ~F.col("__item")})
+    table = table.withColumn("__list", F.when(F.col("__item"), 1).when(F.col("name").isin("ul", "ol") & ~F.col("__others"), 2))
     # a list without items may hold text, which goes with it
     table = table.withColumn("__stays", F.col("__list").isNull() & ~inside(F.col("__list").isNotNull())).withColumn("__empty", empty(F.col("__stays")))
-    rank = F.when(F.col("__list").isNotNull(), F.col("__list")).when(F.col("__empty") & (parent == "blockquote"), 3).when(F.col("__empty") & (F.col("name") == "blockquote"), 4)
+    rank = F.when(F.col("__list").isNotNull(), F.col("__list")).when(F.col("__empty") & F.col("__quoted"), 3).when(F.col("__empty") & (F.col("name") == "blockquote"), 4)
     for number, name in enumerate(("p", "div", "span", "section", "article"), 5):
         rank = rank.when(F.col("__empty") & (F.col("name") == name) & ~F.col("__structural"), number)
     # line breaks that follow one another among siblings, blank text between them aside
-    siblings = Window.partitionBy("key", "parent").orderBy("node")
+    siblings = Window.partitionBy("key", "parent").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     is_break = F.col("name") == "br"
     table = table.withColumn("__rank", rank)
-    other = ~is_break & F.col("__rank").isNull() & ~(text & (F.trim(F.regexp_replace("text", r"\s+", " ")) == ""))
-    table = table.withColumn("__run", F.sum(F.when(other, 1).otherwise(0)).over(siblings))
-    number = F.sum(F.when(is_break, 1).otherwise(0)).over(Window.partitionBy("key", "parent", "__run").orderBy("node"))
-    table = table.withColumn("__own", F.coalesce("__rank", F.when(is_break & (number > 2), 10)))
-    table = _count(table, F.col("__own").isNull(), "__left")
-    seen = F.max(F.when(text & ~F.col("text").rlike(BLANK), 1)).over(Window.partitionBy("key", F.when(text, F.col("parent")).otherwise(F.col("node"))))
-    invisible = ~text & (F.col("__left") == 0) & seen.isNull() & ~F.col("__structural") & ~F.col("name").isin("br", "hr", "img", "input", "meta", "link") & (F.col("parent") >= 0)
+    other = ~is_break & F.col("__rank").isNull() & ~F.col("__blank")
+    table = table.withColumn("__breaks", F.sum(F.when(is_break, 1).otherwise(0)).over(siblings))
+    number = F.col("__breaks") - F.coalesce(F.max(F.when(other, F.col("__breaks"))).over(siblings), F.lit(0))
+    table = table.withColumn("__number", number).withColumn("__own", F.coalesce("__rank", F.when(is_break & (F.col("__number") > 2), 10)))
+    table = _with_children(table, {"__left": ~text & F.col("__own").isNull(), "__seen": F.col("__visible")})
+    invisible = ~text & ~F.col("__left") & ~F.col("__seen") & ~F.col("__structural") & ~F.col("name").isin("br", "hr", "img", "input", "meta", "link") & (F.col("parent") >= 0)
     table = table.withColumn("__own", F.coalesce("__own", F.when(invisible, 11)))
     cover = reduce(F.least, [F.when(inside(F.col("__own") <= r), r) for r in range(1, 12)])
     drop = [c for c in table.columns if c.startswith("__") and c != "__own"]
@@ -259,13 +279,14 @@ def clean_up(table: DataFrame) -> DataFrame:
 
 def cleaned(pages: DataFrame, key: str, html: str) -> DataFrame:
     """pages without empty elements, and three counts: empty_items, empty_quote_children, empty_elements."""
-    table = clean_up(nodes(pages, key, html))
-    gone = table.filter("goes is not null")
+    gone = clean_up(nodes(pages, key, html)).filter("goes is not null").withColumn("__outer", _outer())
     some = lambda low, high: F.count(F.when(F.col("own_step").between(low, high), 1))
-    counts = table.groupBy(F.col("key").alias("__k")).agg(some(1, 1).alias("empty_items"), some(3, 3).alias("empty_quote_children"), (some(2, 2) + some(4, 9) + some(11, 11)).alias("empty_elements"))
-    new = cut(pages, key, html, gone.select("key", "first", "end", F.lit(None).cast("string").alias("text")))
-    joined = new.join(counts, F.col(key).eqNullSafe(F.col("__k")), "left")
-    return joined.select(*pages.columns, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("empty_items", "empty_quote_children", "empty_elements")])
+    parts = F.array_sort(F.collect_list(F.when(F.col("__outer"), F.struct("first", "end", F.lit(None).cast("string").alias("text")))))
+    found = gone.groupBy(F.col("key").alias("__key")).agg(parts.alias("__parts"), some(1, 1).alias("empty_items"), some(3, 3).alias("empty_quote_children"), (some(2, 2) + some(4, 9) + some(11, 11)).alias("empty_elements"))
+    names = pages.columns
+    joined = pages.join(found.hint("merge"), F.col(key).eqNullSafe(F.col("__key")), "left")
+    new = [_without(F.col(html), F.col("__parts")).alias(c) if c == html else F.col(c) for c in names]
+    return joined.select(*new, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("empty_items", "empty_quote_children", "empty_elements")])
 
 
 # -- markdown

@@ -223,6 +223,18 @@ def test_clean_up(spark, table, pages):
         assert len(nodes) == len(order)
 
 
+def test_clean_up_shuffles_nodes_once_and_no_text(spark):
+    """Nodes are made once and shuffled by page as numbers and flags; the page itself meets its cuts once."""
+    df = spark.createDataFrame([(1, "<ul><li> </li></ul><p class='a'>x<b></b></p>"), (2, None), (None, "<blockquote><p></p>y</blockquote><br><br><br>"), (3, "z")], "id long, html string")
+    found = O.cleaned(df, "id", "html")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("Exchange hashpartitioning") <= 3 and "Broadcast" not in plan
+    exchanged = re.findall(r"Exchange hashpartitioning\(key#.*\n.*Project \[(.*)\]", plan)
+    assert exchanged and not re.search(r"\b(text|attributes|names)#\d+(,|$)", exchanged[-1])
+    got = {r.id: tuple(r)[1:] for r in found.collect()}
+    assert got == {1: ("<p class='a'>x</p>", 1, 0, 2), 2: (None, 0, 0, 0), None: ("<blockquote>y</blockquote><br><br>", 0, 1, 0), 3: ("z", 0, 0, 0)}
+
+
 def plain_markdown(html):
     blocks, current = [], []  # a block: head node, signs
 
