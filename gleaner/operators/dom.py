@@ -299,19 +299,12 @@ def markdown(table: DataFrame, pages: DataFrame, key: str, html: str) -> DataFra
 
     A block is a run of nodes between two edges of block elements. Each node gives the sign that opens it and
     the one that closes it after its last descendant; a block's signs in order are its line, and the block's
-    ancestors give what stands before it."""
-    own = F.concat("names", F.array("name"))
+    ancestors give what stands before it. What ancestors and attributes are asked for is a number or a flag
+    before nodes are shuffled, once, by page: all else is windows and groups within a page. Pages in which there
+    is a table come along, each as a row after its nodes, as a table's text is made from its source."""
+    own, block_names = F.concat("names", F.array("name")), sorted(dom.BLOCKS)
     skipped = F.exists(own, lambda n: n.isin(*_SKIPPED))
-    table = table.withColumn("__own", own).filter(~skipped)
     in_table = F.exists("names", lambda n: n == "table")
-    table = table.filter(~in_table)
-    prior = F.lag("__own").over(_in_order())
-    closed = F.exists(F.slice(prior, F.size("names") + 1, F.greatest(F.size(prior) - F.size("names"), F.lit(0))), lambda n: n.isin(*sorted(dom.BLOCKS)))
-    edge = F.col("name").isin(*sorted(dom.BLOCKS)) | F.coalesce(closed, F.lit(True))
-    table = table.withColumn("block", F.sum(F.when(edge, 1).otherwise(0)).over(_in_order()))
-    # inline elements around blocks give no signs
-    block = contains(F.col("name").isin(*sorted(dom.BLOCKS)))
-    table = table.withColumn("__around", ~F.col("name").isin(*sorted(dom.BLOCKS)) & block)
     attribute = lambda name: F.coalesce(F.col("attributes")[name], F.lit(""))
     name, pre = F.col("name"), F.exists("names", lambda n: n == "pre")
     text = F.when(pre, F.col("text")).otherwise(F.regexp_replace("text", r"[\s ]+", " "))
@@ -320,44 +313,55 @@ def markdown(table: DataFrame, pages: DataFrame, key: str, html: str) -> DataFra
         .when(name == "br", "\n").when(name == "hr", "---").when((name == "img") & (attribute("src") != ""), F.concat(F.lit("!["), attribute("alt"), F.lit("]("), attribute("src"), F.lit(")"))).when(name == "table", "\u0003")
     )
     after = F.when(name.isin("b", "strong"), "**").when(name.isin("i", "em"), "*").when(name.isin("code", "kbd", "samp") & ~pre, "`").when((name == "a") & (attribute("href") != ""), F.concat(F.lit("]("), attribute("href"), F.lit(")")))
-    where = table.select(F.col("key").alias("__key"), F.col("node").alias("__node"), F.col("block").alias("__block"))
-    # a closing sign stands in the block of the element's last descendant
-    closing = table.filter(after.isNotNull() & ~F.col("__around")).select("key", "node", "last", "depth", after.alias("sign"))
-    closing = closing.join(where, F.col("key").eqNullSafe(F.col("__key")) & (F.col("last") == F.col("__node"))).select("key", F.col("__block").alias("block"), F.struct(F.col("last").alias("at"), (1_000_000 - F.col("depth")).alias("then"), "sign").alias("s"))
-    opening = table.filter(sign.isNotNull() & ~F.col("__around")).select("key", "block", F.struct(F.col("node").alias("at"), F.lit(0).alias("then"), sign.alias("sign")).alias("s"))
-    lines = opening.unionByName(closing).groupBy("key", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["sign"]), "").alias("line"))
-    context = table.select("key", "block", "node", "__own", "first", "end", "name")
-    head = context.groupBy(F.col("key").alias("__key"), F.col("block").alias("__block")).agg(F.min(F.struct("node", "__own", "first", "end", "name")).alias("head"))
-    # list items: the number among its list's items, and the first block in it that has text
-    li = table.filter("name = 'li'").select("key", F.col("node").alias("li"), F.col("last").alias("li_last"), "of_type", F.try_element_at("names", F.lit(-1)).alias("list"))
-    blocks = lines.join(head, F.col("key").eqNullSafe(F.col("__key")) & (F.col("block") == F.col("__block"))).drop("__key", "__block")
-    kinds = F.col("head.__own")
-    code = F.exists(kinds, lambda n: n == "pre")
+    among = lambda *names: F.size(F.filter(own, lambda n: n.isin(*names)))
+    heading = F.try_element_at(F.filter(own, lambda n: n.rlike("^h[1-6]$")), F.lit(1))
+    table = table.filter(~skipped & ~in_table).select(
+        "key", "node", "last", "depth", name.isin(*block_names).alias("is_block"), F.size("names").alias("above"), F.coalesce(F.array_max(F.transform(own, lambda n, i: F.when(n.isin(*block_names), i + 1))), F.lit(0)).alias("lowest"),
+        sign.alias("sign"), after.alias("after"), F.col("first").alias("from"), F.col("end").alias("to"), F.exists(own, lambda n: n == "pre").alias("code"), F.substr(heading, F.lit(2)).cast("int").alias("heading"), among("ul", "ol", "menu").alias("level"), among("blockquote").alias("quotes"),
+        among("li").alias("items"), F.when(name == "li", F.struct(F.col("node").alias("li"), "of_type", F.try_element_at("names", F.lit(-1)).alias("list"))).alias("item"),
+    )
+    sources = pages.filter(F.col(html).rlike("(?i)<table")).select(
+        F.col(key).alias("key"), F.lit(2**31 - 1).alias("node"), F.lit(2**31 - 1).alias("last"), F.lit(0).alias("depth"), F.lit(True).alias("is_block"), F.lit(0).alias("items"), F.col(html).cast("string").alias("source")
+    )
+    table = table.unionByName(sources, allowMissingColumns=True)
+    # between a node and the one before it a block ends, if the other's lowest block is below what is above both
+    edge = F.col("is_block") | F.coalesce(F.lag("lowest").over(_in_order()) > F.col("above"), F.lit(True))
+    table = table.withColumn("edge", edge).withColumn("block", F.sum(F.when(F.col("edge"), 1).otherwise(0)).over(_in_order()))
+    # inline elements around blocks give no signs; the others lie in one block, where their closing signs follow their last descendants, if these are left
+    table = table.withColumn("plain", F.col("is_block") | ~contains(F.col("is_block")))
+    table = table.withColumn("whole", F.max("node").over(Window.partitionBy("key", "last")) == F.col("last"))
+    opening = F.struct(F.col("node").alias("at"), F.lit(0).alias("then"), "sign")
+    closing = F.struct(F.col("last").alias("at"), (1_000_000 - F.col("depth")).alias("then"), F.col("after").alias("sign"))
+    listed_signs = F.concat(F.collect_list(F.when(F.col("plain") & F.col("sign").isNotNull(), opening)), F.collect_list(F.when(F.col("plain") & F.col("whole") & F.col("after").isNotNull(), closing)))
+    line = F.array_join(F.transform(F.array_sort(listed_signs), lambda s: s["sign"]), "").alias("line")
+    head = F.min(F.when(F.col("edge"), F.struct("node", "source", "from", "to", "code", "heading", "level", "quotes", "items", "item")))
+    blocks = table.groupBy("key", "block").agg(line, head.alias("head")).select("key", "block", "line", "head.*")
+    # the innermost list item around a block is the last one before it that is as deep in items: each is the head of a block
+    items = Window.partitionBy("key", "items").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    blocks = blocks.withColumn("item", F.last("item", ignorenulls=True).over(items))
     trimmed = F.regexp_replace(F.regexp_replace(F.regexp_replace("line", " *\n *", "\n"), "^\\s+|\\s+$", ""), "(\\*\\*|\\[) +(?=\\S)", "$1")
-    blocks = blocks.withColumn("line", F.when(code, F.regexp_replace("line", "^\n|\\s+$", "")).otherwise(trimmed)).filter("line != '' and not line rlike '^(\\\\*|`|\\\\s)+$'")
-    joined = blocks.join(li.withColumnRenamed("key", "__key"), F.col("key").eqNullSafe(F.col("__key")) & F.col("head.node").between(F.col("li"), F.col("li_last")), "left")
-    inner = joined.groupBy("key", "block").agg(F.max(F.struct("li", "of_type", "list")).alias("item"), F.any_value("line").alias("line"), F.any_value("head").alias("head"))
-    item_first = F.row_number().over(Window.partitionBy("key", "item.li").orderBy("block")) == 1
-    kinds = F.col("head.__own")
-    level = F.size(F.filter(kinds, lambda n: n.isin("ul", "ol", "menu")))
-    quotes = F.size(F.filter(kinds, lambda n: n == "blockquote"))
-    heading = F.try_element_at(F.filter(kinds, lambda n: n.rlike("^h[1-6]$")), F.lit(1))
+    blocks = blocks.withColumn("line", F.when(F.col("code"), F.regexp_replace("line", "^\n|\\s+$", "")).otherwise(trimmed)).filter("source is not null or line != '' and not line rlike '^(\\\\*|`|\\\\s)+$'")
+    # the number among its list's items, and the first block in it that has text
+    inner = blocks.withColumn("first", F.row_number().over(Window.partitionBy("key", "item.li").orderBy("block")) == 1)
+    level, listed = F.col("level"), F.col("item.li").isNotNull()
     mark = F.when(F.col("item.list") == "ol", F.concat(F.col("item.of_type").cast("string"), F.lit(". "))).otherwise("* ")
-    listed = F.col("item.li").isNotNull()
-    lead = F.when(listed & F.col("__first"), F.concat(F.repeat(F.lit("  "), F.greatest(level - 1, F.lit(0))), mark)).when(listed, F.repeat(F.lit("  "), level)).otherwise("")
-    table_text = H.table_markdown(F.substr(F.col("__html"), F.col("head.first") + 1, F.col("head.end") - F.col("head.first")))
-    source = pages.select(F.col(key).alias("__key"), F.col(html).alias("__html"))
-    inner = inner.withColumn("__first", item_first)
-    with_tables = inner.filter("line = '\u0003'").join(source, F.col("key").eqNullSafe(F.col("__key"))).withColumn("line", table_text).drop("__key", "__html").filter("line != ''")
-    inner = inner.filter("line != '\u0003'").unionByName(with_tables)
-    body = F.when(F.exists(kinds, lambda n: n == "pre"), F.concat(F.lit("```\n"), F.col("line"), F.lit("\n```"))).when(heading.isNotNull(), F.concat(F.repeat(F.lit("#"), F.substr(heading, F.lit(2)).cast("int")), F.lit(" "), F.replace("line", F.lit("\n"), F.lit(" ")))).otherwise(F.col("line"))
-    prefix = F.concat(F.repeat(F.lit("> "), quotes), F.repeat(F.lit(" "), F.length(lead)))
-    whole = F.concat(F.repeat(F.lit("> "), quotes), lead, F.replace(body, F.lit("\n"), F.concat(F.lit("\n"), prefix)))
-    made = inner.select("key", "block", whole.alias("line"), (listed & F.col("__first")).alias("tight"), listed.alias("listed"), quotes.alias("quotes"))
-    parts = F.array_sort(F.collect_list(F.struct("block", "line", "tight", "listed", "quotes")))
+    lead = F.when(listed & F.col("first"), F.concat(F.repeat(F.lit("  "), F.greatest(level - 1, F.lit(0))), mark)).when(listed, F.repeat(F.lit("  "), level)).otherwise("")
+    part = F.struct("block", "line", (listed & F.col("first")).alias("tight"), listed.alias("listed"), "quotes", lead.alias("lead"), "code", "heading", "from", "to")
+    made = inner.groupBy("key").agg(F.array_sort(F.collect_list(F.when(F.col("source").isNull(), part))).alias("parts"), F.any_value("source", ignoreNulls=True).alias("source"))
+    of_table = lambda p: H.table_markdown(F.substr(F.col("source"), p["from"] + 1, p["to"] - p["from"]))
+    texts = F.transform("parts", lambda p: p.withField("line", F.when(p["line"] == "\u0003", of_table(p)).otherwise(p["line"])))
+    made = made.withColumn("parts", F.filter(texts, lambda p: p["line"] != ""))
+
+    def written(p: Column) -> Column:
+        line = p["line"]
+        body = F.when(p["code"], F.concat(F.lit("```\n"), line, F.lit("\n```"))).when(p["heading"].isNotNull(), F.concat(F.repeat(F.lit("#"), p["heading"]), F.lit(" "), F.replace(line, F.lit("\n"), F.lit(" ")))).otherwise(line)
+        prefix = F.concat(F.repeat(F.lit("> "), p["quotes"]), F.repeat(F.lit(" "), F.length(p["lead"])))
+        return F.concat(F.repeat(F.lit("> "), p["quotes"]), p["lead"], F.replace(body, F.lit("\n"), F.concat(F.lit("\n"), prefix)))
+
     joiner = lambda p, i, all_: F.when(i == 0, "").when(p["tight"] & F.get(all_, i - 1)["listed"], "\n").when((p["quotes"] > 0) & (F.get(all_, i - 1)["quotes"] >= p["quotes"]), F.concat(F.lit("\n"), F.repeat(F.lit(">"), p["quotes"]), F.lit("\n"))).otherwise("\n\n")
-    pages_ = made.groupBy("key").agg(parts.alias("parts"))
-    return pages_.select("key", F.array_join(F.transform("parts", lambda p, i: F.concat(joiner(p, i, F.col("parts")), p["line"])), "").alias("markdown"))
+    whole = F.array_join(F.transform("parts", lambda p, i: F.concat(joiner(p, i, F.col("parts")), written(p))), "")
+    # a filter would have it worked out a second time
+    return made.select("key", F.explode(F.filter(F.array(whole), lambda m: m != "")).alias("markdown"))
 
 
 # -- comparison tables

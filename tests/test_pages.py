@@ -335,3 +335,14 @@ def test_fixture(spark):
     new = {r.id: r.html for r in O.replace_elements(df, "id", "html", {"div.ad": "[ad]", "li": None, "table > tr": "row"}).collect()}
     assert new[1].startswith("<html><head><title>T</title><style>p{}</style></head><body><span>[ad]</span><h1>") and "<ul></ul>" in new[1]
     assert "<table><span>row</span><span>row</span></table>" in new[1] and new[2] is None and new[3] == "" and new[None] == "<p>no id</p>"
+
+
+def test_markdown_shuffles_nodes_once(spark):
+    """One shuffle by page and no join; tables' texts come from pages that have tables, within items and quotes too."""
+    table = "<TABLE><tr><th>h</th></tr><tr><td>1</td></tr></TABLE>"
+    df = spark.createDataFrame([(1, f"<ul><li>a<ul><li>b{table}c</li></ul>d</li></ul>"), (None, f"<blockquote>q{table}</blockquote>"), (2, "<table></table>"), (3, "<b>x</b>z")], "id long, html string")
+    found = O.markdown(O.nodes(df, "id", "html"), df, "id", "html")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("Exchange") == 1 and "Join" not in plan
+    got = {r.key: r.markdown for r in found.collect()}
+    assert got == {1: "* a\n  * b\n\n    | h |\n    | --- |\n    | 1 |\n\n    c\n\n  d", None: "> q\n>\n> | h |\n> | --- |\n> | 1 |", 3: "**x**z"}
