@@ -63,16 +63,20 @@ def band_texts(references: DataFrame, boxes: DataFrame, container: str, most: in
 def _clusters(values: Column, tolerance: float | Column) -> Column:
     """Clusters of sorted values: a new one begins where a value is over the tolerance from the last one, or
     over twice the tolerance from the cluster's first."""
-    none = F.array().cast("array<struct<first:double,last:double,sum:double,n:int>>")
+    kind = "struct<first:double,last:double,sum:double,n:int>"
+    none = F.struct(F.array().cast(f"array<{kind}>").alias("done"), F.lit(None).cast(kind).alias("last"))
 
     def step(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
+        # the last cluster grows beside the others: their list is written anew for each cluster, not for each value
+        last = acc["last"]
         new = F.struct(x.alias("first"), x.alias("last"), x.alias("sum"), F.lit(1).alias("n"))
         grown = F.struct(last["first"].alias("first"), x.alias("last"), (last["sum"] + x).alias("sum"), (last["n"] + 1).alias("n"))
+        before = F.when(last.isNull(), acc["done"]).otherwise(F.array_append(acc["done"], last))
         apart = last.isNull() | (x - last["first"] > 2 * tolerance) | (x - last["last"] > tolerance)
-        return F.when(apart, F.array_append(acc, new)).otherwise(F.array_append(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), grown))
+        return F.when(apart, F.struct(before.alias("done"), new.alias("last"))).otherwise(F.struct(acc["done"].alias("done"), grown.alias("last")))
 
-    return F.aggregate(F.array_sort(F.transform(values, lambda v: v.cast("double"))), none, step)
+    all_ = lambda acc: F.when(acc["last"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], acc["last"]))
+    return F.aggregate(F.array_sort(F.transform(values, lambda v: v.cast("double"))), none, step, all_)
 
 
 def edge_clusters(values: Column, tolerance: float) -> Column:

@@ -17,7 +17,8 @@ _BOXES = """b AS (SELECT l_orderkey AS container_id, l_orderkey * 10 + l_linenum
 
 def _boxes(spark, sf):
     t = table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_partkey", "l_suppkey")
-    t = t.groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_partkey", "l_suppkey", "l_quantity")).alias("m")).withColumn("l_quantity", F.col("m.l_quantity"))
+    # an order's lines are shuffled once, for their own groups and for those of orders
+    t = t.repartition("l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_partkey", "l_suppkey", "l_quantity")).alias("m")).withColumn("l_quantity", F.col("m.l_quantity"))
     left, top = (F.col("l_linenumber") % 3) * 100.0, F.floor(F.col("l_linenumber") / 3) * 40.0 + F.col("l_quantity") % 5
     return t.select(F.col("l_orderkey").alias("container_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("element_id"), F.concat(F.lit("n"), F.col("l_linenumber").cast("string")).alias("text"), left.alias("left"), (left + F.col("l_quantity") * 2).alias("right"), top.alias("top"), (top + 20).alias("bottom"))
 
@@ -168,7 +169,9 @@ def table_discovery(spark, sf):
 def alike_tables(spark, sf):
     b = _boxes(spark, sf).withColumnRenamed("element_id", "id")
     words = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "text"))), lambda x: x["text"]), " ")
-    t = b.groupBy("container_id").agg(T.box_array().alias("boxes"), words.alias("words")).withColumn("g", T.grid(F.col("boxes"))).filter("g.n_rows > 0")
+    t = b.groupBy("container_id").agg(T.box_array().alias("boxes"), words.alias("words"))
+    # a filter on the grid would be pushed down to where the boxes are, and the grid worked out there a second time
+    t = t.select("container_id", "boxes", "words", F.explode(F.filter(F.array(T.grid(F.col("boxes"))), lambda g: g["n_rows"] > 0)).alias("g"))
     signature = F.concat(F.lit("div:"), F.size("boxes").cast("string"), F.lit("|"), F.left("words", F.lit(200)))
     t = t.select("container_id", F.col("container_id").alias("place"), F.round("g.confidence", 6).alias("confidence"), F.size("boxes").alias("n_leaves"), signature.alias("signature"))
     return T.best_of_alike(t, "signature").select("container_id", "signature")

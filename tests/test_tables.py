@@ -257,6 +257,15 @@ def test_best_of_alike(spark):
     assert sorted(r.place for r in T.best_of_alike(df, "signature").collect()) == [3, 5]
 
 
+def test_alike_tables_work_grids_out_once(spark):
+    """The grid isn't in a filter's copy as well, and an order's lines are shuffled once before it."""
+    from gleaner.plans import catalog
+
+    query = catalog.QUERIES["alike_tables"](spark, "/root/testdata/sf0.001")._jdf.queryExecution()
+    assert sum("aggregate(" in line for line in query.optimizedPlan().toString().split("\n")) == 1
+    assert query.executedPlan().toString().count("Exchange") == 2  # by order, and by signature
+
+
 def test_best_matches_sort_only_pairs_that_count(spark):
     """Pairs below the least overlap are dropped before a region's best is looked for; what is found stays."""
     from gleaner.operators.spatial import best_matches
