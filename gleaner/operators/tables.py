@@ -1,9 +1,10 @@
 """Tables that boxes on a page form: grids, groups of stacked tables, and discovery in a tree of regions.
 
 A container is one element of a page with the elements in it, some of which have a box. Leaves are boxes
-that contain no other box. Everything is done for all containers at once: boxes meet within a container
-by cells of the plane, levels of the trees are joined from below, and only the last step, in which
-candidates claim leaves one after another, folds a container's candidates (not its elements) in a row.
+that contain no other box. Everything is done for all containers at once and from one reading: boxes that are
+lacking come from below in a fold of a container's elements, boxes meet within a container by cells of the
+plane, and a fold of its candidates lets them claim leaves one after another. All steps group by the container
+first, so partitions by it last from the elements to the tables.
 """
 
 from __future__ import annotations
@@ -44,24 +45,28 @@ def _edges(boxes: Column, low: str, high: str, usual: float) -> Column:
     return let(tolerance, lambda t: F.transform(_clusters(both, t), lambda c: c["sum"] / c["n"]))
 
 
-def _place(edges: Column, value: Column, start: bool) -> Column:
-    """The first strip between neighbouring edges that a box's first or last edge lies in, give or take; or null."""
-    strips = F.sequence(F.lit(0), F.size(edges) - 2)
-    at = lambda i: F.get(edges, i)
-    if start:
-        return F.get(F.filter(strips, lambda i: (value >= at(i) - CELL_TOLERANCE) & (value < at(i + 1) + CELL_TOLERANCE)), F.lit(0))
-    return F.get(F.filter(strips, lambda i: (value > at(i) - CELL_TOLERANCE) & (value <= at(i + 1) + CELL_TOLERANCE)), F.lit(0))
+def _place(edges: Column, ends: Column, value: Column, start: bool) -> Column:
+    """The first strip between neighbouring edges that a box's first or last edge lies in, give or take; or null.
+    ``ends``: the strips' ends, with the tolerance. As these ascend, the strip is found by the number of ends before."""
+    strip = F.size(F.filter(ends, (lambda e: value >= e) if start else (lambda e: value > e)))
+
+    def checked(i: Column) -> Column:
+        low, high = F.get(edges, i) - CELL_TOLERANCE, F.get(ends, i)
+        return F.when((value >= low) & (value < high) if start else (value > low) & (value <= high), i)
+
+    return let(strip, checked)
 
 
 def _cells(boxes: Column, rows: Column, columns: Column) -> Column:
-    def cell(b: Column) -> Column:
+    def cell(b: Column, r: Column, c: Column) -> Column:
         return F.struct(
-            b["id"].alias("id"), _place(rows, b["top"], True).alias("row_start"), _place(rows, b["bottom"], False).alias("row_end"),
-            _place(columns, b["left"], True).alias("column_start"), _place(columns, b["right"], False).alias("column_end"),
+            b["id"].alias("id"), _place(rows, r, b["top"], True).alias("row_start"), _place(rows, r, b["bottom"], False).alias("row_end"),
+            _place(columns, c, b["left"], True).alias("column_start"), _place(columns, c, b["right"], False).alias("column_end"),
         )
 
-    found = F.filter(F.transform(boxes, cell), lambda c: (c["row_end"] >= c["row_start"]) & (c["column_end"] >= c["column_start"]))
-    return F.when((F.size(rows) >= 2) & (F.size(columns) >= 2), found).otherwise(F.filter(F.transform(boxes, cell), lambda c: F.lit(False)))
+    ends = lambda edges: F.transform(F.slice(edges, 2, F.greatest(F.size(edges) - 1, F.lit(0))), lambda e: e + CELL_TOLERANCE)
+    cells = let(F.struct(ends(rows).alias("r"), ends(columns).alias("c")), lambda e: F.transform(boxes, lambda b: cell(b, e["r"], e["c"])))
+    return F.filter(cells, lambda c: (c["row_end"] >= c["row_start"]) & (c["column_end"] >= c["column_start"]))
 
 
 def grid(boxes: Column) -> Column:
@@ -79,7 +84,8 @@ def grid(boxes: Column) -> Column:
         def scored(taken: Column) -> Column:
             fill = F.size(taken) / F.greatest(n * m, F.lit(1))
             mean = F.size(taken) / F.greatest(n, F.lit(1))
-            by_row = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda r: F.size(F.filter(taken, lambda x: F.floor(x / m) == r)).cast("double"))
+            # how often a row is among the cells' rows: without a look at each cell for each row by an expression of its own
+            by_row = let(F.transform(taken, lambda x: F.floor(x / m)), lambda rows: F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda r: (F.size(rows) - F.size(F.array_remove(rows, r.cast("long")))).cast("double")))
             spread = F.aggregate(by_row, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / F.greatest(n, F.lit(1))
             even = 1.0 / (1.0 + F.when(mean > 0, spread).otherwise(0.0) / F.greatest(F.lit(1.0), mean * mean))
             axes = F.when((n >= 2) & (m >= 2), 0.3).otherwise(0.2)
@@ -117,76 +123,126 @@ def stacked_groups(candidates: DataFrame, container: str, order: str) -> DataFra
 
 
 # -- discovery
-def _within(inner: str, outer: str) -> Column:
+SIDES = ("left", "top", "right", "bottom")
+
+
+def _within(i: Column, o: Column) -> Column:
     """Whether a box lies in another one, give or take 5, and is smaller in one direction at least."""
-    i, o = (lambda c: F.col(f"{inner}{c}")), (lambda c: F.col(f"{outer}{c}"))
-    inside = (i("left") >= o("left") - 5) & (i("top") >= o("top") - 5) & (i("right") <= o("right") + 5) & (i("bottom") <= o("bottom") + 5)
-    return inside & ((i("right") - i("left") < (o("right") - o("left")) * 0.95) | (i("bottom") - i("top") < (o("bottom") - o("top")) * 0.95))
-
-
-def contained(inner: DataFrame, outer: DataFrame, container: str) -> DataFrame:
-    """Pairs (container, outer, inner) of ids: inner boxes within outer ones of their container. An inner box is
-    looked up by the cell of its upper left corner, so only boxes around that place meet."""
-    cells = lambda low, high: F.sequence(F.floor((F.col(low) - 5) / PLANE), F.floor(F.greatest(F.col(low), F.col(high)) / PLANE))
-    big = outer.select(F.col(container).alias("o_c"), F.col("id").alias("outer"), *(F.col(c).alias(f"o_{c}") for c in ("left", "top", "right", "bottom")))
-    big = big.withColumn("x", F.explode(cells("o_left", "o_right"))).withColumn("y", F.explode(cells("o_top", "o_bottom")))
-    small = inner.select(F.col(container).alias("i_c"), F.col("id").alias("inner"), *(F.col(c).alias(f"i_{c}") for c in ("left", "top", "right", "bottom")))
-    small = small.withColumn("i_x", F.floor(F.col("i_left") / PLANE)).withColumn("i_y", F.floor(F.col("i_top") / PLANE))
-    pairs = small.join(big, (F.col("i_c") == F.col("o_c")) & (F.col("x") == F.col("i_x")) & (F.col("y") == F.col("i_y")) & (F.col("inner") != F.col("outer")) & _within("i_", "o_"))
-    return pairs.select(F.col("i_c").alias(container), "outer", "inner")
-
-
-def with_boxes_from_below(elements: DataFrame, container: str, checkpointed: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """elements, each without a box having the one around its children's, level by level from the deepest;
-    ``made`` tells these apart. What has no box below it stays without."""
-    deepest = elements.agg(F.max("depth")).first()[0]
-    sides = {"left": F.min, "top": F.min, "right": F.max, "bottom": F.max}
-    level = lambda d: elements.filter(F.col("depth") == d).withColumn("made", F.lit(False))
-    done, below = [], None
-    for depth in range(deepest if deepest is not None else -1, -1, -1):
-        here = level(depth)
-        if below is not None:
-            around = below.filter("left is not null").groupBy(F.col(container).alias("__c"), F.col("parent").alias("__p")).agg(*(f(c).alias(f"__{c}") for c, f in sides.items()))
-            here = here.join(around, (F.col(container) == F.col("__c")) & (F.col("id") == F.col("__p")), "left")
-            bare = F.col("left").isNull() & F.col("__left").isNotNull()
-            here = here.withColumn("made", bare).withColumns({c: F.when(F.col("made"), F.col(f"__{c}")).otherwise(F.col(c)) for c in sides}).drop("__c", "__p", *(f"__{c}" for c in sides))
-        below = checkpointed(here)
-        done.append(below)
-    out = done[0] if done else level(-1)
-    for one in done[1:]:
-        out = out.unionByName(one)
-    return out
-
-
-def candidates(elements: DataFrame, container: str, checkpointed: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """Elements whose leaves form a table (with ``leaves``, boxes, and ``grid``), and the pairs (container,
-    outer, inner) of candidates and their leaves."""
-    boxed = elements.filter("left is not null")
-    leaves = boxed.join(contained(boxed, boxed, container).select(F.col(container).alias("__c"), F.col("outer").alias("__o")).distinct(), (F.col(container) == F.col("__c")) & (F.col("id") == F.col("__o")), "left_anti")
-    leaves = checkpointed(leaves)
-    whole = with_boxes_from_below(elements, container, checkpointed).filter((F.col("left").isNotNull()) & (F.col("depth") <= DEPTH))
-    large = (F.col("bottom") - F.col("top") >= HEIGHT) & (F.col("right") - F.col("left") >= WIDTH)
-    whole = checkpointed(whole.withColumn("large", large).filter("large or made"))
-    by_place = contained(leaves, whole.filter("large"), container)
-    # small ones whose box was made take the leaves below them in the tree
-    up = whole.filter("not large").select(F.col(container).alias("__c"), F.col("id").alias("outer"), F.col("node").alias("__n"), F.col("last").alias("__l"))
-    by_tree = leaves.join(up, (F.col(container) == F.col("__c")) & (F.col("node") > F.col("__n")) & (F.col("node") <= F.col("__l"))).select(container, "outer", F.col("id").alias("inner"))
-    pairs = by_place.unionByName(by_tree)
-    boxes = leaves.select(F.col(container).alias("__c"), "id", "left", "top", "right", "bottom")
-    joined = pairs.join(boxes, (F.col(container) == F.col("__c")) & (F.col("inner") == F.col("id"))).drop("__c")
-    grouped = joined.groupBy(F.col(container).alias("__c"), F.col("outer").alias("__o")).agg(box_array().alias("leaves")).filter(F.size("leaves") >= LEAVES)
-    grouped = grouped.withColumn("grid", grid(F.col("leaves"))).filter((F.col("grid.is_table")) & (F.col("grid.confidence") >= CONFIDENCE))
-    found = whole.join(grouped, (F.col(container) == F.col("__c")) & (F.col("id") == F.col("__o"))).drop("__c", "__o")
-    found = checkpointed(found.withColumn("n_columns", F.col("grid.n_columns")))
-    chosen = found.select(F.col(container).alias("__c"), F.col("id").alias("__o"))
-    return found, pairs.join(chosen, (F.col(container) == F.col("__c")) & (F.col("outer") == F.col("__o")), "left_semi")
+    inside = (i["left"] >= o["left"] - 5) & (i["top"] >= o["top"] - 5) & (i["right"] <= o["right"] + 5) & (i["bottom"] <= o["bottom"] + 5)
+    return inside & ((i["right"] - i["left"] < (o["right"] - o["left"]) * 0.95) | (i["bottom"] - i["top"] < (o["bottom"] - o["top"]) * 0.95))
+
+
+def _made_from_below(elements: Column) -> Column:
+    """Of a container's elements in document order, those without a box that get the one around their children's.
+
+    They are walked from the last to the first, so an element's children have just been seen: ``open`` holds, for
+    each parent that is still to come, the box around its children so far."""
+    kind, open_kind = "array<struct<node:bigint,last:bigint,depth:int,id:string,left:double,top:double,right:double,bottom:double>>", "array<struct<parent:string,left:double,top:double,right:double,bottom:double>>"
+    around = lambda boxes: {c: (F.array_min if c in ("left", "top") else F.array_max)(F.transform(boxes, lambda b: b[c])) for c in SIDES}
+
+    def step(s: Column, e: Column) -> Column:
+        def having_children(mine: Column) -> Column:
+            bare = e["left"].isNull()
+            rest = F.when(F.size(mine) == 0, s["open"]).otherwise(F.filter(s["open"], lambda o: o["parent"] != e["id"]))
+
+            def boxed(box: Column) -> Column:
+                def onto(last: Column) -> Column:
+                    one = F.struct(e["parent"].alias("parent"), *(box[c].alias(c) for c in SIDES))
+                    both = F.struct(e["parent"].alias("parent"), *((F.least if c in ("left", "top") else F.greatest)(box[c], last[c]).alias(c) for c in SIDES))
+                    same = last["parent"] == e["parent"]
+                    return F.when(box["left"].isNull() | e["parent"].isNull(), rest).when(same, F.array_append(F.slice(rest, 1, F.size(rest) - 1), both)).otherwise(F.array_append(rest, one))
+
+                element = F.struct(*(e[c].alias(c) for c in ("node", "last", "depth", "id")), *(box[c].alias(c) for c in SIDES))
+                made = F.when(bare & box["left"].isNotNull(), F.array_append(s["made"], element)).otherwise(s["made"])
+                return F.struct(let(F.get(rest, F.size(rest) - 1), onto).alias("open"), made.alias("made"))
+
+            return let(F.when(bare, F.struct(*(v.alias(c) for c, v in around(mine).items()))).otherwise(F.struct(*(e[c].alias(c) for c in SIDES))), boxed)
+
+        return let(F.filter(s["open"], lambda o: o["parent"] == e["id"]), having_children)
+
+    none = F.struct(F.array().cast(open_kind).alias("open"), F.array().cast(kind).alias("made"))
+    return F.when(F.exists(elements, lambda e: e["left"].isNull()), F.aggregate(F.reverse(elements), none, step, lambda s: s["made"])).otherwise(F.array().cast(kind))
+
+
+def with_boxes(elements: DataFrame, container: str) -> DataFrame:
+    """Elements with a box, and those that get one from below (``made``)."""
+    kinds = {"node": "bigint", "last": "bigint", "depth": "int", "id": "string", "parent": "string"} | dict.fromkeys(SIDES, "double")
+    whole = elements.filter(F.col(container).isNotNull()).groupBy(container).agg(F.array_sort(F.collect_list(F.struct(*(F.col(c).cast(k).alias(c) for c, k in kinds.items())))).alias("all"))
+    names = [c for c in kinds if c != "parent"]
+    own = F.transform(F.filter("all", lambda e: e["left"].isNotNull()), lambda e: F.struct(*(e[c].alias(c) for c in names), F.lit(False).alias("made")))
+    made = F.transform(_made_from_below(F.col("all")), lambda e: F.struct(*(e[c].alias(c) for c in names), F.lit(True).alias("made")))
+    return whole.select(container, F.inline(F.concat(own, made)))
+
+
+def candidates(elements: DataFrame, container: str) -> DataFrame:
+    """Elements whose leaves form a table: container, node, depth, id, their box, ``leaves`` (boxes), ``grid``.
+
+    An inner box is looked up by the cell of its upper left corner, so only boxes around that place meet. A box
+    without others in it is a leaf. Small elements whose box was made take the leaves below them in the tree."""
+    large = (F.col("bottom") - F.col("top") >= HEIGHT) & (F.col("right") - F.col("left") >= WIDTH) & (F.col("depth") <= DEPTH)
+    boxes = with_boxes(elements, container).withColumn("large", F.coalesce(large, F.lit(False))).withColumn("by_tree", F.col("made") & ~F.col("large") & (F.col("depth") <= DEPTH))
+    boxes = boxes.filter("not made or large or by_tree")
+    at = lambda c: F.floor(F.col(c) / PLANE)
+    span = lambda low, high: F.sequence(F.floor((F.col(low) - 5) / PLANE), F.floor(F.greatest(F.col(low), F.col(high)) / PLANE))
+    placed = boxes.withColumn("x", F.explode_outer(F.when(F.col("by_tree"), F.array(at("left"))).otherwise(span("left", "right"))))
+    placed = placed.withColumn("y", F.explode_outer(F.when(F.col("by_tree"), F.array(at("top"))).otherwise(span("top", "bottom"))))
+    placed = placed.withColumn("corner", F.col("x").eqNullSafe(at("left")) & F.col("y").eqNullSafe(at("top")))
+
+    box = F.struct("id", *SIDES)
+    here, everywhere = Window.partitionBy(container, "x", "y"), Window.partitionBy(container)
+    inner = F.collect_list(F.when(F.col("corner") & ~F.col("made"), F.struct("node", *SIDES, "id"))).over(here)
+    placed = placed.withColumn("inner", inner)
+    me = {c: F.col(c) for c in SIDES}
+    placed = placed.withColumn("inner", F.filter("inner", lambda i: (i["node"] != F.col("node")) & _within(i, me))).withColumn("holds", ~F.col("made") & (F.size("inner") > 0))
+    placed = placed.withColumn("inner", F.when(F.col("large"), F.col("inner")).otherwise(F.slice("inner", 1, 0)))
+    outer = F.struct("node", "depth", "id", *SIDES)
+    known = placed.withColumn("holders", F.collect_set(F.when(F.col("holds"), F.col("node"))).over(everywhere)).withColumn("above", F.collect_list(F.when(F.col("by_tree"), F.struct("last", outer.alias("outer")))).over(everywhere))
+    no_leaf = lambda node: F.array_contains(F.col("holders"), node)
+    inside = F.transform(F.filter("inner", lambda i: ~no_leaf(i["node"])), lambda i: F.struct(i["id"].alias("id"), *(i[c].alias(c) for c in SIDES)))
+    below = F.filter("above", lambda a: (F.col("node") > a["outer"]["node"]) & (F.col("node") <= a["last"]))
+    part = lambda o, leaves: F.struct(o.alias("outer"), leaves.alias("part"))
+    by_place = F.when(F.size("inner") > 0, F.array(part(outer, inside)))
+    by_tree = F.when(F.col("corner") & ~F.col("made") & (F.size("above") > 0) & ~no_leaf(F.col("node")), F.transform(below, lambda a: part(a["outer"], F.array(box))))
+    parts = known.select(container, F.inline(F.concat(*(F.coalesce(x, F.array().cast(_PARTS)) for x in (by_place, by_tree)))))
+    parts = parts.filter(F.size("part") > 0)
+
+    found = parts.groupBy(container, F.col("outer.node").alias("node")).agg(F.first("outer").alias("outer"), F.array_sort(F.flatten(F.collect_list("part"))).alias("leaves"))
+    found = found.filter(F.size("leaves") >= LEAVES)
+    # a filter on the grid would be pushed down to where the leaves are, and the grid worked out there a second time
+    found = found.withColumn("grid", F.explode(F.filter(F.array(grid(F.col("leaves"))), lambda g: g["is_table"] & (g["confidence"] >= CONFIDENCE))))
+    return found.select(container, "node", "outer.depth", "outer.id", *(f"outer.{c}" for c in SIDES), "leaves", "grid", F.col("grid.n_columns").alias("n_columns"))
+
+
+_BOX = "id:string,left:double,top:double,right:double,bottom:double"
+_PARTS = f"array<struct<outer:struct<node:bigint,depth:int,{_BOX}>,part:array<struct<{_BOX}>>>>"
 
 
 def _complete(g: Column) -> Column:
     return (g["n_rows"] >= ROWS) & (g["n_columns"] >= COLUMNS) & (g["confidence"] >= CONFIDENCE)
 
 
-def discover(elements: DataFrame, container: str, checkpointed: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _taking(all_: Column) -> Column:
+    """What common ancestors do to a container's candidates (from the top of the tree): nodes of those that are
+    ``chosen``, of those that are ``closed`` besides, and the ``groups`` whose members are."""
+    ids = lambda leaves: F.transform(leaves, lambda b: b["id"])
+
+    def ancestor(name: Column) -> Column:
+        def over(wanted: Column) -> Column:
+            has_all = lambda r: (r["group"] != name) & (F.size(r["leaves"]) >= F.size(wanted)) & (F.size(F.array_except(wanted, ids(r["leaves"]))) == 0)
+            return let(F.get(F.filter(all_, has_all), F.lit(0)), lambda r: F.struct(name.alias("group"), r["node"].alias("node"), _complete(r["grid"]).alias("complete")))
+
+        members = F.filter(all_, lambda r: r["group"] == name)
+        return let(members, lambda m: F.when(F.size(m) > 1, let(F.array_distinct(F.flatten(F.transform(m, lambda r: ids(r["leaves"])))), over)))
+
+    def used(above: Column) -> Column:
+        uses = lambda a: F.size(F.filter(above, lambda x: x["node"] == a["node"]))
+        return let(F.filter(above, lambda a: (uses(a) < 3) & a["complete"]), lambda t: F.struct(F.transform(t, lambda a: a["node"]).alias("chosen"), F.transform(F.filter(above, lambda a: uses(a) >= 3), lambda a: a["node"]).alias("closed"), F.transform(t, lambda a: a["group"]).alias("groups")))
+
+    names = F.array_distinct(F.transform(all_, lambda r: r["group"]))
+    return let(F.filter(F.transform(names, ancestor), lambda a: a["node"].isNotNull()), used)
+
+
+def discover(elements: DataFrame, container: str, checkpointed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Tables of each container: container, id (of the element), depth, grid, leaves, shared (whether it stands for a
     group of stacked ones).
 
@@ -194,34 +250,17 @@ def discover(elements: DataFrame, container: str, checkpointed: Callable[[DataFr
     bottom or null. Candidates of equal columns that stand upon one another are a group. A group's common
     ancestor (the highest candidate that has all its leaves) takes its place if it is a complete table and
     isn't the ancestor of three groups. The other candidates, from the top of the tree, take their leaves if
-    none is taken yet; what others have left of theirs has to form a table by itself."""
-    found, pairs = candidates(checkpointed(elements), container, checkpointed)  # they are read once a level and more
-    grouped = stacked_groups(found, container, "node")
-    size = F.count("*").over(Window.partitionBy(container, "n_columns", "group"))
-    members = checkpointed(grouped.withColumn("size", size).filter("size > 1").select(F.col(container).alias("c"), F.concat_ws("/", "n_columns", "group").alias("g"), F.col("id").alias("member")))
-    of = pairs.select(F.col(container).alias("__c"), F.col("outer").alias("__o"), F.col("inner").alias("leaf"))
-    leaf = members.join(of, (F.col("c") == F.col("__c")) & (F.col("member") == F.col("__o"))).select("c", "g", "leaf").distinct()
-    total = leaf.groupBy("c", "g").agg(F.count("*").alias("all"))
-    having = leaf.join(pairs.select(F.col(container).alias("__c"), F.col("outer").alias("above"), F.col("inner").alias("__i")), (F.col("c") == F.col("__c")) & (F.col("leaf") == F.col("__i"))).groupBy("c", "g", "above").agg(F.count("*").alias("n"))
-    having = having.join(total, ["c", "g"]).filter(F.col("n") == F.col("all")).join(members, (having["c"] == members["c"]) & (having["g"] == members["g"]) & (F.col("above") == F.col("member")), "left_anti")
-    place = found.select(F.col(container).alias("__c"), F.col("id").alias("__i"), "depth", "node")
-    ancestor = having.join(place, (F.col("c") == F.col("__c")) & (F.col("above") == F.col("__i"))).groupBy("c", "g").agg(F.min(F.struct("depth", "node", "above")).alias("m")).select("c", "g", "m.above")
-    uses = ancestor.groupBy(F.col("c").alias("u_c"), F.col("above").alias("u_a")).agg(F.count("*").alias("uses"))
-    ancestor = checkpointed(ancestor.join(uses, (F.col("c") == F.col("u_c")) & (F.col("above") == F.col("u_a"))).drop("u_c", "u_a"))
-    ok = found.filter(_complete(F.col("grid"))).select(F.col(container).alias("__c"), F.col("id").alias("__i"))
-    taking = ancestor.filter("uses < 3").join(ok, (F.col("c") == F.col("__c")) & (F.col("above") == F.col("__i")), "left_semi")
-    processed = taking.join(members, ["c", "g"]).select("c", F.col("member").alias("i"), F.lit(False).alias("chosen")).unionByName(taking.select("c", F.col("above").alias("i"), F.lit(True).alias("chosen")))
-    processed = processed.unionByName(ancestor.filter("uses >= 3").select("c", F.col("above").alias("i"), F.lit(False).alias("chosen")))
-    state = processed.groupBy("c", "i").agg(F.max("chosen").alias("chosen"))
-    known = found.join(state, (F.col(container) == F.col("c")) & (F.col("id") == F.col("i")), "left")
+    none is taken yet; what others have left of theirs has to form a table by itself.
+
+    Elements are read once and meet only within their container, so they are shuffled at most once: not at all if
+    they are partitioned by it. Nothing is stored on the way; ``checkpointed`` is taken for older callers alone."""
+    found = stacked_groups(candidates(elements, container), container, "node")
 
     # candidates claim leaves in turn: the state is the ids taken and the tables chosen
-    one = F.struct("depth", "node", F.col("id").cast("string").alias("id"), "leaves", "grid", F.coalesce("chosen", F.lit(False)).alias("chosen"), F.col("chosen").isNull().alias("open"))
-    rows = known.groupBy(container).agg(F.array_sort(F.collect_list(one)).alias("all"))
+    one = F.struct("depth", "node", "id", "leaves", "grid", F.concat_ws("/", "n_columns", "group").alias("group"))
+    rows = found.groupBy(container).agg(F.array_sort(F.collect_list(one)).alias("all"))
     ids = lambda leaves: F.transform(leaves, lambda b: b["id"])
     table = lambda r, leaves, g, shared: F.struct(r["id"].alias("id"), r["depth"].alias("depth"), g.cast(GRID).alias("grid"), leaves.alias("leaves"), F.lit(shared).alias("shared"))
-    first = F.filter("all", lambda r: r["chosen"])
-    start = F.struct(F.flatten(F.transform(first, lambda r: ids(r["leaves"]))).alias("taken"), F.transform(first, lambda r: table(r, r["leaves"], r["grid"], True)).alias("tables"))
 
     def claim(s: Column, r: Column) -> Column:
         def having_left(left: Column) -> Column:
@@ -234,8 +273,13 @@ def discover(elements: DataFrame, container: str, checkpointed: Callable[[DataFr
 
         return let(F.filter(r["leaves"], lambda b: ~F.array_contains(s["taken"], b["id"])), having_left)
 
-    ended = F.aggregate(F.filter("all", lambda r: r["open"]), start, claim)
-    return rows.select(container, F.explode(ended["tables"]).alias("t")).select(container, "t.*")
+    def ended(t: Column) -> Column:
+        closed = lambda r: F.array_contains(t["chosen"], r["node"]) | F.array_contains(t["closed"], r["node"]) | F.array_contains(t["groups"], r["group"])
+        first = F.filter("all", lambda r: F.array_contains(t["chosen"], r["node"]))
+        start = let(first, lambda f: F.struct(F.flatten(F.transform(f, lambda r: ids(r["leaves"]))).alias("taken"), F.transform(f, lambda r: table(r, r["leaves"], r["grid"], True)).alias("tables")))
+        return F.aggregate(F.filter("all", lambda r: ~closed(r)), start, claim, lambda s: s["tables"])
+
+    return rows.select(container, F.explode(let(_taking(F.col("all")), ended)).alias("t")).select(container, "t.*")
 
 
 def best_of_alike(tables: DataFrame, *signature: str) -> DataFrame:

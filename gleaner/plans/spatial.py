@@ -9,7 +9,6 @@ from gleaner.operators import spatial as B
 from gleaner.operators import tables as T
 from gleaner.plans.catalog import query
 from gleaner.session import table
-from gleaner.streaming import rounds
 
 _BOXES = """b AS (SELECT l_orderkey AS container_id, l_orderkey * 10 + l_linenumber AS element_id, 'n' || l_linenumber AS text, (l_linenumber % 3) * 100.0::DOUBLE AS left_, (l_linenumber % 3) * 100.0::DOUBLE + l_quantity * 2 AS right_,
        floor(l_linenumber / 3) * 40.0 + l_quantity % 5 AS top_, floor(l_linenumber / 3) * 40.0 + l_quantity % 5 + 20 AS bottom_ FROM (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity))"""
@@ -135,30 +134,41 @@ def stacked_tables(spark, sf):
     return T.stacked_groups(boxes, "container_id", "node").select("container_id", "node", "n_columns", F.col("group").cast("long").alias("group"))
 
 
+#: Lines of the customers in one part: some 160,000 elements, so that a task's sorts stay in memory.
+LINES = 50_000
+
+
 @query("S37")
 def table_discovery(spark, sf):
     """A customer's orders as a tree of regions: each order holds its lines, each line three cells with boxes;
     every other order has a box of its own, the others get one from below."""
-    orders = table(spark, sf, "orders", "o_custkey", "o_orderkey")
-    lines = table(spark, sf, "lineitem", "l_orderkey", "l_linenumber").distinct()
-    rows = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", "o_orderkey", "l_linenumber")
-    name = lambda *parts: F.concat_ws("/", *(F.lit(p) if isinstance(p, str) and p in ("c", "o", "l") else F.col(p).cast("string") if isinstance(p, str) else p for p in parts))
-    cells = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(2))))
-    top = F.dense_rank().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) * 400.0 + F.col("l_linenumber") * 40.0
-    cells = cells.withColumns({"id": name("l", "o_orderkey", "l_linenumber", F.col("k").cast("string")), "parent": name("o", "o_orderkey"), "depth": F.lit(2), "left": F.col("k") * 120.0, "right": F.col("k") * 120.0 + 100, "top": top, "bottom": top + 30})
-    sides = ("left", "top", "right", "bottom")
-    around = [f(c).alias(c) for c, f in zip(sides, (F.min, F.min, F.max, F.max))]
-    order = cells.groupBy("o_custkey", "o_orderkey").agg(*around).withColumns({"id": name("o", "o_orderkey"), "parent": name("c", "o_custkey"), "depth": F.lit(1)})
-    order = order.withColumns({c: F.when(F.col("o_orderkey") % 2 == 0, F.col(c) + (-4 if c in ("left", "top") else 4)) for c in sides})
-    root = cells.groupBy("o_custkey").agg(*around).withColumns({"id": name("c", "o_custkey"), "parent": F.lit(None).cast("string"), "depth": F.lit(0), "o_orderkey": F.lit(0).cast("long")})
-    columns = ["o_custkey", "id", "parent", "depth", "o_orderkey", *sides]
-    tree = root.select(columns).unionByName(order.select(columns)).unionByName(cells.select(columns))
-    w = Window.partitionBy("o_custkey").orderBy("o_orderkey", "depth", "id")
-    tree = tree.withColumn("node", F.row_number().over(w) - 1)
-    whole = Window.partitionBy("o_custkey")
-    last = F.when(F.col("depth") == 0, F.max("node").over(whole)).when(F.col("depth") == 1, F.max("node").over(Window.partitionBy("o_custkey", "o_orderkey"))).otherwise(F.col("node"))
-    tree = tree.withColumn("last", last).drop("o_orderkey")
-    found = T.discover(tree, "o_custkey", rounds.checkpointed)
+    lines = table(spark, sf, "lineitem", "l_orderkey", "l_linenumber")
+    parts = lines.count() // LINES + 1
+    lines = lines.groupBy("l_orderkey").agg(F.collect_set(F.struct("l_linenumber")).alias("lines"))
+    # orders, with numbers for their lines, are shuffled by customer once: elements are made, and meet, where they are then
+    orders = table(spark, sf, "orders", "o_custkey", "o_orderkey").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).drop("l_orderkey").repartition(parts, "o_custkey")
+    by_order, whole = Window.partitionBy("o_custkey").orderBy("o_orderkey"), Window.partitionBy("o_custkey")
+    numbers = F.transform("lines", lambda x: x["l_linenumber"])
+    orders = orders.withColumns({"rank": F.dense_rank().over(by_order), "n": F.row_number().over(by_order), "before": F.lag("o_orderkey").over(by_order)})
+    orders = orders.withColumns({"top": F.col("rank") * 400.0 + F.array_min(numbers) * 40.0, "bottom": F.col("rank") * 400.0 + F.array_max(numbers) * 40.0 + 30})
+    orders = orders.withColumns({"r_top": F.min("top").over(whole), "r_bottom": F.max("bottom").over(whole)})
+
+    name = lambda of, *parts: F.concat_ws("/", F.lit(of), *(F.col(p).cast("string") if isinstance(p, str) else F.lit(str(p)) for p in parts))
+    def element(key, depth, id_, parent, left, top, right, bottom):  # noqa: E306
+        sides = {"left": left, "top": top, "right": right, "bottom": bottom}
+        return F.array(F.struct(key.cast("long").alias("key"), F.lit(depth).alias("depth"), id_.alias("id"), parent.cast("string").alias("parent"), *(v.cast("double").alias(c) for c, v in sides.items())))
+
+    rows = orders.select("*", F.posexplode("lines")).withColumn("line", F.col("col.l_linenumber"))
+    even, top = F.col("o_orderkey") % 2 == 0, F.col("rank") * 400.0 + F.col("line") * 40.0
+    first = (F.col("pos") == 0) & ~F.col("before").eqNullSafe(F.col("o_orderkey"))
+    root = element(F.lit(0), 0, name("c", "o_custkey"), F.lit(None), F.lit(0.0), F.col("r_top"), F.lit(340.0), F.col("r_bottom"))
+    order = element(F.col("o_orderkey"), 1, name("o", "o_orderkey"), name("c", "o_custkey"), F.when(even, -4.0), F.when(even, F.col("top") - 4), F.when(even, 344.0), F.when(even, F.col("bottom") + 4))
+    cells = [element(F.col("o_orderkey"), 2, name("l", "o_orderkey", "line", k), name("o", "o_orderkey"), F.lit(k * 120.0), top, F.lit(k * 120.0 + 100), top + 30) for k in range(3)]
+    some = lambda when, e: F.filter(e, lambda x: when)
+    tree = rows.select("o_custkey", F.inline(F.concat(some((F.col("pos") == 0) & (F.col("n") == 1), root), some(first, order), *cells)))
+    tree = tree.withColumn("node", F.row_number().over(Window.partitionBy("o_custkey").orderBy("key", "depth", "id")) - 1)
+    last = F.when(F.col("depth") == 0, F.max("node").over(whole)).when(F.col("depth") == 1, F.max("node").over(Window.partitionBy("o_custkey", "key"))).otherwise(F.col("node"))
+    found = T.discover(tree.withColumn("last", last).drop("key"), "o_custkey")
     return found.select("o_custkey", "id", "depth", "grid.n_rows", "grid.n_columns", F.round("grid.confidence", 6).alias("confidence"), F.size("leaves").alias("n_leaves"), "shared")
 
 

@@ -251,6 +251,35 @@ def test_discovery_works_out_its_elements_once(spark):
     assert len(rows) <= read.value <= 2 * len(rows)
 
 
+def test_discovery_shuffles_its_elements_once_and_stores_none(spark):
+    """Elements, pairs of boxes and candidates with their leaves meet where a container's elements are."""
+    from gleaner.plans import catalog
+
+    rnd, stored = random.Random(5), []
+    rows = [(n, *r) for n in range(3) for r in flat(page(rnd))]
+    df = spark.createDataFrame(rows, "page int, id string, parent string, node int, last int, depth int, left double, top double, right double, bottom double")
+    exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+    keep = lambda df: stored.append(df) or checkpointed(df)
+    assert exchanges(T.discover(df, "page", keep)) == 1
+    assert exchanges(T.discover(df.repartition(5, "page"), "page", keep)) == 1  # the caller's own
+    assert not stored
+    # lines and orders by order, and these by customer
+    assert exchanges(catalog.QUERIES["table_discovery"](spark, "/root/testdata/sf0.001")) <= 3
+
+
+def test_boxes_come_from_below_through_chains(spark):
+    """A chain of elements without boxes, one beside it that never gets any, and a box within one that ends a chain."""
+    rows = [
+        ("a", None, 0, 7, 0, None), ("b", "a", 1, 4, 1, None), ("c", "b", 2, 3, 2, None), ("d", "c", 3, 3, 3, (10.0, 20.0, 30.0, 40.0)), ("e", "b", 4, 4, 2, (0.0, 30.0, 5.0, 90.0)),
+        ("f", "a", 5, 5, 1, None), ("g", "a", 6, 7, 1, (50.0, 0.0, 60.0, 10.0)), ("h", "g", 7, 7, 2, (0.0, 0.0, 900.0, 900.0)),
+    ]
+    kinds = "page int, id string, parent string, node int, last int, depth int, left double, top double, right double, bottom double"
+    df = spark.createDataFrame([(p, *r[:5], *(r[5] or (None,) * 4)) for p in (1, 2) for r in rows], kinds).repartition(3)
+    got = {(r.page, r.id): (r.left, r.top, r.right, r.bottom) for r in T.with_boxes(df, "page").filter("made").collect()}
+    assert got == {(p, i): b for p in (1, 2) for i, b in {"c": (10.0, 20.0, 30.0, 40.0), "b": (0.0, 20.0, 30.0, 90.0), "a": (0.0, 0.0, 60.0, 90.0)}.items()}
+    assert T.with_boxes(df, "page").filter("not made").count() == 8
+
+
 def test_best_of_alike(spark):
     rows = [("a", 0.6, 9, 1), ("a", 0.8, 6, 2), ("a", 0.8, 7, 3), ("a", 0.8, 7, 4), ("b", 0.5, 6, 5)]
     df = spark.createDataFrame(rows, "signature string, confidence double, n_leaves int, place int")
